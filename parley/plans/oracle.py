@@ -141,3 +141,88 @@ SELECT case_name, arg_min(model, (-accuracy, model)) AS best_model, round(max(ac
 FROM scored2 GROUP BY case_name
 UNION ALL
 SELECT '__overall__', arg_min(model, (-avg_accuracy, model)), round(max(avg_accuracy), 6) FROM macro""")
+
+
+# ---------------------------------------------------------------- Q&A blocks
+LABELLED = """labelled AS (
+  SELECT conv_id, turn, role,
+         CASE WHEN role = 'system' THEN NULL WHEN turn % 4 = 3 THEN 'Follow-up'
+              WHEN role = 'user' THEN 'Question' ELSE 'Answer' END AS tag,
+         CASE WHEN (conv_id + turn) % 11 = 0 THEN '' ELSE text END AS content
+  FROM conversations)"""
+
+QA_RAW = f"""{LABELLED},
+qa_raw AS (
+  SELECT conv_id, string_agg('[' || tag || ']: ' || content, chr(10) ORDER BY turn) AS qa_raw
+  FROM labelled WHERE tag IS NOT NULL GROUP BY conv_id),
+parsed AS (
+  SELECT conv_id, qa_raw, list_transform(regexp_extract_all(qa_raw, '\\[(Question|Answer|Follow-up)\\]:', 1),
+           lambda t, i: {{'pos': i, 'tag': t,
+                          'text': {strip("regexp_split_to_array(qa_raw, '\\[(?:Question|Answer|Follow-up)\\]:')[i + 1]")}}}) AS blocks
+  FROM qa_raw),
+ne AS (
+  SELECT conv_id, list_filter(list_transform(blocks, lambda b: {{'tag': CASE WHEN b.tag = 'Follow-up' THEN 'Question' ELSE b.tag END,
+                                                               'text': b.text}}), lambda b: length(b.text) > 0) AS ne
+  FROM parsed),
+st AS (
+  SELECT conv_id, ne, list_filter(range(1, len(ne) + 1), lambda i: i = 1 OR ne[i].tag <> ne[i - 1].tag) AS starts
+  FROM ne),
+runs AS (
+  SELECT conv_id, list_transform(starts, lambda s, k: {{'tag': ne[s].tag,
+           'text': array_to_string(list_transform(ne[s:coalesce(starts[k + 1], len(ne) + 1) - 1], lambda b: b.text), ' ')}}) AS runs
+  FROM st)"""
+
+ORACLES["qa_blocks"] = f"""WITH {QA_RAW}
+SELECT conv_id, CAST(b.pos AS BIGINT) AS pos, b.tag AS tag, b.text AS text
+FROM (SELECT conv_id, unnest(blocks) AS b FROM parsed)"""
+
+ORACLES["qa_render"] = f"""WITH {QA_RAW}
+SELECT conv_id, array_to_string(list_transform(runs, lambda r: '[' || r.tag || ']: ' || r.text), chr(10)) AS qa_text
+FROM runs"""
+
+ORACLES["answers_only"] = f"""WITH {QA_RAW}
+SELECT conv_id, CAST(len(a) AS BIGINT) AS n_answers, array_to_string(list_transform(a, lambda r: r.text), chr(10)) AS answer_text
+FROM (SELECT conv_id, list_filter(runs, lambda r: r.tag = 'Answer') AS a FROM runs)"""
+
+ORACLES["qa_runs"] = f"""WITH {LABELLED},
+t AS (SELECT conv_id, turn, CASE WHEN tag = 'Follow-up' THEN 'Question' ELSE tag END AS tag, {strip('content')} AS text
+      FROM labelled WHERE tag IS NOT NULL),
+f AS (SELECT *, CASE WHEN lag(tag) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM tag THEN 1 ELSE 0 END AS st
+      FROM t WHERE length(text) > 0),
+g AS (SELECT *, max(CASE WHEN st = 1 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_pos FROM f)
+SELECT conv_id, run_pos, first(tag) AS tag, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS n_blocks
+FROM g GROUP BY conv_id, run_pos"""
+
+ORACLES["turn_labels"] = f"""WITH {LABELLED}
+SELECT conv_id, turn, role, tag, CASE WHEN tag = 'Follow-up' THEN 'Question' ELSE tag END AS canonical_tag
+FROM labelled"""
+
+# ---------------------------------------------------------------- transcripts
+SEGS = f"""segs AS (SELECT conv_id, turn, {strip('text')} AS text FROM conversations)"""
+
+ORACLES["assemble_transcript"] = f"""WITH {SEGS}
+SELECT conv_id, count(*) AS n_segments, string_agg(text, ' ' ORDER BY turn) AS raw_text,
+       round(sum(length(text)) / {CHARS_PER_SECOND}, 6) AS duration_s
+FROM segs GROUP BY conv_id"""
+
+ORACLES["segment_progress"] = f"""WITH {SEGS},
+t AS (SELECT conv_id, turn,
+        (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text)) / {CHARS_PER_SECOND} AS start_time,
+        sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) / {CHARS_PER_SECOND} AS end_time
+      FROM segs),
+d AS (SELECT *, max(end_time) OVER (PARTITION BY conv_id) AS duration FROM t)
+SELECT conv_id, turn, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time,
+       round(least(100.0, 100.0 * end_time / nullif(duration, 0.0)), 6) AS progress
+FROM d"""
+
+ORACLES["summary_input"] = f"""WITH {QA_RAW},
+rendered AS (SELECT conv_id, array_to_string(list_transform(runs, lambda r: '[' || r.tag || ']: ' || r.text), chr(10)) AS qa_text FROM runs),
+{SEGS},
+raw AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS raw_text FROM segs GROUP BY conv_id),
+j AS (SELECT raw.conv_id, qa_text, raw_text, coalesce(nullif(qa_text, ''), raw_text) AS inp
+      FROM raw LEFT JOIN rendered ON raw.conv_id = rendered.conv_id)
+SELECT conv_id, CASE WHEN length(coalesce(qa_text, '')) > 0 THEN 'qa' ELSE 'raw' END AS source,
+       CASE WHEN {is_blank('inp')} THEN 'error' ELSE 'ok' END AS status,
+       CAST(length(inp) AS BIGINT) AS input_chars
+FROM j"""

@@ -13,8 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions.text import normalise_words
+from parley.functions import qa
+from parley.functions.text import is_blank, normalise_words, strip
 from parley.operators import evaluate as ev
+from parley.operators import ordered
+from parley.operators import session as session_ops
 from parley.plans import fixtures as fx
 from parley.spark import read_table
 
@@ -67,3 +70,96 @@ def leaderboard(spark, sf_dir):
 @query
 def best_model(spark, sf_dir):
     return ev.best_model(scored_pairs(spark, sf_dir), "case_name")
+
+
+# ---------------------------------------------------------------- Q&A blocks
+def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, qa_raw): the labelled Q&A text of each session, as a
+    structuring provider would return it (one ``[Tag]: text`` line per turn)."""
+    turns = fx.labelled_turns(read_table(spark, sf_dir, "conversations")).where(F.col("tag").isNotNull())
+    lines = turns.select("conv_id", "turn", F.concat(F.lit("["), "tag", F.lit("]: "), "content").alias("line"))
+    return ordered.ordered_concat(lines, "conv_id", "turn", "line", sep="\n", out="qa_raw").drop("n_items")
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, raw_text, n_segments): A1 over the session's segments."""
+    segs = fx.segment_rows(read_table(spark, sf_dir, "conversations"))
+    return (ordered.ordered_concat(segs, "session_id", "seg_no", "text", sep=" ", out="raw_text")
+            .withColumnRenamed("session_id", "conv_id").withColumnRenamed("n_items", "n_segments"))
+
+
+@query
+def qa_blocks(spark, sf_dir):
+    t = labelled_text(spark, sf_dir)
+    b = t.select("conv_id", F.explode(qa.parse_blocks("qa_raw")).alias("b"))
+    return b.select("conv_id", F.col("b.pos").cast("long").alias("pos"), "b.tag", "b.text")
+
+
+@query
+def qa_runs(spark, sf_dir):
+    turns = fx.labelled_turns(read_table(spark, sf_dir, "conversations")).where(F.col("tag").isNotNull())
+    rows = turns.select("conv_id", "turn", qa.canonical_tag(F.col("tag")).alias("tag"),
+                        strip(F.col("content")).alias("text"))
+    return ordered.merge_runs(rows, "conv_id", "turn", "tag", "text")
+
+
+@query
+def qa_render(spark, sf_dir):
+    t = labelled_text(spark, sf_dir)
+    return t.select("conv_id", qa.clean_qa("qa_raw").alias("qa_text"))
+
+
+@query
+def answers_only(spark, sf_dir):
+    t = labelled_text(spark, sf_dir)
+    ans = qa.answers_only(qa.merge_blocks(qa.parse_blocks("qa_raw")))
+    return t.select("conv_id", F.size(ans).cast("long").alias("n_answers"),
+                    F.array_join(F.transform(ans, lambda b: b["text"]), "\n").alias("answer_text"))
+
+
+@query
+def turn_labels(spark, sf_dir):
+    turns = fx.labelled_turns(read_table(spark, sf_dir, "conversations"))
+    return turns.select("conv_id", "turn", "role", "tag", qa.canonical_tag(F.col("tag")).alias("canonical_tag"))
+
+
+# ---------------------------------------------------------------- transcripts
+@query
+def assemble_transcript(spark, sf_dir):
+    segs = fx.segment_rows(read_table(spark, sf_dir, "conversations"))
+    agg = ordered.ordered_concat(segs, "session_id", "seg_no", "text", sep=" ", out="raw_text")
+    dur = segs.groupBy("session_id").agg(F.sum(F.length("text")).alias("_chars"))
+    return (agg.join(dur, "session_id")
+            .select(F.col("session_id").alias("conv_id"), F.col("n_items").alias("n_segments"), "raw_text",
+                    F.round(F.col("_chars") / F.lit(fx.CHARS_PER_SECOND), 6).alias("duration_s")))
+
+
+def segment_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = fx.segment_rows(read_table(spark, sf_dir, "conversations")).withColumn("_len", F.length("text"))
+    cum = ordered.running_sum(segs, "session_id", "seg_no", "_len", out="_cum")
+    return cum.select("session_id", "seg_no", "text",
+                      ((F.col("_cum") - F.col("_len")) / F.lit(fx.CHARS_PER_SECOND)).alias("start_time"),
+                      (F.col("_cum") / F.lit(fx.CHARS_PER_SECOND)).alias("end_time"))
+
+
+@query
+def segment_progress(spark, sf_dir):
+    st = segment_times(spark, sf_dir)
+    dur = st.groupBy("session_id").agg(F.max("end_time").alias("duration"))
+    prog = session_ops.segment_progress(F.col("end_time"), F.col("duration"))
+    return (st.join(dur, "session_id")
+            .select(F.col("session_id").alias("conv_id"), F.col("seg_no").alias("turn"),
+                    F.round("start_time", 6).alias("start_time"), F.round("end_time", 6).alias("end_time"),
+                    F.round(prog, 6).alias("progress")))
+
+
+@query
+def summary_input(spark, sf_dir):
+    raw = transcripts(spark, sf_dir)
+    qa_t = labelled_text(spark, sf_dir).select("conv_id", qa.clean_qa("qa_raw").alias("qa_text"))
+    j = raw.join(qa_t, "conv_id", "left")
+    inp = session_ops.summary_input(F.col("qa_text"), F.col("raw_text"))
+    return j.select("conv_id",
+                    F.when(F.length(F.coalesce("qa_text", F.lit(""))) > 0, F.lit("qa")).otherwise(F.lit("raw")).alias("source"),
+                    F.when(is_blank(inp), F.lit("error")).otherwise(F.lit("ok")).alias("status"),
+                    F.length(inp).cast("long").alias("input_chars"))
