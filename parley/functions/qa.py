@@ -6,7 +6,7 @@ no shuffle at all. Block arrays are ``array<struct<pos:int, tag:string, text:str
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import WS_CLASS, _col, strip
@@ -43,27 +43,30 @@ def canonical_tag(tag: Column) -> Column:
     return F.when(tag == F.lit(FOLLOW_UP), F.lit(QUESTION)).otherwise(tag)
 
 
-def merge_blocks(blocks) -> Column:
+def with_merged_blocks(df: DataFrame, blocks_col: str, out: str) -> DataFrame:
     """T6 (in-row form): canonical tags, drop empty blocks *before* run
     detection, join consecutive same-tag blocks with one space.
 
     Linear: run starts are found by index comparison, then each run is one
-    ``slice`` of the non-empty blocks.
+    ``slice`` of the non-empty blocks. The intermediate arrays are staged as
+    columns because lambda bodies must only see cheap column references (an
+    inline array expression would be re-evaluated for every element).
     """
-    blocks = _col(blocks)
-    ne = F.filter(F.transform(blocks, lambda b: F.struct(canonical_tag(b["tag"]).alias("tag"),
-                                                         b["text"].alias("text"))),
+    ne = F.filter(F.transform(F.col(blocks_col), lambda b: F.struct(canonical_tag(b["tag"]).alias("tag"),
+                                                                    b["text"].alias("text"))),
                   lambda b: F.length(b["text"]) > 0)
-    n = F.size(ne)
+    df = df.withColumn("_ne", ne)
+    n = F.size("_ne")
     idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(idx, lambda i: (i == 1) | (F.element_at(ne, i)["tag"] != F.element_at(ne, F.greatest(i - 1, F.lit(1)))["tag"]))
+    df = df.withColumn("_starts", F.filter(idx, lambda i: (i == 1) | (
+        F.element_at(F.col("_ne"), i)["tag"] != F.element_at(F.col("_ne"), F.greatest(i - 1, F.lit(1)))["tag"])))
 
     def run(s, k):
-        nxt = F.coalesce(F.get(starts, k + 1), n + 1)  # next run start (0-based get)
-        return F.struct((k + 1).alias("pos"), F.element_at(ne, s)["tag"].alias("tag"),
-                        F.array_join(F.transform(F.slice(ne, s, nxt - s), lambda b: b["text"]), " ").alias("text"))
+        nxt = F.coalesce(F.get(F.col("_starts"), k + 1), n + 1)  # next run start (0-based get)
+        return F.struct((k + 1).alias("pos"), F.element_at(F.col("_ne"), s)["tag"].alias("tag"),
+                        F.array_join(F.transform(F.slice(F.col("_ne"), s, nxt - s), lambda b: b["text"]), " ").alias("text"))
 
-    return F.transform(starts, run)
+    return df.withColumn(out, F.transform(F.col("_starts"), run)).drop("_ne", "_starts")
 
 
 def render_blocks(blocks) -> Column:
@@ -72,9 +75,12 @@ def render_blocks(blocks) -> Column:
                         "\n")
 
 
-def clean_qa(c) -> Column:
-    """T5 -> T6 -> T7 on a labelled text."""
-    return render_blocks(merge_blocks(parse_blocks(c)))
+def with_clean_qa(df: DataFrame, text_col: str, out: str = "qa_text", blocks_out: str | None = None) -> DataFrame:
+    """T5 -> T6 -> T7 on a labelled text column; optionally keep the merged blocks."""
+    keep = blocks_out or "_merged"
+    df = with_merged_blocks(df.withColumn("_parsed", parse_blocks(text_col)), "_parsed", keep)
+    df = df.withColumn(out, render_blocks(keep)).drop("_parsed")
+    return df if blocks_out else df.drop(keep)
 
 
 def answers_only(blocks) -> Column:
@@ -87,5 +93,5 @@ def strip_labels(c) -> Column:
     return F.regexp_replace(_col(c), TAG_SPLIT_RE, " ")
 
 
-__all__ = ["parse_blocks", "merge_blocks", "render_blocks", "clean_qa", "answers_only", "strip_labels",
+__all__ = ["parse_blocks", "with_merged_blocks", "render_blocks", "with_clean_qa", "answers_only", "strip_labels",
            "canonical_tag", "TAGS", "QUESTION", "ANSWER", "FOLLOW_UP", "WS_CLASS"]

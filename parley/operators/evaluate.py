@@ -102,45 +102,51 @@ def best_model(scored: DataFrame, case_col: str, overall_label: str = "__overall
 
 
 def ngrams(words, n: int):
-    """Contiguous word n-grams of an array column, joined by one space."""
+    """Contiguous word n-grams of an array *column reference*, joined by one
+    space (the lambda indexes ``words``, so it must be cheap to evaluate)."""
     if n == 1:
         return words
-    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1),
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(0))),
                        lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
+def with_grams(df: DataFrame, text_col: str, max_n: int, out: str, distinct: bool = False) -> DataFrame:
+    """Stage the normalised words, then add all 1..max_n-grams as ``out``."""
+    df = df.withColumn("_w", normalise_words(F.col(text_col)))
+    w = F.col("_w")
+    grams = F.flatten(F.array(*[ngrams(w, n) for n in range(1, max_n + 1)]))
+    # sequence(1, 0) counts down: drop the bogus n-grams of too-short texts
+    grams = F.filter(grams, lambda g: g.isNotNull())
+    return df.withColumn(out, F.array_distinct(grams) if distinct else grams).drop("_w")
+
+
 def vocabulary_terms(source: DataFrame, text_col: str = "text", min_chars: int = 12, max_n: int = 2) -> DataFrame:
     """Term table for T16: distinct normalised n-grams (n <= max_n) of at least
     ``min_chars`` characters taken from a vocabulary source table."""
-    w = normalise_words(F.col(text_col))
-    grams = F.flatten(F.array(*[ngrams(w, n) for n in range(1, max_n + 1)]))
-    return (source.select(F.explode(grams).alias("term"))
+    g = with_grams(source, text_col, max_n, "_g")
+    return (g.select(F.explode("_g").alias("term"))
             .where(F.length("term") >= min_chars)
-            .distinct()
-            .withColumn("term_words", F.size(F.split("term", " "))))
+            .distinct())
 
 
 def vocabulary_coverage(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str = "text",
                         max_n: int = 2) -> DataFrame:
     """Hits per (text, term) for whole-word term matches on normalised text.
 
-    Every n-gram of every text is exploded and equi-joined with the term table.
+    Every n-gram of every text is exploded and semi-joined with the term table.
     The join strategy is Spark's: a measured-small term table is broadcast (no
-    shuffle of the n-grams); a large one is shuffle-joined on the term.
+    shuffle of the n-grams); a large one is shuffle-joined on the term. The
+    count per (text, term) is partially aggregated before its shuffle.
     """
-    w = normalise_words(F.col(text_col))
-    grams = F.flatten(F.array(*[ngrams(w, n) for n in range(1, max_n + 1)]))
-    exploded = texts.select(id_col, F.explode(grams).alias("term"))
+    g = with_grams(texts.select(id_col, text_col), text_col, max_n, "_g")
+    exploded = g.select(id_col, F.explode("_g").alias("term"))
     return (exploded.join(terms.select("term"), "term", "left_semi")
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("hits")))
 
 
-def missed_terms(scored_pairs: DataFrame, terms: DataFrame, keys: Sequence[str], max_n: int = 2) -> DataFrame:
+def missed_terms(pairs: DataFrame, terms: DataFrame, keys: Sequence[str], max_n: int = 2) -> DataFrame:
     """T16 second half: terms in the reference text that the hypothesis lacks."""
-    def grams_of(col):
-        w = normalise_words(F.col(col))
-        return F.array_distinct(F.flatten(F.array(*[ngrams(w, n) for n in range(1, max_n + 1)])))
-
-    base = scored_pairs.select(*keys, grams_of("ref_text").alias("_rg"), grams_of("hyp_text").alias("_hg"))
+    base = with_grams(pairs.select(*keys, "ref_text", "hyp_text"), "ref_text", max_n, "_rg", distinct=True)
+    base = with_grams(base, "hyp_text", max_n, "_hg", distinct=True)
     missing = base.select(*keys, F.explode(F.array_except("_rg", "_hg")).alias("term"))
     return missing.join(terms.select("term"), "term", "left_semi")

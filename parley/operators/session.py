@@ -24,3 +24,12 @@ def summary_input(qa_text: Column, raw_text: Column) -> Column:
 def require_text(text: Column) -> Column:
     """Error class for a text that cannot be processed, else NULL."""
     return F.when(is_blank(text), F.lit("EmptyText"))
+
+
+def init_session(name: Column, title: Column) -> Column:
+    """P5: struct(session_id, title). The id is content-derived (replay-safe,
+    unlike a random UUID); an empty or missing title falls back to the stem."""
+    from parley.operators.incremental import stem
+
+    return F.struct(F.sha2(name, 256).alias("session_id"),
+                    F.coalesce(F.nullif(title, F.lit("")), stem(name)).alias("title"))

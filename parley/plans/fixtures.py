@@ -75,3 +75,21 @@ def segment_rows(conversations: DataFrame) -> DataFrame:
     """(session_id, seg_no, text) rows: a conversation is a session, a turn a segment."""
     return conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seg_no"),
                                 strip(F.col("text")).alias("text"))
+
+
+# Stage definitions over the file listing: which files a stage reads (by
+# doc_id % 4, i.e. by suffix) and which output kinds mark an input as done.
+STAGES = (
+    ("transcribe", 3, ("transcript",)),
+    ("structure", 0, ("presentation", "q_and_a")),
+    ("summarize", 2, ("summary_txt", "summary_json")),
+)
+
+
+def stage_outputs(labels: DataFrame) -> DataFrame:
+    """(doc_id, kind): outputs already on disk, from ``labels`` (quality=1:
+    first output of a stage present; toxic=0: second output present)."""
+    q1, t0 = F.col("quality") == 1, F.col("toxic") == 0
+    kinds = F.array(F.when(q1, "transcript"), F.when(q1, "presentation"), F.when(t0, "q_and_a"),
+                    F.when(q1, "summary_txt"), F.when(t0, "summary_json"))
+    return labels.select("doc_id", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))

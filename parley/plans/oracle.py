@@ -226,3 +226,134 @@ SELECT conv_id, CASE WHEN length(coalesce(qa_text, '')) > 0 THEN 'qa' ELSE 'raw'
        CASE WHEN {is_blank('inp')} THEN 'error' ELSE 'ok' END AS status,
        CAST(length(inp) AS BIGINT) AS input_chars
 FROM j"""
+
+
+# ---------------------------------------------------------------- incremental
+def stem_sql(e: str) -> str:
+    return f"regexp_replace({e}, '^(.+)\\.[^.]+$', '\\1')"
+
+
+FILES = f"""{DOC_FILES},
+files AS (SELECT *, {stem_sql('name')} AS stem FROM doc_files)"""
+
+OUTS = """outs AS (
+  SELECT doc_id, kind FROM (
+    SELECT doc_id, unnest(list_filter([CASE WHEN quality = 1 THEN 'transcript' END,
+                                       CASE WHEN quality = 1 THEN 'presentation' END,
+                                       CASE WHEN toxic = 0 THEN 'q_and_a' END,
+                                       CASE WHEN quality = 1 THEN 'summary_txt' END,
+                                       CASE WHEN toxic = 0 THEN 'summary_json' END], lambda k: k IS NOT NULL)) AS kind
+    FROM labels))"""
+
+
+def stage_input_sql(residue: int) -> str:
+    if residue == 0:
+        return "SELECT * FROM files WHERE name LIKE '%.txt' AND NOT (stem LIKE '%\\_presentation' ESCAPE '\\' OR stem LIKE '%\\_q\\_and\\_a' ESCAPE '\\')"
+    if residue == 2:
+        return "SELECT * FROM files WHERE name LIKE '%\\_q\\_and\\_a.txt' ESCAPE '\\'"
+    return "SELECT * FROM files WHERE name LIKE '%.mp3'"
+
+
+def done_sql(required) -> str:
+    kinds = ", ".join(q(k) for k in required)
+    return (f"SELECT doc_id FROM outs WHERE kind IN ({kinds}) GROUP BY doc_id "
+            f"HAVING count(DISTINCT kind) = {len(required)}")
+
+
+ORACLES["transcript_scan_filter"] = f"""WITH {FILES}
+SELECT doc_id, name, stem, CAST(length(text) AS BIGINT) AS n_chars FROM ({stage_input_sql(0)})"""
+
+ORACLES["target_filter"] = f"""WITH {DOC_FILES}
+SELECT doc_id, name FROM doc_files
+WHERE contains(lower(name), 'src1_') OR contains(lower(name), '_presentation')"""
+
+ORACLES["skip_done"] = f"""WITH {FILES}, {OUTS}
+SELECT doc_id, name FROM ({stage_input_sql(0)}) i
+WHERE doc_id NOT IN ({done_sql(('presentation', 'q_and_a'))})"""
+
+ORACLES["force_targets"] = f"""WITH {FILES}
+SELECT doc_id, name FROM ({stage_input_sql(0)}) WHERE contains(lower(name), 'src4_1')"""
+
+
+def _report(stage: str, residue: int, required) -> str:
+    return f"""SELECT '{stage}' AS stage, s.status, s.n FROM (
+  SELECT unnest([{{'status': 'found', 'n': found}}, {{'status': 'skipped', 'n': found - todo}},
+                 {{'status': 'processed', 'n': todo - failed}}, {{'status': 'failed', 'n': failed}}]) AS s
+  FROM (SELECT (SELECT count(*) FROM ({stage_input_sql(residue)})) AS found,
+               (SELECT count(*) FROM ({stage_input_sql(residue)}) WHERE doc_id NOT IN ({done_sql(required)})) AS todo,
+               (SELECT count(*) FROM ({stage_input_sql(residue)})
+                 WHERE doc_id NOT IN ({done_sql(required)}) AND {is_blank('text')}) AS failed))"""
+
+
+ORACLES["run_report"] = f"""WITH {FILES}, {OUTS}
+{_report('transcribe', 3, ('transcript',))}
+UNION ALL {_report('structure', 0, ('presentation', 'q_and_a'))}
+UNION ALL {_report('summarize', 2, ('summary_txt', 'summary_json'))}"""
+
+ORACLES["require_text_split"] = f"""WITH {LABELLED}
+SELECT conv_id, turn, CASE WHEN {is_blank('content')} THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN {is_blank('content')} THEN 'EmptyText' END AS error_class
+FROM labelled"""
+
+ORACLES["session_init"] = f"""WITH {DOC_FILES}
+SELECT doc_id, sha256(name) AS session_id,
+       coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE upper(lang) END, ''),
+                {stem_sql('name')}) AS title
+FROM doc_files"""
+
+
+# ---------------------------------------------------------------- structuring
+def cue_re2(cues, anchored: bool = False) -> str:
+    alts = "|".join(cues)
+    lead = "^" if anchored else "(^|[^\\p{L}\\p{N}_])"
+    return f"{lead}({alts})([^\\p{{L}}\\p{{N}}_]|$)".replace("\\p{L}\\p{N}_])(", "\\p{L}\\p{N}_])(")
+
+
+QA_CUES_SQL = cue_re2(("this", "que", "und", "qui"))
+QUESTION_CUES_SQL = cue_re2(("that", "la", "die", "los"), anchored=True)
+
+SPLIT = f"""sp AS (
+  SELECT doc_id, sents, coalesce(list_position(list_transform(sents, lambda s: regexp_matches(lower(s), '{QA_CUES_SQL}')), true), 0) AS k
+  FROM (SELECT doc_id, {sentences('text')} AS sents FROM documents)),
+sp2 AS (
+  SELECT doc_id, k,
+         CASE WHEN k = 0 THEN array_to_string(sents, ' ') ELSE array_to_string(sents[1:k-1], ' ') END AS presentation,
+         CASE WHEN k = 0 THEN '' ELSE array_to_string(sents[k:], ' ') END AS q_and_a
+  FROM sp)"""
+
+ORACLES["presentation_split"] = f"""WITH {SPLIT}
+SELECT doc_id, CAST(nullif(k, 0) AS BIGINT) AS cue_sentence, CAST(length(presentation) AS BIGINT) AS presentation_chars,
+       CAST(length(q_and_a) AS BIGINT) AS qa_chars FROM sp2"""
+
+ORACLES["sentence_labels"] = f"""WITH {SPLIT},
+lab AS (
+  SELECT doc_id, presentation, list_transform({sentences('q_and_a')}, lambda s:
+           {{'tag': CASE WHEN s LIKE '%?' OR regexp_matches(lower(s), '{QUESTION_CUES_SQL}') THEN 'Question' ELSE 'Answer' END,
+            'text': s}}) AS ne
+  FROM sp2),
+st AS (SELECT doc_id, presentation, ne,
+              list_filter(range(1, len(ne) + 1), lambda i: i = 1 OR ne[i].tag <> ne[i - 1].tag) AS starts FROM lab),
+runs AS (
+  SELECT doc_id, presentation, list_transform(starts, lambda s, k: {{'tag': ne[s].tag,
+           'text': array_to_string(list_transform(ne[s:coalesce(starts[k + 1], len(ne) + 1) - 1], lambda b: b.text), ' ')}}) AS runs
+  FROM st)
+SELECT doc_id, CAST(length(presentation) AS BIGINT) AS presentation_chars,
+       array_to_string(list_transform(runs, lambda r: '[' || r.tag || ']: ' || r.text), chr(10)) AS structured_qa_text
+FROM runs"""
+
+ORACLES["verbatim"] = f"""WITH {QA_RAW},
+{SEGS},
+raw AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS raw_text FROM segs GROUP BY conv_id),
+firstqa AS (SELECT conv_id, min(turn) AS fq FROM conversations WHERE role <> 'system' GROUP BY conv_id),
+pres AS (SELECT s.conv_id, string_agg(s.text, ' ' ORDER BY s.turn) AS presentation
+         FROM segs s LEFT JOIN firstqa f ON s.conv_id = f.conv_id
+         WHERE f.fq IS NULL OR s.turn < f.fq GROUP BY s.conv_id),
+w AS (SELECT raw.conv_id, {wsplit('raw_text')} AS a,
+             list_concat({wsplit("coalesce(presentation, '')")},
+                         {wsplit("regexp_replace(coalesce(qa_raw.qa_raw, ''), '\\[(?:Question|Answer|Follow-up)\\]:', ' ', 'g')")}) AS b
+      FROM raw LEFT JOIN pres ON raw.conv_id = pres.conv_id LEFT JOIN qa_raw ON raw.conv_id = qa_raw.conv_id),
+d AS (SELECT conv_id, a, b, coalesce(list_position(list_transform(range(1, greatest(len(a), len(b)) + 1),
+             lambda i: a[i] IS NOT DISTINCT FROM b[i]), false), 0) AS fd FROM w)
+SELECT conv_id, fd = 0 AS ok, CAST(nullif(fd, 0) AS BIGINT) AS first_diff, CAST(len(a) AS BIGINT) AS n_raw,
+       CAST(len(b) AS BIGINT) AS n_out
+FROM d"""

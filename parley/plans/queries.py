@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from parley.functions import qa
 from parley.functions.text import is_blank, normalise_words, strip
 from parley.operators import evaluate as ev
+from parley.operators import incremental as inc
 from parley.operators import ordered
 from parley.operators import session as session_ops
+from parley.operators import structure
 from parley.plans import fixtures as fx
 from parley.spark import read_table
 
@@ -106,13 +108,13 @@ def qa_runs(spark, sf_dir):
 @query
 def qa_render(spark, sf_dir):
     t = labelled_text(spark, sf_dir)
-    return t.select("conv_id", qa.clean_qa("qa_raw").alias("qa_text"))
+    return qa.with_clean_qa(t, "qa_raw", "qa_text").select("conv_id", "qa_text")
 
 
 @query
 def answers_only(spark, sf_dir):
-    t = labelled_text(spark, sf_dir)
-    ans = qa.answers_only(qa.merge_blocks(qa.parse_blocks("qa_raw")))
+    t = qa.with_clean_qa(labelled_text(spark, sf_dir), "qa_raw", "qa_text", blocks_out="runs")
+    ans = qa.answers_only("runs")
     return t.select("conv_id", F.size(ans).cast("long").alias("n_answers"),
                     F.array_join(F.transform(ans, lambda b: b["text"]), "\n").alias("answer_text"))
 
@@ -156,10 +158,121 @@ def segment_progress(spark, sf_dir):
 @query
 def summary_input(spark, sf_dir):
     raw = transcripts(spark, sf_dir)
-    qa_t = labelled_text(spark, sf_dir).select("conv_id", qa.clean_qa("qa_raw").alias("qa_text"))
+    qa_t = qa.with_clean_qa(labelled_text(spark, sf_dir), "qa_raw", "qa_text").select("conv_id", "qa_text")
     j = raw.join(qa_t, "conv_id", "left")
     inp = session_ops.summary_input(F.col("qa_text"), F.col("raw_text"))
     return j.select("conv_id",
                     F.when(F.length(F.coalesce("qa_text", F.lit(""))) > 0, F.lit("qa")).otherwise(F.lit("raw")).alias("source"),
                     F.when(is_blank(inp), F.lit("error")).otherwise(F.lit("ok")).alias("status"),
                     F.length(inp).cast("long").alias("input_chars"))
+
+
+# ---------------------------------------------------------------- incremental
+TARGETS = ("SRC1_", "_Presentation")
+FORCED = ("src4_1",)
+QA_CUES = ("this", "que", "und", "qui")
+QUESTION_CUES = ("that", "la", "die", "los")
+
+
+def stage_inputs(spark: SparkSession, sf_dir: str, residue: int) -> DataFrame:
+    files = fx.doc_files(read_table(spark, sf_dir, "documents"))
+    files = files.withColumn("stem", inc.stem("name"))
+    if residue == 0:  # transcripts: *.txt without derived stems
+        return files.where(F.col("name").endswith(".txt") & ~inc.is_derived("stem"))
+    if residue == 2:
+        return files.where(F.col("name").endswith("_q_and_a.txt"))
+    return files.where(F.col("name").endswith(".mp3"))
+
+
+@query
+def transcript_scan_filter(spark, sf_dir):
+    t = stage_inputs(spark, sf_dir, 0)
+    return t.select("doc_id", "name", "stem", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def target_filter(spark, sf_dir):
+    files = fx.doc_files(read_table(spark, sf_dir, "documents"))
+    return inc.filter_targets(files, "name", TARGETS).select("doc_id", "name")
+
+
+@query
+def skip_done(spark, sf_dir):
+    outs = fx.stage_outputs(read_table(spark, sf_dir, "labels"))
+    todo = inc.skip_done(stage_inputs(spark, sf_dir, 0), outs, "doc_id", "kind", ("presentation", "q_and_a"))
+    return todo.select("doc_id", "name")
+
+
+@query
+def force_targets(spark, sf_dir):
+    outs = fx.stage_outputs(read_table(spark, sf_dir, "labels"))
+    todo = inc.select_work(stage_inputs(spark, sf_dir, 0), outs, "doc_id", "name", "kind",
+                           ("presentation", "q_and_a"), targets=FORCED)
+    return todo.select("doc_id", "name")
+
+
+@query
+def run_report(spark, sf_dir):
+    outs = fx.stage_outputs(read_table(spark, sf_dir, "labels"))
+    reports = []
+    for stage, residue, required in fx.STAGES:
+        found = stage_inputs(spark, sf_dir, residue)
+        todo = inc.skip_done(found, outs, "doc_id", "kind", required)
+        failed = todo.where(session_ops.require_text(F.col("text")).isNotNull())
+        reports.append(inc.run_report(found, todo, failed, stage))
+    out = reports[0]
+    for r in reports[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query
+def require_text_split(spark, sf_dir):
+    turns = fx.labelled_turns(read_table(spark, sf_dir, "conversations"))
+    err = session_ops.require_text(F.col("content"))
+    return turns.select("conv_id", "turn", F.when(err.isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+                        err.alias("error_class"))
+
+
+@query
+def session_init(spark, sf_dir):
+    files = fx.doc_files(read_table(spark, sf_dir, "documents"))
+    title = (F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string"))
+             .when(F.col("doc_id") % 3 == 1, F.lit("")).otherwise(F.upper("lang")))
+    s = session_ops.init_session(F.col("name"), title)
+    return files.select("doc_id", s["session_id"].alias("session_id"), s["title"].alias("title"))
+
+
+# ---------------------------------------------------------------- structuring
+@query
+def presentation_split(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    sp = structure.split_presentation(F.col("text"), QA_CUES)
+    return docs.select("doc_id", sp["cue_sentence"].cast("long").alias("cue_sentence"),
+                       F.length(sp["presentation"]).cast("long").alias("presentation_chars"),
+                       F.length(sp["q_and_a"]).cast("long").alias("qa_chars"))
+
+
+@query
+def sentence_labels(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    st = structure.with_structure(docs, "text", QA_CUES, QUESTION_CUES)
+    return st.select("doc_id", F.length("presentation").cast("long").alias("presentation_chars"),
+                     "structured_qa_text")
+
+
+def presentation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = read_table(spark, sf_dir, "conversations")
+    marked = structure.leading_presentation(conv, "conv_id", "turn", "role")
+    pres = marked.where("is_presentation").select("conv_id", "turn", strip(F.col("text")).alias("text"))
+    return ordered.ordered_concat(pres, "conv_id", "turn", "text", out="presentation").drop("n_items")
+
+
+@query
+def verbatim(spark, sf_dir):
+    raw = transcripts(spark, sf_dir)
+    j = (raw.join(presentation_text(spark, sf_dir), "conv_id", "left")
+         .join(labelled_text(spark, sf_dir), "conv_id", "left"))
+    v = structure.verbatim_check(F.col("raw_text"), F.col("presentation"), F.col("qa_raw"))
+    return j.select("conv_id", v["ok"].alias("ok"), v["first_diff"].alias("first_diff"),
+                    v["n_raw"].alias("n_raw"), v["n_out"].alias("n_out"))
