@@ -357,3 +357,58 @@ d AS (SELECT conv_id, a, b, coalesce(list_position(list_transform(range(1, great
 SELECT conv_id, fd = 0 AS ok, CAST(nullif(fd, 0) AS BIGINT) AS first_diff, CAST(len(a) AS BIGINT) AS n_raw,
        CAST(len(b) AS BIGINT) AS n_out
 FROM d"""
+
+
+# ---------------------------------------------------------------- summaries
+ACTION_CUES_SQL = cue_re2(("with", "pour", "und", "los"))
+
+SUMM = f"""{QA_RAW},
+ans AS (SELECT conv_id, r.pos AS pos, r.text AS text
+        FROM (SELECT conv_id, unnest(list_transform(list_filter(list_transform(runs, lambda r, i: {{'pos': i, 'tag': r.tag, 'text': r.text}}),
+                                                                lambda r: r.tag = 'Answer'), lambda r: r)) AS r FROM runs)),
+sents AS (SELECT conv_id, CAST(pos AS BIGINT) * 4294967296 + (i - 1) AS spos, s[i] AS sentence
+          FROM (SELECT conv_id, pos, {sentences('text')} AS s FROM ans), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)),
+words AS (SELECT conv_id, spos, term FROM (SELECT conv_id, spos, unnest({norm_words('sentence')}) AS term FROM sents)
+          WHERE length(term) >= 4),
+tf AS (SELECT conv_id, term, count(*) AS tf FROM words GROUP BY conv_id, term),
+dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+nsess AS (SELECT count(DISTINCT conv_id) AS n FROM tf),
+scores AS (SELECT w.conv_id, w.spos, sum(tf.tf) AS score
+           FROM (SELECT DISTINCT conv_id, spos, term FROM words) w JOIN tf ON w.conv_id = tf.conv_id AND w.term = tf.term
+           GROUP BY w.conv_id, w.spos),
+scored AS (SELECT s.conv_id, s.spos, s.sentence, CAST(coalesce(sc.score, 0) AS BIGINT) AS score
+           FROM sents s LEFT JOIN scores sc ON s.conv_id = sc.conv_id AND s.spos = sc.spos),
+points AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, spos) AS rank FROM scored)
+           WHERE rank <= 5),
+topics AS (SELECT * FROM (SELECT conv_id, term, weight, row_number() OVER (PARTITION BY conv_id ORDER BY weight DESC, term) AS rank
+                          FROM (SELECT tf.conv_id, tf.term, CAST(floor(tf.tf * (SELECT n FROM nsess) / dfq.df) AS BIGINT) AS weight
+                                FROM tf JOIN dfq ON tf.term = dfq.term))
+           WHERE rank <= 6),
+actions AS (SELECT * FROM sents WHERE regexp_matches(lower(sentence), '{ACTION_CUES_SQL}')),
+tbl AS (
+  SELECT p.conv_id, p.key_points, coalesce(c.content, '') AS content, coalesce(t.topics, []) AS topics,
+         coalesce(a.action_items, []) AS action_items
+  FROM (SELECT conv_id, list(sentence ORDER BY spos) AS key_points FROM points GROUP BY conv_id) p
+  LEFT JOIN (SELECT conv_id, string_agg(sentence, ' ' ORDER BY spos) AS content FROM points WHERE rank <= 3 GROUP BY conv_id) c
+    ON p.conv_id = c.conv_id
+  LEFT JOIN (SELECT conv_id, list(term ORDER BY rank) AS topics FROM topics GROUP BY conv_id) t ON p.conv_id = t.conv_id
+  LEFT JOIN (SELECT conv_id, list(sentence ORDER BY spos) AS action_items FROM actions GROUP BY conv_id) a
+    ON p.conv_id = a.conv_id)"""
+
+ORACLES["summary_key_points"] = f"""WITH {SUMM}
+SELECT conv_id, array_to_string(key_points, chr(10)) AS key_points, content FROM tbl"""
+
+ORACLES["summary_topics"] = f"""WITH {SUMM}
+SELECT conv_id, CAST(rank AS BIGINT) AS rank, term, weight FROM topics"""
+
+ORACLES["summary_actions"] = f"""WITH {SUMM}
+SELECT conv_id, CAST(len(action_items) AS BIGINT) AS n_actions, array_to_string(action_items, chr(10)) AS action_items FROM tbl"""
+
+ORACLES["summary_report"] = f"""WITH {SUMM}
+SELECT conv_id,
+  'SUMMARY:' || chr(10) || content || chr(10) || chr(10) || 'KEY POINTS:' || chr(10)
+  || array_to_string(list_transform(key_points, lambda x: '- ' || x), chr(10)) || chr(10)
+  || chr(10) || 'ACTION ITEMS:' || chr(10)
+  || array_to_string(list_transform(action_items, lambda x: '- ' || x), chr(10)) || chr(10)
+  || chr(10) || 'TOPICS:' || chr(10) || array_to_string(topics, ', ') AS report
+FROM tbl"""

@@ -20,6 +20,7 @@ from parley.operators import incremental as inc
 from parley.operators import ordered
 from parley.operators import session as session_ops
 from parley.operators import structure
+from parley.operators import summary as summ
 from parley.plans import fixtures as fx
 from parley.spark import read_table
 
@@ -276,3 +277,44 @@ def verbatim(spark, sf_dir):
     v = structure.verbatim_check(F.col("raw_text"), F.col("presentation"), F.col("qa_raw"))
     return j.select("conv_id", v["ok"].alias("ok"), v["first_diff"].alias("first_diff"),
                     v["n_raw"].alias("n_raw"), v["n_out"].alias("n_out"))
+
+
+# ---------------------------------------------------------------- summaries
+ACTION_CUES = ("with", "pour", "und", "los")
+
+
+def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, pos, text): merged Answer runs of each session."""
+    t = qa.with_clean_qa(labelled_text(spark, sf_dir), "qa_raw", "qa_text", blocks_out="runs")
+    a = t.select("conv_id", F.explode(qa.answers_only("runs")).alias("b"))
+    return a.select("conv_id", F.col("b.pos").alias("pos"), F.col("b.text").alias("text"))
+
+
+def summary_parts(spark: SparkSession, sf_dir: str) -> dict:
+    return summ.summarize(answer_blocks(spark, sf_dir), key="conv_id", action_cues=ACTION_CUES)
+
+
+@query
+def summary_key_points(spark, sf_dir):
+    t = summ.summary_table(summary_parts(spark, sf_dir), "conv_id")
+    return t.select("conv_id", F.array_join("key_points", "\n").alias("key_points"), "content")
+
+
+@query
+def summary_topics(spark, sf_dir):
+    p = summary_parts(spark, sf_dir)
+    return p["topics"].select("conv_id", F.col("rank").cast("long").alias("rank"), "term", "weight")
+
+
+@query
+def summary_actions(spark, sf_dir):
+    t = summ.summary_table(summary_parts(spark, sf_dir), "conv_id")
+    return t.select("conv_id", F.size("action_items").cast("long").alias("n_actions"),
+                    F.array_join("action_items", "\n").alias("action_items"))
+
+
+@query
+def summary_report(spark, sf_dir):
+    t = summ.summary_table(summary_parts(spark, sf_dir), "conv_id")
+    return t.select("conv_id", summ.render_report(F.col("content"), F.col("key_points"), F.col("action_items"),
+                                                  F.col("topics")).alias("report"))
