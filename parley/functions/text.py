@@ -174,3 +174,17 @@ def sentences(c) -> Column:
     marked = F.regexp_replace(_col(c), f"([.!?])[{WS_CLASS}]+", "$1\u0001")
     marked = F.replace(marked, F.lit("\n"), F.lit("\u0001"))
     return F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda s: F.length(s) > 0)
+
+
+def explode_items(c) -> Column:
+    """``explode`` for computed arrays: pair with ``.where(col.isNotNull())``.
+
+    A plain ``explode`` makes Catalyst infer ``size(array) > 0`` and push it
+    below the projection, re-evaluating the (costly) array expression there;
+    ``explode_outer`` is exempt from that rule. Arrays must hold no NULLs."""
+    return F.explode_outer(_col(c))
+
+
+def posexplode_items(c) -> Column:
+    """``posexplode`` counterpart of :func:`explode_items`."""
+    return F.posexplode_outer(_col(c))

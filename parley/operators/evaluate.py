@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.text import accuracy, normalise_words, wer_from_counts, with_word_edit_distance
+from parley.functions.text import accuracy, explode_items, normalise_words, wer_from_counts, with_word_edit_distance
 
 AVERAGE_ACCURACY = "Average Accuracy"
 AVERAGE_WER = "Average WER"
@@ -106,8 +106,10 @@ def ngrams(words, n: int):
     space (the lambda indexes ``words``, so it must be cheap to evaluate)."""
     if n == 1:
         return words
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(0))),
-                       lambda i: F.array_join(F.slice(words, i, n), " "))
+    # sequence(1, 0) would count down: no n-grams for texts shorter than n
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
 def with_grams(df: DataFrame, text_col: str, max_n: int, out: str, distinct: bool = False) -> DataFrame:
@@ -115,8 +117,6 @@ def with_grams(df: DataFrame, text_col: str, max_n: int, out: str, distinct: boo
     df = df.withColumn("_w", normalise_words(F.col(text_col)))
     w = F.col("_w")
     grams = F.flatten(F.array(*[ngrams(w, n) for n in range(1, max_n + 1)]))
-    # sequence(1, 0) counts down: drop the bogus n-grams of too-short texts
-    grams = F.filter(grams, lambda g: g.isNotNull())
     return df.withColumn(out, F.array_distinct(grams) if distinct else grams).drop("_w")
 
 
@@ -124,7 +124,7 @@ def vocabulary_terms(source: DataFrame, text_col: str = "text", min_chars: int =
     """Term table for T16: distinct normalised n-grams (n <= max_n) of at least
     ``min_chars`` characters taken from a vocabulary source table."""
     g = with_grams(source, text_col, max_n, "_g")
-    return (g.select(F.explode("_g").alias("term"))
+    return (g.select(explode_items("_g").alias("term"))
             .where(F.length("term") >= min_chars)
             .distinct())
 
@@ -139,7 +139,7 @@ def vocabulary_coverage(texts: DataFrame, terms: DataFrame, id_col: str, text_co
     count per (text, term) is partially aggregated before its shuffle.
     """
     g = with_grams(texts.select(id_col, text_col), text_col, max_n, "_g")
-    exploded = g.select(id_col, F.explode("_g").alias("term"))
+    exploded = g.select(id_col, explode_items("_g").alias("term")).where(F.col("term").isNotNull())
     return (exploded.join(terms.select("term"), "term", "left_semi")
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("hits")))
 
@@ -148,5 +148,6 @@ def missed_terms(pairs: DataFrame, terms: DataFrame, keys: Sequence[str], max_n:
     """T16 second half: terms in the reference text that the hypothesis lacks."""
     base = with_grams(pairs.select(*keys, "ref_text", "hyp_text"), "ref_text", max_n, "_rg", distinct=True)
     base = with_grams(base, "hyp_text", max_n, "_hg", distinct=True)
-    missing = base.select(*keys, F.explode(F.array_except("_rg", "_hg")).alias("term"))
+    missing = (base.select(*keys, explode_items(F.array_except("_rg", "_hg")).alias("term"))
+               .where(F.col("term").isNotNull()))
     return missing.join(terms.select("term"), "term", "left_semi")

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.text import normalise_words, sentences
+from parley.functions.text import explode_items, normalise_words, posexplode_items, sentences
 from parley.operators.ordered import top_k
 from parley.operators.structure import cue_pattern
 
@@ -31,7 +31,8 @@ POS_SHIFT = 1 << 32  # sentence position = block_pos * 2^32 + sentence index
 
 def answer_sentences(answers: DataFrame, key: str, pos: str, text: str) -> DataFrame:
     """(key, spos, sentence) with a session-wide sentence position."""
-    s = answers.select(key, pos, F.posexplode(sentences(F.col(text))).alias("_i", "sentence"))
+    s = (answers.select(key, pos, posexplode_items(sentences(F.col(text))).alias("_i", "sentence"))
+         .where(F.col("sentence").isNotNull()))
     return s.select(key, (F.col(pos).cast("long") * POS_SHIFT + F.col("_i")).alias("spos"), "sentence")
 
 
@@ -45,7 +46,7 @@ def summarize(answers: DataFrame, key: str = "session_id", pos: str = "pos", tex
     ``sentences`` (key, spos, sentence, score).
     """
     sents = answer_sentences(answers, key, pos, text)
-    words = sents.select(key, "spos", F.explode(normalise_words(F.col("sentence"))).alias("term"))
+    words = sents.select(key, "spos", explode_items(normalise_words(F.col("sentence"))).alias("term"))
     words = words.where(F.length("term") >= min_term_chars)
     tf = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

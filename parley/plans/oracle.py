@@ -412,3 +412,97 @@ SELECT conv_id,
   || array_to_string(list_transform(action_items, lambda x: '- ' || x), chr(10)) || chr(10)
   || chr(10) || 'TOPICS:' || chr(10) || array_to_string(topics, ', ') AS report
 FROM tbl"""
+
+
+# ---------------------------------------------------------------- responses
+PRES = f"""{SEGS},
+firstqa AS (SELECT conv_id, min(turn) AS fq FROM conversations WHERE role <> 'system' GROUP BY conv_id),
+pres AS (SELECT s.conv_id, string_agg(s.text, ' ' ORDER BY s.turn) AS presentation
+         FROM segs s LEFT JOIN firstqa f ON s.conv_id = f.conv_id
+         WHERE f.fq IS NULL OR s.turn < f.fq GROUP BY s.conv_id)"""
+
+ORACLES["parse_response"] = f"""WITH {LABELLED},
+qr AS (SELECT conv_id, string_agg('[' || tag || ']: ' || content, chr(10) ORDER BY turn) AS qa_raw
+       FROM labelled WHERE tag IS NOT NULL GROUP BY conv_id),
+{PRES},
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+src AS (SELECT ids.conv_id, coalesce(pres.presentation, '') AS p, coalesce(qr.qa_raw, '') AS qv
+        FROM ids LEFT JOIN pres ON ids.conv_id = pres.conv_id LEFT JOIN qr ON ids.conv_id = qr.conv_id),
+resp AS (SELECT conv_id, CASE conv_id % 5
+            WHEN 0 THEN json_object('presentation', p, 'q_and_a', qv)::VARCHAR
+            WHEN 1 THEN json_object('presentation', p)::VARCHAR
+            WHEN 2 THEN json_object('presentation', NULL, 'q_and_a', qv)::VARCHAR
+            WHEN 3 THEN left(json_object('presentation', p, 'q_and_a', qv)::VARCHAR, 1)
+            ELSE '' END AS response FROM src),
+parsed AS (
+  SELECT conv_id, response,
+    CASE WHEN {is_blank('response')} THEN 'empty response'
+         WHEN NOT json_valid(response) OR json_type(response) <> 'OBJECT' THEN 'invalid json'
+         WHEN (list_contains(json_keys(response), 'presentation') AND json_type(response, '$.presentation') = 'NULL')
+           OR (list_contains(json_keys(response), 'q_and_a') AND json_type(response, '$.q_and_a') = 'NULL') THEN 'null field'
+    END AS error
+  FROM resp),
+vals AS (
+  SELECT conv_id, error,
+    CASE WHEN error IS NULL THEN {strip("CASE WHEN list_contains(json_keys(response), 'presentation') THEN json_extract_string(response, '$.presentation') ELSE '' END")} END AS presentation,
+    CASE WHEN error IS NULL THEN {strip("CASE WHEN list_contains(json_keys(response), 'q_and_a') THEN json_extract_string(response, '$.q_and_a') ELSE '' END")} END AS qa_raw
+  FROM parsed),
+parsed2 AS (
+  SELECT conv_id, error, presentation, list_transform(regexp_extract_all(coalesce(qa_raw, ''), '\\[(Question|Answer|Follow-up)\\]:', 1),
+           lambda t, i: {{'tag': t, 'text': {strip("regexp_split_to_array(coalesce(qa_raw, ''), '\\[(?:Question|Answer|Follow-up)\\]:')[i + 1]")}}}) AS blocks
+  FROM vals),
+ne AS (SELECT conv_id, error, presentation, list_filter(list_transform(blocks, lambda b: {{'tag': CASE WHEN b.tag = 'Follow-up' THEN 'Question' ELSE b.tag END, 'text': b.text}}),
+                                       lambda b: length(b.text) > 0) AS ne FROM parsed2),
+st AS (SELECT *, list_filter(range(1, len(ne) + 1), lambda i: i = 1 OR ne[i].tag <> ne[i - 1].tag) AS starts FROM ne),
+runs AS (SELECT conv_id, error, presentation, list_transform(starts, lambda s, k: {{'tag': ne[s].tag,
+           'text': array_to_string(list_transform(ne[s:coalesce(starts[k + 1], len(ne) + 1) - 1], lambda b: b.text), ' ')}}) AS runs FROM st)
+SELECT conv_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error,
+       CASE WHEN error IS NULL THEN CAST(length(presentation) AS BIGINT) END AS presentation_chars,
+       CASE WHEN error IS NULL THEN array_to_string(list_transform(runs, lambda r: '[' || r.tag || ']: ' || r.text), chr(10)) END AS qa_text
+FROM runs"""
+
+ORACLES["parse_summary_response"] = f"""WITH resp AS (
+  SELECT event_id, CASE event_id % 4
+      WHEN 0 THEN props
+      WHEN 1 THEN json_object('content', event_type, 'key_points', [event_type, CAST(user_id AS VARCHAR)],
+                              'action_items', []::VARCHAR[], 'topics', [event_type])::VARCHAR
+      WHEN 2 THEN ''
+      ELSE 'not json ' || props END AS r
+  FROM events),
+p AS (SELECT event_id, r,
+        CASE WHEN {is_blank('r')} THEN 'empty response'
+             WHEN NOT json_valid(r) OR json_type(r) <> 'OBJECT' THEN 'invalid json' END AS error
+      FROM resp)
+SELECT event_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN error IS NULL THEN (CASE WHEN list_contains(json_keys(r), 'content') THEN json_extract_string(r, '$.content') ELSE '' END) END AS content,
+  CASE WHEN error IS NULL THEN CAST(coalesce(json_array_length(r, '$.key_points'), 0) AS BIGINT) END AS n_key_points,
+  CASE WHEN error IS NULL THEN CAST(coalesce(json_array_length(r, '$.action_items'), 0) AS BIGINT) END AS n_action_items,
+  CASE WHEN error IS NULL THEN coalesce(array_to_string(CAST(json_extract(r, '$.topics') AS VARCHAR[]), ','), '') END AS topics
+FROM p"""
+
+ORACLES["step_timing"] = """
+SELECT event_type AS step, count(*) AS n_runs, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS n_failed,
+       round(avg(value), 6) AS avg_s, round(max(value), 6) AS max_s, round(sum(value), 6) AS total_s
+FROM events GROUP BY event_type"""
+
+
+def _grams_sql(words: str, max_n: int) -> str:
+    if max_n == 1:
+        return words
+    return f"list_concat({words}, list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+
+
+ORACLES["vocabulary_hits"] = f"""WITH bw AS (SELECT {norm_words('text')} AS w FROM benchmark),
+terms AS (SELECT DISTINCT term FROM (SELECT unnest({_grams_sql('w', 2)}) AS term FROM bw) WHERE length(term) >= 10),
+dw AS (SELECT doc_id, {norm_words('text')} AS w FROM documents),
+g AS (SELECT doc_id, unnest({_grams_sql('w', 2)}) AS term FROM dw),
+h AS (SELECT doc_id, term, count(*) AS hits FROM g SEMI JOIN terms USING (term) GROUP BY doc_id, term)
+SELECT term, count(*) AS n_docs, sum(hits) AS hits FROM h GROUP BY term"""
+
+ORACLES["vocabulary_missed"] = f"""WITH RECURSIVE {HYPS},
+bw AS (SELECT {norm_words('text')} AS w FROM benchmark),
+terms AS (SELECT DISTINCT term FROM (SELECT unnest(w) AS term FROM bw) WHERE length(term) >= 8),
+p AS (SELECT c.conv_id, c.turn, h.model, list_distinct({norm_words('c.text')}) AS rg, list_distinct({norm_words('h.hyp_text')}) AS hg
+      FROM conversations c JOIN hyps h ON c.conv_id = h.conv_id AND c.turn = h.turn),
+m AS (SELECT conv_id, turn, model, unnest(list_filter(rg, lambda t: NOT list_contains(hg, t))) AS term FROM p)
+SELECT model, term, count(*) AS n_cases FROM m SEMI JOIN terms USING (term) GROUP BY model, term"""

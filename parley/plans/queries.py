@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import qa
-from parley.functions.text import is_blank, normalise_words, strip
+from parley.functions.text import explode_items, is_blank, normalise_words, strip
 from parley.operators import evaluate as ev
 from parley.operators import incremental as inc
 from parley.operators import ordered
 from parley.operators import session as session_ops
 from parley.operators import structure
 from parley.operators import summary as summ
+from parley.operators import timing
+from parley.functions import json as pjson
 from parley.plans import fixtures as fx
 from parley.spark import read_table
 
@@ -94,7 +96,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def qa_blocks(spark, sf_dir):
     t = labelled_text(spark, sf_dir)
-    b = t.select("conv_id", F.explode(qa.parse_blocks("qa_raw")).alias("b"))
+    b = t.select("conv_id", explode_items(qa.parse_blocks("qa_raw")).alias("b")).where(F.col("b").isNotNull())
     return b.select("conv_id", F.col("b.pos").cast("long").alias("pos"), "b.tag", "b.text")
 
 
@@ -286,7 +288,7 @@ ACTION_CUES = ("with", "pour", "und", "los")
 def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, pos, text): merged Answer runs of each session."""
     t = qa.with_clean_qa(labelled_text(spark, sf_dir), "qa_raw", "qa_text", blocks_out="runs")
-    a = t.select("conv_id", F.explode(qa.answers_only("runs")).alias("b"))
+    a = t.select("conv_id", explode_items(qa.answers_only("runs")).alias("b")).where(F.col("b").isNotNull())
     return a.select("conv_id", F.col("b.pos").alias("pos"), F.col("b.text").alias("text"))
 
 
@@ -318,3 +320,79 @@ def summary_report(spark, sf_dir):
     t = summ.summary_table(summary_parts(spark, sf_dir), "conv_id")
     return t.select("conv_id", summ.render_report(F.col("content"), F.col("key_points"), F.col("action_items"),
                                                   F.col("topics")).alias("report"))
+
+
+# ---------------------------------------------------------------- responses
+def structure_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, response): what an external structuring model might return,
+    one shape per ``conv_id % 5`` (full, missing key, null, truncated, empty)."""
+    pres = presentation_text(spark, sf_dir)
+    lab = labelled_text(spark, sf_dir)
+    ids = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    j = ids.join(pres, "conv_id", "left").join(lab, "conv_id", "left")
+    p, q_ = F.coalesce("presentation", F.lit("")), F.coalesce("qa_raw", F.lit(""))
+    full = pjson.to_document(F.struct(p.alias("presentation"), q_.alias("q_and_a")))
+    resp = (F.when(F.col("conv_id") % 5 == 0, full)
+            .when(F.col("conv_id") % 5 == 1, pjson.to_document(F.struct(p.alias("presentation"))))
+            .when(F.col("conv_id") % 5 == 2, pjson.to_document(F.struct(F.lit(None).cast("string").alias("presentation"),
+                                                                         q_.alias("q_and_a"))))
+            .when(F.col("conv_id") % 5 == 3, F.substring(full, 1, F.floor(F.length(full) / 2).cast("int")))
+            .otherwise(F.lit("")))
+    return j.select("conv_id", resp.alias("response"))
+
+
+@query
+def parse_response(spark, sf_dir):
+    r = structure_responses(spark, sf_dir)
+    p = r.select("conv_id", pjson.parse_structure_response("response").alias("p"))
+    p = p.select("conv_id", "p.error", "p.presentation", "p.raw_qa")
+    p = qa.with_clean_qa(p, "raw_qa", "qa_text")
+    ok = F.col("error").isNull()
+    return p.select("conv_id", F.when(ok, F.lit("ok")).otherwise(F.lit("error")).alias("status"), "error",
+                    F.when(ok, F.length("presentation")).cast("long").alias("presentation_chars"),
+                    F.when(ok, F.col("qa_text")).alias("qa_text"))
+
+
+@query
+def parse_summary_response(spark, sf_dir):
+    ev_ = read_table(spark, sf_dir, "events")
+    built = pjson.to_document(F.struct(F.col("event_type").alias("content"),
+                                       F.array(F.col("event_type"), F.col("user_id").cast("string")).alias("key_points"),
+                                       F.array().cast("array<string>").alias("action_items"),
+                                       F.array(F.col("event_type")).alias("topics")))
+    resp = (F.when(F.col("event_id") % 4 == 0, F.col("props"))
+            .when(F.col("event_id") % 4 == 1, built)
+            .when(F.col("event_id") % 4 == 2, F.lit(""))
+            .otherwise(F.concat(F.lit("not json "), F.col("props"))))
+    p = ev_.select("event_id", pjson.parse_summary_response(resp).alias("p"))
+    ok = F.col("p.error").isNull()
+    return p.select("event_id", F.when(ok, F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+                    F.when(ok, F.col("p.content")).alias("content"),
+                    F.when(ok, F.size("p.key_points")).cast("long").alias("n_key_points"),
+                    F.when(ok, F.size("p.action_items")).cast("long").alias("n_action_items"),
+                    F.when(ok, F.array_join("p.topics", ",")).alias("topics"))
+
+
+# ---------------------------------------------------------------- timing, vocabulary
+@query
+def step_timing(spark, sf_dir):
+    log = read_table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("step"), F.col("value").alias("duration_s"),
+        (F.col("event_type") == "error").alias("failed"))
+    return timing.step_timing(log)
+
+
+@query
+def vocabulary_hits(spark, sf_dir):
+    terms = ev.vocabulary_terms(read_table(spark, sf_dir, "benchmark"), min_chars=10, max_n=2)
+    hits = ev.vocabulary_coverage(read_table(spark, sf_dir, "documents"), terms, "doc_id")
+    return hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("hits").alias("hits"))
+
+
+@query
+def vocabulary_missed(spark, sf_dir):
+    terms = ev.vocabulary_terms(read_table(spark, sf_dir, "benchmark"), min_chars=8, max_n=1)
+    conv = read_table(spark, sf_dir, "conversations")
+    pairs = ev.pair_cases(fx.reference_cases(conv), fx.hypotheses(conv), ["conv_id", "turn"])
+    missed = ev.missed_terms(pairs, terms, ["conv_id", "turn", "model"], max_n=1)
+    return missed.groupBy("model", "term").agg(F.count(F.lit(1)).alias("n_cases"))
