@@ -506,3 +506,27 @@ p AS (SELECT c.conv_id, c.turn, h.model, list_distinct({norm_words('c.text')}) A
       FROM conversations c JOIN hyps h ON c.conv_id = h.conv_id AND c.turn = h.turn),
 m AS (SELECT conv_id, turn, model, unnest(list_filter(rg, lambda t: NOT list_contains(hg, t))) AS term FROM p)
 SELECT model, term, count(*) AS n_cases FROM m SEMI JOIN terms USING (term) GROUP BY model, term"""
+
+
+# ---------------------------------------------------------------- session archive
+ORACLES["session_roundtrip"] = f"""WITH {SEGS}
+SELECT sha256(CAST(conv_id AS VARCHAR)) AS session_id, true AS roundtrip_ok, 'session ' || CAST(conv_id AS VARCHAR) AS title,
+       count(*) AS n_segments, CAST(length(string_agg(text, ' ' ORDER BY turn)) AS BIGINT) AS raw_chars
+FROM segs GROUP BY conv_id"""
+
+VERSIONS = """ids AS (SELECT DISTINCT conv_id FROM conversations),
+v AS (SELECT conv_id, 1 AS version, 'session ' || CAST(conv_id AS VARCHAR) AS title FROM ids WHERE conv_id % 2 = 0
+      UNION ALL
+      SELECT conv_id, 2, 'session ' || CAST(conv_id AS VARCHAR) || ' (v2)' FROM ids WHERE conv_id % 3 = 0),
+m AS (SELECT conv_id, max(version) AS version, arg_max(title, version) AS title FROM v GROUP BY conv_id)"""
+
+ORACLES["session_upsert"] = f"""WITH {VERSIONS}
+SELECT sha256(CAST(conv_id AS VARCHAR)) AS session_id, CAST(version AS BIGINT) AS version, title FROM m"""
+
+ORACLES["session_lookup"] = f"""WITH {VERSIONS},
+req AS (SELECT conv_id, sha256(CAST(conv_id AS VARCHAR)) AS session_id FROM ids
+        UNION ALL SELECT NULL, sha256(CAST(conv_id + 1000000 AS VARCHAR)) FROM ids WHERE conv_id % 5 = 0)
+SELECT req.session_id,
+       CASE WHEN m.conv_id IS NULL THEN 'not_found' WHEN m.conv_id % 7 = 0 THEN 'corrupt' ELSE 'found' END AS status,
+       CASE WHEN m.conv_id IS NOT NULL AND m.conv_id % 7 <> 0 THEN m.title END AS title
+FROM req LEFT JOIN m ON req.conv_id = m.conv_id"""

@@ -23,6 +23,8 @@ from parley.operators import structure
 from parley.operators import summary as summ
 from parley.operators import timing
 from parley.functions import json as pjson
+from parley import schemas
+from parley.sources import sessions as arch
 from parley.plans import fixtures as fx
 from parley.spark import read_table
 
@@ -396,3 +398,69 @@ def vocabulary_missed(spark, sf_dir):
     pairs = ev.pair_cases(fx.reference_cases(conv), fx.hypotheses(conv), ["conv_id", "turn"])
     missed = ev.missed_terms(pairs, terms, ["conv_id", "turn", "model"], max_n=1)
     return missed.groupBy("model", "term").agg(F.count(F.lit(1)).alias("n_cases"))
+
+
+# ---------------------------------------------------------------- session archive
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session documents assembled from the stage outputs of each conversation."""
+    st = segment_times(spark, sf_dir)
+    seg = F.struct(F.col("start_time"), F.col("end_time"), F.col("text"), F.lit(None).cast("string").alias("speaker"))
+    segs = (st.groupBy("session_id")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("seg_no").alias("k"), seg.alias("s")))),
+                             lambda x: x["s"]).alias("segments"),
+                 F.max("end_time").alias("duration"))
+            .withColumnRenamed("session_id", "conv_id"))
+    qa_t = qa.with_clean_qa(labelled_text(spark, sf_dir), "qa_raw", "qa_text").select("conv_id", "qa_text")
+    j = (transcripts(spark, sf_dir).join(segs, "conv_id")
+         .join(presentation_text(spark, sf_dir), "conv_id", "left").join(qa_t, "conv_id", "left"))
+    sid = F.sha2(F.col("conv_id").cast("string"), 256)
+    meta = F.struct(sid.alias("session_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id")).alias("created_at"),
+                    F.concat(F.lit("session "), F.col("conv_id").cast("string")).alias("title"),
+                    F.col("duration").alias("duration_seconds"),
+                    F.to_json(F.create_map(F.lit("turns"), F.col("n_segments"))).alias("extra_info"))
+    tr = F.struct(F.col("raw_text"), F.col("segments"), F.lit(None).cast("string").alias("language"))
+    return j.select("conv_id", sid.alias("session_id"), meta.alias("metadata"), tr.alias("transcript"),
+                    F.col("presentation").alias("presentation_text"), F.col("qa_text").alias("structured_qa_text"),
+                    F.lit(None).cast(schemas.SUMMARY).alias("summary"))
+
+
+@query
+def session_roundtrip(spark, sf_dir):
+    s = sessions(spark, sf_dir)
+    docs = s.select("conv_id", pjson.to_document(arch.session_struct(s)).alias("document"))
+    back = docs.withColumn("_s", pjson.from_document(F.col("document"), schemas.SESSION))
+    ok = pjson.to_document(F.col("_s")) == F.col("document")
+    return back.select(F.col("_s.session_id").alias("session_id"), ok.alias("roundtrip_ok"),
+                       F.col("_s.metadata.title").alias("title"),
+                       F.size("_s.transcript.segments").cast("long").alias("n_segments"),
+                       F.length("_s.transcript.raw_text").cast("long").alias("raw_chars"))
+
+
+def versions(spark: SparkSession, sf_dir: str):
+    s = sessions(spark, sf_dir)
+    existing = s.where(F.col("conv_id") % 2 == 0).withColumn("version", F.lit(1))
+    upd = (s.where(F.col("conv_id") % 3 == 0).withColumn("version", F.lit(2))
+           .withColumn("metadata", F.col("metadata").withField(
+               "title", F.concat(F.col("metadata.title"), F.lit(" (v2)")))))
+    return existing, upd
+
+
+@query
+def session_upsert(spark, sf_dir):
+    existing, upd = versions(spark, sf_dir)
+    merged = arch.upsert(existing, upd)
+    return merged.select("session_id", F.col("version").cast("long").alias("version"), F.col("metadata.title").alias("title"))
+
+
+@query
+def session_lookup(spark, sf_dir):
+    existing, upd = versions(spark, sf_dir)
+    merged = arch.upsert(existing, upd)
+    docs = arch.to_json_documents(merged).join(merged.select("session_id", "conv_id"), "session_id")
+    docs = docs.withColumn("document", F.when(F.col("conv_id") % 7 == 0,
+                                              F.substring("document", 1, 40)).otherwise(F.col("document")))
+    ids = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    req = ids.select(F.sha2(F.col("conv_id").cast("string"), 256).alias("session_id")).unionByName(
+        ids.where(F.col("conv_id") % 5 == 0).select(F.sha2((F.col("conv_id") + 1000000).cast("string"), 256).alias("session_id")))
+    res = arch.lookup(req, docs)
+    return res.select("session_id", "status", F.col("session.metadata.title").alias("title"))
