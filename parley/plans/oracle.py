@@ -530,3 +530,15 @@ SELECT req.session_id,
        CASE WHEN m.conv_id IS NULL THEN 'not_found' WHEN m.conv_id % 7 = 0 THEN 'corrupt' ELSE 'found' END AS status,
        CASE WHEN m.conv_id IS NOT NULL AND m.conv_id % 7 <> 0 THEN m.title END AS title
 FROM req LEFT JOIN m ON req.conv_id = m.conv_id"""
+
+
+# ---------------------------------------------------------------- transcription, run status
+ORACLES["transcribe_batch"] = ORACLES["assemble_transcript"]
+
+ORACLES["session_status"] = """WITH ids AS (SELECT DISTINCT conv_id FROM conversations),
+s AS (SELECT conv_id, CASE WHEN conv_id % 13 = 0 THEN 'failed' ELSE 'ok' END AS t FROM ids),
+x AS (SELECT 'transcription' AS step, t AS status FROM s
+      UNION ALL SELECT 'structuring', CASE WHEN t = 'ok' THEN 'ok' ELSE 'skipped' END FROM s
+      UNION ALL SELECT 'summarization', CASE WHEN t = 'ok' THEN 'ok' ELSE 'skipped' END FROM s
+      UNION ALL SELECT 'archiving', CASE WHEN t = 'ok' THEN 'ok' ELSE 'skipped' END FROM s)
+SELECT step, status, count(*) AS n FROM x GROUP BY step, status"""

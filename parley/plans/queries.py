@@ -22,6 +22,8 @@ from parley.operators import session as session_ops
 from parley.operators import structure
 from parley.operators import summary as summ
 from parley.operators import timing
+from parley.operators import providers
+from parley.plans import session_flow as flow
 from parley.functions import json as pjson
 from parley import schemas
 from parley.sources import sessions as arch
@@ -464,3 +466,35 @@ def session_lookup(spark, sf_dir):
         ids.where(F.col("conv_id") % 5 == 0).select(F.sha2((F.col("conv_id") + 1000000).cast("string"), 256).alias("session_id")))
     res = arch.lookup(req, docs)
     return res.select("session_id", "status", F.col("session.metadata.title").alias("title"))
+
+
+# ---------------------------------------------------------------- transcription, run status
+def audio_payloads(spark: SparkSession, sf_dir: str, corrupt_every: int | None = None) -> DataFrame:
+    """(conv_id, path, content): one timed-text 'recording' per session."""
+    st = segment_times(spark, sf_dir)
+    lines = st.select("session_id", "seg_no", F.to_json(F.struct(F.col("start_time").alias("start"),
+                                                                 F.col("end_time").alias("end"), "text")).alias("line"))
+    pay = ordered.ordered_concat(lines, "session_id", "seg_no", "line", sep="\n", out="payload")
+    content = F.encode("payload", "UTF-8")
+    if corrupt_every:
+        content = F.when(F.col("session_id") % corrupt_every == 0, F.encode(F.lit("\x00not a recording"), "UTF-8")).otherwise(content)
+    return pay.select(F.col("session_id").alias("conv_id"),
+                      F.format_string("conv_%d.wav", "session_id").alias("path"), content.alias("content"))
+
+
+@query
+def transcribe_batch(spark, sf_dir):
+    files = audio_payloads(spark, sf_dir)
+    t = providers.transcribe(files, "timed_text")
+    t = t.withColumn("conv_id", F.regexp_extract("path", r"conv_(\d+)\.wav", 1).cast("long"))
+    return t.select("conv_id", F.size("transcript.segments").cast("long").alias("n_segments"),
+                    F.col("transcript.raw_text").alias("raw_text"),
+                    F.round(F.array_max(F.transform("transcript.segments", lambda s: s["end_time"])), 6).alias("duration_s"))
+
+
+@query
+def session_status(spark, sf_dir):
+    files = audio_payloads(spark, sf_dir, corrupt_every=13)
+    qa_t = qa.with_clean_qa(labelled_text(spark, sf_dir), "qa_raw", "qa_text").select("conv_id", "qa_text")
+    runs = flow.run_sessions(files, qa_t, key="conv_id")
+    return flow.status_counts(runs)
