@@ -542,3 +542,5 @@ x AS (SELECT 'transcription' AS step, t AS status FROM s
       UNION ALL SELECT 'summarization', CASE WHEN t = 'ok' THEN 'ok' ELSE 'skipped' END FROM s
       UNION ALL SELECT 'archiving', CASE WHEN t = 'ok' THEN 'ok' ELSE 'skipped' END FROM s)
 SELECT step, status, count(*) AS n FROM x GROUP BY step, status"""
+
+ORACLES["stream_chain"] = ORACLES["qa_render"]

@@ -24,6 +24,7 @@ from parley.operators import summary as summ
 from parley.operators import timing
 from parley.operators import providers
 from parley.plans import session_flow as flow
+from parley.streaming import chain as streaming
 from parley.functions import json as pjson
 from parley import schemas
 from parley.sources import sessions as arch
@@ -498,3 +499,24 @@ def session_status(spark, sf_dir):
     qa_t = qa.with_clean_qa(labelled_text(spark, sf_dir), "qa_raw", "qa_text").select("conv_id", "qa_text")
     runs = flow.run_sessions(files, qa_t, key="conv_id")
     return flow.status_counts(runs)
+
+
+# ---------------------------------------------------------------- streaming
+def _labelled_stage(batch: DataFrame) -> DataFrame:
+    turns = fx.labelled_turns(batch).where(F.col("tag").isNotNull())
+    lines = turns.select("conv_id", "turn", F.concat(F.lit("["), "tag", F.lit("]: "), "content").alias("line"))
+    return ordered.ordered_concat(lines, "conv_id", "turn", "line", sep="\n", out="qa_raw").drop("n_items")
+
+
+def _clean_stage(batch: DataFrame) -> DataFrame:
+    return qa.with_clean_qa(batch, "qa_raw", "qa_text").select("conv_id", "qa_text")
+
+
+@query
+def stream_chain(spark, sf_dir):
+    """The conversations file flows through labelling and Q&A cleaning
+    as two chained streaming stages; the result equals the batch qa_render."""
+    schema = read_table(spark, sf_dir, "conversations").schema
+    sink = streaming.chain(spark, sf_dir, schema, [("label", _labelled_stage), ("clean", _clean_stage)],
+                           name="stream_chain", path_glob="conversations.parquet")
+    return spark.read.parquet(sink)
