@@ -20,7 +20,8 @@ def scoring_partitions(spark) -> int:
     at least one task per core. Explicit counts are not coalesced by AQE, which
     would otherwise merge a few MB of text (hours of CPU at scale) into one task."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(n, spark.sparkContext.defaultParallelism)
+    # several tasks per core: text lengths vary, small tasks even out the load
+    return max(n, 4 * spark.sparkContext.defaultParallelism)
 
 
 def pair_cases(refs: DataFrame, hyps: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,17 +70,21 @@ def macro_wer(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 def leaderboard(scored: DataFrame, case_col: str, models: Sequence[str], digits: int = 6) -> DataFrame:
     """A3: case x model accuracy matrix plus the two macro-average rows.
 
-    The pivot values are passed explicitly so Spark skips the distinct-values job.
+    One pivot (explicit values: no distinct-values job) carries each case's
+    accuracy *and* WER; the macro rows are a global aggregate over those pivot
+    rows. Both branches read the same pivot exchange, which Spark reuses, so
+    every pair is scored once.
     """
     models = list(models)
     cells = (scored.groupBy(case_col).pivot("model", models)
-             .agg(F.first(F.round("accuracy", digits))))
-    macro = macro_wer(scored)
-    avg_acc = (macro.groupBy().pivot("model", models).agg(F.first(F.round("avg_accuracy", digits)))
-               .select(F.lit(AVERAGE_ACCURACY).alias(case_col), *models))
-    avg_wer = (macro.groupBy().pivot("model", models).agg(F.first(F.round("avg_wer", digits)))
-               .select(F.lit(AVERAGE_WER).alias(case_col), *models))
-    return cells.unionByName(avg_acc).unionByName(avg_wer)
+             .agg(F.first("accuracy").alias("acc"), F.first("wer").alias("wer")))
+    grid = cells.select(case_col, *[F.round(f"{m}_acc", digits).alias(m) for m in models])
+    macro = cells.agg(*[F.avg(f"{m}_wer").alias(f"{m}_avg") for m in models])
+    avg_acc = macro.select(F.lit(AVERAGE_ACCURACY).alias(case_col),
+                           *[F.round(accuracy(F.col(f"{m}_avg")), digits).alias(m) for m in models])
+    avg_wer = macro.select(F.lit(AVERAGE_WER).alias(case_col),
+                           *[F.round(F.col(f"{m}_avg"), digits).alias(m) for m in models])
+    return grid.unionByName(avg_acc).unionByName(avg_wer)
 
 
 def best_model(scored: DataFrame, case_col: str, overall_label: str = "__overall__", digits: int = 6) -> DataFrame:
