@@ -155,7 +155,10 @@ def segment_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def segment_progress(spark, sf_dir):
     st = segment_times(spark, sf_dir)
-    dur = st.groupBy("session_id").agg(F.max("end_time").alias("duration"))
+    # duration = total characters / rate: one partial aggregate over the scan,
+    # not a second pass over the running-sum plan
+    segs = fx.segment_rows(read_table(spark, sf_dir, "conversations"))
+    dur = segs.groupBy("session_id").agg((F.sum(F.length("text")) / F.lit(fx.CHARS_PER_SECOND)).alias("duration"))
     prog = session_ops.segment_progress(F.col("end_time"), F.col("duration"))
     return (st.join(dur, "session_id")
             .select(F.col("session_id").alias("conv_id"), F.col("seg_no").alias("turn"),
