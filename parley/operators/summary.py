@@ -38,7 +38,8 @@ def answer_sentences(answers: DataFrame, key: str, pos: str, text: str) -> DataF
 
 def summarize(answers: DataFrame, key: str = "session_id", pos: str = "pos", text: str = "text",
               action_cues: Sequence[str] = DEFAULT_ACTION_CUES, min_term_chars: int = 4,
-              n_points: int = 5, n_content: int = 3, n_topics: int = 6, spread_slices: int = 16) -> dict:
+              n_points: int = 5, n_content: int = 3, n_topics: int = 6, spread_slices: int = 16,
+              corpus: DataFrame | None = None) -> dict:
     """Summaries of every session in ``answers`` (one row per Answer block).
 
     Returns DataFrames ``points`` (key, rank, spos, sentence) ranked by score,
@@ -49,8 +50,16 @@ def summarize(answers: DataFrame, key: str = "session_id", pos: str = "pos", tex
     words = sents.select(key, "spos", explode_items(normalise_words(F.col("sentence"))).alias("term"))
     words = words.where(F.length("term") >= min_term_chars)
     tf = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_sessions = tf.select(key).distinct().agg(F.count(F.lit(1))).scalar()  # scalar subquery
+    # document frequencies over the corpus: by default the sessions summarised
+    # here; a stream passes its whole sink so far (a static side table)
+    if corpus is None:
+        ctf = tf
+    else:
+        cs = answer_sentences(corpus, key, pos, text)
+        cw = cs.select(key, explode_items(normalise_words(F.col("sentence"))).alias("term"))
+        ctf = cw.where(F.length("term") >= min_term_chars).select(key, "term").distinct()
+    df_ = ctf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n_sessions = ctf.select(key).distinct().agg(F.count(F.lit(1))).scalar()  # scalar subquery
 
     scores = (words.select(key, "spos", "term").distinct()
               .join(tf, [key, "term"])

@@ -544,3 +544,5 @@ x AS (SELECT 'transcription' AS step, t AS status FROM s
 SELECT step, status, count(*) AS n FROM x GROUP BY step, status"""
 
 ORACLES["stream_chain"] = ORACLES["qa_render"]
+
+ORACLES["stream_summaries"] = ORACLES["summary_report"]

@@ -29,7 +29,7 @@ from parley.functions import json as pjson
 from parley import schemas
 from parley.sources import sessions as arch
 from parley.plans import fixtures as fx
-from parley.spark import read_table
+from parley.spark import read_table, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -523,3 +523,34 @@ def stream_chain(spark, sf_dir):
     sink = streaming.chain(spark, sf_dir, schema, [("label", _labelled_stage), ("clean", _clean_stage)],
                            name="stream_chain", path_glob="conversations.parquet")
     return spark.read.parquet(sink)
+
+
+def _answers_of(batch: DataFrame) -> DataFrame:
+    t = qa.with_clean_qa(batch, "qa_raw", "qa_text", blocks_out="runs")
+    a = t.select("conv_id", explode_items(qa.answers_only("runs")).alias("b")).where(F.col("b").isNotNull())
+    return a.select("conv_id", F.col("b.pos").alias("pos"), F.col("b.text").alias("text"))
+
+
+@query
+def stream_summaries(spark, sf_dir):
+    """Labelled text -> summaries as chained streaming stages. The
+    summary stage takes document frequencies from the labelled sink so far (a
+    static side table read per micro-batch)."""
+    schema = read_table(spark, sf_dir, "conversations").schema
+    holder = {}
+
+    def label(batch):
+        return _labelled_stage(batch)
+
+    def summarize(batch):
+        corpus = _answers_of(batch.sparkSession.read.parquet(holder["label_sink"]))
+        parts = summ.summarize(_answers_of(batch), key="conv_id", action_cues=ACTION_CUES, corpus=corpus)
+        t = summ.summary_table(parts, "conv_id")
+        return t.select("conv_id", summ.render_report(F.col("content"), F.col("key_points"), F.col("action_items"),
+                                                      F.col("topics")).alias("report"))
+
+    base = work_path(spark, "stream_summaries")
+    holder["label_sink"] = f"{base}/0_label/data"
+    sink = streaming.chain(spark, sf_dir, schema, [("label", label), ("summary", summarize)],
+                           root=base, path_glob="conversations.parquet")
+    return spark.read.parquet(sink)
