@@ -111,6 +111,10 @@ def ngrams(words, n: int):
     space (the lambda indexes ``words``, so it must be cheap to evaluate)."""
     if n == 1:
         return words
+    if n == 2:  # pair each word with its successor: no per-gram slice
+        return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
+                          F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
+                          lambda a, b: F.concat(a, F.lit(" "), b))
     # sequence(1, 0) would count down: no n-grams for texts shorter than n
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(
         F.array().cast("array<int>"))
