@@ -33,3 +33,23 @@ def init_session(name: Column, title: Column) -> Column:
 
     return F.struct(F.sha2(name, 256).alias("session_id"),
                     F.coalesce(F.nullif(title, F.lit("")), stem(name)).alias("title"))
+
+
+def with_transcript(df, transcript: Column):
+    """Copy of each session with the transcript replaced, other parts kept."""
+    return df.withColumn("transcript", transcript)
+
+
+def with_structure(df, presentation: Column, structured_qa: Column):
+    """Presentation and structured Q&A replaced together."""
+    return df.withColumn("presentation_text", presentation).withColumn("structured_qa_text", structured_qa)
+
+
+def with_summary(df, summary: Column):
+    """Summary replaced."""
+    return df.withColumn("summary", summary)
+
+
+def with_title(df, title: Column):
+    """P9 on a nested field: ``Column.withField`` rewrites one struct field."""
+    return df.withColumn("metadata", F.col("metadata").withField("title", title))

@@ -119,11 +119,14 @@ BULLET = "- "
 
 def render_report(content, key_points, action_items, topics):
     """The plain-text report of one summary."""
+    empty = F.array().cast("array<string>")
+
     def bullets(arr):
-        return F.array_join(F.transform(arr, lambda x: F.concat(F.lit(BULLET), x)), "\n")
+        return F.array_join(F.transform(F.coalesce(arr, empty), lambda x: F.concat(F.lit(BULLET), x)), "\n")
 
+    # a missing content is formatted as the text "None", as the reference prints it
     return F.concat_ws("\n",
-                       F.concat(F.lit(REPORT_SUMMARY + "\n"), content, F.lit("\n")),
+                       F.concat(F.lit(REPORT_SUMMARY + "\n"), F.coalesce(content, F.lit("None")), F.lit("\n")),
                        F.lit(REPORT_KEY_POINTS), bullets(key_points),
                        F.lit("\n" + REPORT_ACTIONS), bullets(action_items),
-                       F.lit("\n" + REPORT_TOPICS), F.array_join(topics, ", "))
+                       F.lit("\n" + REPORT_TOPICS), F.array_join(F.coalesce(topics, empty), ", "))

@@ -44,3 +44,23 @@ def status_counts(runs: DataFrame) -> DataFrame:
     stacked = runs.select(F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.col(s).alias("status"))
                                               for s in STEPS])).alias("x"))
     return stacked.groupBy("x.step", "x.status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_stage(inputs: DataFrame, outputs: DataFrame, key: str, name_col: str, kind_col: str,
+              required, stage_fn, sink: str, quarantine: str, stage_name: str, targets=None) -> DataFrame:
+    """E2 (batch): P2 target filter -> J1/J3 work selection -> stage -> sink,
+    with per-row isolation (R5) and the A7 run report as the result.
+
+    ``stage_fn`` maps the selected rows to rows with an ``error_class`` column.
+    The stage output is written once and read back, so the report counts what
+    was stored and the stage (a model call) is never recomputed."""
+    from parley.operators import incremental as inc
+
+    found = inc.filter_targets(inputs, name_col, targets)
+    todo = inc.select_work(found, outputs, key, name_col, kind_col, required, targets)
+    result = stage_fn(todo)
+    result.write.mode("append").parquet(sink + "/_all")
+    stored = inputs.sparkSession.read.parquet(sink + "/_all")
+    stored.where(F.col("error_class").isNull()).write.mode("append").parquet(sink + "/ok")
+    stored.where(F.col("error_class").isNotNull()).write.mode("append").parquet(quarantine)
+    return inc.run_report(found, todo, stored.where(F.col("error_class").isNotNull()), stage_name)

@@ -60,3 +60,19 @@ def test_save_then_load_roundtrip(spark, tmp_path):
     a = {r.session_id: r.asDict(recursive=True) for r in s.collect()}
     b = {r.session_id: r.asDict(recursive=True) for r in back.collect()}
     assert a == b
+
+
+def test_summary_sink_and_copy_on_write(spark, tmp_path):
+    from parley.operators.session import with_title
+    from parley.sources.sinks import summary_outputs, write_summaries
+
+    df = spark.createDataFrame([("talk", None, ["k1"], [], ["é topic"])],
+                               "base string, content string, key_points array<string>, action_items array<string>, topics array<string>")
+    row = summary_outputs(df).first()
+    assert json.loads(row.summary_json) == {"content": None, "key_points": ["k1"], "action_items": [], "topics": ["é topic"]}
+    assert "é topic" in row.summary_json  # non-ASCII kept
+    assert row.summary_txt.startswith("SUMMARY:\nNone\n\nKEY POINTS:\n- k1")
+    write_summaries(df.withColumn("content", F.lit("c")), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 1
+    meta = spark.createDataFrame([(("id1", "old"),)], "metadata struct<session_id:string,title:string>")
+    assert with_title(meta, F.lit("new")).first().metadata.asDict() == {"session_id": "id1", "title": "new"}
