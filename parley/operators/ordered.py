@@ -119,3 +119,16 @@ def top_k(df: DataFrame, key: str, order: list, k: int, spread: Column) -> DataF
                  .drop("_r", "_spread"))
     w2 = Window.partitionBy(key).orderBy(*order)
     return survivors.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+
+
+def ordered_collect(df: DataFrame, key: str, pos: str, value: Column, out: str,
+                    chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+    """Array of ``value`` per key in position order, built in two levels like
+    :func:`ordered_concat` (per (key, chunk), then the chunk arrays)."""
+    items = (df.withColumn("_chunk", _chunk(pos, chunk_size))
+             .groupBy(key, "_chunk")
+             .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), value.alias("v")))).alias("_items")))
+    return (items.groupBy(key)
+            .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_chunk").alias("c"),
+                                                                            F.col("_items").alias("i")))),
+                                       lambda x: F.transform(x["i"], lambda y: y["v"]))).alias(out)))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import explode_items, normalise_words, posexplode_items, sentences
-from parley.operators.ordered import top_k
+from parley.operators.ordered import ordered_collect, top_k
 from parley.operators.structure import cue_pattern
 
 DEFAULT_ACTION_CUES = ("will", "should", "need to", "plan to", "next step", "follow up")
@@ -97,7 +97,9 @@ def summary_table(parts: dict, key: str) -> DataFrame:
     content = collect_in_order(parts["points"], key, "spos", "sentence", "_content",
                                where=F.col("rank") <= parts["n_content"])
     topics = collect_in_order(parts["topics"], key, "rank", "term", "topics")
-    actions = collect_in_order(parts["actions"], key, "spos", "sentence", "action_items")
+    # action items are unbounded per session: gathered in two levels
+    actions = ordered_collect(parts["actions"], key, "spos", F.col("sentence"), "action_items",
+                              chunk_size=POS_SHIFT)
     out = (points.join(content, key, "left").join(topics, key, "left").join(actions, key, "left"))
     empty = F.array().cast("array<string>")
     return out.select(key,

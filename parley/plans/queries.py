@@ -411,10 +411,8 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session documents assembled from the stage outputs of each conversation."""
     st = segment_times(spark, sf_dir)
     seg = F.struct(F.col("start_time"), F.col("end_time"), F.col("text"), F.lit(None).cast("string").alias("speaker"))
-    segs = (st.groupBy("session_id")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("seg_no").alias("k"), seg.alias("s")))),
-                             lambda x: x["s"]).alias("segments"),
-                 F.max("end_time").alias("duration"))
+    segs = (ordered.ordered_collect(st, "session_id", "seg_no", seg, "segments")
+            .withColumn("duration", F.array_max(F.transform("segments", lambda x: x["end_time"])))
             .withColumnRenamed("session_id", "conv_id"))
     qa_t = qa.with_clean_qa(labelled_text(spark, sf_dir), "qa_raw", "qa_text").select("conv_id", "qa_text")
     j = (transcripts(spark, sf_dir).join(segs, "conv_id")
