@@ -24,7 +24,7 @@ def scoring_partitions(spark) -> int:
     return max(n, 4 * spark.sparkContext.defaultParallelism)
 
 
-def pair_cases(refs: DataFrame, hyps: DataFrame, keys: Sequence[str]) -> DataFrame:
+def pair_cases(refs: DataFrame, hyps: DataFrame, keys: Sequence[str], prepartitioned: bool = False) -> DataFrame:
     """Inner match of references and hypotheses on the case key.
 
     A case missing on either side is dropped; one reference may meet many
@@ -33,6 +33,8 @@ def pair_cases(refs: DataFrame, hyps: DataFrame, keys: Sequence[str]) -> DataFra
     the costly scoring that follows runs at full parallelism.
     """
     keys = list(keys)
+    if prepartitioned:  # both sides already hash-partitioned on the keys: plain join
+        return refs.join(hyps, on=keys, how="inner")
     n = scoring_partitions(refs.sparkSession)
     return refs.repartition(n, *keys).join(hyps.repartition(n, *keys), on=keys, how="inner")
 

@@ -41,8 +41,11 @@ def query(fn):
 
 # ---------------------------------------------------------------- evaluation
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # one shuffle of the source by case key: references and hypotheses are
+    # derived in parallel from it and join without another exchange
     conv = read_table(spark, sf_dir, "conversations")
-    pairs = ev.pair_cases(fx.reference_cases(conv), fx.hypotheses(conv), ["conv_id", "turn"])
+    conv = conv.repartition(ev.scoring_partitions(spark), "conv_id", "turn")
+    pairs = ev.pair_cases(fx.reference_cases(conv), fx.hypotheses(conv), ["conv_id", "turn"], prepartitioned=True)
     return (ev.score_pairs(pairs)
             .withColumn("case_name", F.format_string("c%d_t%d", "conv_id", "turn")))
 
