@@ -29,7 +29,7 @@ from parley.functions import json as pjson
 from parley import schemas
 from parley.sources import sessions as arch
 from parley.plans import fixtures as fx
-from parley.spark import read_table, work_path
+from parley.spark import read_table, spread, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -52,7 +52,7 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def normalised_words(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     w = normalise_words(F.col("text"))
     return docs.select("doc_id", F.size(w).cast("long").alias("n_words"), F.array_join(w, " ").alias("words"))
 
@@ -260,7 +260,7 @@ def session_init(spark, sf_dir):
 # ---------------------------------------------------------------- structuring
 @query
 def presentation_split(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     sp = structure.split_presentation(F.col("text"), QA_CUES)
     return docs.select("doc_id", sp["cue_sentence"].cast("long").alias("cue_sentence"),
                        F.length(sp["presentation"]).cast("long").alias("presentation_chars"),
@@ -269,7 +269,7 @@ def presentation_split(spark, sf_dir):
 
 @query
 def sentence_labels(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     st = structure.with_structure(docs, "text", QA_CUES, QUESTION_CUES)
     return st.select("doc_id", F.length("presentation").cast("long").alias("presentation_chars"),
                      "structured_qa_text")
@@ -396,7 +396,7 @@ def step_timing(spark, sf_dir):
 @query
 def vocabulary_hits(spark, sf_dir):
     terms = ev.vocabulary_terms(read_table(spark, sf_dir, "benchmark"), min_chars=10, max_n=2)
-    hits = ev.vocabulary_coverage(read_table(spark, sf_dir, "documents"), terms, "doc_id")
+    hits = ev.vocabulary_coverage(spread(read_table(spark, sf_dir, "documents")), terms, "doc_id")
     return hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("hits").alias("hits"))
 
 

@@ -75,3 +75,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy text stages at least one task per core.
+
+    Inputs read as fewer splits than cores (small files, one row group) are
+    round-robin repartitioned; inputs with enough splits, as on a cluster
+    reading large tables, are returned unchanged, so no shuffle is added
+    there. Only planning metadata is inspected (no job runs)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
