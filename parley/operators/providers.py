@@ -11,6 +11,7 @@ never fails the job (R5).
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,16 @@ from pyspark.sql import functions as F
 from parley.functions.text import strip
 
 
+# Ship this module's worker functions by value: Python workers then need no
+# installed copy of the package (it is still needed on the driver only).
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle: ship with --py-files
+    pass
+
+
 class ProviderError(Exception):
     """Unknown or duplicate provider names."""
 
