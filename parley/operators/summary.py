@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from parley.functions.text import explode_items, normalise_words, posexplode_items, sentences
 from parley.operators.ordered import ordered_collect, top_k
 from parley.operators.structure import cue_pattern
+from parley.spark import cut_lineage
 
 DEFAULT_ACTION_CUES = ("will", "should", "need to", "plan to", "next step", "follow up")
 POS_SHIFT = 1 << 32  # sentence position = block_pos * 2^32 + sentence index
@@ -39,14 +40,19 @@ def answer_sentences(answers: DataFrame, key: str, pos: str, text: str) -> DataF
 def summarize(answers: DataFrame, key: str = "session_id", pos: str = "pos", text: str = "text",
               action_cues: Sequence[str] = DEFAULT_ACTION_CUES, min_term_chars: int = 4,
               n_points: int = 5, n_content: int = 3, n_topics: int = 6, spread_slices: int = 16,
-              corpus: DataFrame | None = None) -> dict:
+              corpus: DataFrame | None = None, materialize: bool = True) -> dict:
     """Summaries of every session in ``answers`` (one row per Answer block).
 
     Returns DataFrames ``points`` (key, rank, spos, sentence) ranked by score,
     ``topics`` (key, rank, term), ``actions`` (key, spos, sentence) and
     ``sentences`` (key, spos, sentence, score).
     """
+    # five branches read the sentences: cut the lineage once (reliable
+    # checkpoint in the shared checkpoint folder) instead of recomputing the
+    # upstream parsing for each of them
     sents = answer_sentences(answers, key, pos, text)
+    if materialize:
+        sents = cut_lineage(sents)
     words = sents.select(key, "spos", explode_items(normalise_words(F.col("sentence"))).alias("term"))
     words = words.where(F.length("term") >= min_term_chars)
     tf = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
