@@ -46,3 +46,18 @@ def test_ordered_concat_two_levels(spark):
     got = {r.k: r.text for r in ordered_concat(df, "k", "p", "t", chunk_size=4).collect()}
     assert got[7] == " ".join(f"w{i}" for i in range(50))
     assert got[8] == " x"  # empty texts still add a separator
+
+
+def test_running_sum_and_top_k_across_chunks(spark):
+    from parley.operators.ordered import running_sum, top_k
+
+    rows = [(1, i, i % 5) for i in range(40)] + [(2, 0, 7)]
+    df = spark.createDataFrame(rows, "k long, p long, v long")
+    got = {(r.k, r.p): r.running for r in running_sum(df, "k", "p", "v", chunk_size=3).collect()}
+    acc = 0
+    for i in range(40):
+        acc += i % 5
+        assert got[(1, i)] == acc
+    assert got[(2, 0)] == 7
+    ranked = top_k(df, "k", [F.col("v").desc(), F.col("p")], 4, F.col("p") % 7).where("k = 1").orderBy("rank")
+    assert [(r.p, r.rank) for r in ranked.collect()] == [(4, 1), (9, 2), (14, 3), (19, 4)]
