@@ -54,14 +54,12 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: T.StructType) -
     return spark.range(1).select(F.inline(body))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int,
-                    salt: int) -> DataFrame:
-    """(doc_id, text, label) of at most about ``max_rows`` labelled documents.
+def labelled_ids(labels: DataFrame, label: str, learn: Column, max_rows: int, salt: int) -> DataFrame:
+    """(doc_id, label) of at most about ``max_rows`` labelled documents.
 
     ``learn`` is a condition on ``doc_id`` that says which rows may be learned
     from. Rows are thinned by a hash of their id, so reruns take the same ones.
-    The id list is bounded by ``max_rows`` and may therefore be broadcast.
-    Rows with a null id, label or text are not learned from.
+    Rows with a null id or label are not learned from.
     """
     keys = labels.select("doc_id", F.col(label).cast("double").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isNotNull() & learn)
@@ -69,8 +67,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     if total > max_rows:
         share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1_000_000))
         keys = keys.where(share < int(1_000_000 * max_rows / total))
-    return (docs.select("doc_id", "text").where(F.col("text").isNotNull())
-            .join(F.broadcast(keys), "doc_id"))
+    return keys
+
+
+def labelled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text, label) of the documents of ``labelled_ids``, which are few enough to broadcast."""
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on keys of the same names, where null equals null; the keys stand once in the result."""
+    renamed = {k: fresh(left, f"{k}_right") for k in keys}
+    right = right.withColumnsRenamed(renamed)
+    on = [left[k].eqNullSafe(right[r]) for k, r in renamed.items()]
+    return left.join(right, on, how).drop(*renamed.values())
 
 
 def runs_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import fold, fresh, labelled_sample
+from parley.llm.common import fold, fresh, labelled_ids, labelled_texts
 
 #: At most about so many labelled rows are learned from.
 MAX_LABELLED = 12_000
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
             x = document_statistics(pdf["text"].tolist())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": list(x.astype(np.float64))})
 
-    sample = labelled_sample(docs, labels, label, learn, max_rows, salt=1)
+    sample = labelled_texts(docs, labelled_ids(labels, label, learn, max_rows, salt=1))
     rows = sample.select("doc_id", "text", "label").mapInPandas(features, "doc_id long, label double, x array<double>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.x))  # the same fit whatever the order of tasks
     return fit_forest(np.array([r.x for r in rows], np.float32).reshape(-1, N_FEATURES), np.array([r.label for r in rows]))
