@@ -37,7 +37,7 @@ from parley.llm.common import fold, labelled_ids, labelled_texts, materialise
 
 MAX_POSITIVE, MAX_NEGATIVE = 2_500, 5_000
 #: Vocabulary: at most so many terms, with at least this log-likelihood ratio (G squared).
-MAX_TERMS, LEAST_G2 = 3_000, 20.0
+MAX_TERMS, LEAST_G2 = 400, 20.0
 #: Beginnings of words, in letters, that are terms besides the words.
 PREFIXES = (4, 5, 6)
 NEIGHBOURS, BLOCK, ROUND = 12, 32, 8
@@ -68,20 +68,21 @@ class Vocabulary:
         self.number = {t: i for i, t in enumerate(terms)}
         self.of_word: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and counts of the vocabulary terms of a text, by number."""
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Numbers and counts of the vocabulary terms of a text, by number; and its number of words."""
         known = self.of_word
         if len(known) > KEPT_WORDS:
             known.clear()
         found: dict[int, int] = {}
-        for w in _tokens((text or "").lower()):
+        words = _tokens((text or "").lower())
+        for w in words:
             at = known.get(w)
             if at is None:
                 at = known[w] = tuple(self.number[t] for t in word_terms(w) if t in self.number)
             for i in at:
                 found[i] = found.get(i, 0) + 1
         ids = np.array(sorted(found), np.int64)
-        return ids, np.array([found[i] for i in ids.tolist()], float)
+        return ids, np.array([found[i] for i in ids.tolist()], float), len(words)
 
 
 def unit(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -139,11 +140,12 @@ class BlockMaxIndex:
         return best_who, np.minimum(best_cos, 1.0)
 
 
-def features(label: np.ndarray, mass: np.ndarray, cos: np.ndarray) -> list[float]:
-    """Vote of the neighbours and how near they are."""
+def features(label: np.ndarray, mass: np.ndarray, cos: np.ndarray, counts: np.ndarray, words: int) -> list[float]:
+    """Vote of the neighbours, how near they are, and how much of the text the vote rests on."""
     w = cos * mass
     vote = float((w * label).sum() / w.sum())
-    return [vote, float(cos[0]), vote * float(cos[0])]
+    terms, density = np.log1p(len(counts)), np.log1p(100 * counts.sum() / words)
+    return [vote, float(cos[0]), vote * float(cos[0]), terms, density, vote * terms, vote * density]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -174,13 +176,13 @@ class Model:
     without: float  # score of texts without a vocabulary term
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        ids, counts = self.vocabulary.counts(text)
+        ids, counts, words = self.vocabulary.counts(text)
         if not len(ids) or not self.index.n:
             return self.without, [], []
         who, cos = self.index.nearest(ids, unit(ids, counts, self.idf), NEIGHBOURS)
         if not len(who):
             return self.without, [], []
-        f = features(self.labels[who], self.mass[who], cos)
+        f = features(self.labels[who], self.mass[who], cos, counts, words)
         p = 1 / (1 + np.exp(-np.clip(self.curve[0] + np.dot(self.curve[1:], f), -30, 30)))
         return float(p), self.ids[who].tolist(), cos.round(6).tolist()
 
@@ -237,10 +239,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic")
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [vocabulary.counts(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "h": pdf["h"], "ids": [g[0] for g in got], "counts": [g[1] for g in got]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "h": pdf["h"], "ids": [g[0] for g in got], "counts": [g[1] for g in got], "words": [g[2] for g in got]})
 
     rows = sample.select("doc_id", "label", F.xxhash64("text").alias("h"), "text").mapInPandas(
-        vectors, "doc_id long, label double, h long, ids array<long>, counts array<double>").collect()
+        vectors, "doc_id long, label double, h long, ids array<long>, counts array<double>, words long").collect()
     rows = list({(r.h, r.label): r for r in sorted(rows, key=lambda r: r.doc_id, reverse=True)}.values())  # one of each text
     total = document_frequencies(docs, vocabulary)
     idf = np.log((total[-1] + 1) / (total[:-1] + 1)) + 0.01
@@ -262,8 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic")
     for i, v in enumerate(vec):
         who, cos = index.nearest(*v, NEIGHBOURS, skip=i)
         if len(who):
-            x.append(features(y[who], mass[who], cos)), target.append(y[i]), weight.append(mass[i])
-    curve = fit_logistic(np.array(x), np.array(target), np.array(weight)) if x else np.zeros(4)
+            x.append(features(y[who], mass[who], cos, np.array(full[i].counts), full[i].words)), target.append(y[i]), weight.append(mass[i])
+    curve = fit_logistic(np.array(x), np.array(target), np.array(weight)) if x else np.zeros(8)
     return Model(vocabulary, idf, index, np.array([r.doc_id for r in full], np.int64), y, mass, curve, float(without))
 
 
