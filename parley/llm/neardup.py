@@ -23,6 +23,7 @@ empty result; extra columns are not read (or are kept by the filter).
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -46,8 +47,7 @@ BLOCK = 256
 
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 _rng = np.random.default_rng(9)
-_MULT = _rng.integers(1, 2 ** 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
-_STEP = _rng.integers(1, 2 ** 63, BANDS * BAND_ROWS, dtype=np.uint64)
+_MULT = _rng.integers(1, 2 ** 63, BANDS * BAND_ROWS // 2, dtype=np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(1, 2 ** 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
@@ -62,14 +62,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     """64-bit hashes of words, remembered in ``known`` (bounded)."""
-    import hashlib
-
     if len(known) > 400_000:
         known.clear()
     try:
         return np.array([known[w] for w in words], np.uint64)
     except KeyError:
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
         return np.array([known[w] for w in words], np.uint64)
 
@@ -88,12 +86,15 @@ def shingles(text: str | None, known: dict[str, int]) -> np.ndarray:
 
 
 def min_hashes(s: np.ndarray, values: int) -> np.ndarray:
-    """The first ``values`` MinHash values of a non-empty set; long sets in pieces."""
-    out = np.full(values, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(s), 4096):
-        part = s[None, a:a + 4096]
-        np.minimum(out, (part * _MULT[:values, None] + _STEP[:values, None]).min(axis=1), out=out)
-    return mix64(out)
+    """The first ``values`` MinHash values of a non-empty set; long sets in pieces.
+
+    Both halves of a 64-bit product serve as a hash of the (already random) member.
+    """
+    out = np.full(values, np.iinfo(np.uint32).max, np.uint32)
+    for a in range(0, len(s), 512):
+        part = s[a:a + 512, None] * _MULT[None, :values // 2]
+        np.minimum(out, part.view(np.uint32).min(axis=0), out=out)
+    return out
 
 
 def least_matches() -> dict[int, int]:
@@ -121,7 +122,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not len(s):
                 h.append(None), n.append(0), bands.append(None)
                 continue
-            m = min_hashes(s, BANDS * BAND_ROWS).reshape(BANDS, BAND_ROWS)
+            m = min_hashes(s, BANDS * BAND_ROWS).astype(np.uint64).reshape(BANDS, BAND_ROWS)
             key = np.arange(BANDS, dtype=np.uint64)
             for r in range(BAND_ROWS):
                 key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + m[:, r])
@@ -148,7 +149,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
     """left x right: which pairs of sets reach the threshold. Bayesian pruning, then exact counts."""
     need = least_matches()
     alive = np.ones((len(left), len(right)), bool)
-    sig = np.stack([min_hashes(s, PRUNE_VALUES) for s in sets]).astype(np.uint32)
+    sig = np.stack([min_hashes(s, PRUNE_VALUES) for s in sets])
     same = np.zeros(alive.shape, np.int16)
     for a in range(0, PRUNE_VALUES, PRUNE_STEP):
         for k in range(a, a + PRUNE_STEP):
