@@ -118,8 +118,11 @@ class Model:
         for language in sorted(self.samples):
             data = self.samples[language]
             go = suffix_automaton(classes[np.frombuffer(data, np.uint8)], width)
-            restart = np.maximum(go[0], 0)  # after a phrase, the byte begins the next one
+            # a byte that the sample lacks is a phrase of its own: a last state that nothing leaves
+            restart = np.where(go[0] >= 0, go[0], len(go))  # after a phrase, the byte begins the next one
+            go = np.vstack([go, np.full((1, width), -1, np.int32)])
             steps = np.where(go >= 0, go, ~restart[None, :])
+            steps[0] = restart
             steps[:, -1] = np.arange(len(go))  # padding
             out.append(Parser(language, steps.astype(np.int32).ravel(), width, float(np.log2(len(data) + 1))))
         return classes, out
