@@ -84,11 +84,6 @@ _CODE_BASE = 0x10000
 MAX_DISTINCT_WORDS = 0x10FFFF - _CODE_BASE + 1
 
 
-# Vocabularies up to this size are looked up with a linear (code-generated)
-# ``array_position``; larger ones with a binary search over the sorted array.
-LINEAR_LOOKUP_MAX = 512
-
-
 def word_vocab(ref_words, hyp_words) -> Column:
     """Sorted distinct words of a pair; stage it as a column before encoding."""
     return F.array_sort(F.array_distinct(F.concat(_col(ref_words), _col(hyp_words))))
@@ -116,9 +111,7 @@ def _binary_search_codes(words: Column, vocab: Column) -> Column:
 
 def word_codes(words, vocab) -> Column:
     """0-based index of each word in ``vocab`` (a staged column reference)."""
-    words, vocab = _col(words), _col(vocab)
-    linear = F.transform(words, lambda w: (F.array_position(vocab, w) - 1).cast("int"))
-    return F.when(F.size(vocab) <= LINEAR_LOOKUP_MAX, linear).otherwise(_binary_search_codes(words, vocab))
+    return _binary_search_codes(_col(words), _col(vocab))
 
 
 def encode_words(words, vocab) -> Column:
@@ -134,13 +127,12 @@ def word_edit_distance(ref_words, hyp_words, vocab) -> Column:
     (code-generated) character ``levenshtein`` computes the word distance.
     ``vocab`` must be a column holding ``word_vocab(ref, hyp)`` staged in an
     earlier projection: an inline expression would be re-evaluated inside the
-    per-word lambdas. Use :func:`with_word_edit_distance` on DataFrames.
+    per-word lambdas. A pair with more distinct words than there are code points
+    has no distance (NULL: an error row, not a failed job). Use :func:`with_word_edit_distance` on DataFrames.
     """
     vocab = _col(vocab)
-    guard = F.when(F.size(vocab) > MAX_DISTINCT_WORDS,
-                   F.raise_error(F.lit("word_edit_distance: more distinct words than code points")))
     dist = F.levenshtein(encode_words(ref_words, vocab), encode_words(hyp_words, vocab))
-    return F.coalesce(guard.cast("int"), dist)
+    return F.when(F.size(vocab) <= MAX_DISTINCT_WORDS, dist)
 
 
 def with_word_edit_distance(df, ref_col: str, hyp_col: str, out: str = "errors"):
@@ -171,9 +163,8 @@ def accuracy(wer_col) -> Column:
 def sentences(c) -> Column:
     """Split text after ``.``, ``!`` or ``?`` followed by whitespace, or at a
     newline; items are stripped and empty ones dropped."""
-    marked = F.regexp_replace(_col(c), f"([.!?])[{WS_CLASS}]+", "$1\u0001")
-    marked = F.replace(marked, F.lit("\n"), F.lit("\u0001"))
-    return F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda s: F.length(s) > 0)
+    parts = F.split(_col(c), f"(?<=[.!?])[{WS_CLASS}]+|\\n")
+    return F.filter(F.transform(parts, strip), lambda s: F.length(s) > 0)
 
 
 def explode_items(c) -> Column:

@@ -52,6 +52,7 @@ def score_pairs(pairs: DataFrame, ref_col: str = "ref_text", hyp_col: str = "hyp
             .withColumn("errors", F.col("errors").cast("long"))
             .withColumn("wer", wer_from_counts("errors", "ref_words", "hyp_words"))
             .withColumn("accuracy", accuracy(F.col("wer")))
+            .withColumn("error_class", F.when(F.col("errors").isNull(), F.lit("TooManyDistinctWords")))
             .drop("_ref", "_hyp"))
 
 
@@ -72,40 +73,36 @@ def macro_wer(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 def leaderboard(scored: DataFrame, case_col: str, models: Sequence[str], digits: int = 6) -> DataFrame:
     """A3: case x model accuracy matrix plus the two macro-average rows.
 
-    One pivot (explicit values: no distinct-values job) carries each case's
-    accuracy *and* WER; the macro rows are a global aggregate over those pivot
-    rows. Both branches read the same pivot exchange, which Spark reuses, so
+    One pivot (explicit values: no distinct-values job) carries each case's WER;
+    accuracies are computed above it, and the macro rows aggregate it. All three
+    parts need the same columns of the same pivot, so its exchange is reused and
     every pair is scored once.
     """
     models = list(models)
-    cells = (scored.groupBy(case_col).pivot("model", models)
-             .agg(F.first("accuracy").alias("acc"), F.first("wer").alias("wer")))
-    grid = cells.select(case_col, *[F.round(f"{m}_acc", digits).alias(m) for m in models])
-    macro = cells.agg(*[F.avg(f"{m}_wer").alias(f"{m}_avg") for m in models])
-    avg_acc = macro.select(F.lit(AVERAGE_ACCURACY).alias(case_col),
-                           *[F.round(accuracy(F.col(f"{m}_avg")), digits).alias(m) for m in models])
-    avg_wer = macro.select(F.lit(AVERAGE_WER).alias(case_col),
-                           *[F.round(F.col(f"{m}_avg"), digits).alias(m) for m in models])
-    return grid.unionByName(avg_acc).unionByName(avg_wer)
+    cells = scored.groupBy(case_col).pivot("model", models).agg(F.first("wer"))
+    grid = cells.select(case_col, *[F.round(accuracy(F.col(m)), digits).alias(m) for m in models])
+    macro = cells.agg(*[F.avg(m).alias(m) for m in models])
+    labels = F.explode(F.array(F.lit(AVERAGE_ACCURACY), F.lit(AVERAGE_WER))).alias(case_col)
+    value = lambda m: F.when(F.col(case_col) == AVERAGE_WER, F.col(m)).otherwise(accuracy(F.col(m)))
+    averages = macro.select(labels, *models).select(case_col, *[F.round(value(m), digits).alias(m) for m in models])
+    return grid.unionByName(averages)
 
 
 def best_model(scored: DataFrame, case_col: str, overall_label: str = "__overall__", digits: int = 6) -> DataFrame:
     """A4: most accurate model per case (ties -> smallest model name), plus the
     overall recommendation (highest macro accuracy).
 
-    ``min_by`` over a (-accuracy, model) struct is a plain aggregate, so it is
-    partially computed before the shuffle.
+    Grouping sets average the WER per (case, model) and per model over one scored
+    input; invalid pairs (no WER) compete nowhere.
     """
-    rank_key = F.struct((-F.col("accuracy")).alias("neg_acc"), F.col("model"))
-    per_case = (scored.groupBy(case_col)
-                .agg(F.min_by("model", rank_key).alias("best_model"),
-                     F.max("accuracy").alias("accuracy")))
-    macro = macro_wer(scored)
-    overall = (macro.groupBy()
-               .agg(F.min_by("model", F.struct((-F.col("avg_accuracy")).alias("neg_acc"), F.col("model"))).alias("best_model"),
-                    F.max("avg_accuracy").alias("accuracy"))
-               .select(F.lit(overall_label).alias(case_col), "best_model", "accuracy"))
-    return per_case.unionByName(overall).withColumn("accuracy", F.round("accuracy", digits))
+    averaged = (scored.groupingSets([[case_col, "model"], ["model"]], case_col, "model")
+                .agg(F.avg("wer").alias("wer"), F.grouping(case_col).alias("overall")))
+    ranked = averaged.select(F.when(F.col("overall") == 1, F.lit(overall_label)).otherwise(F.col(case_col)).alias(case_col),
+                             "model", accuracy(F.col("wer")).alias("accuracy"), F.col("wer").isNotNull().alias("valid"))
+    rank_key = F.when(F.col("valid"), F.struct((-F.col("accuracy")).alias("neg_acc"), F.col("model")))
+    return (ranked.groupBy(case_col)
+            .agg(F.min_by("model", rank_key).alias("best_model"), F.max(F.when(F.col("valid"), F.col("accuracy"))).alias("accuracy"))
+            .withColumn("accuracy", F.round("accuracy", digits)))
 
 
 def ngrams(words, n: int):
@@ -131,17 +128,20 @@ def with_grams(df: DataFrame, text_col: str, max_n: int, out: str, distinct: boo
     return df.withColumn(out, F.array_distinct(grams) if distinct else grams).drop("_w")
 
 
-def vocabulary_terms(source: DataFrame, text_col: str = "text", min_chars: int = 12, max_n: int = 2) -> DataFrame:
-    """Term table for T16: distinct normalised n-grams (n <= max_n) of at least
-    ``min_chars`` characters taken from a vocabulary source table."""
+def vocabulary_terms(source: DataFrame, text_col: str = "text", max_n: int = 3) -> DataFrame:
+    """Term table for T16: distinct normalised n-grams (n <= max_n) taken from a
+    vocabulary source table, short ones included."""
     g = with_grams(source, text_col, max_n, "_g")
-    return (g.select(explode_items("_g").alias("term"))
-            .where(F.length("term") >= min_chars)
-            .distinct())
+    return g.select(explode_items("_g").alias("term")).where(F.col("term").isNotNull()).distinct()
+
+
+def longest_term(terms: DataFrame) -> int:
+    """Number of words of the longest term: n-grams up to it can match."""
+    return terms.agg(F.coalesce(F.max(F.size(F.split("term", " "))), F.lit(1))).first()[0]
 
 
 def vocabulary_coverage(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str = "text",
-                        max_n: int = 2) -> DataFrame:
+                        max_n: int | None = None) -> DataFrame:
     """Hits per (text, term) for whole-word term matches on normalised text.
 
     Every n-gram of every text is exploded and semi-joined with the term table.
@@ -149,14 +149,15 @@ def vocabulary_coverage(texts: DataFrame, terms: DataFrame, id_col: str, text_co
     shuffle of the n-grams); a large one is shuffle-joined on the term. The
     count per (text, term) is partially aggregated before its shuffle.
     """
-    g = with_grams(texts.select(id_col, text_col), text_col, max_n, "_g")
+    g = with_grams(texts.select(id_col, text_col), text_col, max_n or longest_term(terms), "_g")
     exploded = g.select(id_col, explode_items("_g").alias("term")).where(F.col("term").isNotNull())
     return (exploded.join(terms.select("term"), "term", "left_semi")
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("hits")))
 
 
-def missed_terms(pairs: DataFrame, terms: DataFrame, keys: Sequence[str], max_n: int = 2) -> DataFrame:
+def missed_terms(pairs: DataFrame, terms: DataFrame, keys: Sequence[str], max_n: int | None = None) -> DataFrame:
     """T16 second half: terms in the reference text that the hypothesis lacks."""
+    max_n = max_n or longest_term(terms)
     base = with_grams(pairs.select(*keys, "ref_text", "hyp_text"), "ref_text", max_n, "_rg", distinct=True)
     base = with_grams(base, "hyp_text", max_n, "_hg", distinct=True)
     missing = (base.select(*keys, explode_items(F.array_except("_rg", "_hg")).alias("term"))

@@ -97,3 +97,26 @@ def run_report(found: DataFrame, todo: DataFrame, failed: DataFrame, stage: str)
             F.struct(F.lit("processed").alias("status"), (F.col("todo") - F.col("failed")).alias("n")),
             F.struct(F.lit("failed").alias("status"), F.col("failed").alias("n")),
         )).alias("s")).select("stage", "s.status", "s.n")
+
+
+def stage_report(staged: DataFrame, outputs: DataFrame, key: str, stage_col: str, kind_col: str, bad_col: str,
+                 required: dict[str, Sequence[str]]) -> DataFrame:
+    """A7 for many stages in one pass: (stage, status, n).
+
+    ``staged`` has one row per input and stage and whether it fails; ``required``
+    the output kinds that mark an input of a stage as done. Kinds are few, so the
+    set per key is small; inputs meet it in one join."""
+    kinds = outputs.groupBy(key).agg(F.collect_set(kind_col).alias("_kinds"))
+    done = F.lit(False)
+    for stage, need in required.items():
+        done = F.when(F.col(stage_col) == stage, F.size(F.array_intersect("_kinds", F.array(*[F.lit(k) for k in need]))) == len(need)).otherwise(done)
+    done = F.coalesce(done, F.lit(False))
+    marked = staged.join(kinds, key, "left").select(stage_col, done.alias("_done"), F.col(bad_col).alias("_bad"))
+    n = lambda c: F.count(F.when(c, 1)).cast("long")
+    counts = marked.groupBy(F.col(stage_col).alias("_of")).agg(
+        F.count(F.lit(1)).cast("long").alias("found"), n(F.col("_done")).alias("skipped"),
+        n(~F.col("_done") & ~F.col("_bad")).alias("processed"), n(~F.col("_done") & F.col("_bad")).alias("failed"))
+    stages = staged.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in required])).alias("stage"))
+    status = F.explode(F.array(*[F.struct(F.lit(c).alias("status"), F.coalesce(c, F.lit(0)).cast("long").alias("n"))
+                                 for c in ("found", "skipped", "processed", "failed")])).alias("s")
+    return stages.join(counts, F.col("stage") == F.col("_of"), "left").select("stage", status).select("stage", "s.status", "s.n")

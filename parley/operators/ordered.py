@@ -106,21 +106,6 @@ def merge_runs(df: DataFrame, key: str, pos: str, tag: str, text: str, sep: str
             .withColumnRenamed("_run", "run_pos"))
 
 
-def top_k(df: DataFrame, key: str, order: list, k: int, spread: Column) -> DataFrame:
-    """Rows ranked 1..k per ``key`` by the ``order`` columns, skew-safe.
-
-    Level 1 keeps the top k inside each (key, spread) slice, so a hot key is
-    ranked by many tasks; level 2 ranks the at most k * slices survivors per
-    key. Adds column ``rank``."""
-    w1 = Window.partitionBy(key, "_spread").orderBy(*order)
-    survivors = (df.withColumn("_spread", spread)
-                 .withColumn("_r", F.row_number().over(w1))
-                 .where(F.col("_r") <= k)
-                 .drop("_r", "_spread"))
-    w2 = Window.partitionBy(key).orderBy(*order)
-    return survivors.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
-
-
 def ordered_collect(df: DataFrame, key: str, pos: str, value: Column, out: str,
                     chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """Array of ``value`` per key in position order, built in two levels like

@@ -1,22 +1,28 @@
-"""Provider contracts and registry (U1, U2) and the transcription stage (M1,
-P6, P10, P11).
-
-A provider is a factory returning an ``Iterator[pd.DataFrame] ->
-Iterator[pd.DataFrame]`` function for ``mapInPandas``: it is created once per
-Python worker (models load once, not per row), gets Arrow batches of
-(path, content) rows and returns segments or an error per row, so one bad file
-never fails the job (R5).
+"""Model-backed stages: providers (U1, U2), transcription, structuring and
+summarising (M1-M3, P6, P10, P11), pacing of calls (R4).
+
+A provider is a value: which stage it serves, its name, the options it takes and
+a factory. The factory is called once per Python worker (models load once, not per
+row) and returns a function from one input to one reply. Calls run in
+``mapInPandas``; a failing call is an error row of its stage's class, the other
+rows go on (R5). Replies of structuring and summarising providers are JSON texts,
+which T13 and T14 read.
 """
 
 from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions import qa
+from parley.functions.json import parse_structure_response, parse_summary_response
 from parley.functions.text import strip
 
 
@@ -30,105 +36,125 @@ except Exception:  # pragma: no cover - older cloudpickle: ship with --py-files
     pass
 
 
-class ProviderError(Exception):
-    """Unknown or duplicate provider names."""
+class UnknownProvider(LookupError):
+    """No provider of that name serves the stage."""
 
 
-class Registry:
-    """Name -> provider factory for one stage (names trimmed, lower-cased)."""
+class UnknownOption(TypeError):
+    """The provider does not take that option."""
 
-    def __init__(self, stage: str):
-        self.stage = stage
-        self._items: dict[str, Callable] = {}
 
-    def register(self, name: str):
-        key = name.strip().lower()
+#: Stage -> class of its error rows.
+STAGE_ERRORS = {"transcribe": "TranscriptionError", "structurize": "StructuringError", "summarize": "SummarizationError"}
 
-        def deco(factory):
-            if key in self._items:
-                raise ProviderError(f"{self.stage} provider '{key}' is already registered")
-            self._items[key] = factory
-            return factory
 
-        return deco
+@dataclass(frozen=True)
+class Provider:
+    """``factory(**options)`` gives a function from one input to one reply."""
 
-    def get(self, name: str) -> Callable:
-        key = name.strip().lower()
-        if key not in self._items:
-            raise ProviderError(f"unknown {self.stage} provider '{name}'; available: {sorted(self._items)}")
-        return self._items[key]
+    stage: str
+    name: str
+    factory: Callable[..., Callable[[Any], Any]]
+    options: Mapping[str, Any] = field(default_factory=dict)  # option -> default
 
-    def names(self) -> list[str]:
-        return sorted(self._items)
+    def bind(self, given: Mapping[str, Any]) -> dict[str, Any]:
+        extra = sorted(set(given) - set(self.options))
+        if extra:
+            raise UnknownOption(f"{self.stage}/{self.name} takes {sorted(self.options) or 'no options'}, not {extra}")
+        return {**self.options, **given}
 
 
-TRANSCRIBERS = Registry("transcriber")
-STRUCTURIZERS = Registry("structurizer")
-SUMMARIZERS = Registry("summarizer")
+#: (stage, name) -> provider. Add to it to plug in a model.
+PROVIDERS: dict[tuple[str, str], Provider] = {}
 
-TRANSCRIBE_SCHEMA = ("path string, segments array<struct<start_time:double,end_time:double,text:string,"
-                     "speaker:string>>, language string, error_class string, error_msg string")
 
+def add(*providers: Provider) -> None:
+    """Make providers available; a name can be taken once per stage."""
+    for p in providers:
+        if PROVIDERS.setdefault((p.stage, p.name), p) is not p:
+            raise ValueError(f"two providers of stage {p.stage} are named {p.name}")
 
-def _rows(pdf, decode):
-    import pandas as pd
 
-    out = {"path": [], "segments": [], "language": [], "error_class": [], "error_msg": []}
-    for path, content in zip(pdf["path"], pdf["content"]):
-        out["path"].append(path)
-        try:
-            if content is None:
-                raise FileNotFoundError(f"audio source file does not exist: {path}")
-            segs, lang = decode(bytes(content))
-            out["segments"].append(segs)
-            out["language"].append(lang)
-            out["error_class"].append(None)
-            out["error_msg"].append(None)
-        except Exception as exc:  # one bad file is reported, the rest continue
-            out["segments"].append(None)
-            out["language"].append(None)
-            out["error_class"].append("TranscriptionError")
-            out["error_msg"].append(f"{type(exc).__name__}: {exc}")
-    return pd.DataFrame(out)
+def find(stage: str, provider: str | Provider) -> Provider:
+    if isinstance(provider, Provider):
+        return provider
+    wanted = (stage, provider.strip().lower())
+    if wanted not in PROVIDERS:
+        served = ", ".join(n for s, n in sorted(PROVIDERS) if s == stage)
+        raise UnknownProvider(f"stage {stage} is served by: {served}; there is no {provider!r}")
+    return PROVIDERS[wanted]
 
 
-@TRANSCRIBERS.register("timed_text")
-def timed_text(**opts):
-    """Decodes timed-text payloads: one JSON object per line with ``start``,
-    ``end``, ``text`` and an optional header line ``{"language": ...}``."""
-
-    def decode(payload: bytes):
-        segs, lang = [], None
-        for line in payload.decode("utf-8").splitlines():
-            if not line.strip():
-                continue
+def read_timed_text(language: str | None = None) -> Callable[[bytes], tuple[list[dict], str | None]]:
+    """Timed-text payloads: one JSON object per line with ``start``, ``end`` and
+    ``text``; a line with only ``language`` names the language."""
+    def read(payload: bytes):
+        heard, lang = [], language
+        for line in filter(str.strip, payload.decode("utf-8").splitlines()):
             rec = json.loads(line)
-            if "language" in rec and "text" not in rec:
-                lang = rec["language"]
-                continue
-            segs.append({"start_time": float(rec["start"]), "end_time": float(rec["end"]),
-                         "text": rec["text"], "speaker": None})
-        return segs, lang
+            if "text" in rec:
+                heard.append({"start_time": float(rec["start"]), "end_time": float(rec["end"]), "text": rec["text"], "speaker": None})
+            else:
+                lang = lang or rec["language"]
+        return heard, lang
 
-    def run(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            yield _rows(pdf, decode)
+    return read
+
+
+def read_plain_text(language: str | None = None) -> Callable[[bytes], tuple[list[dict], str | None]]:
+    """P10: no timings, so one segment (0.0, 0.0, whole text)."""
+    return lambda payload: ([{"start_time": 0.0, "end_time": 0.0, "text": payload.decode("utf-8"), "speaker": None}], language)
+
+
+def text_as_reply() -> Callable[[str], str]:
+    """Takes the input text for the reply: for replies recorded earlier, and for tests."""
+    return lambda text: text
 
-    return run
 
+add(Provider("transcribe", "timed_text", read_timed_text, {"language": None}),
+    Provider("transcribe", "plain_text", read_plain_text, {"language": None}),
+    Provider("structurize", "recorded", text_as_reply),
+    Provider("summarize", "recorded", text_as_reply))
 
-@TRANSCRIBERS.register("plain_text")
-def plain_text(**opts):
-    """P10: a provider without timings: one segment (0.0, 0.0, whole text)."""
 
-    def decode(payload: bytes):
-        return [{"start_time": 0.0, "end_time": 0.0, "text": payload.decode("utf-8"), "speaker": None}], None
+def call(df: DataFrame, key: str, value: str, provider: Provider, options: Mapping[str, Any], reply: str,
+         unpack: Callable[[Any], tuple] = lambda r: (r,), per_minute: float | None = None, callers: int = 1) -> DataFrame:
+    """(key, reply columns, error_class, error_msg): one call per row of ``df``.
+
+    ``reply`` is the schema of what ``unpack`` makes of a reply. ``per_minute``
+    bounds the rate of calls (R4): at most ``callers`` tasks call at a time, each
+    with an equal part of the budget. A null value is a missing input.
+    """
+    kind, factory, error = key_type(df, key), provider.factory, STAGE_ERRORS[provider.stage]
+    names = [c.split(" ")[0] for c in reply.split(";")]
+    pause = 60.0 * callers / per_minute if per_minute else 0.0
 
     def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        ask, due = factory(**options), 0.0
         for pdf in batches:
-            yield _rows(pdf, decode)
+            rows = []
+            for k, v in zip(pdf[key], pdf[value]):
+                time.sleep(max(0.0, due - time.monotonic()))
+                due = time.monotonic() + pause
+                try:
+                    if v is None:
+                        raise FileNotFoundError(f"nothing to read for {k}")
+                    rows.append((k, *unpack(ask(v)), None, None))
+                except Exception as exc:  # one bad input is reported, the rest continue
+                    rows.append((k, *[None] * len(names), error, f"{type(exc).__name__}: {exc}"))
+            yield pd.DataFrame(rows, columns=[key, *names, "error_class", "error_msg"])
+
+    paced = df.select(key, value).coalesce(callers) if per_minute else df.select(key, value)
+    return paced.mapInPandas(run, f"{key} {kind}, {reply.replace(';', ', ')}, error_class string, error_msg string")
+
+
+def key_type(df: DataFrame, key: str) -> str:
+    return df.schema[key].dataType.simpleString()
+
 
-    return run
+SEGMENTS = "segments array<struct<start_time:double,end_time:double,text:string,speaker:string>>;language string"
 
 
 def normalise_segments(segments: Column) -> Column:
@@ -138,16 +164,47 @@ def normalise_segments(segments: Column) -> Column:
                                                     F.lit(None).cast("string").alias("speaker")))
 
 
-def transcribe(files: DataFrame, provider: str = "timed_text", language: str | None = None, **opts) -> DataFrame:
-    """M1: (path, content) rows -> (path, transcript, error_class, error_msg).
+def transcribe(files: DataFrame, provider: str | Provider = "timed_text", language: str | None = None, key: str = "path",
+               per_minute: float | None = None, callers: int = 1, **options) -> DataFrame:
+    """M1: (key, content) rows -> (key, transcript, error_class, error_msg).
 
-    The provider runs in ``mapInPandas``; everything after it (P6, raw text,
-    P11 language) is column expressions. ``content`` NULL means a missing file."""
-    fn = TRANSCRIBERS.get(provider)(**opts)
-    out = files.select("path", "content").mapInPandas(fn, TRANSCRIBE_SCHEMA)
+    A fixed language is handed to providers that take one, and recorded (P11).
+    ``content`` NULL means a missing file."""
+    p = find("transcribe", provider)
+    if language is not None and "language" in p.options:
+        options["language"] = language
+    out = call(files, key, "content", p, p.bind(options), SEGMENTS, lambda r: r, per_minute, callers)
     segs = normalise_segments(F.col("segments"))
     transcript = F.struct(F.array_join(F.transform(segs, lambda s: s["text"]), " ").alias("raw_text"),
                           segs.alias("segments"),
                           F.coalesce(F.lit(language).cast("string"), F.col("language")).alias("language"))
-    return out.select("path", F.when(F.col("error_class").isNull(), transcript).alias("transcript"),
-                      "error_class", "error_msg")
+    return out.select(key, F.when(F.col("error_class").isNull(), transcript).alias("transcript"), "error_class", "error_msg")
+
+
+def _read_reply(out: DataFrame, parsed: Column, stage: str) -> DataFrame:
+    """Adds ``_p``, and the parser's error where the call itself succeeded."""
+    out = out.withColumn("_p", parsed)
+    return (out.withColumn("error_msg", F.coalesce("error_msg", "_p.error"))
+            .withColumn("error_class", F.when(F.col("error_msg").isNotNull(), F.lit(STAGE_ERRORS[stage]))))
+
+
+def structurize(texts: DataFrame, provider: str | Provider, key: str, text: str, per_minute: float | None = None,
+                callers: int = 1, **options) -> DataFrame:
+    """M2 by a provider: (key, presentation_text, structured_qa_text, error_class, error_msg)."""
+    p = find("structurize", provider)
+    out = call(texts, key, text, p, p.bind(options), "reply string", per_minute=per_minute, callers=callers)
+    out = _read_reply(out, parse_structure_response("reply"), "structurize").withColumn("_raw", F.col("_p.raw_qa"))
+    out = qa.with_clean_qa(out, "_raw", "_qa")
+    ok = F.col("error_class").isNull()
+    return out.select(key, F.when(ok, F.col("_p.presentation")).alias("presentation_text"),
+                      F.when(ok, F.col("_qa")).alias("structured_qa_text"), "error_class", "error_msg")
+
+
+def summarize(texts: DataFrame, provider: str | Provider, key: str, text: str, per_minute: float | None = None,
+              callers: int = 1, **options) -> DataFrame:
+    """M3 by a provider: (key, summary, error_class, error_msg)."""
+    p = find("summarize", provider)
+    out = call(texts, key, text, p, p.bind(options), "reply string", per_minute=per_minute, callers=callers)
+    out = _read_reply(out, parse_summary_response("reply"), "summarize")
+    summary = F.struct(*[F.col(f"_p.{c}").alias(c) for c in ("content", "key_points", "action_items", "topics")])
+    return out.select(key, F.when(F.col("error_class").isNull(), summary).alias("summary"), "error_class", "error_msg")

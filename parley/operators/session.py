@@ -26,12 +26,15 @@ def require_text(text: Column) -> Column:
     return F.when(is_blank(text), F.lit("EmptyText"))
 
 
-def init_session(name: Column, title: Column) -> Column:
-    """P5: struct(session_id, title). The id is content-derived (replay-safe,
-    unlike a random UUID); an empty or missing title falls back to the stem."""
+def init_session(path: Column, modified: Column, title: Column, now: Column | None = None) -> Column:
+    """P5: struct(session_id, created_at, title). The id is derived from the whole path
+    and the time of the file (replay-safe, unlike a random UUID); an empty or
+    missing title falls back to the stem; ``now`` defaults to the current time."""
     from parley.operators.incremental import stem
 
-    return F.struct(F.sha2(name, 256).alias("session_id"),
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.struct(F.sha2(F.concat_ws("|", path, F.unix_micros(modified).cast("string")), 256).alias("session_id"),
+                    (F.current_timestamp() if now is None else now).alias("created_at"),
                     F.coalesce(F.nullif(title, F.lit("")), stem(name)).alias("title"))
 
 

@@ -3,6 +3,8 @@
 Deterministic rules (integer scores, no float ties across engines):
 
 * input: Answer blocks of a session (T11), split into sentences;
+* a session without Q&A text is summarised from its raw text (P8), and every
+  session has a row, possibly of empty parts;
 * terms: normalised words (T1) of at least ``min_term_chars`` characters;
 * ``tf`` = occurrences in the session's answers, ``df`` = sessions having the
   term, ``N`` = sessions with at least one term;
@@ -18,13 +20,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import explode_items, normalise_words, posexplode_items, sentences
-from parley.operators.ordered import ordered_collect, top_k
+from parley.operators.ordered import ordered_collect
 from parley.operators.structure import cue_pattern
-from parley.spark import cut_lineage
 
 DEFAULT_ACTION_CUES = ("will", "should", "need to", "plan to", "next step", "follow up")
 POS_SHIFT = 1 << 32  # sentence position = block_pos * 2^32 + sentence index
@@ -37,48 +38,64 @@ def answer_sentences(answers: DataFrame, key: str, pos: str, text: str) -> DataF
     return s.select(key, (F.col(pos).cast("long") * POS_SHIFT + F.col("_i")).alias("spos"), "sentence")
 
 
+def term_counts(sents: DataFrame, key: str, min_term_chars: int = 1) -> DataFrame:
+    """(term, n): sessions that have each term, and under a null term all sessions with terms.
+
+    Rows of different corpora add up."""
+    words = sents.select(key, explode_items(normalise_words(F.col("sentence"))).alias("term"))
+    pairs = words.where(F.length("term") >= min_term_chars).select(key, "term").distinct()
+    per_term = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    everything = pairs.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("term"), "n")
+    return per_term.unionByName(everything)
+
+
+def top_k(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
+    """Rows ranked 1..k per key; Spark limits each key before the shuffle."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def with_fallback(answers: DataFrame, raw: DataFrame, with_qa: DataFrame, key: str) -> DataFrame:
+    """``answers`` (key, pos, text), and for sessions without Q&A text the rows
+    of their raw text. ``with_qa`` lists the sessions that have Q&A text."""
+    return answers.unionByName(raw.join(with_qa.select(key).distinct(), key, "left_anti"))
+
+
 def summarize(answers: DataFrame, key: str = "session_id", pos: str = "pos", text: str = "text",
-              action_cues: Sequence[str] = DEFAULT_ACTION_CUES, min_term_chars: int = 4,
-              n_points: int = 5, n_content: int = 3, n_topics: int = 6, spread_slices: int = 16,
-              corpus: DataFrame | None = None, materialize: bool = True) -> dict:
+              action_cues: Sequence[str] = DEFAULT_ACTION_CUES, min_term_chars: int = 1,
+              n_points: int = 5, n_content: int = 3, n_topics: int = 6,
+              sents: DataFrame | None = None, counts: DataFrame | None = None) -> dict:
     """Summaries of every session in ``answers`` (one row per Answer block).
 
+    ``counts`` is a table of :func:`term_counts` rows of the corpus; by default the
+    sessions summarised here are the corpus.
+
     Returns DataFrames ``points`` (key, rank, spos, sentence) ranked by score,
     ``topics`` (key, rank, term), ``actions`` (key, spos, sentence) and
-    ``sentences`` (key, spos, sentence, score).
+    ``sentences`` (key, spos, sentence, score). Five branches read the sentences:
+    pass ``sents``, a stored table of :func:`answer_sentences`, where computing
+    them is costly.
     """
-    # five branches read the sentences: cut the lineage once (reliable
-    # checkpoint in the shared checkpoint folder) instead of recomputing the
-    # upstream parsing for each of them
-    sents = answer_sentences(answers, key, pos, text)
-    if materialize:
-        sents = cut_lineage(sents)
+    if sents is None:
+        sents = answer_sentences(answers, key, pos, text)
     words = sents.select(key, "spos", explode_items(normalise_words(F.col("sentence"))).alias("term"))
     words = words.where(F.length("term") >= min_term_chars)
     tf = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    # document frequencies over the corpus: by default the sessions summarised
-    # here; a stream passes its whole sink so far (a static side table)
-    if corpus is None:
-        ctf = tf
-    else:
-        cs = answer_sentences(corpus, key, pos, text)
-        cw = cs.select(key, explode_items(normalise_words(F.col("sentence"))).alias("term"))
-        ctf = cw.where(F.length("term") >= min_term_chars).select(key, "term").distinct()
-    df_ = ctf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_sessions = ctf.select(key).distinct().agg(F.count(F.lit(1))).scalar()  # scalar subquery
+    if counts is None:
+        counts = term_counts(sents, key, min_term_chars)
+    df_ = counts.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
+    n_sessions = counts.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()  # scalar subquery
 
     scores = (words.select(key, "spos", "term").distinct()
               .join(tf, [key, "term"])
               .groupBy(key, "spos").agg(F.sum("tf").alias("score")))
     scored = (sents.join(scores, [key, "spos"], "left")
               .withColumn("score", F.coalesce("score", F.lit(0)).cast("long")))
-    spread = (F.abs(F.xxhash64("spos")) % spread_slices)
-    points = top_k(scored, key, [F.col("score").desc(), F.col("spos")], n_points, spread)
+    points = top_k(scored, key, [F.col("score").desc(), F.col("spos")], n_points)
 
     weights = (tf.join(df_, "term")
                .withColumn("weight", F.floor(F.col("tf") * n_sessions / F.col("df")).cast("long")))
-    topics = top_k(weights, key, [F.col("weight").desc(), F.col("term")], n_topics,
-                   F.abs(F.xxhash64("term")) % spread_slices)
+    topics = top_k(weights, key, [F.col("weight").desc(), F.col("term")], n_topics)
 
     pat = cue_pattern(action_cues)
     actions = sents.where(F.lower("sentence").rlike(pat))
@@ -94,8 +111,8 @@ def collect_in_order(df: DataFrame, key: str, order_col: str, value_col: str, ou
     return d.groupBy(key).agg(F.transform(items, lambda x: x["v"]).alias(out))
 
 
-def summary_table(parts: dict, key: str) -> DataFrame:
-    """(key, content, key_points[], action_items[], topics[]) - the summary schema.
+def summary_table(parts: dict, key: str, keys: DataFrame) -> DataFrame:
+    """(key, content, key_points[], action_items[], topics[]) of every session in ``keys``.
 
     Action items of a session are whole output; they are gathered per session
     after a partial concatenation per sentence chunk would not shrink them."""
@@ -106,7 +123,9 @@ def summary_table(parts: dict, key: str) -> DataFrame:
     # action items are unbounded per session: gathered in two levels
     actions = ordered_collect(parts["actions"], key, "spos", F.col("sentence"), "action_items",
                               chunk_size=POS_SHIFT)
-    out = (points.join(content, key, "left").join(topics, key, "left").join(actions, key, "left"))
+    out = keys.select(key).distinct()
+    for part in (points, content, topics, actions):
+        out = out.join(part, key, "left")
     empty = F.array().cast("array<string>")
     return out.select(key,
                       F.array_join(F.coalesce("_content", empty), " ").alias("content"),

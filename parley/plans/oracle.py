@@ -50,8 +50,8 @@ def norm_words(e: str) -> str:
 
 
 def sentences(e: str) -> str:
-    marked = f"replace(regexp_replace({e}, '([.!?])[{WS}]+', '\\1' || chr(1), 'g'), chr(10), chr(1))"
-    return (f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {strip('s')}), "
+    marked = f"replace(regexp_replace({e}, '([.!?])[{WS}]+', '\\1' || chr(57345), 'g'), chr(10), chr(57345))"
+    return (f"list_filter(list_transform(string_split({marked}, chr(57345)), lambda s: {strip('s')}), "
             f"lambda s: length(s) > 0)")
 
 
@@ -296,7 +296,7 @@ SELECT conv_id, turn, CASE WHEN {is_blank('content')} THEN 'error' ELSE 'ok' END
 FROM labelled"""
 
 ORACLES["session_init"] = f"""WITH {DOC_FILES}
-SELECT doc_id, sha256(name) AS session_id,
+SELECT doc_id, sha256(lang || '/' || name || '|' || CAST((1704067200 + doc_id) * 1000000 AS VARCHAR)) AS session_id, 1704067200 + doc_id AS created_s,
        coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE upper(lang) END, ''),
                 {stem_sql('name')}) AS title
 FROM doc_files"""
@@ -367,9 +367,12 @@ ans AS (SELECT conv_id, r.pos AS pos, r.text AS text
         FROM (SELECT conv_id, unnest(list_transform(list_filter(list_transform(runs, lambda r, i: {{'pos': i, 'tag': r.tag, 'text': r.text}}),
                                                                 lambda r: r.tag = 'Answer'), lambda r: r)) AS r FROM runs)),
 sents AS (SELECT conv_id, CAST(pos AS BIGINT) * 4294967296 + (i - 1) AS spos, s[i] AS sentence
-          FROM (SELECT conv_id, pos, {sentences('text')} AS s FROM ans), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)),
-words AS (SELECT conv_id, spos, term FROM (SELECT conv_id, spos, unnest({norm_words('sentence')}) AS term FROM sents)
-          WHERE length(term) >= 4),
+          FROM (SELECT conv_id, pos, {sentences('text')} AS s FROM
+                (SELECT conv_id, pos, text FROM ans
+                 UNION ALL
+                 SELECT conv_id, turn AS pos, text FROM conversations
+                 WHERE conv_id NOT IN (SELECT conv_id FROM runs WHERE len(runs) > 0))), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)),
+words AS (SELECT conv_id, spos, unnest({norm_words('sentence')}) AS term FROM sents),
 tf AS (SELECT conv_id, term, count(*) AS tf FROM words GROUP BY conv_id, term),
 dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 nsess AS (SELECT count(DISTINCT conv_id) AS n FROM tf),
@@ -386,14 +389,15 @@ topics AS (SELECT * FROM (SELECT conv_id, term, weight, row_number() OVER (PARTI
            WHERE rank <= 6),
 actions AS (SELECT * FROM sents WHERE regexp_matches(lower(sentence), '{ACTION_CUES_SQL}')),
 tbl AS (
-  SELECT p.conv_id, p.key_points, coalesce(c.content, '') AS content, coalesce(t.topics, []) AS topics,
+  SELECT k.conv_id, coalesce(p.key_points, []) AS key_points, coalesce(c.content, '') AS content, coalesce(t.topics, []) AS topics,
          coalesce(a.action_items, []) AS action_items
-  FROM (SELECT conv_id, list(sentence ORDER BY spos) AS key_points FROM points GROUP BY conv_id) p
+  FROM (SELECT DISTINCT conv_id FROM conversations) k
+  LEFT JOIN (SELECT conv_id, list(sentence ORDER BY spos) AS key_points FROM points GROUP BY conv_id) p ON k.conv_id = p.conv_id
   LEFT JOIN (SELECT conv_id, string_agg(sentence, ' ' ORDER BY spos) AS content FROM points WHERE rank <= 3 GROUP BY conv_id) c
-    ON p.conv_id = c.conv_id
-  LEFT JOIN (SELECT conv_id, list(term ORDER BY rank) AS topics FROM topics GROUP BY conv_id) t ON p.conv_id = t.conv_id
+    ON k.conv_id = c.conv_id
+  LEFT JOIN (SELECT conv_id, list(term ORDER BY rank) AS topics FROM topics GROUP BY conv_id) t ON k.conv_id = t.conv_id
   LEFT JOIN (SELECT conv_id, list(sentence ORDER BY spos) AS action_items FROM actions GROUP BY conv_id) a
-    ON p.conv_id = a.conv_id)"""
+    ON k.conv_id = a.conv_id)"""
 
 ORACLES["summary_key_points"] = f"""WITH {SUMM}
 SELECT conv_id, array_to_string(key_points, chr(10)) AS key_points, content FROM tbl"""
@@ -486,42 +490,47 @@ SELECT event_type AS step, count(*) AS n_runs, sum(CASE WHEN event_type = 'error
 FROM events GROUP BY event_type"""
 
 
-def _grams_sql(words: str, max_n: int) -> str:
-    if max_n == 1:
-        return words
-    return f"list_concat({words}, list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+def _grams_sql(w: str) -> str:
+    """All word 1-, 2- and 3-grams."""
+    return (f"list_concat({w}, list_concat(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]), "
+            f"list_transform(range(1, len({w}) - 1), lambda i: {w}[i] || ' ' || {w}[i + 1] || ' ' || {w}[i + 2])))")
 
 
 ORACLES["vocabulary_hits"] = f"""WITH bw AS (SELECT {norm_words('text')} AS w FROM benchmark),
-terms AS (SELECT DISTINCT term FROM (SELECT unnest({_grams_sql('w', 2)}) AS term FROM bw) WHERE length(term) >= 10),
+terms AS (SELECT DISTINCT term FROM (SELECT unnest({_grams_sql('w')}) AS term FROM bw)),
 dw AS (SELECT doc_id, {norm_words('text')} AS w FROM documents),
-g AS (SELECT doc_id, unnest({_grams_sql('w', 2)}) AS term FROM dw),
+g AS (SELECT doc_id, unnest({_grams_sql('w')}) AS term FROM dw),
 h AS (SELECT doc_id, term, count(*) AS hits FROM g SEMI JOIN terms USING (term) GROUP BY doc_id, term)
 SELECT term, count(*) AS n_docs, sum(hits) AS hits FROM h GROUP BY term"""
 
 ORACLES["vocabulary_missed"] = f"""WITH RECURSIVE {HYPS},
 bw AS (SELECT {norm_words('text')} AS w FROM benchmark),
-terms AS (SELECT DISTINCT term FROM (SELECT unnest(w) AS term FROM bw) WHERE length(term) >= 8),
-p AS (SELECT c.conv_id, c.turn, h.model, list_distinct({norm_words('c.text')}) AS rg, list_distinct({norm_words('h.hyp_text')}) AS hg
+terms AS (SELECT DISTINCT term FROM (SELECT unnest({_grams_sql('w')}) AS term FROM bw)),
+p AS (SELECT c.conv_id, c.turn, h.model, {norm_words('c.text')} AS rw, {norm_words('h.hyp_text')} AS hw
       FROM conversations c JOIN hyps h ON c.conv_id = h.conv_id AND c.turn = h.turn),
-m AS (SELECT conv_id, turn, model, unnest(list_filter(rg, lambda t: NOT list_contains(hg, t))) AS term FROM p)
+r AS (SELECT DISTINCT conv_id, turn, model, unnest({_grams_sql('rw')}) AS term FROM p),
+h2 AS (SELECT DISTINCT conv_id, turn, model, unnest({_grams_sql('hw')}) AS term FROM p),
+m AS (SELECT * FROM r ANTI JOIN h2 USING (conv_id, turn, model, term))
 SELECT model, term, count(*) AS n_cases FROM m SEMI JOIN terms USING (term) GROUP BY model, term"""
 
 
 # ---------------------------------------------------------------- session archive
-ORACLES["session_roundtrip"] = f"""WITH {SEGS}
-SELECT sha256(CAST(conv_id AS VARCHAR)) AS session_id, true AS roundtrip_ok, 'session ' || CAST(conv_id AS VARCHAR) AS title,
-       count(*) AS n_segments, CAST(length(string_agg(text, ' ' ORDER BY turn)) AS BIGINT) AS raw_chars
-FROM segs GROUP BY conv_id"""
+ORACLES["session_roundtrip"] = f"""WITH {SUMM},
+segs2 AS (SELECT conv_id, turn, {strip('text')} AS text FROM conversations)
+SELECT sha256(CAST(s.conv_id AS VARCHAR)) AS session_id, true AS roundtrip_ok, 'session ' || CAST(s.conv_id AS VARCHAR) AS title,
+       count(*) AS n_segments, CAST(length(string_agg(s.text, ' ' ORDER BY s.turn)) AS BIGINT) AS raw_chars,
+       CAST(any_value(len(tbl.topics)) AS BIGINT) AS n_topics, count(*) AS turns
+FROM segs2 s JOIN tbl ON s.conv_id = tbl.conv_id GROUP BY s.conv_id"""
 
 VERSIONS = """ids AS (SELECT DISTINCT conv_id FROM conversations),
-v AS (SELECT conv_id, 1 AS version, 'session ' || CAST(conv_id AS VARCHAR) AS title FROM ids WHERE conv_id % 2 = 0
-      UNION ALL
-      SELECT conv_id, 2, 'session ' || CAST(conv_id AS VARCHAR) || ' (v2)' FROM ids WHERE conv_id % 3 = 0),
-m AS (SELECT conv_id, max(version) AS version, arg_max(title, version) AS title FROM v GROUP BY conv_id)"""
+m AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END AS version,
+             'session ' || CAST(conv_id AS VARCHAR) || CASE WHEN conv_id % 3 = 0 THEN ' (v2)' ELSE '' END AS title FROM ids)"""
 
-ORACLES["session_upsert"] = f"""WITH {VERSIONS}
-SELECT sha256(CAST(conv_id AS VARCHAR)) AS session_id, CAST(version AS BIGINT) AS version, title FROM m"""
+ORACLES["session_upsert"] = f"""WITH {QA_RAW}, {PRES}, {VERSIONS},
+qt AS (SELECT conv_id, array_to_string(list_transform(runs, lambda r: '[' || r.tag || ']: ' || r.text), chr(10)) AS qa_text FROM runs)
+SELECT sha256(CAST(m.conv_id AS VARCHAR)) AS session_id, CAST(version AS BIGINT) AS version, title,
+       CAST(length(presentation) AS BIGINT) AS presentation_chars, CAST(length(qa_text) AS BIGINT) AS qa_chars
+FROM m LEFT JOIN pres ON m.conv_id = pres.conv_id LEFT JOIN qt ON m.conv_id = qt.conv_id"""
 
 ORACLES["session_lookup"] = f"""WITH {VERSIONS},
 req AS (SELECT conv_id, sha256(CAST(conv_id AS VARCHAR)) AS session_id FROM ids
@@ -531,18 +540,59 @@ SELECT req.session_id,
        CASE WHEN m.conv_id IS NOT NULL AND m.conv_id % 7 <> 0 THEN m.title END AS title
 FROM req LEFT JOIN m ON req.conv_id = m.conv_id"""
 
+ORACLES["session_load"] = f"""WITH {SEGS},
+raw AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS raw_text, count(*) AS n FROM segs GROUP BY conv_id),
+e AS (SELECT *, conv_id % 8 AS shape, CASE conv_id % 8 WHEN 3 THEN 'missing metadata.created_at'
+             WHEN 5 THEN 'missing transcript.raw_text' WHEN 6 THEN 'not a JSON object' END AS error FROM raw),
+f AS (SELECT *, error IS NULL AS ok, error IS NULL AND shape <> 4 AS has FROM e)
+SELECT conv_id, CASE WHEN ok THEN 'found' ELSE 'corrupt' END AS status, error,
+       CASE WHEN ok THEN CAST(epoch(TIMESTAMP '2024-03-05 06:07:08') AS BIGINT) END AS created_s, has AS has_transcript,
+       CASE WHEN has THEN CAST(0 AS BIGINT) END AS n_segments, CASE WHEN has THEN CAST(length(raw_text) AS BIGINT) END AS raw_chars,
+       true AS no_summary, CASE WHEN ok THEN n END AS n
+FROM f"""
+
+ORACLES["sink_rerun"] = """SELECT source || '_' || CAST(doc_id AS VARCHAR) AS stem,
+       CAST(length(text) + CASE WHEN doc_id % 3 = 0 THEN 6 ELSE 0 END AS BIGINT) AS raw_chars, CAST(1 AS BIGINT) AS n_segments, lang AS language,
+       CAST(length(text) AS BIGINT) AS presentation_chars, CASE WHEN doc_id % 3 = 0 THEN '[Answer]: yes' ELSE '' END AS structured_qa_text,
+       '{"content":' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE '"' || lang || '"' END || ',"key_points":[],"action_items":[],"topics":["' || lang || '"]}' AS summary_json,
+       'SUMMARY:' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'None' ELSE lang END || chr(10) || chr(10) || 'KEY POINTS:' || chr(10) || chr(10) || chr(10)
+       || 'ACTION ITEMS:' || chr(10) || chr(10) || chr(10) || 'TOPICS:' || chr(10) || lang AS summary_txt
+FROM documents"""
+
 
 # ---------------------------------------------------------------- transcription, run status
 ORACLES["transcribe_batch"] = ORACLES["assemble_transcript"]
 
-ORACLES["session_status"] = """WITH ids AS (SELECT DISTINCT conv_id FROM conversations),
-s AS (SELECT conv_id, CASE WHEN conv_id % 13 = 0 THEN 'failed' ELSE 'ok' END AS t FROM ids),
-x AS (SELECT 'transcription' AS step, t AS status FROM s
-      UNION ALL SELECT 'structuring', CASE WHEN t = 'ok' THEN 'ok' ELSE 'skipped' END FROM s
-      UNION ALL SELECT 'summarization', CASE WHEN t = 'ok' THEN 'ok' ELSE 'skipped' END FROM s
-      UNION ALL SELECT 'archiving', CASE WHEN t = 'ok' THEN 'ok' ELSE 'skipped' END FROM s)
+ORACLES["session_status"] = f"""WITH {SEGS},
+ids AS (SELECT conv_id, length({strip("string_agg(text, ' ' ORDER BY turn)")}) = 0 AS silent FROM segs GROUP BY conv_id),
+s AS (SELECT CASE WHEN conv_id % 11 = 3 THEN 0 WHEN conv_id % 13 = 0 AND conv_id % 7 <> 2 THEN 1
+                  WHEN conv_id % 7 = 2 OR silent THEN 2 ELSE 9 END AS hit FROM ids),
+x AS (SELECT step, CASE WHEN i < hit THEN 'ok' WHEN i = hit THEN 'failed' ELSE 'skipped' END AS status
+      FROM s, (VALUES (0, 'validation'), (1, 'transcription'), (2, 'structuring'), (3, 'summarization'), (4, 'archiving')) AS t(i, step))
 SELECT step, status, count(*) AS n FROM x GROUP BY step, status"""
 
+ORACLES["provider_replies"] = f"""WITH pr AS ({ORACLES["parse_response"]})
+SELECT conv_id, CASE WHEN error IS NOT NULL THEN 'StructuringError' END AS error_class, presentation_chars, qa_text AS structured_qa_text,
+       CASE WHEN conv_id % 5 IN (3, 4) THEN 'SummarizationError' END AS summary_error,
+       CASE conv_id % 5 WHEN 0 THEN CAST(conv_id AS VARCHAR) WHEN 1 THEN '' WHEN 2 THEN '' END AS content,
+       CAST(CASE conv_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 2 THEN 0 END AS BIGINT) AS n_key_points
+FROM pr"""
+
+ORACLES["stage_rerun"] = f"""WITH {FILES}, {OUTS},
+todo AS (SELECT doc_id FROM ({stage_input_sql(0)}) WHERE doc_id NOT IN ({done_sql(('presentation', 'q_and_a'))})),
+c AS (SELECT (SELECT count(*) FROM ({stage_input_sql(0)})) AS found, (SELECT count(*) FROM todo) AS todo,
+             (SELECT count(*) FROM todo WHERE doc_id % 5 = 0) AS failed),
+r AS (SELECT unnest([{{'status': 'found', 'n': found}}, {{'status': 'skipped', 'n': found - todo}},
+                     {{'status': 'processed', 'n': todo - failed}}, {{'status': 'failed', 'n': failed}}]) AS s FROM c)
+SELECT run, s.status, s.n FROM r, (VALUES ('run1'), ('run2'), ('run3')) AS t(run)
+UNION ALL SELECT 'stored', CASE WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'ok' END, count(*) FROM todo GROUP BY ALL"""
+
+ORACLES["stream_transcribe"] = f"""WITH {SEGS}
+SELECT conv_id, CASE WHEN conv_id % 13 = 0 THEN 'TranscriptionError' END AS error_class,
+       CASE WHEN conv_id % 13 <> 0 THEN count(*) END AS n_segments,
+       CASE WHEN conv_id % 13 <> 0 THEN CAST(length(string_agg(text, ' ' ORDER BY turn)) AS BIGINT) END AS raw_chars
+FROM segs GROUP BY conv_id"""
+
 ORACLES["stream_chain"] = ORACLES["qa_render"]
 
 ORACLES["stream_summaries"] = ORACLES["summary_report"]

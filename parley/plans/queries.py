@@ -28,6 +28,7 @@ from parley.streaming import chain as streaming
 from parley.functions import json as pjson
 from parley import schemas
 from parley.sources import sessions as arch
+from parley.sources import sinks, store
 from parley.plans import fixtures as fx
 from parley.spark import read_table, spread, work_path
 
@@ -227,17 +228,15 @@ def force_targets(spark, sf_dir):
 
 @query
 def run_report(spark, sf_dir):
+    files = fx.doc_files(read_table(spark, sf_dir, "documents")).withColumn("stem", inc.stem("name"))
+    name = F.col("name")
+    stage = (F.when(name.endswith(".mp3"), F.lit("transcribe"))
+             .when(name.endswith("_q_and_a.txt"), F.lit("summarize"))
+             .when(name.endswith(".txt") & ~inc.is_derived("stem"), F.lit("structure")))
+    staged = files.select("doc_id", stage.alias("stage"), session_ops.require_text(F.col("text")).isNotNull().alias("bad"))
     outs = fx.stage_outputs(read_table(spark, sf_dir, "labels"))
-    reports = []
-    for stage, residue, required in fx.STAGES:
-        found = stage_inputs(spark, sf_dir, residue)
-        todo = inc.skip_done(found, outs, "doc_id", "kind", required)
-        failed = todo.where(session_ops.require_text(F.col("text")).isNotNull())
-        reports.append(inc.run_report(found, todo, failed, stage))
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
-    return out
+    return inc.stage_report(staged.where(F.col("stage").isNotNull()), outs, "doc_id", "stage", "kind", "bad",
+                            {name_: required for name_, _, required in fx.STAGES})
 
 
 @query
@@ -253,8 +252,9 @@ def session_init(spark, sf_dir):
     files = fx.doc_files(read_table(spark, sf_dir, "documents"))
     title = (F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string"))
              .when(F.col("doc_id") % 3 == 1, F.lit("")).otherwise(F.upper("lang")))
-    s = session_ops.init_session(F.col("name"), title)
-    return files.select("doc_id", s["session_id"].alias("session_id"), s["title"].alias("title"))
+    modified = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id"))
+    s = session_ops.init_session(F.concat(F.col("lang"), F.lit("/"), F.col("name")), modified, title, now=modified)
+    return files.select("doc_id", s["session_id"].alias("session_id"), F.unix_seconds(s["created_at"]).alias("created_s"), s["title"].alias("title"))
 
 
 # ---------------------------------------------------------------- structuring
@@ -296,20 +296,35 @@ def verbatim(spark, sf_dir):
 ACTION_CUES = ("with", "pour", "und", "los")
 
 
-def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, pos, text): merged Answer runs of each session."""
-    t = qa.with_clean_qa(labelled_text(spark, sf_dir), "qa_raw", "qa_text", blocks_out="runs")
-    a = t.select("conv_id", explode_items(qa.answers_only("runs")).alias("b")).where(F.col("b").isNotNull())
-    return a.select("conv_id", F.col("b.pos").alias("pos"), F.col("b.text").alias("text"))
+def runs_of(conv: DataFrame) -> DataFrame:
+    """(conv_id, run_pos, tag, text, n_blocks): merged labelled runs of the turns, as rows."""
+    turns = fx.labelled_turns(conv).where(F.col("tag").isNotNull())
+    rows = turns.select("conv_id", "turn", qa.canonical_tag(F.col("tag")).alias("tag"), strip(F.col("content")).alias("text"))
+    return ordered.merge_runs(rows, "conv_id", "turn", "tag", "text")
+
+
+def summary_rows(conv: DataFrame) -> DataFrame:
+    """(conv_id, pos, text): Answer runs of each session (T11), or its raw text."""
+    runs = runs_of(conv)
+    answers = runs.where(F.col("tag") == "Answer").select("conv_id", F.col("run_pos").cast("long").alias("pos"), "text")
+    raw = fx.segment_rows(conv).select(F.col("session_id").alias("conv_id"), F.col("seg_no").cast("long").alias("pos"), "text")
+    return summ.with_fallback(answers, raw, runs, "conv_id")
 
 
 def summary_parts(spark: SparkSession, sf_dir: str) -> dict:
-    return summ.summarize(answer_blocks(spark, sf_dir), key="conv_id", action_cues=ACTION_CUES)
+    rows = summary_rows(read_table(spark, sf_dir, "conversations"))
+    sents = store.stage_table(summ.answer_sentences(rows, "conv_id", "pos", "text"), "sentences")
+    return summ.summarize(rows, key="conv_id", action_cues=ACTION_CUES, sents=sents)
+
+
+def summary_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = read_table(spark, sf_dir, "conversations").select("conv_id")
+    return summ.summary_table(summary_parts(spark, sf_dir), "conv_id", keys)
 
 
 @query
 def summary_key_points(spark, sf_dir):
-    t = summ.summary_table(summary_parts(spark, sf_dir), "conv_id")
+    t = summary_of_all(spark, sf_dir)
     return t.select("conv_id", F.array_join("key_points", "\n").alias("key_points"), "content")
 
 
@@ -321,14 +336,14 @@ def summary_topics(spark, sf_dir):
 
 @query
 def summary_actions(spark, sf_dir):
-    t = summ.summary_table(summary_parts(spark, sf_dir), "conv_id")
+    t = summary_of_all(spark, sf_dir)
     return t.select("conv_id", F.size("action_items").cast("long").alias("n_actions"),
                     F.array_join("action_items", "\n").alias("action_items"))
 
 
 @query
 def summary_report(spark, sf_dir):
-    t = summ.summary_table(summary_parts(spark, sf_dir), "conv_id")
+    t = summary_of_all(spark, sf_dir)
     return t.select("conv_id", summ.render_report(F.col("content"), F.col("key_points"), F.col("action_items"),
                                                   F.col("topics")).alias("report"))
 
@@ -395,17 +410,17 @@ def step_timing(spark, sf_dir):
 
 @query
 def vocabulary_hits(spark, sf_dir):
-    terms = ev.vocabulary_terms(read_table(spark, sf_dir, "benchmark"), min_chars=10, max_n=2)
+    terms = ev.vocabulary_terms(read_table(spark, sf_dir, "benchmark"))
     hits = ev.vocabulary_coverage(spread(read_table(spark, sf_dir, "documents")), terms, "doc_id")
     return hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("hits").alias("hits"))
 
 
 @query
 def vocabulary_missed(spark, sf_dir):
-    terms = ev.vocabulary_terms(read_table(spark, sf_dir, "benchmark"), min_chars=8, max_n=1)
+    terms = ev.vocabulary_terms(read_table(spark, sf_dir, "benchmark"))
     conv = read_table(spark, sf_dir, "conversations")
     pairs = ev.pair_cases(fx.reference_cases(conv), fx.hypotheses(conv), ["conv_id", "turn"])
-    missed = ev.missed_terms(pairs, terms, ["conv_id", "turn", "model"], max_n=1)
+    missed = ev.missed_terms(pairs, terms, ["conv_id", "turn", "model"])
     return missed.groupBy("model", "term").agg(F.count(F.lit(1)).alias("n_cases"))
 
 
@@ -419,60 +434,115 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("session_id", "conv_id"))
     qa_t = qa.with_clean_qa(labelled_text(spark, sf_dir), "qa_raw", "qa_text").select("conv_id", "qa_text")
     j = (transcripts(spark, sf_dir).join(segs, "conv_id")
-         .join(presentation_text(spark, sf_dir), "conv_id", "left").join(qa_t, "conv_id", "left"))
+         .join(presentation_text(spark, sf_dir), "conv_id", "left").join(qa_t, "conv_id", "left")
+         .join(summary_of_all(spark, sf_dir).select("conv_id", F.struct("content", "key_points", "action_items", "topics").alias("summary")),
+               "conv_id", "left"))
     sid = F.sha2(F.col("conv_id").cast("string"), 256)
     meta = F.struct(sid.alias("session_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id")).alias("created_at"),
                     F.concat(F.lit("session "), F.col("conv_id").cast("string")).alias("title"),
                     F.col("duration").alias("duration_seconds"),
-                    F.to_json(F.create_map(F.lit("turns"), F.col("n_segments"))).alias("extra_info"))
+                    F.parse_json(F.to_json(F.create_map(F.lit("turns"), F.col("n_segments")))).alias("extra_info"))
     tr = F.struct(F.col("raw_text"), F.col("segments"), F.lit(None).cast("string").alias("language"))
     return j.select("conv_id", sid.alias("session_id"), meta.alias("metadata"), tr.alias("transcript"),
                     F.col("presentation").alias("presentation_text"), F.col("qa_text").alias("structured_qa_text"),
-                    F.lit(None).cast(schemas.SUMMARY).alias("summary"))
+                    F.col("summary").alias("summary"))
 
 
 @query
 def session_roundtrip(spark, sf_dir):
     s = sessions(spark, sf_dir)
     docs = s.select("conv_id", pjson.to_document(arch.session_struct(s)).alias("document"))
-    back = docs.withColumn("_s", pjson.from_document(F.col("document"), schemas.SESSION))
-    ok = pjson.to_document(F.col("_s")) == F.col("document")
+    back = arch.from_json_documents(docs)
+    ok = F.coalesce(pjson.to_document(F.col("_s")) == F.col("document"), F.lit(False))
     return back.select(F.col("_s.session_id").alias("session_id"), ok.alias("roundtrip_ok"),
                        F.col("_s.metadata.title").alias("title"),
                        F.size("_s.transcript.segments").cast("long").alias("n_segments"),
-                       F.length("_s.transcript.raw_text").cast("long").alias("raw_chars"))
+                       F.length("_s.transcript.raw_text").cast("long").alias("raw_chars"),
+                       F.size("_s.summary.topics").cast("long").alias("n_topics"),
+                       F.get_json_object("document", "$.metadata.extra_info.turns").cast("long").alias("turns"))
 
 
-def versions(spark: SparkSession, sf_dir: str):
-    s = sessions(spark, sf_dir)
-    existing = s.where(F.col("conv_id") % 2 == 0).withColumn("version", F.lit(1))
-    upd = (s.where(F.col("conv_id") % 3 == 0).withColumn("version", F.lit(2))
-           .withColumn("metadata", F.col("metadata").withField(
-               "title", F.concat(F.col("metadata.title"), F.lit(" (v2)")))))
-    return existing, upd
+def saved_archive(spark: SparkSession, sf_dir: str) -> str:
+    """Path of an archive after two runs: every session as version 1, then every
+    third one as version 2, written twice by a run that was retried."""
+    s = store.stage_table(sessions(spark, sf_dir).withColumn("version", F.lit(1).cast("long")), "sessions")
+    upd = (s.where(F.col("conv_id") % 3 == 0).withColumn("version", F.lit(2).cast("long"))
+           .withColumn("metadata", F.col("metadata").withField("title", F.concat(F.col("metadata.title"), F.lit(" (v2)")))))
+    path = work_path(spark, "archive")
+    arch.save_sessions(s.unionByName(s.where(F.col("conv_id") % 4 == 0)), path, run_id="r1")  # the first save has repeated ids
+    for _ in range(2):
+        arch.save_sessions(upd, path, run_id="r2")
+    return path
 
 
 @query
 def session_upsert(spark, sf_dir):
-    existing, upd = versions(spark, sf_dir)
-    merged = arch.upsert(existing, upd)
-    return merged.select("session_id", F.col("version").cast("long").alias("version"), F.col("metadata.title").alias("title"))
+    rows = arch.archive(spark, saved_archive(spark, sf_dir))
+    return rows.select("session_id", "version", F.get_json_object("document", "$.metadata.title").alias("title"),
+                       F.length("presentation_text").cast("long").alias("presentation_chars"),
+                       F.length("structured_qa_text").cast("long").alias("qa_chars"))
 
 
 @query
 def session_lookup(spark, sf_dir):
-    existing, upd = versions(spark, sf_dir)
-    merged = arch.upsert(existing, upd)
-    docs = arch.to_json_documents(merged).join(merged.select("session_id", "conv_id"), "session_id")
-    docs = docs.withColumn("document", F.when(F.col("conv_id") % 7 == 0,
-                                              F.substring("document", 1, 40)).otherwise(F.col("document")))
+    rows = arch.archive(spark, saved_archive(spark, sf_dir)).select("session_id", "document")
     ids = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    req = ids.select(F.sha2(F.col("conv_id").cast("string"), 256).alias("session_id")).unionByName(
+    sid = ids.select("conv_id", F.sha2(F.col("conv_id").cast("string"), 256).alias("id"))
+    rows = rows.join(sid, F.col("session_id") == F.col("id")).withColumn(
+        "document", F.when(F.col("conv_id") % 7 == 0, F.substring("document", 1, 40)).otherwise(F.col("document")))
+    req = sid.select(F.col("id").alias("session_id")).unionByName(
         ids.where(F.col("conv_id") % 5 == 0).select(F.sha2((F.col("conv_id") + 1000000).cast("string"), 256).alias("session_id")))
-    res = arch.lookup(req, docs)
+    res = arch.lookup(req, rows)
     return res.select("session_id", "status", F.col("session.metadata.title").alias("title"))
 
 
+@query
+def session_load(spark, sf_dir):
+    """S4 on documents of eight shapes: complete, other forms of time, optional or
+    required parts missing, broken."""
+    raw = transcripts(spark, sf_dir)
+    sid = F.sha2(F.col("conv_id").cast("string"), 256)
+    shape = F.col("conv_id") % 8
+    q_ = lambda c: F.to_json(F.struct(c.alias("x")))
+    text = F.regexp_extract(q_(F.col("raw_text")), r'^\{"x":(.*)\}$', 1)
+    created = (F.when(shape == 1, F.lit("2024-03-05T06:07:08")).when(shape == 2, F.lit("2024-03-05T08:07:08+02:00"))
+               .when(shape == 3, F.lit("yesterday")).otherwise(F.lit("2024-03-05T06:07:08.5+00:00")))
+    meta = F.concat(F.lit('"metadata":{"session_id":"'), sid, F.lit('","created_at":"'), created, F.lit('","extra_info":{"n":'), F.col("n_segments").cast("string"), F.lit("}}"))
+    tr = (F.when(shape == 4, F.lit('"transcript":{}')).when(shape == 5, F.lit('"transcript":{"segments":[]}'))
+          .otherwise(F.concat(F.lit('"transcript":{"raw_text":'), text, F.lit("}"))))
+    doc = F.concat(F.lit('{"session_id":"'), sid, F.lit('",'), meta, F.lit(","), tr, F.lit(',"summary":{}}'))
+    doc = F.when(shape == 6, F.substring(doc, 1, 50)).otherwise(doc)
+    r = arch.from_json_documents(raw.select("conv_id", doc.alias("document")))
+    return r.select("conv_id", "status", "error", F.unix_seconds("_s.metadata.created_at").alias("created_s"),
+                    F.col("_s.transcript").isNotNull().alias("has_transcript"), F.size("_s.transcript.segments").cast("long").alias("n_segments"),
+                    F.length("_s.transcript.raw_text").cast("long").alias("raw_chars"), F.col("_s.summary").isNull().alias("no_summary"),
+                    F.try_variant_get("_s.metadata.extra_info", "$.n", "long").alias("n"))
+
+
+@query
+def sink_rerun(spark, sf_dir):
+    """K1-K3: all stems written, then every third one again with another text; all
+    stems are still there, and the later text wins."""
+    d = read_table(spark, sf_dir, "documents").select(F.concat("source", F.lit("_"), F.col("doc_id").cast("string")).alias("stem"), "doc_id", "text", "lang")
+    seg = F.array(F.struct(F.lit(0.0).alias("start_time"), F.lit(0.0).alias("end_time"), F.col("text").alias("text"), F.lit(None).cast("string").alias("speaker")))
+    tr = d.withColumn("transcript", F.struct(F.col("text").alias("raw_text"), seg.alias("segments"), F.col("lang").alias("language")))
+    path = work_path(spark, "sinks")
+    again = lambda df: df.where(F.col("doc_id") % 3 == 0)
+    changed = again(tr).withColumn("transcript", F.col("transcript").withField("raw_text", F.concat(F.lit("again "), F.col("text"))))
+    sinks.write_transcripts(tr, f"{path}/k1", "r1"), sinks.write_transcripts(changed, f"{path}/k1", "r2")
+    st = d.select("stem", "doc_id", F.col("text").alias("presentation_text"), F.lit("").alias("structured_qa_text"))
+    sinks.write_structure(st, f"{path}/k2", "r1")
+    sinks.write_structure(again(st).withColumn("structured_qa_text", F.lit("[Answer]: yes")), f"{path}/k2", "r2")
+    empty = F.array().cast("array<string>")
+    su = d.select(F.col("stem").alias("base"), "doc_id", F.col("lang").alias("content"), empty.alias("key_points"), empty.alias("action_items"), F.array("lang").alias("topics"))
+    sinks.write_summaries(su, f"{path}/k3", "r1"), sinks.write_summaries(again(su).withColumn("content", F.lit(None).cast("string")), f"{path}/k3", "r2")
+    k1, k2 = sinks.read_outputs(spark, f"{path}/k1"), sinks.read_outputs(spark, f"{path}/k2")
+    k3 = sinks.read_outputs(spark, f"{path}/k3", "base").withColumnRenamed("base", "stem")
+    return k1.join(k2, "stem", "full").join(k3, "stem", "full").select(
+        "stem", F.length("raw_text").cast("long").alias("raw_chars"), F.size("segments").cast("long").alias("n_segments"), "language",
+        F.length("presentation_text").cast("long").alias("presentation_chars"), "structured_qa_text", "summary_json", "summary_txt")
+
+
 # ---------------------------------------------------------------- transcription, run status
 def audio_payloads(spark: SparkSession, sf_dir: str, corrupt_every: int | None = None) -> DataFrame:
     """(conv_id, path, content): one timed-text 'recording' per session."""
@@ -499,59 +569,105 @@ def transcribe_batch(spark, sf_dir):
 
 @query
 def session_status(spark, sf_dir):
-    files = audio_payloads(spark, sf_dir, corrupt_every=13)
-    qa_t = qa.with_clean_qa(labelled_text(spark, sf_dir), "qa_raw", "qa_text").select("conv_id", "qa_text")
-    runs = flow.run_sessions(files, qa_t, key="conv_id")
+    """E1 with failures at each step: missing, unreadable and blank recordings, and one
+    whose transcript has no answers to a question."""
+    files = audio_payloads(spark, sf_dir, corrupt_every=13).withColumn("title", F.lit(None).cast("string"))
+    blank = F.encode(F.lit('{"start": 0, "end": 1, "text": " "}'), "UTF-8")
+    content = (F.when(F.col("conv_id") % 11 == 3, F.lit(None).cast("binary")).when(F.col("conv_id") % 7 == 2, blank).otherwise(F.col("content")))
+    files = files.withColumn("content", content).withColumn("modificationTime", F.timestamp_seconds(F.lit(1704067200)))
+    runs = flow.run_pipeline(files, work_path(spark, "archive"), "r1", QA_CUES, QUESTION_CUES, ACTION_CUES)
     return flow.status_counts(runs)
 
 
+@query
+def provider_replies(spark, sf_dir):
+    """M2 and M3 by a provider (U1, U2): recorded replies of all shapes; bad ones are error rows."""
+    asked = structure_responses(spark, sf_dir)
+    made = providers.structurize(asked, "recorded", "conv_id", "response")
+    told = asked.withColumn("response", F.when(F.col("conv_id") % 5 == 0, F.to_json(F.struct(
+        F.col("conv_id").cast("string").alias("content"), F.array(F.lit("a"), F.lit("b")).alias("key_points")))).otherwise(F.col("response")))
+    summed = providers.summarize(told, "recorded", "conv_id", "response").select(
+        F.col("conv_id").alias("id"), "summary", F.col("error_class").alias("summary_error"))
+    return made.join(summed, F.col("conv_id") == F.col("id")).select(
+        "conv_id", "error_class", F.length("presentation_text").cast("long").alias("presentation_chars"), "structured_qa_text",
+        "summary_error", F.col("summary.content").alias("content"), F.size("summary.key_points").cast("long").alias("n_key_points"))
+
+
+@query
+def stage_rerun(spark, sf_dir):
+    """E2 run twice under one id, then once more under another: the reports of each
+    run, and the rows that the table holds in the end."""
+    outs = fx.stage_outputs(read_table(spark, sf_dir, "labels"))
+    sink, found = work_path(spark, "stage"), stage_inputs(spark, sf_dir, 0)
+
+    def stage(df):
+        return df.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("Refused")).alias("error_class"))
+
+    reports = [store.stage_table(flow.run_stage(found, outs, "doc_id", "name", "kind", ("presentation", "q_and_a"), stage, sink,
+                                                "structure", run_id=r), "report") for r in ("r1", "r1", "r2")]
+    rows = store.latest(store.read_runs(spark, sink), "doc_id").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    out = rows.select(F.lit("stored").alias("run"), "status", "n")
+    for i, r in enumerate(reports):
+        out = out.unionByName(r.select(F.lit(f"run{i + 1}").alias("run"), "status", "n"))
+    return out
+
+
 # ---------------------------------------------------------------- streaming
-def _labelled_stage(batch: DataFrame) -> DataFrame:
+def _labelled_stage(batch: DataFrame, batch_id: int = 0) -> DataFrame:
     turns = fx.labelled_turns(batch).where(F.col("tag").isNotNull())
     lines = turns.select("conv_id", "turn", F.concat(F.lit("["), "tag", F.lit("]: "), "content").alias("line"))
     return ordered.ordered_concat(lines, "conv_id", "turn", "line", sep="\n", out="qa_raw").drop("n_items")
 
 
-def _clean_stage(batch: DataFrame) -> DataFrame:
+def _clean_stage(batch: DataFrame, batch_id: int = 0) -> DataFrame:
     return qa.with_clean_qa(batch, "qa_raw", "qa_text").select("conv_id", "qa_text")
 
 
 @query
 def stream_chain(spark, sf_dir):
-    """The conversations file flows through labelling and Q&A cleaning
+    """The conversations table flows through labelling and Q&A cleaning
     as two chained streaming stages; the result equals the batch qa_render."""
     schema = read_table(spark, sf_dir, "conversations").schema
-    sink = streaming.chain(spark, sf_dir, schema, [("label", _labelled_stage), ("clean", _clean_stage)],
-                           name="stream_chain", path_glob="conversations.parquet")
-    return spark.read.parquet(sink)
+    rows, _ = streaming.chain(spark, f"{sf_dir}/conversations.parquet", schema, [
+        ("label", _labelled_stage, "conv_id long, qa_raw string"), ("clean", _clean_stage, "conv_id long, qa_text string")],
+        name="stream_chain", key="conv_id")
+    return rows
+
+
+@query
+def stream_transcribe(spark, sf_dir):
+    """Recordings as files flow through M1; unreadable ones are quarantined."""
+    pay = audio_payloads(spark, sf_dir, corrupt_every=13).select("conv_id", F.decode("content", "UTF-8").alias("value"))
+    folder, sink = work_path(spark, "recordings"), work_path(spark, "transcripts")
+    pay.repartition("conv_id").sortWithinPartitions("conv_id").write.partitionBy("conv_id").text(folder)
 
+    def heard(batch, batch_id):
+        t = providers.transcribe(batch.select("path", "content"), "timed_text")
+        return t.select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), "error_class",
+                        F.size("transcript.segments").cast("long").alias("n_segments"), F.length("transcript.raw_text").cast("long").alias("raw_chars"))
 
-def _answers_of(batch: DataFrame) -> DataFrame:
-    t = qa.with_clean_qa(batch, "qa_raw", "qa_text", blocks_out="runs")
-    a = t.select("conv_id", explode_items(qa.answers_only("runs")).alias("b")).where(F.col("b").isNotNull())
-    return a.select("conv_id", F.col("b.pos").alias("pos"), F.col("b.text").alias("text"))
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    streaming.run_stage(spark, folder, schema, heard, sink, f"{sink}_checkpoint", fmt="binaryFile", path_glob="*.txt", recursive=True)
+    out = "conv_id long, error_class string, n_segments long, raw_chars long"
+    return streaming.read_sink(spark, sink, out).unionByName(streaming.read_sink(spark, sink, out, "failed"))
 
 
 @query
 def stream_summaries(spark, sf_dir):
-    """Labelled text -> summaries as chained streaming stages. The
-    summary stage takes document frequencies from the labelled sink so far (a
-    static side table read per micro-batch)."""
+    """Turns -> summaries as a streaming stage. Document frequencies are a side
+    table to which each micro-batch adds its own counts."""
     schema = read_table(spark, sf_dir, "conversations").schema
-    holder = {}
-
-    def label(batch):
-        return _labelled_stage(batch)
+    base = work_path(spark, "stream_summaries")
 
-    def summarize(batch):
-        corpus = _answers_of(batch.sparkSession.read.parquet(holder["label_sink"]))
-        parts = summ.summarize(_answers_of(batch), key="conv_id", action_cues=ACTION_CUES, corpus=corpus)
-        t = summ.summary_table(parts, "conv_id")
+    def summarize(batch, batch_id):
+        sents = store.stage_table(summ.answer_sentences(summary_rows(batch), "conv_id", "pos", "text"), "sentences")
+        summ.term_counts(sents, "conv_id").write.mode("overwrite").parquet(f"{base}/counts/batch_id={batch_id}")
+        so_far = spark.read.parquet(f"{base}/counts").where(F.col("batch_id") <= batch_id)
+        parts = summ.summarize(None, key="conv_id", action_cues=ACTION_CUES, sents=sents, counts=so_far)
+        t = summ.summary_table(parts, "conv_id", batch)
         return t.select("conv_id", summ.render_report(F.col("content"), F.col("key_points"), F.col("action_items"),
                                                       F.col("topics")).alias("report"))
 
-    base = work_path(spark, "stream_summaries")
-    holder["label_sink"] = f"{base}/0_label/data"
-    sink = streaming.chain(spark, sf_dir, schema, [("label", label), ("summary", summarize)],
-                           root=base, path_glob="conversations.parquet")
-    return spark.read.parquet(sink)
+    rows, _ = streaming.chain(spark, f"{sf_dir}/conversations.parquet", schema, [("summary", summarize, "conv_id long, report string")],
+                              root=base, key="conv_id")
+    return rows

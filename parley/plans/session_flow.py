@@ -1,66 +1,108 @@
-"""Per-session stage chain (E1): transcribe -> [structure] -> summarize ->
-archive, one lazy plan with a status column gating later steps.
+"""The session pipeline (E1) and the batch stage runner.
 
-A step runs only for sessions whose previous steps succeeded; a failed step
-records its error and later steps report ``skipped`` for that session.
+E1: validate the sources, initialise sessions, transcribe, structure, choose the
+summary's input, summarise, archive. Each stage's output is stored and is the
+next one's input; a session that fails a step stops there, and its status is read
+from what was stored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable, Sequence
 
-from parley.operators import providers
-from parley.operators.session import require_text, summary_input
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-STEPS = ("transcription", "structuring", "summarization", "archiving")
+from parley.operators import incremental as inc
+from parley.operators import providers, structure
+from parley.operators import summary as summ
+from parley.operators.session import init_session, require_text, summary_input
+from parley.functions import qa
+from parley.functions.text import explode_items
+from parley.sources import sessions as arch
+from parley.sources import store
 
+STEPS = ("validation", "transcription", "structuring", "summarization", "archiving")
 
-def _step(prev_ok: Column, error: Column) -> Column:
-    return (F.when(~prev_ok, F.lit("skipped"))
-            .when(error.isNotNull(), F.lit("failed")).otherwise(F.lit("ok")))
 
+def run_pipeline(files: DataFrame, archive_path: str, run_id: str, qa_cues: Sequence[str], question_cues: Sequence[str],
+                 action_cues: Sequence[str] = summ.DEFAULT_ACTION_CUES, provider: str | providers.Provider = "timed_text",
+                 structurizer: str | providers.Provider | None = None) -> DataFrame:
+    """Run every step for the files (path, modificationTime, title, content) and archive
+    the sessions. Returns (path, session_id, failed_step, error), one row per file.
 
-def run_sessions(files: DataFrame, structured: DataFrame | None, key: str, provider: str = "timed_text") -> DataFrame:
-    """(key, <step>_status ...) for each session file. ``structured`` holds the
-    (key, qa_text) output of the structuring step, or None to skip it."""
-    t = providers.transcribe(files, provider).join(files.select(key, "path"), "path")
-    s = t.join(structured, key, "left") if structured is not None else t.withColumn("qa_text", F.lit(None).cast("string"))
-    ok1 = F.col("error_class").isNull()
-    err2 = require_text(F.col("transcript.raw_text"))
-    ok2 = ok1 & err2.isNull()
-    inp = summary_input(F.col("qa_text"), F.col("transcript.raw_text"))
-    err3 = require_text(inp)
-    ok3 = ok2 & err3.isNull()
-    return s.select(key,
-                    _step(F.lit(True), F.col("error_class")).alias("transcription"),
-                    _step(ok1, err2).alias("structuring"),
-                    _step(ok2, err3).alias("summarization"),
-                    _step(ok3, F.lit(None)).alias("archiving"))
+    ``content`` null means that the file is missing. ``structurizer`` names a
+    provider; by default rules split and label the transcript.
+    """
+    key = "session_id"
+    s = init_session(F.col("path"), F.col("modificationTime"), F.col("title"))
+    started = store.stage_table(files.select("path", "content", s.alias("s")).select("path", "content", "s.*"), "started")
+    present = started.where(F.col("content").isNotNull())
+    heard = store.stage_table(providers.transcribe(present, provider, key=key), "heard")
+    good = heard.where(F.col("error_class").isNull()).select(key, "transcript")
+    good = good.withColumn("_text", F.col("transcript.raw_text")).withColumn("_bad", require_text(F.col("_text")))
+    if structurizer:
+        made = providers.structurize(good.where("_bad is null"), structurizer, key, "_text")
+    else:
+        made = structure.with_structure(good.where("_bad is null"), "_text", qa_cues, question_cues).select(
+            key, F.col("presentation").alias("presentation_text"), "structured_qa_text",
+            F.lit(None).cast("string").alias("error_class"), F.lit(None).cast("string").alias("error_msg"))
+    made = store.stage_table(made, "structured")
+    parts = good.drop("_bad").join(made.where(F.col("error_class").isNull()).drop("error_class", "error_msg"), key)
+    parts = parts.withColumn("_input", summary_input(F.col("structured_qa_text"), F.col("_text"))).withColumn("_bad", require_text(F.col("_input")))
+    parts = store.stage_table(parts, "parts")
+    usable = parts.where("_bad is null")
+    blocks = qa.with_clean_qa(usable, "structured_qa_text", "_clean", blocks_out="_runs")
+    answers = blocks.select(key, explode_items(qa.answers_only("_runs")).alias("b")).where(F.col("b").isNotNull())
+    answers = answers.select(key, F.col("b.pos").cast("long").alias("pos"), F.col("b.text").alias("text"))
+    with_qa = usable.where(F.length(F.coalesce("structured_qa_text", F.lit(""))) > 0)
+    raw = usable.select(key, F.lit(0).cast("long").alias("pos"), F.col("_text").alias("text"))
+    rows = summ.with_fallback(answers, raw, with_qa, key)
+    sents = store.stage_table(summ.answer_sentences(rows, key, "pos", "text"), "sentences")
+    table = summ.summary_table(summ.summarize(rows, key, action_cues=action_cues, sents=sents), key, usable)
+    summary = table.select(key, F.struct("content", "key_points", "action_items", "topics").alias("summary"))
+    done = usable.join(summary, key).join(started.drop("content", "path"), key)
+    done = done.withColumn("metadata", F.struct(
+        F.col(key), "created_at", "title", F.array_max(F.transform("transcript.segments", lambda x: x["end_time"])).alias("duration_seconds"),
+        F.parse_json(F.lit("{}")).alias("extra_info"))).withColumn("version", F.unix_micros("created_at"))
+    arch.save_sessions(done, archive_path, run_id=run_id)
+    saved = arch.archive(files.sparkSession, archive_path).select(F.col(key).alias("_saved"))
+    one = lambda df, cls, msg, step: df.select(F.col(key).alias("_id"), F.lit(step).alias("failed_step"), cls.alias("error"), msg.alias("error_msg"))
+    none = F.lit(None).cast("string")
+    failures = (one(started.where(F.col("content").isNull()), F.lit("MissingSource"), none, STEPS[0])
+                .unionByName(one(heard.where(F.col("error_class").isNotNull()), F.col("error_class"), F.col("error_msg"), STEPS[1]))
+                .unionByName(one(good.where("_bad is not null"), F.col("_bad"), none, STEPS[2]))
+                .unionByName(one(made.where(F.col("error_class").isNotNull()), F.col("error_class"), F.col("error_msg"), STEPS[2]))
+                .unionByName(one(parts.where("_bad is not null"), F.col("_bad"), none, STEPS[3])))
+    out = started.select("path", key).join(failures, F.col(key) == F.col("_id"), "left").join(saved, F.col(key) == F.col("_saved"), "left")
+    lost = F.col("failed_step").isNull() & F.col("_saved").isNull()
+    return out.select("path", key, F.when(lost, F.lit(STEPS[4])).otherwise(F.col("failed_step")).alias("failed_step"),
+                      F.when(lost, F.lit("StorageError")).otherwise(F.col("error")).alias("error"))
 
 
 def status_counts(runs: DataFrame) -> DataFrame:
-    """(step, status, n)."""
-    stacked = runs.select(F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.col(s).alias("status"))
-                                              for s in STEPS])).alias("x"))
-    return stacked.groupBy("x.step", "x.status").agg(F.count(F.lit(1)).alias("n"))
-
+    """(step, status, n) of rows with a ``failed_step``: ok before it, skipped after it."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("step")) for i, s in enumerate(STEPS)])
+    at = F.array_position(F.array(*[F.lit(s) for s in STEPS]), F.col("failed_step")) - 1
+    x = runs.select(at.alias("at"), F.explode(steps).alias("x"))
+    status = (F.when(F.col("at").isNull() | (F.col("x.i") < F.col("at")), F.lit("ok"))
+              .when(F.col("x.i") == F.col("at"), F.lit("failed")).otherwise(F.lit("skipped")))
+    return x.groupBy("x.step", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
-def run_stage(inputs: DataFrame, outputs: DataFrame, key: str, name_col: str, kind_col: str,
-              required, stage_fn, sink: str, quarantine: str, stage_name: str, targets=None) -> DataFrame:
-    """E2 (batch): P2 target filter -> J1/J3 work selection -> stage -> sink,
-    with per-row isolation (R5) and the A7 run report as the result.
 
-    ``stage_fn`` maps the selected rows to rows with an ``error_class`` column.
-    The stage output is written once and read back, so the report counts what
-    was stored and the stage (a model call) is never recomputed."""
-    from parley.operators import incremental as inc
+def run_stage(inputs: DataFrame, outputs: DataFrame, key: str, name_col: str, kind_col: str, required: Sequence[str],
+              stage_fn: Callable[[DataFrame], DataFrame], sink: str, stage_name: str, run_id: str | None = None,
+              targets: Sequence[str] | None = None) -> DataFrame:
+    """E2 (batch): P2 target filter -> J1/J3 work selection -> stage -> sink, and the
+    A7 report of this run.
 
+    ``stage_fn`` maps the selected rows to rows with an ``error_class`` column. Its
+    rows are written once, as one run of the table at ``sink`` with folders by
+    status (R5: the failed ones are the quarantine), and the report counts what was
+    stored. The same ``run_id`` again replaces that run."""
     found = inc.filter_targets(inputs, name_col, targets)
     todo = inc.select_work(found, outputs, key, name_col, kind_col, required, targets)
-    result = stage_fn(todo)
-    result.write.mode("append").parquet(sink + "/_all")
-    stored = inputs.sparkSession.read.parquet(sink + "/_all")
-    stored.where(F.col("error_class").isNull()).write.mode("append").parquet(sink + "/ok")
-    stored.where(F.col("error_class").isNotNull()).write.mode("append").parquet(quarantine)
-    return inc.run_report(found, todo, stored.where(F.col("error_class").isNotNull()), stage_name)
+    status = F.when(F.col("error_class").isNull(), F.lit("ok")).otherwise(F.lit("failed"))
+    run_id = store.write_run(stage_fn(todo).withColumn("status", status), sink, run_id, ["status"])
+    mine = store.read_runs(inputs.sparkSession, sink).where(F.col("run_id") == run_id)
+    return inc.run_report(found, mine, mine.where(F.col("status") == "failed"), stage_name)

@@ -19,14 +19,13 @@ SUMMARY = T.StructType([
     T.StructField("action_items", T.ArrayType(T.StringType()), True),
     T.StructField("topics", T.ArrayType(T.StringType()), True),
 ])
-# extra_info holds free-form values: kept as a JSON string (VARIANT on engines
-# and connectors that support it).
+# extra_info holds free-form values
 METADATA = T.StructType([
     T.StructField("session_id", T.StringType(), False),
     T.StructField("created_at", T.TimestampType(), False),
     T.StructField("title", T.StringType(), True),
     T.StructField("duration_seconds", T.DoubleType(), True),
-    T.StructField("extra_info", T.StringType(), True),
+    T.StructField("extra_info", T.VariantType(), True),
 ])
 SESSION = T.StructType([
     T.StructField("session_id", T.StringType(), False),

@@ -5,62 +5,84 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions.json import from_document, is_object, to_document
-from parley.schemas import SESSION, SESSION_FIELDS
+from parley.functions.json import decode_session, to_document
+from parley.schemas import SESSION_FIELDS
+from parley.sources import store
+
+
+class StorageError(Exception):
+    """A stored session that cannot be decoded."""
+
+
+class SessionNotFound(Exception):
+    """No session has the id."""
 
 
 def session_struct(df: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in SESSION_FIELDS])
 
 
-def to_json_documents(sessions: DataFrame, version_col: str | None = None) -> DataFrame:
-    """(session_id, [version,] document): one JSON document per session."""
-    cols = [F.col("session_id")] + ([F.col(version_col)] if version_col else [])
-    return sessions.select(*cols, to_document(session_struct(sessions)).alias("document"))
+def to_json_documents(sessions: DataFrame, *keep: str) -> DataFrame:
+    """(session_id, [kept columns,] document): one JSON document per session."""
+    return sessions.select("session_id", *keep, to_document(session_struct(sessions)).alias("document"))
 
 
 def from_json_documents(docs: DataFrame, doc_col: str = "document") -> DataFrame:
-    """Decode documents; adds ``status`` = found | corrupt. Required fields
-    (session_id, metadata.session_id, metadata.created_at) must be present."""
-    parsed = docs.withColumn("_s", from_document(F.col(doc_col), SESSION))
-    ok = (is_object(F.col(doc_col)) & F.col("_s.session_id").isNotNull()
-          & F.col("_s.metadata.session_id").isNotNull() & F.col("_s.metadata.created_at").isNotNull())
-    return parsed.withColumn("status", F.when(ok, F.lit("found")).otherwise(F.lit("corrupt")))
+    """Decode documents; adds ``_s`` (the session), ``status`` found | corrupt, and
+    ``error``, which names the required fields that are missing."""
+    parsed = docs.withColumn("_d", decode_session(F.col(doc_col)))
+    found = F.col("_d.error").isNull()
+    return parsed.select(*docs.columns, F.when(found, F.col("_d.session")).alias("_s"),
+                         F.when(found, F.lit("found")).otherwise(F.lit("corrupt")).alias("status"),
+                         F.col("_d.error").alias("error"))
 
 
 def upsert(existing: DataFrame, updates: DataFrame, version_col: str = "version") -> DataFrame:
-    """K4: the latest version of every session id in either input.
+    """K4: the latest version of every session id in either input, one row each."""
+    return store.one_per_key(existing.unionByName(updates), "session_id", (version_col,))
+
+
+def id_bucket(session_id: Column) -> Column:
+    return F.substring(F.sha2(session_id, 256), 1, 2)
+
 
-    ``max_by`` is a plain aggregate: each partition pre-reduces its copies of
-    an id before the shuffle, so many copies of one id stay cheap."""
-    both = existing.unionByName(updates)
-    latest = both.groupBy("session_id").agg(F.max_by(F.struct(*both.columns), F.col(version_col)).alias("_r"))
-    return latest.select("_r.*")
+def save_sessions(new: DataFrame, path: str, version_col: str = "version", run_id: str | None = None) -> str:
+    """K4 on storage: one run of the archive at ``path`` with the latest version of
+    each id in ``new``: the document, and the presentation and Q&A texts where
+    they are not null. Folders by id bucket let lookups skip the other files."""
+    texts = new.select("session_id", F.col(version_col).cast("long").alias("version"), "presentation_text", "structured_qa_text",
+                       to_document(session_struct(new)).alias("document"))
+    rows = store.one_per_key(texts, "session_id", ("version",))
+    return store.write_run(rows.withColumn("id_bucket", id_bucket(F.col("session_id"))), path, run_id, ["id_bucket"])
 
 
-def save_sessions(new: DataFrame, table_path: str | None, out_path: str, version_col: str = "version") -> DataFrame:
-    """K4 on storage: merge ``new`` into the table at ``table_path`` and write
-    the result to ``out_path`` (a new folder: the old one is still being read),
-    partitioned by an id bucket so point lookups prune files."""
-    spark = new.sparkSession
-    merged = upsert(spark.read.parquet(table_path), new, version_col) if table_path else new
-    (merged.withColumn("id_bucket", F.substring("session_id", 1, 2))
-     .write.mode("errorifexists").partitionBy("id_bucket").parquet(out_path))
-    return spark.read.parquet(out_path)
+def archive(spark: SparkSession, path: str) -> DataFrame:
+    """The latest row of each archived session."""
+    return store.latest(store.read_runs(spark, path), "session_id", ("version", "run_id"))
 
 
 def load_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Read session JSON files (one document per file, multi-line)."""
-    raw = spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "document")
-    dec = from_json_documents(raw)
-    return dec.where(F.col("status") == "found").select("_s.*")
+    """Session JSON files, one document each: (file, status, error, session).
+    Files that cannot be decoded are rows too, never dropped."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
+    return from_json_documents(raw).select("file", "status", "error", F.col("_s").alias("session"))
 
 
-def lookup(requests: DataFrame, store: DataFrame, id_col: str = "session_id", doc_col: str = "document") -> DataFrame:
+def lookup(requests: DataFrame, stored: DataFrame, id_col: str = "session_id", doc_col: str = "document") -> DataFrame:
     """S5 in batch form: every requested id with status found / not_found /
-    corrupt and the decoded session (NULL unless found)."""
-    dec = from_json_documents(store.select(F.col(id_col).alias("_id"), F.col(doc_col)), doc_col)
-    j = requests.join(dec, requests[id_col] == dec["_id"], "left")
+    corrupt and the decoded session (NULL unless found). Only hits are decoded."""
+    s = stored.select(F.col(id_col).alias("_id"), F.col(doc_col).alias("_doc"))
+    hits = from_json_documents(requests.join(s, requests[id_col] == s["_id"], "left"), "_doc")
     status = F.when(F.col("_id").isNull(), F.lit("not_found")).otherwise(F.col("status"))
-    return j.select(requests[id_col], status.alias("status"),
-                    F.when(status == "found", F.col("_s")).alias("session"))
+    return hits.select(id_col, status.alias("status"), F.when(status == "found", F.col("_s")).alias("session"))
+
+
+def lookup_one(spark: SparkSession, path: str, session_id: str):
+    """One session as a Row; reads the files of the id's bucket only."""
+    rows = store.read_runs(spark, path).where((F.col("id_bucket") == id_bucket(F.lit(session_id))) & (F.col("session_id") == session_id))
+    hit = from_json_documents(rows.orderBy(F.desc("version"), F.desc("run_id")).limit(1)).select("status", "error", "_s").collect()
+    if not hit:
+        raise SessionNotFound(session_id)
+    if hit[0].status != "found":
+        raise StorageError(f"{session_id}: {hit[0].error}")
+    return hit[0]["_s"]

@@ -1,33 +1,26 @@
-"""Stage sinks (K1-K3). Tables keyed by stem; dynamic partition overwrite
-replaces only the partitions a run wrote, so re-running a subset of inputs
-never drops other results."""
+"""Stage sinks (K1-K3): one row per key and run; reading takes each key's latest
+run, so rerunning a subset of inputs leaves all other results in place."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.json import to_document
 from parley.operators.summary import render_report
+from parley.sources import store
 
 
-def _write(df: DataFrame, path: str, partition_col: str | None) -> None:
-    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    if partition_col:
-        w = w.partitionBy(partition_col)
-    w.parquet(path)
-
-
-def write_transcripts(df: DataFrame, path: str, bucket_col: str = "stem_bucket") -> None:
-    """K1: (stem, raw_text, segments, language); a rerun overwrites its stems."""
+def write_transcripts(df: DataFrame, path: str, run_id: str | None = None) -> str:
+    """K1: (stem, raw_text, segments, language)."""
     out = df.select("stem", "transcript.raw_text", "transcript.segments", "transcript.language")
-    _write(out.withColumn(bucket_col, F.substring(F.sha2("stem", 256), 1, 2)), path, bucket_col)
+    return store.write_run(store.one_per_key(out, "stem"), path, run_id)
 
 
-def write_structure(df: DataFrame, path: str, bucket_col: str = "stem_bucket") -> None:
+def write_structure(df: DataFrame, path: str, run_id: str | None = None) -> str:
     """K2: presentation and structured Q&A text of each stem, one table."""
     out = df.select("stem", "presentation_text", "structured_qa_text")
-    _write(out.withColumn(bucket_col, F.substring(F.sha2("stem", 256), 1, 2)), path, bucket_col)
+    return store.write_run(store.one_per_key(out, "stem"), path, run_id)
 
 
 def summary_outputs(df: DataFrame) -> DataFrame:
@@ -39,7 +32,11 @@ def summary_outputs(df: DataFrame) -> DataFrame:
                                    F.col("topics")).alias("summary_txt"))
 
 
-def write_summaries(df: DataFrame, path: str, bucket_col: str = "base_bucket") -> None:
+def write_summaries(df: DataFrame, path: str, run_id: str | None = None) -> str:
     """K3: both summary artefacts per base name."""
-    out = summary_outputs(df)
-    _write(out.withColumn(bucket_col, F.substring(F.sha2("base", 256), 1, 2)), path, bucket_col)
+    return store.write_run(store.one_per_key(summary_outputs(df), "base"), path, run_id)
+
+
+def read_outputs(spark: SparkSession, path: str, key: str = "stem") -> DataFrame:
+    """The latest output of each key."""
+    return store.latest(store.read_runs(spark, path), key).drop("run_id")

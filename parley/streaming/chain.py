@@ -1,65 +1,115 @@
 """Continuous hand-off between stages (R1-R5) with Structured Streaming.
 
-Each stage is a streaming query over the previous stage's sink. File sources
-and sinks keep their progress in checkpoints under the shared
-``spark.checkpoint.dir``, so every input file is processed exactly once and a
-restarted (or executor-lost) run resumes where it stopped. ``availableNow``
-processes what is there and stops, like a batch run; ``processingTime``
-paces external providers (R4) together with ``maxFilesPerTrigger``.
-
-Assumption (as in the reference): one input file holds whole sessions, so
-per-session work inside a micro-batch never sees half a session.
+Each stage is a streaming query over the previous stage's sink. File sources keep
+their progress in checkpoints under the shared ``spark.checkpoint.dir``. A
+micro-batch writes one folder, ``batch_id=<n>``, with folders by status inside; a
+replayed batch whose folder is complete writes nothing, an incomplete one is
+written anew. So each input row has one result in the sink, also after a crash, and
+a stage's calls run once per stored row.
+
+``availableNow`` processes what is there and stops, like a batch run;
+``processingTime`` with ``max_files`` paces external providers (R4) and returns the
+running query.
+
+A micro-batch must see whole sessions. With ``key`` given, a batch that brings a
+session of an earlier batch again is refused (:class:`SplitSession`) instead of
+yielding half sessions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from parley.spark import work_path
 
+#: (micro-batch, its number) -> rows, with an ``error_class`` column if rows can fail
+Transform = Callable[[DataFrame, int], DataFrame]
+
+
+class SplitSession(ValueError):
+    """A session arrived in more than one micro-batch."""
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def watched(spark: SparkSession, table: str) -> tuple[str, str | None]:
+    """Folder and file pattern to watch for a table that is a folder, or a single file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(table)
+    folder = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    return (table, None) if folder else (p.getParent().toString(), p.getName())
 
-def run_stage(spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], sink: str,
-              checkpoint: str, fmt: str = "parquet", max_files: int | None = None,
-              processing_time: str | None = None, quarantine: str | None = None,
-              path_glob: str | None = None) -> None:
-    """One stage: read new files of ``source``, apply ``transform`` per
-    micro-batch, append to ``sink``. Rows with a non-null ``error_class`` go to
-    ``quarantine`` instead (R5). Blocks until the available input is done
-    (``availableNow``) unless a ``processing_time`` trigger is given."""
+
+def stored(spark: SparkSession, sink: str, fields: T.StructType) -> DataFrame:
+    """All rows of a sink, with batch_id and status; the sink may be empty."""
+    fields = T.StructType([*fields.fields, T.StructField("batch_id", T.LongType()), T.StructField("status", T.StringType())])
+    return spark.read.schema(fields).option("basePath", sink).parquet(sink)
+
+
+def read_sink(spark: SparkSession, sink: str, schema, status: str = "ok") -> DataFrame:
+    """Stored rows of a status; empty, with ``schema``, while there are none."""
+    fields = spark.createDataFrame([], schema).schema
+    if not exists(spark, sink):
+        return spark.createDataFrame([], fields)
+    return stored(spark, sink, fields).where(F.col("status") == status).select(*fields.names)
+
+
+def run_stage(spark: SparkSession, source: str, schema, transform: Transform, sink: str, checkpoint: str, fmt: str = "parquet",
+              max_files: int | None = None, processing_time: str | None = None, path_glob: str | None = None,
+              key: str | None = None, recursive: bool = False) -> StreamingQuery:
+    """One stage: new files of ``source`` (a table of many files, or one file)
+    through ``transform`` into ``sink``. Rows with an ``error_class`` get the status
+    ``failed`` (R5), the others ``ok``. Without ``processing_time`` the call
+    returns when the available input is done."""
     reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    if path_glob:  # file sources watch a folder; the glob picks the stage's files
-        reader = reader.option("pathGlobFilter", path_glob)
-    stream = reader.format(fmt).load(source)
-
-    def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        out = transform(batch)
-        if quarantine and "error_class" in out.columns:
-            out.where("error_class IS NOT NULL").write.mode("append").parquet(quarantine)
-            out = out.where("error_class IS NULL")
-        out.write.mode("append").parquet(sink)
-
-    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)
-    q = writer.start()
+    for option, value in (("maxFilesPerTrigger", max_files), ("pathGlobFilter", path_glob), ("recursiveFileLookup", recursive or None)):
+        if value:
+            reader = reader.option(option, value)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{sink}/batch_id={batch_id}"
+        if exists(spark, f"{folder}/_SUCCESS"):
+            return
+        out = transform(batch, batch_id)
+        failed = F.col("error_class").isNotNull() if "error_class" in out.columns else F.lit(False)
+        out = out.withColumn("status", F.when(failed, F.lit("failed")).otherwise(F.lit("ok")))
+        if key and exists(spark, sink):
+            before = stored(spark, sink, T.StructType([out.schema[key]])).where(F.col("batch_id") != batch_id).select(key)
+            again = out.join(before, key, "left_semi").select(key).limit(1).collect()
+            if again:
+                raise SplitSession(f"{key} {again[0][0]} came in an earlier batch; put whole sessions into one file, or raise max_files")
+        out.write.mode("overwrite").partitionBy("status").parquet(folder)
+
+    writer = reader.format(fmt).load(source).writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)).start()
     if processing_time is None:
-        q.awaitTermination()
+        query.awaitTermination()
+    return query
 
 
-def chain(spark: SparkSession, source: str, schema, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]],
-          name: str = "chain", root: str | None = None, path_glob: str | None = None) -> str:
-    """R1 -> R2 -> ...: run the stages in order, each consuming the previous
-    sink. Returns the last sink's path. ``root`` (a shared folder) keeps the
-    sinks and checkpoints between runs; by default a fresh folder is used."""
+def chain(spark: SparkSession, source: str, schema, stages: Sequence[tuple[str, Transform, object]], name: str = "chain",
+          root: str | None = None, key: str | None = None, max_files: int | None = None,
+          processing_time: str | None = None) -> tuple[DataFrame, list[StreamingQuery]]:
+    """R1 -> R2 -> ...: (name, transform, output schema) stages, each reading the
+    previous one's good rows. Returns the last sink's rows and the queries, which
+    run at the same time when ``processing_time`` is given. ``root`` (a shared
+    folder) keeps sinks and checkpoints between runs."""
     base = root or work_path(spark, name)
-    current, current_schema, fmt = source, schema, "parquet"
-    for i, (stage_name, fn) in enumerate(stages):
-        sink = f"{base}/{i}_{stage_name}/data"
-        run_stage(spark, current, current_schema, fn, sink, f"{base}/{i}_{stage_name}/checkpoint", fmt=fmt,
-                  path_glob=path_glob if i == 0 else None)
-        current = sink
-        current_schema = spark.read.parquet(sink).schema
-    return current
+    queries, sink = [], ""
+    current, glob = watched(spark, source)
+    for i, (stage, fn, out_schema) in enumerate(stages):
+        sink = f"{base}/{i}_{stage}/data"
+        if not exists(spark, sink):
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(sink)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+        queries.append(run_stage(spark, current, schema, fn, sink, f"{base}/{i}_{stage}/checkpoint", max_files=max_files,
+                                 processing_time=processing_time, path_glob=glob, key=key, recursive=i > 0))
+        current, schema, glob = f"{sink}/batch_id=*/status=ok", out_schema, None
+    return read_sink(spark, sink, schema), queries

@@ -49,7 +49,8 @@ def test_ordered_concat_two_levels(spark):
 
 
 def test_running_sum_and_top_k_across_chunks(spark):
-    from parley.operators.ordered import running_sum, top_k
+    from parley.operators.ordered import running_sum
+    from parley.operators.summary import top_k
 
     rows = [(1, i, i % 5) for i in range(40)] + [(2, 0, 7)]
     df = spark.createDataFrame(rows, "k long, p long, v long")
@@ -59,5 +60,5 @@ def test_running_sum_and_top_k_across_chunks(spark):
         acc += i % 5
         assert got[(1, i)] == acc
     assert got[(2, 0)] == 7
-    ranked = top_k(df, "k", [F.col("v").desc(), F.col("p")], 4, F.col("p") % 7).where("k = 1").orderBy("rank")
+    ranked = top_k(df, "k", [F.col("v").desc(), F.col("p")], 4).where("k = 1").orderBy("rank")
     assert [(r.p, r.rank) for r in ranked.collect()] == [(4, 1), (9, 2), (14, 3), (19, 4)]

@@ -11,7 +11,8 @@ from tests.conftest import SF_SMALL
 
 FAST = ["normalised_words", "wer_macro", "qa_blocks", "qa_runs", "qa_render", "assemble_transcript",
         "segment_progress", "skip_done", "run_report", "presentation_split", "verbatim", "summary_report",
-        "parse_response", "vocabulary_hits"]
+        "parse_response", "vocabulary_hits", "leaderboard", "best_model", "session_load", "sink_rerun",
+        "stage_rerun", "provider_replies"]
 
 
 def _digest(cols, rows):
@@ -40,6 +41,14 @@ def test_query_matches_oracle(spark, duck, name):
     assert _digest(df.columns, rows) == _digest(rel.columns, drows)
 
 
+@pytest.mark.parametrize("name", ["leaderboard", "best_model"])
+def test_pairs_are_scored_once(spark, name):
+    df = entry.queries()[name](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("levenshtein(") == 1
+
+
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0

@@ -1,19 +1,49 @@
+import json
+
 from pyspark.sql import functions as F
 
-from parley.plans.session_flow import run_stage
+from parley.plans.session_flow import run_pipeline, run_stage, status_counts
+from parley.sources import sessions as arch
+from parley.sources import store
 
 
-def test_batch_stage_runner_reports_and_isolates(spark, tmp_path):
+def test_batch_stage_runner_reports_isolates_and_can_be_retried(spark, tmp_path):
     inputs = spark.createDataFrame([(1, "a.txt", "x"), (2, "b.txt", " "), (3, "c.txt", "z"), (4, "d.txt", "w")],
                                    "k long, name string, text string")
     outputs = spark.createDataFrame([(4, "presentation"), (4, "q_and_a"), (3, "presentation")], "k long, kind string")
+    sink = str(tmp_path / "out")
 
     def stage(df):
         return df.withColumn("error_class", F.when(F.length(F.trim("text")) == 0, F.lit("EmptyText")))
 
-    rep = run_stage(inputs, outputs, "k", "name", "kind", ("presentation", "q_and_a"), stage,
-                    str(tmp_path / "out"), str(tmp_path / "bad"), "structure")
-    got = {r.status: r.n for r in rep.collect()}
-    assert got == {"found": 4, "skipped": 1, "processed": 2, "failed": 1}
-    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out" / "ok")).collect()) == [1, 3]
-    assert [r.k for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [2]
+    for run in ("r1", "r1", "r2"):
+        rep = run_stage(inputs, outputs, "k", "name", "kind", ("presentation", "q_and_a"), stage, sink, "structure", run_id=run)
+        assert {r.status: r.n for r in rep.collect()} == {"found": 4, "skipped": 1, "processed": 2, "failed": 1}
+    rows = store.read_runs(spark, sink)
+    assert rows.count() == 6  # three rows a run; the retry of r1 replaced it
+    now = {r.k: r.status for r in store.latest(rows, "k").collect()}
+    assert now == {1: "ok", 2: "failed", 3: "ok"}
+
+
+def test_pipeline_stops_each_session_at_its_first_failure(spark, tmp_path):
+    line = lambda t: json.dumps({"start": 0.0, "end": 2.0, "text": t})
+    files = spark.createDataFrame([
+        ("in/good.wav", bytearray(line("Welcome all. What is new? We will ship it.").encode())),
+        ("in/plain.wav", bytearray(line("Only a talk here.").encode())),
+        ("in/gone.wav", None), ("in/noise.wav", bytearray(b"\x00noise")), ("in/silent.wav", bytearray(line(" ").encode())),
+        ("other/good.wav", bytearray(line("Another one.").encode()))],
+        "path string, content binary").withColumn("title", F.lit("")).withColumn("modificationTime", F.lit("2024-01-01").cast("timestamp"))
+    path = str(tmp_path / "archive")
+    runs = run_pipeline(files, path, "r1", ("what",), ("what",), ("will",))
+    got = {r.path: (r.failed_step, r.error) for r in runs.collect()}
+    assert got == {"in/good.wav": (None, None), "in/plain.wav": (None, None), "other/good.wav": (None, None),
+                   "in/gone.wav": ("validation", "MissingSource"), "in/noise.wav": ("transcription", "TranscriptionError"),
+                   "in/silent.wav": ("structuring", "EmptyText")}
+    counts = {(r.step, r.status): r.n for r in status_counts(runs).collect()}
+    assert counts[("transcription", "failed")] == 1 and counts[("transcription", "skipped")] == 1 and counts[("archiving", "ok")] == 3
+    ids = {r.path: r.session_id for r in runs.collect()}
+    assert len(set(ids.values())) == 6  # the same name in two folders is two sessions
+    s = arch.lookup_one(spark, path, ids["in/good.wav"])
+    assert s.presentation_text == "Welcome all." and s.structured_qa_text == "[Question]: What is new?\n[Answer]: We will ship it."
+    assert s.summary.action_items == ["We will ship it."] and s.metadata.title == "good" and s.metadata.created_at is not None
+    assert arch.lookup_one(spark, path, ids["in/plain.wav"]).summary.content == "Only a talk here."

@@ -2,7 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from parley.operators.providers import ProviderError, Registry, transcribe
+from parley.operators import providers
+from parley.operators.providers import transcribe
 from parley.sources import files
 from parley.sources import sessions as arch
 
@@ -30,36 +31,89 @@ def test_scan_and_transcribe(spark, tmp_path):
     assert st == {"a.wav": "ok", "zzz.wav": "missing"}
 
 
-def test_registry_contract():
-    reg = Registry("demo")
-    reg.register(" Fast ")(lambda: 1)
-    assert reg.get("FAST")() == 1
-    try:
-        reg.register("fast")(lambda: 2)
-        raise AssertionError("duplicate accepted")
-    except ProviderError:
-        pass
-    try:
-        reg.get("slow")
-        raise AssertionError("unknown accepted")
-    except ProviderError as e:
-        assert "fast" in str(e)
-
-
-def test_save_then_load_roundtrip(spark, tmp_path):
-    from tests.conftest import SF_SMALL
-    from parley.plans.queries import sessions
-
-    s = sessions(spark, SF_SMALL).drop("conv_id").limit(5)
-    docs = arch.to_json_documents(s)
-    folder = tmp_path / "docs"
-    folder.mkdir()
-    for i, r in enumerate(docs.collect()):
-        (folder / f"{i}.json").write_text(r.document)
-    back = arch.load_sessions(spark, str(folder))
-    a = {r.session_id: r.asDict(recursive=True) for r in s.collect()}
-    b = {r.session_id: r.asDict(recursive=True) for r in back.collect()}
-    assert a == b
+def test_provider_lookup_options_and_replies(spark):
+    import pytest
+
+    with pytest.raises(providers.UnknownProvider, match="timed_text"):
+        providers.find("transcribe", "slow")
+    with pytest.raises(providers.UnknownOption):
+        providers.find("transcribe", " Plain_Text ").bind({"beams": 3})
+    with pytest.raises(ValueError):
+        providers.add(providers.Provider("summarize", "recorded", lambda: str))
+    shout = providers.Provider("structurize", "shout", lambda mark: lambda t: json.dumps({"presentation": t.upper() + mark}), {"mark": "!"})
+    texts = spark.createDataFrame([(1, "hello"), (2, None)], "k long, t string")
+    got = {r.k: r for r in providers.structurize(texts, shout, "k", "t", mark="?", per_minute=60_000, callers=1).collect()}
+    assert got[1].presentation_text == "HELLO?" and got[1].structured_qa_text == "" and got[1].error_class is None
+    assert got[2].error_class == "StructuringError"
+    replies = spark.createDataFrame([(1, '{"content": "c", "topics": ["t"]}'), (2, "{broken"), (3, "")], "k long, t string")
+    got = {r.k: r for r in providers.summarize(replies, "recorded", "k", "t").collect()}
+    assert got[1].summary.content == "c" and got[1].summary.key_points == [] and got[1].summary.topics == ["t"]
+    assert got[2].error_class == got[3].error_class == "SummarizationError" and got[2].summary is None
+
+
+def test_structure_reply_must_be_one_object_of_texts(spark):
+    from parley.functions.json import parse_structure_response
+
+    rows = ['{"presentation": {"a": 1}}', '{"presentation": 5}', '{"presentation": "p"} trailing', '{"presentation": " p "}']
+    df = spark.createDataFrame([(r,) for r in rows], "r string").select(parse_structure_response("r").alias("p"))
+    assert [r.p.error for r in df.collect()] == ["field is not text", "field is not text", "invalid json", None]
+
+
+def test_session_files_are_read_whatever_their_time_form_and_never_dropped(spark, tmp_path):
+    doc = {"session_id": "s", "metadata": {"session_id": "s", "created_at": "2024-01-02T03:04:05", "extra_info": {"a": [1, {"b": None}]}},
+           "transcript": {"raw_text": "hi", "segments": [{"start_time": 0.0, "end_time": 3.5, "text": "hi"}]}, "summary": {}}
+    shapes = {"plain": doc, "zone": {**doc, "metadata": {**doc["metadata"], "created_at": "2024-01-02T03:04:05+00:00"}},
+              "no_raw": {**doc, "transcript": {"segments": []}}, "no_time": {**doc, "metadata": {"session_id": "s"}},
+              "bad_segment": {**doc, "transcript": {"raw_text": "x", "segments": [{"text": "x"}]}}, "no_transcript": {**doc, "transcript": None}}
+    for name, d in shapes.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(d, indent=4))
+    (tmp_path / "broken.json").write_text('{"session_id": "s"')
+    got = {r.file.split("/")[-1][:-5]: r for r in arch.load_sessions(spark, str(tmp_path)).collect()}
+    assert {k for k, r in got.items() if r.status == "found"} == {"plain", "zone", "no_transcript"}
+    assert got["plain"].session.metadata.created_at == got["zone"].session.metadata.created_at
+    assert got["plain"].session.summary is None and got["plain"].session.transcript.segments[0].speaker is None
+    assert got["no_raw"].error == "missing transcript.raw_text" and got["broken"].error == "not a JSON object"
+    assert got["bad_segment"].error == "missing segments" and got["no_time"].error == "missing metadata.created_at"
+
+
+def test_save_load_upsert_and_lookup(spark, tmp_path):
+    import pytest
+
+    from parley.functions.json import to_document
+    from parley.schemas import SESSION
+
+    rows = [{"session_id": i, "metadata": {"session_id": i, "created_at": None, "title": t, "duration_seconds": 1.5, "extra_info": None},
+             "transcript": None, "presentation_text": p, "structured_qa_text": None, "summary": None}
+            for i, t, p in (("a", "old", ""), ("b", "b", None), ("a", "old", ""))]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SESSION.fields)
+    df = spark.createDataFrame([json.dumps(r) for r in rows], "string").select(F.from_json("value", fields).alias("s")).select("s.*")
+    df = df.withColumn("metadata", F.col("metadata").withField("created_at", F.lit("2024-01-01").cast("timestamp"))
+                       .withField("extra_info", F.parse_json(F.lit('{"n": {"m": 1}}')))).withColumn("version", F.lit(1))
+    path = str(tmp_path / "archive")
+    arch.save_sessions(df, path)
+    assert arch.archive(spark, path).count() == 2  # repeated ids of one save are one session
+    newer = df.where("session_id = 'a'").withColumn("version", F.lit(2)).withColumn("metadata", F.col("metadata").withField("title", F.lit("new")))
+    arch.save_sessions(newer, path)
+    stored = {r.session_id: r for r in arch.archive(spark, path).collect()}
+    assert json.loads(stored["a"].document)["metadata"]["title"] == "new" and stored["a"].presentation_text == ""
+    assert json.loads(stored["a"].document)["metadata"]["extra_info"] == {"n": {"m": 1}}
+    assert json.loads(stored["b"].document)["transcript"] is None
+    assert arch.lookup_one(spark, path, "a").metadata.title == "new"
+    with pytest.raises(arch.SessionNotFound):
+        arch.lookup_one(spark, path, "zzz")
+    again = arch.from_json_documents(arch.archive(spark, path))
+    assert again.where(to_document(F.col("_s")) == F.col("document")).count() == 2
+
+
+def test_rerun_keeps_all_other_results(spark, tmp_path):
+    from parley.sources import sinks
+
+    path = str(tmp_path / "k2")
+    all_ = spark.range(600).select(F.col("id").cast("string").alias("stem"), F.lit("p").alias("presentation_text"), F.lit("q").alias("structured_qa_text"))
+    sinks.write_structure(all_, path)
+    sinks.write_structure(all_.where("stem = '7'").withColumn("structured_qa_text", F.lit("new")), path)
+    out = sinks.read_outputs(spark, path)
+    assert out.count() == 600 and out.where("structured_qa_text = 'new'").count() == 1
 
 
 def test_summary_sink_and_copy_on_write(spark, tmp_path):
@@ -74,5 +128,6 @@ def test_summary_sink_and_copy_on_write(spark, tmp_path):
     assert row.summary_txt.startswith("SUMMARY:\nNone\n\nKEY POINTS:\n- k1")
     write_summaries(df.withColumn("content", F.lit("c")), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 1
+    assert "run_id" in spark.read.parquet(str(tmp_path / "s")).columns
     meta = spark.createDataFrame([(("id1", "old"),)], "metadata struct<session_id:string,title:string>")
     assert with_title(meta, F.lit("new")).first().metadata.asDict() == {"session_id": "id1", "title": "new"}

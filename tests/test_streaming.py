@@ -1,23 +1,56 @@
+import shutil
+
+import pytest
 from pyspark.sql import functions as F
 
-from parley.streaming.chain import run_stage
+from parley.streaming import chain as streaming
+
+SCHEMA = "id long, text string"
+
+
+def stage(batch, batch_id):
+    return batch.withColumn("error_class", F.when(F.length("text") == 0, F.lit("EmptyText")))
+
+
+def ids(spark, sink, status="ok"):
+    return sorted(r.id for r in streaming.read_sink(spark, sink, SCHEMA, status).collect())
 
 
 def test_stage_processes_new_files_once_and_quarantines(spark, tmp_path):
-    src, sink, quarantine, ckpt = (str(tmp_path / n) for n in ("src", "sink", "bad", "ckpt"))
-    spark.createDataFrame([(1, "a"), (2, "")], "id long, text string").write.parquet(f"{src}/f1")
-    schema = "id long, text string"
-
-    def stage(batch):
-        return batch.withColumn("error_class", F.when(F.length("text") == 0, F.lit("EmptyText")))
-
-    run_stage(spark, f"{src}/f1", schema, stage, sink, ckpt, quarantine=quarantine)
-    assert [r.id for r in spark.read.parquet(sink).collect()] == [1]
-    assert [r.id for r in spark.read.parquet(quarantine).collect()] == [2]
-    # a second run over the same folder finds nothing new
-    run_stage(spark, f"{src}/f1", schema, stage, sink, ckpt, quarantine=quarantine)
-    assert spark.read.parquet(sink).count() == 1
-    # a new file arrives: only it flows through
-    spark.createDataFrame([(3, "c")], schema).write.mode("append").parquet(f"{src}/f1")
-    run_stage(spark, f"{src}/f1", schema, stage, sink, ckpt, quarantine=quarantine)
-    assert sorted(r.id for r in spark.read.parquet(sink).collect()) == [1, 3]
+    src, sink, ckpt = (str(tmp_path / n) for n in ("src", "sink", "ckpt"))
+    spark.createDataFrame([(1, "a"), (2, "")], SCHEMA).write.parquet(src)
+    for _ in range(2):  # a second run over the same folder finds nothing new
+        streaming.run_stage(spark, src, SCHEMA, stage, sink, ckpt)
+        assert ids(spark, sink) == [1] and ids(spark, sink, "failed") == [2]
+    spark.createDataFrame([(3, "c")], SCHEMA).write.mode("append").parquet(src)
+    streaming.run_stage(spark, src, SCHEMA, stage, sink, ckpt)
+    assert ids(spark, sink) == [1, 3]
+
+
+def test_replayed_batch_writes_nothing_twice(spark, tmp_path):
+    src, sink, ckpt = (str(tmp_path / n) for n in ("src", "sink", "ckpt"))
+    spark.createDataFrame([(1, "a"), (2, "")], SCHEMA).write.parquet(src)
+    streaming.run_stage(spark, src, SCHEMA, stage, sink, ckpt)
+    shutil.rmtree(f"{ckpt}/commits")  # as after a crash between write and commit
+    streaming.run_stage(spark, src, SCHEMA, stage, sink, ckpt)
+    assert ids(spark, sink) == [1] and ids(spark, sink, "failed") == [2]
+    shutil.rmtree(f"{ckpt}/commits")
+    (tmp_path / "sink" / "batch_id=0" / "_SUCCESS").unlink()  # and in the middle of the write
+    streaming.run_stage(spark, src, SCHEMA, stage, sink, ckpt)
+    assert ids(spark, sink) == [1] and ids(spark, sink, "failed") == [2]
+
+
+def test_chain_over_a_table_of_many_files(spark, tmp_path):
+    src = str(tmp_path / "table.parquet")
+    spark.range(40).select(F.col("id") % 20, F.lit("x").alias("text")).toDF("id", "text").repartition(5).write.parquet(src)
+    count = lambda b, n: b.groupBy("id").agg(F.count("*").cast("string").alias("text"))
+    rows, _ = streaming.chain(spark, src, SCHEMA, [("count", count, SCHEMA), ("same", lambda b, n: b, SCHEMA)], root=str(tmp_path / "c"), key="id")
+    assert {(r.id, r.text) for r in rows.collect()} == {(i, "2") for i in range(20)}
+
+
+def test_sessions_cut_up_by_micro_batches_are_refused(spark, tmp_path):
+    src = str(tmp_path / "src")
+    for _ in range(2):
+        spark.createDataFrame([(1, "a")], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    with pytest.raises(Exception, match="SplitSession"):
+        streaming.run_stage(spark, src, SCHEMA, stage, str(tmp_path / "sink"), str(tmp_path / "ckpt"), max_files=1, key="id")
