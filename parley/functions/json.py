@@ -21,8 +21,9 @@ def has_key(doc: Column, key: str) -> Column:
 
 
 def is_object(doc: Column) -> Column:
-    """Valid JSON object (``json_object_keys`` is NULL otherwise)."""
-    return F.json_object_keys(doc).isNotNull()
+    """A JSON object and nothing after it: as the only item of an array it is valid."""
+    alone = F.json_array_length(F.concat(F.lit("["), doc, F.lit("]"))) == 1
+    return F.json_object_keys(doc).isNotNull() & F.coalesce(alone, F.lit(False))
 
 
 def parse_structure_response(resp) -> Column:
@@ -33,7 +34,7 @@ def parse_structure_response(resp) -> Column:
     labelled Q&A still needs T5-T7 (see ``with_clean_qa``)."""
     r = _col(resp)
 
-    whole = F.try_parse_json(r)  # unlike the other JSON functions it refuses text after the object
+    whole = F.try_parse_json(r)
 
     def field(name):
         v = F.get_json_object(r, f"$.{name}")

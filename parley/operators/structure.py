@@ -26,21 +26,23 @@ def _re_escape(s: str) -> str:
     return "".join("\\" + ch if ch in r".^$*+?()[]{}|\-&" else ch for ch in s)
 
 
-def split_presentation(text, cues: Sequence[str]) -> Column:
-    """struct(presentation, q_and_a, cue_sentence).
+def with_split(df: DataFrame, text_col: str, cues: Sequence[str]) -> DataFrame:
+    """Adds ``presentation``, ``q_and_a`` and ``cue_sentence`` (null without a cue).
 
     The presentation is the contiguous run of sentences before the first
     sentence containing a cue word; that sentence and everything after is Q&A.
     No cue: all presentation, empty Q&A. Words are kept verbatim and in order.
+    Sentences and the cue's place are staged, so each is computed once.
     """
-    sents = sentences(_col(text))
     pat = cue_pattern(cues)
-    k = F.array_position(F.transform(sents, lambda s: F.lower(s).rlike(pat)), True).cast("int")
-    n = F.size(sents)
-    pres = F.when(k == 0, F.array_join(sents, " ")).otherwise(F.array_join(F.slice(sents, 1, F.greatest(k - 1, F.lit(0))), " "))
-    qa = F.when(k == 0, F.lit("")).otherwise(F.array_join(F.slice(sents, F.greatest(k, F.lit(1)), F.greatest(n - k + 1, F.lit(0))), " "))
-    return F.struct(pres.alias("presentation"), qa.alias("q_and_a"),
-                    F.when(k > 0, k).alias("cue_sentence"))
+    df = df.withColumn("_sents", sentences(F.col(text_col)))
+    df = df.withColumn("_k", F.array_position(F.transform("_sents", lambda s: F.lower(s).rlike(pat)), True).cast("int"))
+    k, n = F.col("_k"), F.size("_sents")
+    end = F.when(k == 0, n).otherwise(k - 1)
+    return df.withColumns({
+        "presentation": F.array_join(F.slice("_sents", 1, F.greatest(end, F.lit(0))), " "),
+        "q_and_a": F.array_join(F.slice("_sents", F.greatest(end, F.lit(0)) + 1, F.greatest(n - end, F.lit(0))), " "),
+        "cue_sentence": F.when(k > 0, k)}).drop("_sents", "_k")
 
 
 def label_sentences(text, question_cues: Sequence[str]) -> Column:
@@ -56,8 +58,7 @@ def label_sentences(text, question_cues: Sequence[str]) -> Column:
 def with_structure(df: DataFrame, text_col: str, qa_cues: Sequence[str], question_cues: Sequence[str],
                    pres_out: str = "presentation", qa_out: str = "structured_qa_text") -> DataFrame:
     """M2 'rules' provider on raw text: T8 -> T9 -> T6 -> T7 (staged columns)."""
-    df = df.withColumn("_sp", split_presentation(F.col(text_col), qa_cues))
-    df = df.withColumn(pres_out, F.col("_sp.presentation")).withColumn("_qa", F.col("_sp.q_and_a")).drop("_sp")
+    df = with_split(df, text_col, qa_cues).withColumnsRenamed({"presentation": pres_out, "q_and_a": "_qa"}).drop("cue_sentence")
     df = with_merged_blocks(df.withColumn("_lab", label_sentences(F.col("_qa"), question_cues)), "_lab", "_runs")
     return df.withColumn(qa_out, render_blocks("_runs")).drop("_qa", "_lab", "_runs")
 
@@ -86,3 +87,17 @@ def verbatim_check(raw, presentation, labelled_qa) -> Column:
     first = F.array_position(same, False).cast("long")
     return F.struct((first == 0).alias("ok"), F.nullif(first, F.lit(0).cast("long")).alias("first_diff"),
                     F.size(raw_w).cast("long").alias("n_raw"), F.size(out_w).cast("long").alias("n_out"))
+
+
+def with_verbatim_check(df: DataFrame, raw: str, presentation: str, labelled_qa: str) -> DataFrame:
+    """T10 with the T2 distance: adds ``verbatim`` (the struct) and ``distance``, 0 where the words agree."""
+    from parley.functions.qa import strip_labels
+    from parley.functions.text import with_word_edit_distance
+
+    texts = [F.coalesce(F.col(presentation), F.lit("")), strip_labels(F.coalesce(F.col(labelled_qa), F.lit("")))]
+    df = df.withColumn("verbatim", verbatim_check(F.col(raw), F.col(presentation), F.col(labelled_qa)))
+    differ = ~F.col("verbatim.ok")
+    none = F.array().cast("array<string>")
+    df = df.withColumn("_raw", F.when(differ, split_whitespace(F.col(raw))).otherwise(none))
+    df = df.withColumn("_out", F.when(differ, F.concat(*[split_whitespace(t) for t in texts])).otherwise(none))
+    return with_word_edit_distance(df, "_raw", "_out", "distance").drop("_raw", "_out")

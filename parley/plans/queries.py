@@ -261,10 +261,10 @@ def session_init(spark, sf_dir):
 @query
 def presentation_split(spark, sf_dir):
     docs = spread(read_table(spark, sf_dir, "documents"))
-    sp = structure.split_presentation(F.col("text"), QA_CUES)
-    return docs.select("doc_id", sp["cue_sentence"].cast("long").alias("cue_sentence"),
-                       F.length(sp["presentation"]).cast("long").alias("presentation_chars"),
-                       F.length(sp["q_and_a"]).cast("long").alias("qa_chars"))
+    sp = structure.with_split(docs, "text", QA_CUES)
+    return sp.select("doc_id", F.col("cue_sentence").cast("long").alias("cue_sentence"),
+                     F.length("presentation").cast("long").alias("presentation_chars"),
+                     F.length("q_and_a").cast("long").alias("qa_chars"))
 
 
 @query

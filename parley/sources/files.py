@@ -28,7 +28,7 @@ def scan_audio(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_text(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
     """Whole-file UTF-8 text: (path, name, stem, text)."""
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
+    df = (spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
           .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     return df.withColumn("name", _name()).withColumn("stem", stem(_name()))
 

@@ -64,7 +64,7 @@ def archive(spark: SparkSession, path: str) -> DataFrame:
 def load_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Session JSON files, one document each: (file, status, error, session).
     Files that cannot be decoded are rows too, never dropped."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
     return from_json_documents(raw).select("file", "status", "error", F.col("_s").alias("session"))
 
 

@@ -48,16 +48,20 @@ def get_spark(master: str | None = None, app: str = "parley", shuffle_partitions
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, installing a local one only if unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for intermediate data: the one that ``spark.checkpoint.dir``
+    names, or that the context was given. Only a local master may do without; a
+    cluster that names none is an error, since executors do not share local disks."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not path and sc.getCheckpointDir():
+        path = sc.getCheckpointDir().rsplit("/", 1)[0]  # the context adds a folder of its own
     if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        # Unset: local runs and tests only. A cluster always names a shared folder.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="parley-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -67,12 +71,6 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "parley", *parts, uuid.uuid4().hex])
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint (never a local one): survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

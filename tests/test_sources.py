@@ -15,7 +15,7 @@ def test_scan_and_transcribe(spark, tmp_path):
     (d / "a.wav").write_text("\n".join(json.dumps(s) for s in seg))
     (d / "b.mp3").write_text("not json at all")
     (d / "c.WAV").write_text("excluded: case-sensitive glob")
-    (d / "talk.txt").write_text("raw text")
+    (d / "talk.txt").write_text("raw text\nof two lines")
     (d / "talk_presentation.txt").write_text("p")
     (d / "talk_q_and_a.txt").write_text("[Question]: q")
     audio = files.scan_audio(spark, str(d))
@@ -24,7 +24,7 @@ def test_scan_and_transcribe(spark, tmp_path):
     assert out["a.wav"].transcript.raw_text == "hello world"
     assert out["a.wav"].transcript.language == "en"
     assert out["b.mp3"].error_class == "TranscriptionError" and out["b.mp3"].transcript is None
-    assert [r.name for r in files.scan_transcripts(spark, str(d)).collect()] == ["talk.txt"]
+    assert [(r.name, r.text) for r in files.scan_transcripts(spark, str(d)).collect()] == [("talk.txt", "raw text\nof two lines")]
     assert [r.text for r in files.scan_qa(spark, str(d)).collect()] == ["[Question]: q"]
     req = spark.createDataFrame([(f"file:{d}/a.wav",), (f"file:{d}/zzz.wav",)], "path string")
     st = {r.path.split("/")[-1]: r.status for r in files.validate_sources(req, audio).collect()}
@@ -131,3 +131,34 @@ def test_summary_sink_and_copy_on_write(spark, tmp_path):
     assert "run_id" in spark.read.parquet(str(tmp_path / "s")).columns
     meta = spark.createDataFrame([(("id1", "old"),)], "metadata struct<session_id:string,title:string>")
     assert with_title(meta, F.lit("new")).first().metadata.asDict() == {"session_id": "id1", "title": "new"}
+
+
+def test_verbatim_check_reports_the_distance(spark):
+    from parley.operators.structure import with_verbatim_check
+
+    df = spark.createDataFrame([("a b c d", "a b", "[Question]: c [Answer]: d"), ("a b c d", "a x", "[Answer]: d")], "raw string, p string, q string")
+    got = [(r.verbatim.ok, r.verbatim.first_diff, r.distance) for r in with_verbatim_check(df, "raw", "p", "q").collect()]
+    assert got == [(True, None, 0), (False, 2, 2)]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    import pytest
+
+    from parley.spark import ensure_checkpoint_dir
+
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError, match="share"):
+        ensure_checkpoint_dir(Session())
+    Context.getCheckpointDir = lambda self: "hdfs://x/shared/0f-uuid"
+    assert ensure_checkpoint_dir(Session()) == "hdfs://x/shared"
