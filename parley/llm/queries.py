@@ -93,3 +93,55 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs, fold(F.col("doc_id"), 5) != 0))
+
+
+ORACLES["op5_url_filter"] = """WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, url FROM pages),
+u AS (SELECT row_number() OVER () AS row, page_id,
+             translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+fits AS (SELECT u.row, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.v, length(r.h || r.p)) AS verdict
+         FROM u JOIN (VALUES %s) AS r(h, p, v)
+           ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p) GROUP BY u.row)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN len(list_intersect(string_split_regex(host, '[.-]'), [%s])) > 0
+       THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fits USING (row)""" % (", ".join(map(str, URL_RULES)), ", ".join(f"'{w}'" for w in urls.BLOCKED_WORDS))
+
+ORACLES["op6_quality_rules"] = r"""WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT row, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+twice AS (SELECT row, i FROM g QUALIFY count(*) OVER (PARTITION BY row, gram) > 1),
+covered AS (SELECT row, count(DISTINCT pos) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS pos FROM twice) GROUP BY row),
+m AS (SELECT d.row, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(lines) AS n_lines
+      FROM d LEFT JOIN covered ON d.row = covered.row),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 1000 * n_symbols // nullif(n_words, 0) AS symbols,
+             1000 * n_dup_lines // nullif(n_lines, 0) AS dups, 1000 * word_chars // nullif(n_words, 0) AS chars FROM m),
+e AS (SELECT lang, source, unnest(['s', 'd', 'c']) AS k, unnest([symbols, dups, chars]) AS v FROM b WHERE NOT base_failed),
+sk AS (SELECT lang, source, k, greatest(length(bin(v)) - 6, 0) * 64 + (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) AS bucket, count(*) AS n
+       FROM e GROUP BY ALL),
+cum AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, k) AS total, sum(n) OVER (PARTITION BY lang, source, k ORDER BY bucket) AS upto FROM sk),
+q AS (SELECT lang, source, k, min(bucket) FILTER (4 * upto >= total) AS b25, min(bucket) FILTER (4 * upto >= 3 * total) AS b75 FROM cum GROUP BY ALL),
+t AS (SELECT lang, source, k, ((b25 %% 64 + 1) << (b25 // 64)) - 1 AS q25, ((b75 %% 64 + 1) << (b75 // 64)) - 1 AS q75 FROM q),
+f AS (SELECT lang, source,
+             max(q75 + greatest(%(s)d, %(spread)d * (q75 - q25))) FILTER (k = 's') AS hs, max(q75 + greatest(%(d)d, %(spread)d * (q75 - q25))) FILTER (k = 'd') AS hd,
+             max(q75 + greatest(%(c)d, %(spread)d * (q75 - q25))) FILTER (k = 'c') AS hc, max(q25 - greatest(%(c)d, %(spread)d * (q75 - q25))) FILTER (k = 'c') AS lc
+      FROM t GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       coalesce(NOT base_failed AND symbols <= hs AND dups <= hd AND chars <= hc AND chars >= lc, false) AS kept
+FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source""" % {
+    "s": rules.MEASURES["symbols_per_word"][0], "d": rules.MEASURES["dup_lines_per_line"][0], "c": rules.MEASURES["chars_per_word"][0], "spread": rules.SPREAD}
+
+ORACLES["op9_ngram_jaccard_join"] = r"""WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM c JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 5 * c >= 4 * (na.n + nb.n - c)),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, near.b FROM reach r JOIN near ON r.b = near.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(low.b, doc_id)) AS class_id, coalesce(links.n, 0) AS n_links
+FROM documents LEFT JOIN low ON doc_id = low.a LEFT JOIN links ON doc_id = links.a"""
