@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import accuracy, explode_items, normalise_words, wer_from_counts, with_word_edit_distance
@@ -135,6 +135,11 @@ def vocabulary_terms(source: DataFrame, text_col: str = "text", max_n: int = 3)
     return g.select(explode_items("_g").alias("term")).where(F.col("term").isNotNull()).distinct()
 
 
+def percent(ratio: Column, digits: int = 2) -> Column:
+    """A ratio as text, like ``93.75%``."""
+    return F.format_string(f"%.{digits}f%%", F.round(100 * ratio, digits))
+
+
 def longest_term(terms: DataFrame) -> int:
     """Number of words of the longest term: n-grams up to it can match."""
     return terms.agg(F.coalesce(F.max(F.size(F.split("term", " "))), F.lit(1))).first()[0]

@@ -596,3 +596,25 @@ FROM segs GROUP BY conv_id"""
 ORACLES["stream_chain"] = ORACLES["qa_render"]
 
 ORACLES["stream_summaries"] = ORACLES["summary_report"]
+
+# ---------------------------------------------------------------- reports, sources, parts of sessions
+ORACLES["evaluation_summary"] = _wer_with("""
+SELECT model, n_cases, printf('%.2f%%', round(100 * avg_wer, 2)) AS wer, printf('%.2f%%', round(100 * avg_accuracy, 2)) AS accuracy FROM macro""")
+
+ORACLES["eval_pairs"] = """SELECT 'c' || conv_id || '_t' || turn AS case_name, CAST(length(text) AS BIGINT) AS ref_chars, true AS same
+FROM conversations WHERE turn % 3 <> 0 AND turn % 4 <> 1"""
+
+ORACLES["transcribe_plain"] = f"""SELECT doc_id, CAST(1 AS BIGINT) AS n_segments, CAST(0 AS DOUBLE) AS end_time,
+       CAST(length({strip('text')}) AS BIGINT) AS raw_chars, 'en' AS language FROM documents"""
+
+ORACLES["source_validation"] = """WITH ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT 'conv_' || (conv_id + 3) || '.wav' AS path, CASE WHEN conv_id + 3 IN (SELECT conv_id FROM ids) THEN 'ok' ELSE 'missing' END AS status,
+       CASE WHEN conv_id + 3 NOT IN (SELECT conv_id FROM ids) THEN 'TranscriptionError' END AS error_class
+FROM ids"""
+
+ORACLES["session_parts"] = f"""WITH {QA_RAW},
+qt AS (SELECT conv_id, array_to_string(list_transform(runs, lambda r: '[' || r.tag || ']: ' || r.text), chr(10)) AS qa_text FROM runs),
+c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT c.conv_id, 'xx' AS language, n AS n_segments, 'new' AS presentation_text, CAST(length(qa_text) AS BIGINT) AS qa_chars,
+       true AS no_summary, 'SESSION ' || c.conv_id AS title
+FROM c LEFT JOIN qt ON c.conv_id = qt.conv_id"""

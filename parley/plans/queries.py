@@ -28,7 +28,7 @@ from parley.streaming import chain as streaming
 from parley.functions import json as pjson
 from parley import schemas
 from parley.sources import sessions as arch
-from parley.sources import sinks, store
+from parley.sources import files, sinks, store
 from parley.plans import fixtures as fx
 from parley.spark import read_table, spread, work_path
 
@@ -86,6 +86,24 @@ def best_model(spark, sf_dir):
     return ev.best_model(scored_pairs(spark, sf_dir), "case_name")
 
 
+@query
+def evaluation_summary(spark, sf_dir):
+    """A2 / A5 as a report prints them: cases, and both averages in percent."""
+    m = ev.macro_wer(scored_pairs(spark, sf_dir))
+    return m.select("model", "n_cases", ev.percent(F.col("avg_wer")).alias("wer"), ev.percent(F.col("avg_accuracy")).alias("accuracy"))
+
+
+@query
+def eval_pairs(spark, sf_dir):
+    """Texts paired by case name; a case that either side lacks is skipped."""
+    conv = read_table(spark, sf_dir, "conversations")
+    stem = F.format_string("c%d_t%d", "conv_id", "turn").alias("stem")
+    refs = conv.where(F.col("turn") % 3 != 0).select(stem, "text")
+    hyps = conv.where(F.col("turn") % 4 != 1).select(stem, F.upper("text").alias("text"))
+    pairs = files.scan_eval_pairs(refs, hyps)
+    return pairs.select("case_name", F.length("ref_text").cast("long").alias("ref_chars"), (F.upper("ref_text") == F.col("hyp_text")).alias("same"))
+
+
 # ---------------------------------------------------------------- Q&A blocks
 def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, qa_raw): the labelled Q&A text of each session, as a
@@ -190,13 +208,13 @@ QUESTION_CUES = ("that", "la", "die", "los")
 
 
 def stage_inputs(spark: SparkSession, sf_dir: str, residue: int) -> DataFrame:
-    files = fx.doc_files(read_table(spark, sf_dir, "documents"))
-    files = files.withColumn("stem", inc.stem("name"))
+    listed = fx.doc_files(read_table(spark, sf_dir, "documents"))
+    listed = listed.withColumn("stem", inc.stem("name"))
     if residue == 0:  # transcripts: *.txt without derived stems
-        return files.where(F.col("name").endswith(".txt") & ~inc.is_derived("stem"))
+        return listed.where(F.col("name").endswith(".txt") & ~inc.is_derived("stem"))
     if residue == 2:
-        return files.where(F.col("name").endswith("_q_and_a.txt"))
-    return files.where(F.col("name").endswith(".mp3"))
+        return listed.where(F.col("name").endswith("_q_and_a.txt"))
+    return listed.where(F.col("name").endswith(".mp3"))
 
 
 @query
@@ -207,8 +225,8 @@ def transcript_scan_filter(spark, sf_dir):
 
 @query
 def target_filter(spark, sf_dir):
-    files = fx.doc_files(read_table(spark, sf_dir, "documents"))
-    return inc.filter_targets(files, "name", TARGETS).select("doc_id", "name")
+    listed = fx.doc_files(read_table(spark, sf_dir, "documents"))
+    return inc.filter_targets(listed, "name", TARGETS).select("doc_id", "name")
 
 
 @query
@@ -228,12 +246,12 @@ def force_targets(spark, sf_dir):
 
 @query
 def run_report(spark, sf_dir):
-    files = fx.doc_files(read_table(spark, sf_dir, "documents")).withColumn("stem", inc.stem("name"))
+    listed = fx.doc_files(read_table(spark, sf_dir, "documents")).withColumn("stem", inc.stem("name"))
     name = F.col("name")
     stage = (F.when(name.endswith(".mp3"), F.lit("transcribe"))
              .when(name.endswith("_q_and_a.txt"), F.lit("summarize"))
              .when(name.endswith(".txt") & ~inc.is_derived("stem"), F.lit("structure")))
-    staged = files.select("doc_id", stage.alias("stage"), session_ops.require_text(F.col("text")).isNotNull().alias("bad"))
+    staged = listed.select("doc_id", stage.alias("stage"), session_ops.require_text(F.col("text")).isNotNull().alias("bad"))
     outs = fx.stage_outputs(read_table(spark, sf_dir, "labels"))
     return inc.stage_report(staged.where(F.col("stage").isNotNull()), outs, "doc_id", "stage", "kind", "bad",
                             {name_: required for name_, _, required in fx.STAGES})
@@ -249,12 +267,12 @@ def require_text_split(spark, sf_dir):
 
 @query
 def session_init(spark, sf_dir):
-    files = fx.doc_files(read_table(spark, sf_dir, "documents"))
+    listed = fx.doc_files(read_table(spark, sf_dir, "documents"))
     title = (F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string"))
              .when(F.col("doc_id") % 3 == 1, F.lit("")).otherwise(F.upper("lang")))
     modified = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id"))
     s = session_ops.init_session(F.concat(F.col("lang"), F.lit("/"), F.col("name")), modified, title, now=modified)
-    return files.select("doc_id", s["session_id"].alias("session_id"), F.unix_seconds(s["created_at"]).alias("created_s"), s["title"].alias("title"))
+    return listed.select("doc_id", s["session_id"].alias("session_id"), F.unix_seconds(s["created_at"]).alias("created_s"), s["title"].alias("title"))
 
 
 # ---------------------------------------------------------------- structuring
@@ -559,23 +577,58 @@ def audio_payloads(spark: SparkSession, sf_dir: str, corrupt_every: int | None =
 
 @query
 def transcribe_batch(spark, sf_dir):
-    files = audio_payloads(spark, sf_dir)
-    t = providers.transcribe(files, "timed_text")
+    recordings = audio_payloads(spark, sf_dir)
+    t = providers.transcribe(recordings, "timed_text")
     t = t.withColumn("conv_id", F.regexp_extract("path", r"conv_(\d+)\.wav", 1).cast("long"))
     return t.select("conv_id", F.size("transcript.segments").cast("long").alias("n_segments"),
                     F.col("transcript.raw_text").alias("raw_text"),
                     F.round(F.array_max(F.transform("transcript.segments", lambda s: s["end_time"])), 6).alias("duration_s"))
 
 
+@query
+def transcribe_plain(spark, sf_dir):
+    """A provider without timings gives one segment, and the fixed language is recorded."""
+    docs = read_table(spark, sf_dir, "documents")
+    files_ = docs.select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    t = providers.transcribe(files_, "plain_text", language="en", key="doc_id")
+    seg = F.col("transcript.segments")
+    return t.select("doc_id", F.size(seg).cast("long").alias("n_segments"), seg[0]["end_time"].alias("end_time"),
+                    F.length("transcript.raw_text").cast("long").alias("raw_chars"), F.col("transcript.language").alias("language"))
+
+
+@query
+def source_validation(spark, sf_dir):
+    """Requested recordings against the listing; missing ones are error rows downstream."""
+    listing = audio_payloads(spark, sf_dir)
+    ids = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    asked = ids.select(F.format_string("conv_%d.wav", F.col("conv_id") + 3).alias("path"))
+    checked = files.validate_sources(asked, listing)
+    heard = providers.transcribe(checked, "timed_text").select(F.col("path").alias("_p"), "error_class")
+    return checked.join(heard, F.col("path") == F.col("_p")).select("path", "status", "error_class")
+
+
+@query
+def session_parts(spark, sf_dir):
+    """One part of each session replaced, the others untouched."""
+    s = sessions(spark, sf_dir)
+    tr = session_ops.with_transcript(s, F.col("transcript").withField("language", F.lit("xx")))
+    st = session_ops.with_structure(tr, F.lit("new"), F.col("structured_qa_text"))
+    su = session_ops.with_summary(st, F.lit(None).cast(schemas.SUMMARY))
+    out = session_ops.with_title(su, F.upper("metadata.title"))
+    return out.select("conv_id", F.col("transcript.language").alias("language"), F.size("transcript.segments").cast("long").alias("n_segments"),
+                      "presentation_text", F.length("structured_qa_text").cast("long").alias("qa_chars"), F.col("summary").isNull().alias("no_summary"),
+                      F.col("metadata.title").alias("title"))
+
+
 @query
 def session_status(spark, sf_dir):
     """E1 with failures at each step: missing, unreadable and blank recordings, and one
     whose transcript has no answers to a question."""
-    files = audio_payloads(spark, sf_dir, corrupt_every=13).withColumn("title", F.lit(None).cast("string"))
+    recordings = audio_payloads(spark, sf_dir, corrupt_every=13).withColumn("title", F.lit(None).cast("string"))
     blank = F.encode(F.lit('{"start": 0, "end": 1, "text": " "}'), "UTF-8")
     content = (F.when(F.col("conv_id") % 11 == 3, F.lit(None).cast("binary")).when(F.col("conv_id") % 7 == 2, blank).otherwise(F.col("content")))
-    files = files.withColumn("content", content).withColumn("modificationTime", F.timestamp_seconds(F.lit(1704067200)))
-    runs = flow.run_pipeline(files, work_path(spark, "archive"), "r1", QA_CUES, QUESTION_CUES, ACTION_CUES)
+    recordings = recordings.withColumn("content", content).withColumn("modificationTime", F.timestamp_seconds(F.lit(1704067200)))
+    runs = flow.run_pipeline(recordings, work_path(spark, "archive"), "r1", QA_CUES, QUESTION_CUES, ACTION_CUES)
     return flow.status_counts(runs)
 
 
