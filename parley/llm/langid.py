@@ -7,8 +7,8 @@ is the number of bits that the text costs given that language; the language with
 the fewest wins. Many texts are parsed at once: stretches of the texts are lanes
 of an array, and all lanes take one step through the automaton together.
 
-Texts are lower-cased, and whatever is not a letter becomes one blank. They are
-read whole, in stretches of ``STRETCH`` bytes (a phrase ends with its stretch,
+Texts are lower-cased, and whatever is not a letter (or a numeral sign like ½) becomes
+one blank. They are read whole, in stretches of ``STRETCH`` bytes (a phrase ends with its stretch,
 alike for all languages).
 
 Only the fit takes a bounded sample: ``MAX_DOCS`` documents per language with at
@@ -45,7 +45,8 @@ _not_letters = re.compile(r"[\W\d_]+").sub
 
 def normalise(text: str | None) -> bytes:
     """Lower-cased letters in UTF-8, single blanks for everything else; empty without letters."""
-    return _not_letters(" ", (text or "").lower()).strip().encode("utf-8", "ignore")
+    kept = _not_letters(" ", (text or "").lower()).strip()
+    return kept.encode("utf-8", "ignore") if any(map(str.isalpha, kept)) else b""
 
 
 def suffix_automaton(data: np.ndarray, classes: int) -> np.ndarray:

@@ -413,7 +413,7 @@ def test_languages_are_told_apart(spark):
         pool = words.split() if lang != "ja" else list(words)
         for i in range(60):
             rows.append((100 * k + i, ("" if lang == "ja" else " ").join(np.random.default_rng(i).choice(pool, 25)), lang, "s"))
-    rows += [(900, None, "la", "s"), (901, "", "la", "s"), (902, "123 !!", "fi", "s"), (None, "talossa katolla", None, None), (904, "KISSALLA hyvää " * 4000, None, "s")]
+    rows += [(900, None, "la", "s"), (901, "", "la", "s"), (902, "123 !! ½Ⅷ²", "fi", "s"), (None, "talossa katolla", None, None), (904, "KISSALLA hyvää " * 4000, None, "s")]
     df = make_docs(spark, rows)
     model = langid.fit(df, fold(F.col("doc_id"), 5) != 0)
     out = langid.identify(df, model).collect()
