@@ -1,8 +1,8 @@
 """Operator 7: toxicity by the nearest labelled examples.
 
-Terms are words and beginnings of words. The vocabulary holds those that labelled
-examples of one class have significantly more often; their document frequencies
-are counted over all documents. Examples are TF-IDF vectors in an inverted index
+Terms are words and beginnings of words. The vocabulary holds those that toxic
+examples have significantly more often; their document frequencies are counted over
+all documents. Examples are TF-IDF vectors in an inverted index
 whose posting lists are cut into blocks of examples, with the largest weight of
 each term in each block. A query takes the blocks in falling order of their upper
 bounds and stops when no block can beat the k-th best cosine, so the k nearest
@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,11 +36,12 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import fold, labelled_ids, labelled_texts, materialise
 
-MAX_POSITIVE, MAX_NEGATIVE = 2_500, 5_000
+MAX_POSITIVE, MAX_NEGATIVE = 1_200, 3_000
 #: Vocabulary: at most so many terms, with at least this log-likelihood ratio (G squared).
 MAX_TERMS, LEAST_G2 = 400, 20.0
 #: Beginnings of words, in letters, that are terms besides the words.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5)
+#: Neighbours that vote, examples to a block, blocks taken first (then twice as many each time).
 NEIGHBOURS, BLOCK, ROUND = 12, 32, 8
 THRESHOLD = 0.7
 KEPT_WORDS = 400_000
@@ -73,14 +75,13 @@ class Vocabulary:
         known = self.of_word
         if len(known) > KEPT_WORDS:
             known.clear()
-        found: dict[int, int] = {}
         words = _tokens((text or "").lower())
-        for w in words:
-            at = known.get(w)
-            if at is None:
-                at = known[w] = tuple(self.number[t] for t in word_terms(w) if t in self.number)
-            for i in at:
-                found[i] = found.get(i, 0) + 1
+        terms = list(map(known.get, words))
+        if None in terms:
+            for w in {w for w, t in zip(words, terms) if t is None}:
+                known[w] = tuple(self.number[t] for t in word_terms(w) if t in self.number)
+            terms = list(map(known.get, words))
+        found = Counter(chain.from_iterable(filter(None, terms)))
         ids = np.array(sorted(found), np.int64)
         return ids, np.array([found[i] for i in ids.tolist()], float), len(words)
 
@@ -123,16 +124,20 @@ class BlockMaxIndex:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best_who, best_cos = np.zeros(0, np.int64), np.zeros(0)
-        for a in range(0, len(order), ROUND):
-            blocks = order[a:a + ROUND]
+        a, width = 0, ROUND
+        while a < len(order):
+            blocks = order[a:a + width]
             if len(best_cos) >= k and bound[blocks[0]] < best_cos[k - 1] - 1e-12:
                 break
-            lo, hi = self.start[ids][:, blocks], self.start[ids][:, blocks + 1]
+            a, width = a + width, 2 * width
+            lo, hi = self.start[ids[:, None], blocks], self.start[ids[:, None], blocks + 1]
             spans = (hi - lo).ravel()
             at = np.repeat(lo.ravel() - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
             q = np.repeat(np.repeat(weights, len(blocks)), spans)
-            who, place = np.unique(self.posting[at], return_inverse=True)
-            cos = np.bincount(place, q * self.weight[at], len(who))
+            slot = np.repeat(np.tile(BLOCK * np.arange(len(blocks)), len(ids)), spans) + self.posting[at] % BLOCK
+            cos = np.bincount(slot, q * self.weight[at], BLOCK * len(blocks))
+            hit = np.flatnonzero(cos > 0)
+            who, cos = blocks[hit // BLOCK] * BLOCK + hit % BLOCK, cos[hit]
             keep = who != skip
             best_who, best_cos = np.concatenate([best_who, who[keep]]), np.concatenate([best_cos, cos[keep]])
             first = np.lexsort((best_who, -best_cos))[:k]
@@ -188,7 +193,7 @@ class Model:
 
 
 def choose_terms(sample: DataFrame) -> list[str]:
-    """Terms whose share of documents differs significantly between the labels, strongest first."""
+    """Terms that documents of label 1 have significantly more often, strongest first."""
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(t, y) for text, y in zip(pdf["text"], pdf["label"]) for t in document_terms(text)]
@@ -205,7 +210,7 @@ def choose_terms(sample: DataFrame) -> list[str]:
         share = F.col("d") / float(n) if k < 2 else 1 - F.col("d") / float(n)
         g2 = g2 + F.when(seen > 0, 2 * seen * F.log(seen / (share * float(of)))).otherwise(0.0)
     per = texts.mapInPandas(terms, "term string, label double").groupBy("term").agg(F.count("*").cast("double").alias("d"), F.sum("label").alias("d1"))
-    per = per.where(F.col("d") < float(n)).select("term", g2.alias("g2")).where(F.col("g2") >= LEAST_G2)
+    per = per.where((F.col("d") < float(n)) & (with1 * float(n) > F.col("d") * float(n1))).select("term", g2.alias("g2")).where(F.col("g2") >= LEAST_G2)
     return [r.term for r in per.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()]
 
 
