@@ -1,21 +1,23 @@
 """Operator 7: toxicity by the nearest labelled examples.
 
-Terms are words and beginnings of words. The vocabulary holds those that toxic
-examples have significantly more often; their document frequencies are counted over
-all documents. Examples are TF-IDF vectors in an inverted index
-whose posting lists are cut into blocks of examples, with the largest weight of
-each term in each block. A query takes the blocks in falling order of their upper
-bounds and stops when no block can beat the k-th best cosine, so the k nearest
-are exact. The votes of the nearest are weighted by their cosine; a logistic curve
-fitted on leave-one-out votes of the examples turns them into a probability. The
-ids and cosines of the nearest examples are returned as evidence.
+Terms are words and beginnings of words. The vocabulary holds every term of the
+examples; document frequencies are counted over all documents. Examples are TF-IDF
+vectors in an inverted index, cut into blocks of examples, with the largest weight
+of each term in each block. Terms that many examples have stand in a dense table,
+the others in posting lists. The lists are added up first; a block whose upper bound
+cannot beat the k-th best cosine is then left out, so the k nearest are exact. The
+votes of the nearest are weighted by their cosine; a logistic curve fitted on the
+examples, each left out of its own votes and counts, turns them into a probability,
+together with how far the text's terms lean to either label. The ids and cosines of
+the nearest examples are returned as evidence.
 
 Only the fit takes a bounded sample (``MAX_POSITIVE`` and ``MAX_NEGATIVE`` labelled
-documents); all documents count for the frequencies, and all are scored.
+documents); all documents count for the frequencies, and all are scored. A text's
+words that no example has are not in its vector.
 
-Defined results: a null or empty text, or one without a vocabulary term, has no
+Defined results: a null or empty text, or one without any word of an example, has no
 neighbours and gets the rate of label 1 among such examples; ties between equal
-cosines go to the earlier example (by id); repeated rows get equal scores; rows
+cosines go to the earlier example in the index; repeated rows get equal scores; rows
 with a null id are scored, and are neither held out nor learned from; with no
 usable label the score is 0.5 without evidence; long texts count whole; an empty
 table gives an empty result; only id and text are read of the documents.
@@ -26,23 +28,28 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import fold, labelled_ids, labelled_texts, materialise
 
-MAX_POSITIVE, MAX_NEGATIVE = 1_200, 3_000
-#: Vocabulary: at most so many terms, with at least this log-likelihood ratio (G squared).
-MAX_TERMS, LEAST_G2 = 400, 20.0
+MAX_POSITIVE, MAX_NEGATIVE = 2_500, 5_000
 #: Beginnings of words, in letters, that are terms besides the words.
-PREFIXES = (4, 5)
-#: Neighbours that vote, examples to a block, blocks taken first (then twice as many each time).
+PREFIXES = (4, 5, 6)
+#: Neighbours that vote, examples to a block, blocks taken first (then the others).
 NEIGHBOURS, BLOCK, ROUND = 12, 32, 8
+#: A term is in the dense table if at least one in so many examples has it; queries searched together.
+DENSE, QUERIES = 16, 64
+#: Room for rounding in single precision; what comes within it is compared in double precision.
+ROUNDING = 1e-5
+#: Standard deviations of a term's log odds that may be chance, among some hundred thousand terms.
+SURE = 3.5
 THRESHOLD = 0.7
 KEPT_WORDS = 400_000
 
@@ -70,6 +77,12 @@ class Vocabulary:
         self.number = {t: i for i, t in enumerate(terms)}
         self.of_word: dict[str, tuple[int, ...]] = {}
 
+    def __getstate__(self) -> str:
+        return "\n".join(self.terms)
+
+    def __setstate__(self, terms: str) -> None:
+        self.__init__(terms.split("\n") if terms else [])
+
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
         """Numbers and counts of the vocabulary terms of a text, by number; and its number of words."""
         known = self.of_word
@@ -92,65 +105,119 @@ def unit(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / np.sqrt((w ** 2).sum()) if len(w) else w
 
 
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def spans(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries of ``rows`` in lists that begin at ``start``, and the length of each row."""
+    n = start[rows + 1] - start[rows]
+    return np.repeat(start[rows] - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 @dataclass
 class BlockMaxIndex:
-    """Inverted lists over blocks of examples, with each term's largest weight per block."""
+    """Examples by row; from them, on first use, the dense table, its largest weights per block, and the posting lists."""
 
     n: int
     terms: int
-    posting: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    start: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.int64))  # terms x (blocks + 1)
-    top: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # terms x blocks
+    start: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+    built: tuple | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"built": None}
 
     @classmethod
-    def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> BlockMaxIndex:
-        out = cls(len(vectors), terms)
-        blocks = -(-len(vectors) // BLOCK)
-        term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
-        who = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-        weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
-        order = np.lexsort((who, term))
-        out.posting, out.weight, term = who[order], weight[order], term[order]
-        cell = term * (blocks + 1) + out.posting // BLOCK
-        out.start = np.searchsorted(cell, np.arange(terms)[:, None] * (blocks + 1) + np.arange(blocks + 1)[None, :])
-        out.top = np.zeros((terms, blocks))
-        np.maximum.at(out.top, (term, out.posting // BLOCK), out.weight)
+    def of(cls, vectors: list[Vector], terms: int) -> BlockMaxIndex:
+        start = np.concatenate([[0], np.cumsum([len(v[0]) for v in vectors])]).astype(np.int64)
+        term = np.concatenate([v[0] for v in vectors] or [np.zeros(0)]).astype(np.int32)
+        return cls(len(vectors), terms, start, term, np.concatenate([v[1] for v in vectors] or [np.zeros(0)]))
+
+    def tables(self) -> tuple:
+        if self.built is None:
+            blocks = -(-self.n // BLOCK)
+            who = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.start))
+            common = np.flatnonzero(DENSE * np.bincount(self.term, minlength=self.terms) >= max(self.n, 1))
+            column = np.full(self.terms, -1, np.int32)
+            column[common] = np.arange(len(common))
+            dense = np.zeros((blocks * BLOCK, len(common)), np.float32)
+            at = column[self.term] >= 0
+            dense[who[at], column[self.term[at]]] = self.weight[at]
+            top = dense.reshape(blocks, BLOCK, -1).max(axis=1)
+            term, who, weight = self.term[~at], who[~at], self.weight[~at]
+            order = np.argsort(term, kind="stable")
+            start = np.searchsorted(term[order], np.arange(self.terms + 1))
+            self.built = column, dense, top, start, who[order], weight[order].astype(np.float32), np.zeros(self.terms)
+        return self.built
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> Vector:
+        """The k examples of the highest cosine (above 0), and their cosines."""
+        return self.nearest_of([(ids, weights)], k, [skip])[0]
+
+    def nearest_of(self, queries: list[Vector], k: int, skip: list[int] | None = None) -> list[Vector]:
+        """The same of each query; ``skip`` has an example that a query does not meet, or -1."""
+        out: list[Vector] = []
+        for a in range(0, len(queries), QUERIES):
+            out += self._search(queries[a:a + QUERIES], k, (skip or [-1] * len(queries))[a:a + QUERIES])
         return out
 
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the highest cosine (above 0), and their cosines."""
-        bound = weights @ self.top[ids]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best_who, best_cos = np.zeros(0, np.int64), np.zeros(0)
-        a, width = 0, ROUND
-        while a < len(order):
-            blocks = order[a:a + width]
-            if len(best_cos) >= k and bound[blocks[0]] < best_cos[k - 1] - 1e-12:
-                break
-            a, width = a + width, 2 * width
-            lo, hi = self.start[ids[:, None], blocks], self.start[ids[:, None], blocks + 1]
-            spans = (hi - lo).ravel()
-            at = np.repeat(lo.ravel() - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
-            q = np.repeat(np.repeat(weights, len(blocks)), spans)
-            slot = np.repeat(np.tile(BLOCK * np.arange(len(blocks)), len(ids)), spans) + self.posting[at] % BLOCK
-            cos = np.bincount(slot, q * self.weight[at], BLOCK * len(blocks))
-            hit = np.flatnonzero(cos > 0)
-            who, cos = blocks[hit // BLOCK] * BLOCK + hit % BLOCK, cos[hit]
-            keep = who != skip
-            best_who, best_cos = np.concatenate([best_who, who[keep]]), np.concatenate([best_cos, cos[keep]])
-            first = np.lexsort((best_who, -best_cos))[:k]
-            best_who, best_cos = best_who[first], best_cos[first]
-        return best_who, np.minimum(best_cos, 1.0)
-
-
-def features(label: np.ndarray, mass: np.ndarray, cos: np.ndarray, counts: np.ndarray, words: int) -> list[float]:
-    """Vote of the neighbours, how near they are, and how much of the text the vote rests on."""
+    def _search(self, queries: list[Vector], k: int, skip: list[int]) -> list[Vector]:
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if not self.n:
+            return [none] * len(queries)
+        column, dense, top, start, who, weight, _ = self.tables()
+        q, size = np.zeros((len(queries), dense.shape[1]), np.float32), len(dense)
+        score = np.zeros((len(queries), size), np.float32)
+        for i, (ids, w) in enumerate(queries):
+            c = column[ids]
+            q[i, c[c >= 0]] = w[c >= 0]
+            at, n = spans(start, ids[c < 0])
+            score[i] = np.bincount(who[at], np.repeat(w[c < 0], n) * weight[at], size)
+            if skip[i] >= 0:
+                score[i, skip[i]] = -np.inf
+        # all weights are above 0, so what is added up so far is a lower bound of each cosine
+        bound = q @ top.T + score.reshape(len(queries), -1, BLOCK).max(axis=2)
+        order = np.argsort(-bound.sum(axis=0), kind="stable")
+        for blocks in (order[:ROUND], order[ROUND:]):
+            beaten = self._kth(score, k) - ROUNDING
+            for b in blocks:
+                rows = np.flatnonzero(bound[:, b] >= beaten)
+                if len(rows):
+                    part = slice(None) if len(rows) == len(q) else rows
+                    score[part, b * BLOCK:(b + 1) * BLOCK] += q[part] @ dense[b * BLOCK:(b + 1) * BLOCK].T
+        least = np.maximum(self._kth(score, k) - ROUNDING, 0)
+        return [self._exact(v, np.flatnonzero((s >= m) & (s > 0)), k) for v, s, m in zip(queries, score, least)]
+
+    @staticmethod
+    def _kth(score: np.ndarray, k: int) -> np.ndarray:
+        return np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.zeros(len(score), np.float32)
+
+    def _exact(self, query: Vector, who: np.ndarray, k: int) -> Vector:
+        """The k nearest of the examples ``who``, in double precision."""
+        wide = self.tables()[-1]
+        wide[query[0]] = query[1]
+        at, n = spans(self.start, who)
+        cos = np.bincount(np.repeat(np.arange(len(who)), n), wide[self.term[at]] * self.weight[at], len(who))
+        wide[query[0]] = 0
+        first = np.lexsort((who, -cos))[:k]
+        return who[first], np.minimum(cos[first], 1.0)
+
+
+def leaning(with1: np.ndarray, with0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """How surely each term stands in more examples of label 1 (above 0) or of label 0 (below), beyond ``SURE`` deviations."""
+    odds = np.log((with1 + 0.5) / (n1 - with1 + 0.5)) - np.log((with0 + 0.5) / (n0 - with0 + 0.5))
+    z = odds / np.sqrt(1 / (with1 + 0.5) + 1 / (n1 - with1 + 0.5) + 1 / (with0 + 0.5) + 1 / (n0 - with0 + 0.5))
+    return np.sign(z) * np.maximum(np.abs(z) - SURE, 0)
+
+
+def features(label: np.ndarray, mass: np.ndarray, cos: np.ndarray, counts: np.ndarray, words: int, lean: np.ndarray) -> list[float]:
+    """Vote of the neighbours, how near they are, and how far the text's own terms lean to either label."""
     w = cos * mass
     vote = float((w * label).sum() / w.sum())
-    terms, density = np.log1p(len(counts)), np.log1p(100 * counts.sum() / words)
-    return [vote, float(cos[0]), vote * float(cos[0]), terms, density, vote * terms, vote * density]
+    for1, for0 = np.maximum(lean, 0), np.maximum(-lean, 0)
+    terms, density = np.log1p(for1.sum()), np.log1p(100 * (for1 * counts).sum() / words)
+    return [vote, float(cos[0]), vote * float(cos[0]), terms, density, vote * terms, vote * density, np.log1p(100 * (for0 * counts).sum() / words)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -178,58 +245,51 @@ class Model:
     labels: np.ndarray
     mass: np.ndarray  # how many labelled documents an example stands for
     curve: np.ndarray
-    without: float  # score of texts without a vocabulary term
+    lean: np.ndarray  # of each term
+    without: float  # score of texts without any term of an example
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        ids, counts, words = self.vocabulary.counts(text)
-        if not len(ids) or not self.index.n:
-            return self.without, [], []
-        who, cos = self.index.nearest(ids, unit(ids, counts, self.idf), NEIGHBOURS)
-        if not len(who):
-            return self.without, [], []
-        f = features(self.labels[who], self.mass[who], cos, counts, words)
-        p = 1 / (1 + np.exp(-np.clip(self.curve[0] + np.dot(self.curve[1:], f), -30, 30)))
-        return float(p), self.ids[who].tolist(), cos.round(6).tolist()
-
-
-def choose_terms(sample: DataFrame) -> list[str]:
-    """Terms that documents of label 1 have significantly more often, strongest first."""
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        """Score, evidence and its cosines of each text."""
+        out = []
+        for a in range(0, len(texts), QUERIES):
+            found = [self.vocabulary.counts(t) for t in texts[a:a + QUERIES]]
+            near = self.index.nearest_of([(ids, unit(ids, counts, self.idf)) for ids, counts, _ in found], NEIGHBOURS)
+            for (ids, counts, words), (who, cos) in zip(found, near):
+                if not len(who):
+                    out.append((self.without, [], []))
+                    continue
+                f = features(self.labels[who], self.mass[who], cos, counts, words, self.lean[ids])
+                p = 1 / (1 + np.exp(-np.clip(self.curve[0] + np.dot(self.curve[1:], f), -30, 30)))
+                out.append((float(p), self.ids[who].tolist(), cos.round(6).tolist()))
+        return out
+
+
+def all_terms(sample: DataFrame) -> list[str]:
+    """Every term of the examples."""
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(t, y) for text, y in zip(pdf["text"], pdf["label"]) for t in document_terms(text)]
-            yield pd.DataFrame(rows, columns=["term", "label"])
-
-    texts = sample.select("text", "label").distinct()  # copies would feign significance
-    n, n1 = texts.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    if not n or not n1 or n1 == n:
-        return []
-    with1, with0 = F.col("d1"), F.col("d") - F.col("d1")
-    cells = ((with1, n1), (with0, n - n1), (n1 - with1, n1), (n - n1 - with0, n - n1))
-    g2 = F.lit(0.0)
-    for k, (seen, of) in enumerate(cells):
-        share = F.col("d") / float(n) if k < 2 else 1 - F.col("d") / float(n)
-        g2 = g2 + F.when(seen > 0, 2 * seen * F.log(seen / (share * float(of)))).otherwise(0.0)
-    per = texts.mapInPandas(terms, "term string, label double").groupBy("term").agg(F.count("*").cast("double").alias("d"), F.sum("label").alias("d1"))
-    per = per.where((F.col("d") < float(n)) & (with1 * float(n) > F.col("d") * float(n1))).select("term", g2.alias("g2")).where(F.col("g2") >= LEAST_G2)
-    return [r.term for r in per.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()]
-
-
-def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Over all documents: how many have each term, and (last) how many there are."""
-    terms = len(vocabulary.terms)
+            yield pd.DataFrame({"term": sorted({t for text in pdf["text"] for w in set(_tokens(text.lower())) for t in word_terms(w)})}, dtype=object)
+
+    return sorted(sample.select("text").mapInPandas(terms, "term string").distinct().toArrow()["term"].to_pylist())
 
+
+def document_frequencies(docs: DataFrame, vocabulary: Broadcast, terms: int) -> np.ndarray:
+    """Over all documents: how many have each term, and (last) how many there are."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(terms + 1, np.int64)
         for pdf in batches:
             for text in pdf["text"]:
-                total[vocabulary.counts(text)[0]] += 1
+                total[vocabulary.value.counts(text)[0]] += 1
             total[terms] += len(pdf)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"term": at, "n": total[at]})
 
     out = np.zeros(terms + 1)
-    for r in docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r.term] = r.n
+    found = docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -239,17 +299,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic")
     drawn = [labelled_ids(labels.where(F.col(label) == v), label, learn, most, salt=7 + v)
              for v, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
     sample = materialise(labelled_texts(docs, drawn[0].unionByName(drawn[1])), "examples")
-    vocabulary = Vocabulary(choose_terms(sample))
+    vocabulary = Vocabulary(all_terms(sample))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [vocabulary.counts(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "h": pdf["h"], "ids": [g[0] for g in got], "counts": [g[1] for g in got], "words": [g[2] for g in got]})
+            got = [shared.value.counts(t) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "h": pdf["h"], "ids": [g[0].astype(np.int32).tobytes() for g in got], "counts": [g[1].astype(np.float32).tobytes() for g in got], "words": [g[2] for g in got]})
 
     rows = sample.select("doc_id", "label", F.xxhash64("text").alias("h"), "text").mapInPandas(
-        vectors, "doc_id long, label double, h long, ids array<long>, counts array<double>, words long").collect()
+        vectors, "doc_id long, label double, h long, ids binary, counts binary, words long").collect()
     rows = list({(r.h, r.label): r for r in sorted(rows, key=lambda r: r.doc_id, reverse=True)}.values())  # one of each text
-    total = document_frequencies(docs, vocabulary)
+    total = document_frequencies(docs, shared, len(vocabulary.terms))
+    shared.unpersist()
     idf = np.log((total[-1] + 1) / (total[:-1] + 1)) + 0.01
     y_all = np.array([r.label for r in rows])
     mass_of = {v: counts.get(v, 0) / max(1, int((y_all == v).sum())) for v in (0, 1)}
@@ -257,21 +319,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic")
     n1, n0 = (sum(mass_of[v] for r in bare if r.label == v) for v in (1, 0))
     without = (n1 + 0.5 * (not rows)) / (n1 + n0 + 1) if rows else 0.5
     full = [r for r in rows if r.ids]
-    vec = [(np.array(r.ids, np.int64), unit(np.array(r.ids, np.int64), np.array(r.counts), idf)) for r in full]
+    seen = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.float32)) for r in full]
+    vec = [(ids, unit(ids, n.astype(float), idf)) for ids, n in seen]
     # examples with the same strongest term stand together, which sharpens the bounds of their blocks
     lead = [(int(v[0][v[1].argmax()]), r.doc_id) for v, r in zip(vec, full)]
     order = sorted(range(len(full)), key=lead.__getitem__)
-    vec, full = [vec[i] for i in order], [full[i] for i in order]
+    vec, full, seen = ([x[i] for i in order] for x in (vec, full, seen))
     index = BlockMaxIndex.of(vec, len(vocabulary.terms))
     y = np.array([r.label for r in full])
     mass = np.array([mass_of[int(v)] for v in y])
+    # each example is judged without its own terms' counts, as texts that were not learned from are
+    with1, with0 = (np.bincount(np.concatenate([v[0] for v, k in zip(vec, y) if k == c] or [np.zeros(0, np.int64)]), minlength=len(idf)) for c in (1, 0))
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     x, target, weight = [], [], []
-    for i, v in enumerate(vec):
-        who, cos = index.nearest(*v, NEIGHBOURS, skip=i)
+    for i, (who, cos) in enumerate(index.nearest_of(vec, NEIGHBOURS, list(range(len(vec))))):
         if len(who):
-            x.append(features(y[who], mass[who], cos, np.array(full[i].counts), full[i].words)), target.append(y[i]), weight.append(mass[i])
-    curve = fit_logistic(np.array(x), np.array(target), np.array(weight)) if x else np.zeros(8)
-    return Model(vocabulary, idf, index, np.array([r.doc_id for r in full], np.int64), y, mass, curve, float(without))
+            ids, one = vec[i][0], int(y[i] == 1)
+            lean = leaning(with1[ids] - one, with0[ids] - (1 - one), n1 - one, n0 - (1 - one))
+            x.append(features(y[who], mass[who], cos, seen[i][1], full[i].words, lean)), target.append(y[i]), weight.append(mass[i])
+    curve = fit_logistic(np.array(x), np.array(target), np.array(weight)) if x else np.zeros(9)
+    return Model(vocabulary, idf, index, np.array([r.doc_id for r in full], np.int64), y, mass, curve, leaning(with1, with0, n1, n0), float(without))
 
 
 def score_documents(docs: DataFrame, model: Model, parts: int = 3, held: int = 1) -> DataFrame:
@@ -280,8 +347,7 @@ def score_documents(docs: DataFrame, model: Model, parts: int = 3, held: int = 1
 
     @F.pandas_udf("score double, ids array<long>, cosines array<double>")
     def scored(batch: pd.Series) -> pd.DataFrame:
-        rows = [shared.value.score(t) for t in batch]
-        return pd.DataFrame(rows, columns=["score", "ids", "cosines"])
+        return pd.DataFrame(shared.value.scores(batch.tolist()), columns=["score", "ids", "cosines"])
 
     d = docs.select("doc_id", scored("text").alias("s"))
     return d.select("doc_id", F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)).alias("held_out"), F.col("s.score").alias("score"),

@@ -290,6 +290,25 @@ def test_toxicity_learns_words_and_stems(spark, docs):
     assert {r.score for r in toxicity.score_documents(docs, empty).collect()} == {0.5}
 
 
+def test_toxicity_searches_texts_without_a_toxic_word(spark):
+    text = lambda i: prose(40, i) + (" grrash blahash" if i % 3 == 0 else "")
+    every = make_docs(spark, [(1000 + i, text(i), "en", "a") for i in range(120)] + [(2000, prose(40, 1) + " w1", "en", "a"), (2001, "", "en", "a")])
+    labels = spark.createDataFrame([(1000 + i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(every, labels, F.lit(True))
+    got = {r.doc_id: r for r in toxicity.score_documents(every, model).collect()}
+    assert all(len(got[1000 + i].evidence_ids) == toxicity.NEIGHBOURS for i in range(120)) and model.index.n == 120
+    assert all(got[1000 + i].evidence_ids[0] == 1000 + i for i in range(120)) and got[2000].evidence_ids[0] == 1001 and got[2001].evidence_ids == []
+    terms = {i: toxicity.document_terms(text(i)) for i in range(120)}  # the cosine over all terms, by brute force
+    df = collections.Counter(t for r in every.collect() for t in toxicity.document_terms(r.text))
+    unit = {}
+    for i, c in terms.items():
+        w = {t: (1 + np.log(n)) * (np.log((122 + 1) / (df[t] + 1)) + 0.01) for t, n in c.items()}
+        unit[i] = {t: v / np.sqrt(sum(x * x for x in w.values())) for t, v in w.items()}
+    for i in range(0, 120, 7):
+        cos = sorted((sum(v * unit[k].get(t, 0.0) for t, v in unit[i].items()) for k in terms), reverse=True)
+        assert np.allclose(got[1000 + i].evidence_cosines, cos[:toxicity.NEIGHBOURS], atol=2e-6)
+
+
 # ---------------------------------------------------------------- 8 fingerprints
 def plain_next(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
