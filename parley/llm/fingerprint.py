@@ -1,11 +1,16 @@
 """Operator 8: Order MinHash fingerprints. DataFrame functions only.
 
 A text is its sequence of word k-mers, each numbered by how often it has occurred
-before. Hashes of (k-mer, number) fall into ``BINS`` bins; a bin selects its two
-minimal ones, puts them back into text order and hashes the pair. Two texts agree
-in a bin when the same k-mers are minimal there and stand in the same order, so
-the likeness (share of agreeing bins) falls with the edit distance, also when
-words are only moved.
+before. ``BINS`` permutations order the hashes of (k-mer, number); each selects its
+two minimal ones, puts them back into text order and hashes the pair. Two texts agree
+in a permutation when the same k-mers are minimal there and stand in the same order,
+so the likeness (share of agreeing permutations) falls with the edit distance, also
+when words are only moved, in short texts too.
+
+Hashes fall into ``BINS`` bins. Permutation j puts the k-mers of bin j first, by
+their hash, and after them all others by a hash of their own for j. So a bin of two
+or more k-mers gives its pair at once, and only for the other bins, which are few in
+long texts, all k-mers of the text are hashed again.
 
 The document that follows in descending id order is found without a global sort:
 ids are cut into ranges of about ``RANGE_ROWS`` rows, a range looks ahead within
@@ -36,6 +41,7 @@ GROUP_RANGES = 8192
 _POS = 24  # low bits of a packed value hold the position
 _MASK = (1 << _POS) - 1
 _LOWEST = -(1 << 63)
+_HIGHEST = (1 << 63) - 1
 
 
 def _right(x: Column, n: int) -> Column:
@@ -47,7 +53,7 @@ def with_components(df: DataFrame, text: str, out: str) -> DataFrame:
 
     Helper columns are staged, so that each array is computed once.
     """
-    w, grams, runs, starts, order = (f"__{out}_{k}" for k in ("w", "grams", "runs", "starts", "order"))
+    w, grams, runs, starts, order, pairs, poor = (f"__{out}_{k}" for k in ("w", "grams", "runs", "starts", "order", "pairs", "poor"))
     c = F.col
     df = df.withColumn(w, F.array_remove(F.split(c(text), BLANKS), ""))
     first = F.sequence(F.lit(1), F.greatest(F.size(c(w)) - (K - 1), F.lit(1)))
@@ -64,24 +70,35 @@ def with_components(df: DataFrame, text: str, out: str) -> DataFrame:
     shift = 64 - (BINS - 1).bit_length()
     bin_of = lambda x: _right(x, shift)
 
-    def component(j: Column) -> Column:
-        a, b = F.get(c(order), j), F.get(c(order), j + 1)
+    def component(bin_no: Column, a: Column, b: Column) -> Column:
         a_key, b_key = _right(a, _POS), _right(b, _POS)
         ordered = F.when(a.bitwiseAND(F.lit(_MASK)) <= b.bitwiseAND(F.lit(_MASK)), F.xxhash64(a_key, b_key)).otherwise(F.xxhash64(b_key, a_key))
-        value = F.when(b.isNull() | (bin_of(a) != bin_of(b)), F.xxhash64(a_key)).otherwise(ordered)
-        return (bin_of(a) * 65536 + value.bitwiseAND(F.lit(65535))).cast("int")
-
-    heads = F.filter(F.transform(c(order), lambda x, j: F.when((j == 0) | (bin_of(F.get(c(order), j - 1)) != bin_of(x)), j)), lambda j: j.isNotNull())
-    return df.withColumn(out, F.transform(heads, component)).drop(w, grams, runs, starts, order)
+        value = F.when(b.isNull(), F.xxhash64(a_key)).otherwise(ordered)
+        return (bin_no * 65536 + value.bitwiseAND(F.lit(65535))).cast("int")
+
+    at = lambda j: F.get(c(order), j)
+    # the first two of each bin that has two
+    heads = F.filter(F.transform(c(order), lambda x, j: F.when(
+        ((j == 0) | (bin_of(at(j - 1)) != bin_of(x))) & (bin_of(at(j + 1)) == bin_of(x)), j)), lambda j: j.isNotNull())
+    df = df.withColumn(pairs, F.transform(heads, lambda j: F.struct(bin_of(at(j)).alias("bin"), at(j).alias("a"), at(j + 1).alias("b"))))
+    # for the others, k-mers of the bin are below 0 and all others, hashed again, are not
+    again = lambda x, k: F.xxhash64(_right(x, _POS), k).bitwiseAND(F.lit(_HIGHEST & ~_MASK)).bitwiseOR(x.bitwiseAND(F.lit(_MASK)))
+    permuted = lambda k: F.sort_array(F.transform(c(order), lambda x: F.when(bin_of(x) == k, x.bitwiseOR(F.lit(_LOWEST))).otherwise(again(x, k))))
+    lacking = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), F.transform(c(pairs), lambda p: p["bin"]))
+    df = df.withColumn(poor, F.when(F.size(c(order)) > 0, F.transform(lacking, lambda k: F.struct(k.alias("bin"), F.slice(permuted(k), 1, 2).alias("ab"))))
+                       .otherwise(F.array().cast("array<struct<bin:bigint,ab:array<bigint>>>")))
+    parts = F.concat(F.transform(c(pairs), lambda p: component(p["bin"], p["a"], p["b"])),
+                     F.transform(c(poor), lambda p: component(p["bin"], F.get(p["ab"], F.lit(0)), F.get(p["ab"], F.lit(1)))))
+    return df.withColumn(out, F.sort_array(parts)).drop(w, grams, runs, starts, order, pairs, poor)
 
 
 def as_text(components: Column) -> Column:
-    """Fingerprint string: six hex digits per filled bin, the bin's number in the first two."""
+    """Fingerprint string: six hex digits per permutation, its number in the first two."""
     return F.array_join(F.transform(components, lambda x: F.lower(F.lpad(F.hex(x), 6, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Agreeing bins as a share of the bins that either fingerprint fills; 1 for two empty ones."""
+    """Agreeing permutations as a share of those that either fingerprint has; 1 for two empty ones."""
     bins = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, 16)), F.transform(b, lambda x: F.shiftright(x, 16))))
     return F.when(bins == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / bins)
 

@@ -349,6 +349,20 @@ def test_fingerprints_number_occurrences_and_keep_order(spark):
     assert like(1, 2) > 0.9 and like(1, 3) < 0.75 and parts[4] != parts[5]
 
 
+def test_fingerprints_see_moves_in_short_texts(spark):
+    rows = []
+    for n in (20, 40, 60, 100):
+        for i in range(25):
+            w = [f"v{k}" for k in np.random.default_rng(1000 * n + i).choice(5000, n, replace=False)]
+            rows += [(n, i, 0, " ".join(w)), (n, i, 1, " ".join(w[n // 2:] + w[:n // 2]))]
+    df = spark.createDataFrame(rows, "n int, i int, moved int, text string")
+    parts = {(r.n, r.i, r.moved): set(r.p) for r in fingerprint.with_components(df, "text", "p").collect()}
+    assert all(len(p) == fingerprint.BINS for p in parts.values())
+    for n, want in ((20, 0.37), (40, 0.43), (60, 0.45), (100, 0.47)):  # of 64 independent permutations
+        got = np.mean([len(parts[n, i, 0] & parts[n, i, 1]) / fingerprint.BINS for i in range(25)])
+        assert abs(got - want) < 0.06, (n, got)
+
+
 # ---------------------------------------------------------------- 9 near duplicates
 def plain_links(rows):
     sets = []
