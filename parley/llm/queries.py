@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, fingerprint, langid, licenses, mixing, neardup, quality, rules, toxicity, urls
+from parley.llm import audit, bpe, decontaminate, fingerprint, langid, licenses, mixing, neardup, quality, rules, toxicity, urls
 from parley.llm.common import fold
 from parley.spark import read_table
 
@@ -95,6 +95,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs, fold(F.col("doc_id"), 5) != 0))
 
 
+@query
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 ORACLES["op5_url_filter"] = """WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, url FROM pages),
 u AS (SELECT row_number() OVER () AS row, page_id,
              translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -145,3 +155,36 @@ low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
 links AS (SELECT a, count(*) AS n FROM near GROUP BY a)
 SELECT doc_id, least(doc_id, coalesce(low.b, doc_id)) AS class_id, coalesce(links.n, 0) AS n_links
 FROM documents LEFT JOIN low ON doc_id = low.a LEFT JOIN links ON doc_id = links.a"""
+
+
+ORACLES["op11_decontaminate"] = r"""WITH low AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT row, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+      FROM (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+g AS (SELECT row, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+      FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM q))),
+h AS (SELECT row, i, g.size, item_id FROM g JOIN q ON g.phrase = q.phrase AND g.size = q.size),
+words AS (SELECT row, count(DISTINCT pos) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS pos FROM h) GROUP BY row),
+items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.row = words.row LEFT JOIN items ON d.row = items.row"""
+
+ORACLES["op12_filter_audit"] = r"""WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+              regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS fails
+      FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+o AS (SELECT a || b || c || d || e AS filter_order FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v1(a), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v2(b),
+             (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v3(c), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v4(d), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v5(e)
+      WHERE len(list_distinct([a, b, c, d, e])) = 5),
+s AS (SELECT filter_order, step, list_transform(string_split(filter_order, ''), lambda x: ascii(x) - 64) AS places FROM o, range(1, 6) r(step)),
+x AS (SELECT part, filter_order, step, n, good, toxic, fails[places[step]] AS failing, len(list_filter(fails, lambda y: y)) AS n_fails,
+             coalesce(list_bool_or(list_transform(places[1:step - 1], lambda p: fails[p])), false) AS gone FROM g, s),
+c AS (SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND failing), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (gone AND failing), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failing AND n_fails = 1), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (NOT gone AND failing), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND failing), 0)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM c"""
