@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import audit, bpe, decontaminate, fingerprint, langid, licenses, mixing, neardup, quality, rules, toxicity, urls
+from parley.llm import audit, bpe, conversations, decontaminate, fingerprint, langid, licenses, mixing, neardup, quality, rules, toxicity, urls
 from parley.llm.common import fold
 from parley.spark import read_table
 
@@ -105,6 +105,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(turns), turns)
+
+
 ORACLES["op5_url_filter"] = """WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, url FROM pages),
 u AS (SELECT row_number() OVER () AS row, page_id,
              translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -188,3 +194,27 @@ c AS (SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (NOT
              coalesce(sum(n) FILTER (gone AND failing), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failing AND n_fails = 1), 0)::BIGINT AS unique_fails,
              coalesce(sum(good) FILTER (NOT gone AND failing), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND failing), 0)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
 SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM c"""
+
+
+ORACLES["op13_conversation_repair"] = r"""WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+c AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, len(key) + 1), lambda i: [ascii(key[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+                    lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295) % 20 AS d FROM k),
+r AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+             CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE d <> 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM r),
+f AS (SELECT *, role[1] AS x, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM s),
+g AS (SELECT *, blank OR again AS bad, NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(x) OVER (PARTITION BY conv_id ORDER BY pos) AS prev FROM f),
+v AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+             count(*) FILTER (cut) AS truncated, count(*) FILTER (prev || x NOT IN ('su', 'ua', 'au')) AS illegal,
+             list({'role': role, 'text': text} ORDER BY pos) AS said, list({'x': x, 'bad': bad, 'cut': cut, 's': NULL::VARCHAR[]} ORDER BY pos) AS turns FROM g GROUP BY conv_id),
+p AS (SELECT * EXCLUDE (turns), list_reduce([{'x': '', 'bad': false, 'cut': false, 's': ['00000000', '90000000', '00000002I', '00000004II']}] || turns,
+  lambda a, t: {'x': '', 'bad': false, 'cut': false, 's': list_transform(list_transform([[(lpad((left(a.s[1], 8)::INT + 3)::VARCHAR, 8, '0') || substr(a.s[1], 9) || 'D'), least((lpad((left(a.s[2], 8)::INT + 3)::VARCHAR, 8, '0') || substr(a.s[2], 9) || 'D'), CASE WHEN t.x = 's' THEN (lpad((left(a.s[1], 8)::INT + (t.cut::INT + CASE WHEN t.bad THEN 40000000 ELSE 0 END))::VARCHAR, 8, '0') || substr(a.s[1], 9) || 'K') ELSE '90000000' END), least((lpad((left(a.s[3], 8)::INT + 3)::VARCHAR, 8, '0') || substr(a.s[3], 9) || 'D'), CASE WHEN t.x = 'u' THEN (lpad((left(least(a.s[1], a.s[2], a.s[4]), 8)::INT + (t.cut::INT + CASE WHEN t.bad THEN 40000000 ELSE 0 END))::VARCHAR, 8, '0') || substr(least(a.s[1], a.s[2], a.s[4]), 9) || 'K') ELSE (lpad((left(least(a.s[1], a.s[2], a.s[4]), 8)::INT + 2 + (t.cut::INT + CASE WHEN t.bad THEN 40000000 ELSE 0 END))::VARCHAR, 8, '0') || substr(least(a.s[1], a.s[2], a.s[4]), 9) || 'R') END), least((lpad((left(a.s[4], 8)::INT + 3)::VARCHAR, 8, '0') || substr(a.s[4], 9) || 'D'), CASE WHEN t.x = 'a' THEN (lpad((left(a.s[3], 8)::INT + (t.cut::INT + CASE WHEN t.bad THEN 40000000 ELSE 0 END))::VARCHAR, 8, '0') || substr(a.s[3], 9) || 'K') ELSE (lpad((left(a.s[3], 8)::INT + 2 + (t.cut::INT + CASE WHEN t.bad THEN 40000000 ELSE 0 END))::VARCHAR, 8, '0') || substr(a.s[3], 9) || 'R') END)]], lambda y: [y[1], y[2], least(y[3], (lpad((left(least(y[1], y[2], y[4]), 8)::INT + 2)::VARCHAR, 8, '0') || substr(least(y[1], y[2], y[4]), 9) || 'I')), y[4]]), lambda y: [y[1], y[2], y[3], least(y[4], (lpad((left(y[3], 8)::INT + 2)::VARCHAR, 8, '0') || substr(y[3], 9) || 'I'))])[1]}).s AS s FROM v),
+e AS (SELECT *, left(least(s[1], s[4]), 8)::BIGINT AS cost, substr(least(s[1], s[4]), 9) AS audit FROM p),
+o AS (SELECT *, length(replace(audit, 'D', '')) % 2 AS odd FROM e),
+t AS (SELECT *, list_filter(list_transform(range(1, length(audit) + 1), lambda i: CASE audit[i] WHEN 'D' THEN NULL WHEN 'K' THEN
+        said[length(replace(audit[1:i], 'I', ''))].role || ':' || said[length(replace(audit[1:i], 'I', ''))].text
+        ELSE CASE WHEN (length(replace(audit[1:i - 1], 'D', '')) - odd) % 2 = 0 THEN 'user:' ELSE 'assistant:' END || CASE audit[i] WHEN 'R' THEN said[length(replace(audit[1:i], 'I', ''))].text ELSE '' END END),
+        lambda y: y IS NOT NULL) AS lines FROM o)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN t ON ids.conv_id IS NOT DISTINCT FROM t.conv_id"""
