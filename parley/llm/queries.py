@@ -81,7 +81,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
-    return toxicity.score_documents(docs, model)
+    return toxicity.score_documents(docs, model, counts=model.counts)
 
 
 @query
@@ -130,25 +130,31 @@ g AS (SELECT row, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT row,
 twice AS (SELECT row, i FROM g QUALIFY count(*) OVER (PARTITION BY row, gram) > 1),
 covered AS (SELECT row, count(DISTINCT pos) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS pos FROM twice) GROUP BY row),
 m AS (SELECT d.row, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
-             length(t) - length(regexp_replace(t, '[#*$%%&|<>]', '', 'g')) AS n_symbols,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(lines) AS n_lines
       FROM d LEFT JOIN covered ON d.row = covered.row),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 1000 * n_symbols // nullif(n_words, 0) AS symbols,
-             1000 * n_dup_lines // nullif(n_lines, 0) AS dups, 1000 * word_chars // nullif(n_words, 0) AS chars FROM m),
-e AS (SELECT lang, source, unnest(['s', 'd', 'c']) AS k, unnest([symbols, dups, chars]) AS v FROM b WHERE NOT base_failed),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 1000.0::DOUBLE * n_symbols / nullif(n_words, 0) AS symbols,
+             1000.0::DOUBLE * n_dup_lines / nullif(n_lines, 0) AS dups, 1000.0::DOUBLE * word_chars / nullif(n_words, 0) AS chars,
+             1000.0::DOUBLE * sqrt(n_symbols) / nullif(n_words, 0) AS es, 1000.0::DOUBLE * sqrt(n_dup_lines) / nullif(n_lines, 0) AS ed,
+             (1000.0::DOUBLE * word_chars / nullif(n_words, 0)) / (2.0::DOUBLE * sqrt(n_words)) AS ec FROM m),
+e AS (SELECT lang, source, unnest(['s', 'd', 'c']) AS k, unnest([floor(symbols)::BIGINT, floor(dups)::BIGINT, floor(chars)::BIGINT]) AS v FROM b WHERE NOT base_failed),
 sk AS (SELECT lang, source, k, greatest(length(bin(v)) - 6, 0) * 64 + (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) AS bucket, count(*) AS n
        FROM e GROUP BY ALL),
-cum AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, k) AS total, sum(n) OVER (PARTITION BY lang, source, k ORDER BY bucket) AS upto FROM sk),
+gl AS (SELECT DISTINCT lang, source, k FROM sk),
+sl AS (SELECT *, (sum(n) OVER (PARTITION BY lang, k))::BIGINT AS total FROM (SELECT lang, k, bucket, sum(n)::BIGINT AS n FROM sk GROUP BY ALL)),
+sa AS (SELECT *, (sum(n) OVER (PARTITION BY k))::BIGINT AS total FROM (SELECT k, bucket, sum(n)::BIGINT AS n FROM sk GROUP BY ALL)),
+merged AS (SELECT lang, source, k, bucket, n * 1048576 AS parts FROM sk
+           UNION ALL SELECT gl.lang, source, gl.k, bucket, n * least(total, 100) * 1048576 // total FROM gl JOIN sl ON gl.lang IS NOT DISTINCT FROM sl.lang AND gl.k = sl.k
+           UNION ALL SELECT lang, source, gl.k, bucket, n * least(total, 100) * 1048576 // total FROM gl JOIN sa ON gl.k = sa.k),
+once AS (SELECT lang, source, k, bucket, sum(parts)::BIGINT AS parts FROM merged GROUP BY ALL),
+cum AS (SELECT *, sum(parts) OVER (PARTITION BY lang, source, k) AS total, sum(parts) OVER (PARTITION BY lang, source, k ORDER BY bucket) AS upto FROM once),
 q AS (SELECT lang, source, k, min(bucket) FILTER (4 * upto >= total) AS b25, min(bucket) FILTER (4 * upto >= 3 * total) AS b75 FROM cum GROUP BY ALL),
-t AS (SELECT lang, source, k, ((b25 %% 64 + 1) << (b25 // 64)) - 1 AS q25, ((b75 %% 64 + 1) << (b75 // 64)) - 1 AS q75 FROM q),
-f AS (SELECT lang, source,
-             max(q75 + greatest(%(s)d, %(spread)d * (q75 - q25))) FILTER (k = 's') AS hs, max(q75 + greatest(%(d)d, %(spread)d * (q75 - q25))) FILTER (k = 'd') AS hd,
-             max(q75 + greatest(%(c)d, %(spread)d * (q75 - q25))) FILTER (k = 'c') AS hc, max(q25 - greatest(%(c)d, %(spread)d * (q75 - q25))) FILTER (k = 'c') AS lc
-      FROM t GROUP BY ALL)
+t AS (SELECT lang, source, k, ((b25 % 64 + 1) << (b25 // 64)) - 1 AS q25, ((b75 % 64 + 1) << (b75 // 64)) - 1 AS q75 FROM q),
+f AS (SELECT lang, source, max(q75 + 3 * (q75 - q25)) FILTER (k = 's') AS hs, max(q75 + 3 * (q75 - q25)) FILTER (k = 'd') AS hd,
+             max(q75 + 3 * (q75 - q25)) FILTER (k = 'c') AS hc, max(q25 - 3 * (q75 - q25)) FILTER (k = 'c') AS lc FROM t GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       coalesce(NOT base_failed AND symbols <= hs AND dups <= hd AND chars <= hc AND chars >= lc, false) AS kept
-FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source""" % {
-    "s": rules.MEASURES["symbols_per_word"][0], "d": rules.MEASURES["dup_lines_per_line"][0], "c": rules.MEASURES["chars_per_word"][0], "spread": rules.SPREAD}
+       coalesce(NOT base_failed AND NOT symbols - 3 * es > hs AND NOT dups - 3 * ed > hd AND NOT (chars - 3 * ec > hc OR chars + 3 * ec < lc), false) AS kept
+FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source"""
 
 ORACLES["op9_ngram_jaccard_join"] = r"""WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -1,21 +1,26 @@
 """Operator 7: toxicity by the nearest labelled examples.
 
-Terms are words and beginnings of words. The vocabulary holds every term of the
-examples; document frequencies are counted over all documents. Examples are TF-IDF
-vectors in an inverted index, cut into blocks of examples, with the largest weight
-of each term in each block. Terms that many examples have stand in a dense table,
-the others in posting lists. The lists are added up first; a block whose upper bound
-cannot beat the k-th best cosine is then left out, so the k nearest are exact. The
-votes of the nearest are weighted by their cosine; a logistic curve fitted on the
-examples, each left out of its own votes and counts, turns them into a probability,
-together with how far the text's terms lean to either label. The ids and cosines of
-the nearest examples are returned as evidence.
+Terms are words and beginnings of words, as 64-bit hashes. The vocabulary holds each term
+that enough of the examples have (one in a hundred), whatever their labels: a term of one
+or two examples is near nothing. Document frequencies are counted over all
+documents. A term weighs its count times its inverse document frequency, to the power (``IDF_POWERS``)
+under which the examples tell each other's labels best. Examples are unit vectors in an inverted index, cut into blocks of examples, with the largest
+weight of each term in each block. Terms that many examples have stand in a dense table, the
+others in posting lists. The lists are added up first; a block whose upper bound
+cannot beat the k-th best cosine is then left out, so the k nearest are exact. Their votes,
+weighted by cosine, and the cosines of the nearest of either label are all that a
+logistic curve turns into the probability; it is fitted on the examples, each left out of
+its own vote. The ids and cosines of the neighbours are returned as evidence.
+
+The texts are cut into words once: the vocabulary's terms in each document are stored, and
+frequencies, votes and scores read those. Votes of the examples are taken by tasks; the
+driver holds the index (at most ``MAX_ENTRIES`` weights) and a few numbers per example.
 
 Only the fit takes a bounded sample (``MAX_POSITIVE`` and ``MAX_NEGATIVE`` labelled
-documents); all documents count for the frequencies, and all are scored. A text's
-words that no example has are not in its vector.
+documents, fewer if they have more than ``MAX_ENTRIES`` terms in sum); all documents count for
+the frequencies, and all are scored.
 
-Defined results: a null or empty text, or one without any word of an example, has no
+Defined results: a null or empty text, or one without any term of the vocabulary, has no
 neighbours and gets the rate of label 1 among such examples; ties between equal
 cosines go to the earlier example in the index; repeated rows get equal scores; rows
 with a null id are scored, and are neither held out nor learned from; with no
@@ -25,83 +30,61 @@ table gives an empty result; only id and text are read of the documents.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm import wordhash
 from parley.llm.common import fold, labelled_ids, labelled_texts, materialise
 
-MAX_POSITIVE, MAX_NEGATIVE = 2_500, 5_000
-#: Beginnings of words, in letters, that are terms besides the words.
+MAX_POSITIVE, MAX_NEGATIVE, MAX_ENTRIES = 2_500, 5_000, 8_000_000
+#: Beginnings of words, in letters, that are terms besides the words; a term stands in at least one in so many examples.
 PREFIXES = (4, 5, 6)
+MIN_SHARE, MIN_EXAMPLES = 100, 2
+IDF_POWERS = (1, 2, 3)
 #: Neighbours that vote, examples to a block, blocks taken first (then the others).
-NEIGHBOURS, BLOCK, ROUND = 12, 32, 8
+NEIGHBOURS, BLOCK, ROUND = 25, 32, 8
 #: A term is in the dense table if at least one in so many examples has it; queries searched together.
 DENSE, QUERIES = 16, 64
 #: Room for rounding in single precision; what comes within it is compared in double precision.
 ROUNDING = 1e-5
-#: Standard deviations of a term's log odds that may be chance, among some hundred thousand terms.
-SURE = 3.5
 THRESHOLD = 0.7
-KEPT_WORDS = 400_000
 
-_tokens = re.compile(r"\w+").findall
 
+def term_counts(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, term, count), sorted by text and term. With ``known`` (sorted hashes), terms are places there and others are left out."""
+    data, offsets = wordhash.buffers(pc.utf8_lower(texts))
+    out = []
+    for w in wordhash.cut(data, offsets, PREFIXES):
+        text, term = (np.concatenate(x) for x in ([w.text, *[w.text[at] for at, _ in w.prefixes]], [w.hash, *[h for _, h in w.prefixes]]))
+        if known is not None:
+            at = np.searchsorted(known, term)
+            found = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == term) if len(known) else at[:0]
+            text, term = text[found], at[found]
+        out.append(counted(text, term, np.ones(len(text), np.int64)))
+    return counted(*[np.concatenate(x) for x in zip(*out)]) if out else tuple(np.zeros(0, np.int64) for _ in range(3))
 
-def word_terms(word: str) -> tuple[str, ...]:
-    """Terms of one lower-case word."""
-    return (word, *[f"{word[:n]}*" for n in PREFIXES if len(word) > n])
 
-
-def document_terms(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(_tokens((text or "").lower())).items():
-        for t in word_terms(w):
-            out[t] += n
-    return out
-
-
-class Vocabulary:
-    """Term numbers; remembers which terms a word has (bounded)."""
-
-    def __init__(self, terms: list[str]):
-        self.terms = terms
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.of_word: dict[str, tuple[int, ...]] = {}
-
-    def __getstate__(self) -> str:
-        return "\n".join(self.terms)
-
-    def __setstate__(self, terms: str) -> None:
-        self.__init__(terms.split("\n") if terms else [])
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Numbers and counts of the vocabulary terms of a text, by number; and its number of words."""
-        known = self.of_word
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        words = _tokens((text or "").lower())
-        terms = list(map(known.get, words))
-        if None in terms:
-            for w in {w for w, t in zip(words, terms) if t is None}:
-                known[w] = tuple(self.number[t] for t in word_terms(w) if t in self.number)
-            terms = list(map(known.get, words))
-        found = Counter(chain.from_iterable(filter(None, terms)))
-        ids = np.array(sorted(found), np.int64)
-        return ids, np.array([found[i] for i in ids.tolist()], float), len(words)
+def counted(text: np.ndarray, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of ``n`` by (text, term), in their order."""
+    if not len(text):
+        return text, term, n
+    by = np.lexsort((term, text))
+    text, term = text[by], term[by]
+    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (term[1:] != term[:-1])]))
+    return text[first], term[first], np.add.reduceat(n[by], first)
 
 
 def unit(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF weights of length 1."""
-    w = (1 + np.log(counts)) * idf[ids]
+    w = counts * idf[ids]
     return w / np.sqrt((w ** 2).sum()) if len(w) else w
 
 
@@ -204,33 +187,32 @@ class BlockMaxIndex:
         return who[first], np.minimum(cos[first], 1.0)
 
 
-def leaning(with1: np.ndarray, with0: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    """How surely each term stands in more examples of label 1 (above 0) or of label 0 (below), beyond ``SURE`` deviations."""
-    odds = np.log((with1 + 0.5) / (n1 - with1 + 0.5)) - np.log((with0 + 0.5) / (n0 - with0 + 0.5))
-    z = odds / np.sqrt(1 / (with1 + 0.5) + 1 / (n1 - with1 + 0.5) + 1 / (with0 + 0.5) + 1 / (n0 - with0 + 0.5))
-    return np.sign(z) * np.maximum(np.abs(z) - SURE, 0)
-
-
-def features(label: np.ndarray, mass: np.ndarray, cos: np.ndarray, counts: np.ndarray, words: int, lean: np.ndarray) -> list[float]:
-    """Vote of the neighbours, how near they are, and how far the text's own terms lean to either label."""
+def features(label: np.ndarray, mass: np.ndarray, cos: np.ndarray) -> list[float]:
+    """Vote of the neighbours, and how near the nearest of either label are."""
     w = cos * mass
     vote = float((w * label).sum() / w.sum())
-    for1, for0 = np.maximum(lean, 0), np.maximum(-lean, 0)
-    terms, density = np.log1p(for1.sum()), np.log1p(100 * (for1 * counts).sum() / words)
-    return [vote, float(cos[0]), vote * float(cos[0]), terms, density, vote * terms, vote * density, np.log1p(100 * (for0 * counts).sum() / words)]
+    near1, near0 = float((cos * label).max()), float((cos * (1 - label)).max())
+    return [vote, near1, near0, vote * near1]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weights (constant first) by Newton's method."""
+    """Weights (constant first) by Newton's method; a step is halved until the loss falls."""
     x = np.column_stack([np.ones(len(x)), x])
     b = np.zeros(x.shape[1])
     keep = ridge * np.diag([0.01] + [1.0] * (x.shape[1] - 1))
-    for _ in range(30):
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + b @ keep @ b / 2)
+
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         g = x.T @ (weight * (p - y)) + keep @ b
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + keep + 1e-9 * np.eye(len(b))
-        step = np.linalg.solve(h, g)
-        b = b - np.clip(step, -5, 5)
+        step, now = np.linalg.solve(h, g), loss(b)
+        while loss(b - step) > now and abs(step).max() > 1e-9:
+            step = step / 2
+        b = b - step
         if abs(step).max() < 1e-8:
             break
     return b
@@ -238,118 +220,167 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 @dataclass
 class Model:
-    vocabulary: Vocabulary
-    idf: np.ndarray
+    terms: np.ndarray  # sorted hashes
+    power: int
+    idf: np.ndarray  # to that power
     index: BlockMaxIndex
     ids: np.ndarray
     labels: np.ndarray
     mass: np.ndarray  # how many labelled documents an example stands for
     curve: np.ndarray
-    lean: np.ndarray  # of each term
-    without: float  # score of texts without any term of an example
+    without: float  # score of texts without any term of the vocabulary
+    counts: DataFrame | None = None  # stored terms of the documents that were counted
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        return self.scores([text])[0]
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counts": None}
 
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
-        """Score, evidence and its cosines of each text."""
+    def scores(self, found: list[Vector]) -> list[tuple[float, list[int], list[float]]]:
+        """Score, evidence and its cosines of each (terms, counts)."""
         out = []
-        for a in range(0, len(texts), QUERIES):
-            found = [self.vocabulary.counts(t) for t in texts[a:a + QUERIES]]
-            near = self.index.nearest_of([(ids, unit(ids, counts, self.idf)) for ids, counts, _ in found], NEIGHBOURS)
-            for (ids, counts, words), (who, cos) in zip(found, near):
+        for a in range(0, len(found), QUERIES):
+            part = found[a:a + QUERIES]
+            for who, cos in self.index.nearest_of([(ids, unit(ids, n, self.idf)) for ids, n in part], NEIGHBOURS):
                 if not len(who):
                     out.append((self.without, [], []))
                     continue
-                f = features(self.labels[who], self.mass[who], cos, counts, words, self.lean[ids])
+                f = features(self.labels[who], self.mass[who], cos)
                 p = 1 / (1 + np.exp(-np.clip(self.curve[0] + np.dot(self.curve[1:], f), -30, 30)))
                 out.append((float(p), self.ids[who].tolist(), cos.round(6).tolist()))
         return out
 
 
-def all_terms(sample: DataFrame) -> list[str]:
-    """Every term of the examples."""
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"term": sorted({t for text in pdf["text"] for w in set(_tokens(text.lower())) for t in word_terms(w)})}, dtype=object)
+def vocabulary_of(sample: DataFrame, least: int) -> np.ndarray:
+    """Sorted hashes of the terms that at least so many examples have: no more than their mean number of terms / share."""
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, term, _ = term_counts(batch.column(0))
+            term, n = np.unique(term, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
+
+    often = sample.select("text").mapInArrow(terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(often.select("term").toArrow()["term"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def with_counts(docs: DataFrame, terms: Broadcast, *keep: str) -> DataFrame:
+    """The columns ``keep``, and the vocabulary's terms (int32) and counts (float32) in each text."""
+    kept = docs.select(*keep, "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, term, n = term_counts(batch.column(len(keep)), terms.value)
+            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1)).tolist()
+            ids, n = term.astype(np.int32), n.astype(np.float32)
+            pairs = list(zip(cuts, cuts[1:]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([ids[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([n[a:b].tobytes() for a, b in pairs], pa.binary())],
+                                             [*keep, "ids", "counts"])
 
-    return sorted(sample.select("text").mapInPandas(terms, "term string").distinct().toArrow()["term"].to_pylist())
+    schema = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in keep)
+    return kept.mapInArrow(count, f"{schema}, ids binary, counts binary")
 
 
-def document_frequencies(docs: DataFrame, vocabulary: Broadcast, terms: int) -> np.ndarray:
+def vectors(batch: pa.RecordBatch) -> list[Vector]:
+    return [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(n, np.float32).astype(float)) for i, n in zip(batch["ids"].to_pylist(), batch["counts"].to_pylist())]
+
+
+def document_frequencies(counts: DataFrame, terms: int) -> np.ndarray:
     """Over all documents: how many have each term, and (last) how many there are."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(terms + 1, np.int64)
-        for pdf in batches:
-            for text in pdf["text"]:
-                total[vocabulary.value.counts(text)[0]] += 1
-            total[terms] += len(pdf)
+        for batch in batches:
+            total[:-1] += np.bincount(np.frombuffer(b"".join(batch["ids"].to_pylist()), np.int32), minlength=terms)
+            total[-1] += batch.num_rows
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"term": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
     out = np.zeros(terms + 1)
-    found = docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = counts.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
+def left_out(examples: DataFrame, model: Broadcast) -> pd.DataFrame:
+    """Features of each example, without its own vote; none for those without neighbours."""
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            places = batch["place"].to_numpy()
+            near = m.index.nearest_of([(ids, unit(ids, n, m.idf)) for ids, n in vectors(batch)], NEIGHBOURS, places.tolist())
+            rows = [(int(p), features(m.labels[who], m.mass[who], cos)) for p, (who, cos) in zip(places, near) if len(who)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["place", "features"])
+
+    return examples.select("place", "ids", "counts").mapInArrow(vote, "place long, features array<double>").toPandas().sort_values("place")
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic") -> Model:
     """Examples, index and curve from a bounded sample of labelled documents."""
-    counts = dict(labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label).cast("int")).count().collect())
+    spark = docs.sparkSession
+    share_of = dict(labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label).cast("int")).count().collect())
     drawn = [labelled_ids(labels.where(F.col(label) == v), label, learn, most, salt=7 + v)
              for v, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
-    sample = materialise(labelled_texts(docs, drawn[0].unionByName(drawn[1])), "examples")
-    vocabulary = Vocabulary(all_terms(sample))
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [shared.value.counts(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "h": pdf["h"], "ids": [g[0].astype(np.int32).tobytes() for g in got], "counts": [g[1].astype(np.float32).tobytes() for g in got], "words": [g[2] for g in got]})
-
-    rows = sample.select("doc_id", "label", F.xxhash64("text").alias("h"), "text").mapInPandas(
-        vectors, "doc_id long, label double, h long, ids binary, counts binary, words long").collect()
-    rows = list({(r.h, r.label): r for r in sorted(rows, key=lambda r: r.doc_id, reverse=True)}.values())  # one of each text
-    total = document_frequencies(docs, shared, len(vocabulary.terms))
+    sample = labelled_texts(docs, drawn[0].unionByName(drawn[1])).withColumn("h", F.xxhash64("text"))
+    # one of each text and label, the one of the least id
+    sample = materialise(sample.groupBy("h", "label").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r")).select("r.doc_id", "r.text", "label"), "examples")
+    terms = vocabulary_of(sample, max(MIN_EXAMPLES, -(-sample.count() // MIN_SHARE)))
+    shared = spark.sparkContext.broadcast(terms)
+    examples = materialise(with_counts(sample, shared, "doc_id", "label"), "example_terms")
+    counts = materialise(with_counts(docs, shared, "doc_id"), "document_terms")
+    total = document_frequencies(counts, len(terms))
     shared.unpersist()
     idf = np.log((total[-1] + 1) / (total[:-1] + 1)) + 0.01
-    y_all = np.array([r.label for r in rows])
-    mass_of = {v: counts.get(v, 0) / max(1, int((y_all == v).sum())) for v in (0, 1)}
-    bare = [r for r in rows if not r.ids]
-    n1, n0 = (sum(mass_of[v] for r in bare if r.label == v) for v in (1, 0))
-    without = (n1 + 0.5 * (not rows)) / (n1 + n0 + 1) if rows else 0.5
-    full = [r for r in rows if r.ids]
-    seen = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.float32)) for r in full]
-    vec = [(ids, unit(ids, n.astype(float), idf)) for ids, n in seen]
-    # examples with the same strongest term stand together, which sharpens the bounds of their blocks
-    lead = [(int(v[0][v[1].argmax()]), r.doc_id) for v, r in zip(vec, full)]
-    order = sorted(range(len(full)), key=lead.__getitem__)
-    vec, full, seen = ([x[i] for i in order] for x in (vec, full, seen))
-    index = BlockMaxIndex.of(vec, len(vocabulary.terms))
-    y = np.array([r.label for r in full])
+    entries = examples.agg(F.sum(F.octet_length("ids") / 4)).first()[0] or 0
+    if entries > MAX_ENTRIES:
+        draw = F.pmod(F.xxhash64(F.lit(77), "doc_id"), F.lit(1_000_000))
+        examples = examples.where(draw < int(1_000_000 * MAX_ENTRIES / entries))
+    table = examples.toArrow().to_pandas().sort_values(["doc_id", "label"], ignore_index=True)
+    size = table["ids"].map(len).to_numpy() if len(table) else np.zeros(0, int)
+    y_all = table["label"].to_numpy(float)
+    mass_of = {v: share_of.get(v, 0) / max(1, int((y_all == v).sum())) for v in (0, 1)}
+    n1, n0 = (mass_of[v] * int(((size == 0) & (y_all == v)).sum()) for v in (1, 0))
+    without = (n1 + 0.5 * (not len(table))) / (n1 + n0 + 1) if len(table) else 0.5
+    full = table[size > 0].reset_index(drop=True)
+    found = [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(n, np.float32).astype(float)) for i, n in zip(full["ids"], full["counts"])]
+    y = full["label"].to_numpy(float)
     mass = np.array([mass_of[int(v)] for v in y])
-    # each example is judged without its own terms' counts, as texts that were not learned from are
-    with1, with0 = (np.bincount(np.concatenate([v[0] for v, k in zip(vec, y) if k == c] or [np.zeros(0, np.int64)]), minlength=len(idf)) for c in (1, 0))
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    x, target, weight = [], [], []
-    for i, (who, cos) in enumerate(index.nearest_of(vec, NEIGHBOURS, list(range(len(vec))))):
-        if len(who):
-            ids, one = vec[i][0], int(y[i] == 1)
-            lean = leaning(with1[ids] - one, with0[ids] - (1 - one), n1 - one, n0 - (1 - one))
-            x.append(features(y[who], mass[who], cos, seen[i][1], full[i].words, lean)), target.append(y[i]), weight.append(mass[i])
-    curve = fit_logistic(np.array(x), np.array(target), np.array(weight)) if x else np.zeros(9)
-    return Model(vocabulary, idf, index, np.array([r.doc_id for r in full], np.int64), y, mass, curve, leaning(with1, with0, n1, n0), float(without))
-
-
-def score_documents(docs: DataFrame, model: Model, parts: int = 3, held: int = 1) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence_ids, evidence_cosines) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the size of the sample
-
-    @F.pandas_udf("score double, ids array<long>, cosines array<double>")
-    def scored(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(shared.value.scores(batch.tolist()), columns=["score", "ids", "cosines"])
-
-    d = docs.select("doc_id", scored("text").alias("s"))
-    return d.select("doc_id", F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)).alias("held_out"), F.col("s.score").alias("score"),
-                    (F.col("s.score") >= THRESHOLD).cast("int").alias("predicted"), F.col("s.ids").alias("evidence_ids"),
-                    F.col("s.cosines").alias("evidence_cosines"))
+    best: tuple[float, Model] | None = None
+    for power in IDF_POWERS if len(full) else IDF_POWERS[:1]:
+        weight = idf ** power
+        vec = [(ids, unit(ids, n, weight)) for ids, n in found]
+        # examples with the same strongest term stand together, which sharpens the bounds of their blocks
+        order = sorted(range(len(vec)), key=lambda i: (int(vec[i][0][vec[i][1].argmax()]), i))
+        model = Model(terms, power, weight, BlockMaxIndex.of([vec[i] for i in order], len(terms)), full["doc_id"].to_numpy()[order], y[order], mass[order], np.zeros(5), float(without), counts)
+        loss = 0.0
+        if len(full):
+            placed = spark.createDataFrame(pd.DataFrame({"example_id": model.ids, "example_label": model.labels, "place": np.arange(len(order))}))
+            mine = examples.join(F.broadcast(placed), (F.col("doc_id") == F.col("example_id")) & (F.col("label") == F.col("example_label")))
+            votes = left_out(mine, shared := spark.sparkContext.broadcast(model))
+            shared.unpersist()
+            if len(votes):
+                at, x = votes["place"].to_numpy(), np.stack(votes["features"])
+                model.curve = fit_logistic(x, model.labels[at], model.mass[at])
+                z = model.curve[0] + x @ model.curve[1:]
+                loss = float((model.mass[at] * (np.logaddexp(0, z) - model.labels[at] * z)).sum() / model.mass[at].sum())
+        if best is None or loss < best[0]:
+            best = loss, model
+    return best[1]
+
+
+def score_documents(docs: DataFrame, model: Model, parts: int = 3, held: int = 1, counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence_ids, evidence_cosines) of every document.
+
+    ``counts`` are the stored terms of ``docs`` where the model was fitted on the same documents (``model.counts``)."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)  # at most MAX_ENTRIES weights
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if counts is None:
+        counts = with_counts(docs, spark.sparkContext.broadcast(model.terms), "doc_id")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = shared.value.scores(vectors(batch))
+            score, ids, cosines = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))],
+                                             ["doc_id", "score", "evidence_ids", "evidence_cosines"])
+
+    d = counts.select("doc_id", "ids", "counts").mapInArrow(scored, f"doc_id {kind}, score double, evidence_ids array<long>, evidence_cosines array<double>")
+    return d.select("doc_id", F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)).alias("held_out"), "score",
+                    (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence_ids", "evidence_cosines")

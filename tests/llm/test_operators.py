@@ -6,13 +6,14 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parley.llm import bpe, fingerprint, langid, licenses, mixing, neardup, quality, rules, toxicity, urls
 from parley.llm.common import fold
-from parley.llm.queries import URL_RULES, vocabulary
+from parley.llm.queries import ORACLES, URL_RULES, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -249,6 +250,29 @@ def test_rules_measure_exactly_and_judge_by_group(spark, docs):
     assert rules.judge_documents(docs.where("false")).count() == 0
 
 
+def test_a_lone_junk_text_is_judged_by_its_language_and_the_corpus(spark):
+    marked = lambda n, seed, every, mark: " ".join(w + mark * (k % every == 0) for k, w in enumerate(prose(n, seed).split()))
+    junk = marked(60, 900, 1, "#$%&")
+    rows = [(i, prose(60, i), "en", f"s{i % 5}") for i in range(150)] + [(900, junk, "en", "alone"), (901, junk, "xx", "alone"), (902, prose(60, 902), "xx", "also"),
+            (903, prose(60, 903) + " $5 #1", "en", "price")]
+    rows += [(1000 + i, marked(80, 1000 + i, 3 + i % 4, "*"), "en", "lists") for i in range(400)]  # a source in which symbols are usual
+    got = {r.doc_id: r.kept for r in rules.judge_documents(make_docs(spark, rows)).collect()}
+    assert not got[900] and not got[901] and got[902] and got[903]
+    assert all(got[i] for i in range(150)) and all(got[1000 + i] for i in range(400))
+    told = {r.rule: r.n for r in rules.rejections(make_docs(spark, rows)).collect()}
+    assert told == {"base": 0, "symbols_per_word": 2, "dup_lines_per_line": 0, "chars_per_word": 2}  # its words are longer too
+
+
+def test_rules_twin_agrees(spark, docs):
+    con = duckdb.connect()
+    every = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    con.register("documents", every.toArrow())
+    got = rules.judge_documents(every)
+    want = con.execute(ORACLES["op6_quality_rules"])
+    names = [c[0] for c in want.description]
+    assert sorted(map(str, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_sketch_buckets_grow_and_merge(spark):
     v = spark.createDataFrame([(i,) for i in [*range(3000), 10**6, 10**12]], "v long")
     rows = v.select("v", rules.bucket(F.col("v")).alias("b")).withColumn("top", rules.bucket_top(F.col("b"))).orderBy("v").collect()
@@ -298,17 +322,28 @@ def test_toxicity_searches_texts_without_a_toxic_word(spark):
     got = {r.doc_id: r for r in toxicity.score_documents(every, model).collect()}
     assert all(len(got[1000 + i].evidence_ids) == toxicity.NEIGHBOURS for i in range(120)) and model.index.n == 120
     assert all(got[1000 + i].evidence_ids[0] == 1000 + i for i in range(120)) and got[2000].evidence_ids[0] == 1001 and got[2001].evidence_ids == []
-    terms = {i: toxicity.document_terms(text(i)) for i in range(120)}  # the cosine over all terms, by brute force
-    df = collections.Counter(t for r in every.collect() for t in toxicity.document_terms(r.text))
+    def plain_terms(t):  # the cosine over all terms, by brute force
+        words = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", t.lower())
+        return collections.Counter([w for w in words] + [w[:n] + "*" for w in words for n in toxicity.PREFIXES if len(w) > n])
+
+    terms = {i: plain_terms(text(i)) for i in range(120)}
+    df = collections.Counter(t for r in every.collect() for t in plain_terms(r.text))
+    known = {t for t, n in collections.Counter(t for c in terms.values() for t in c).items() if n >= toxicity.MIN_EXAMPLES}
     unit = {}
     for i, c in terms.items():
-        w = {t: (1 + np.log(n)) * (np.log((122 + 1) / (df[t] + 1)) + 0.01) for t, n in c.items()}
+        w = {t: n * (np.log((122 + 1) / (df[t] + 1)) + 0.01) ** model.power for t, n in c.items() if t in known}
         unit[i] = {t: v / np.sqrt(sum(x * x for x in w.values())) for t, v in w.items()}
     for i in range(0, 120, 7):
         cos = sorted((sum(v * unit[k].get(t, 0.0) for t, v in unit[i].items()) for k in terms), reverse=True)
         assert np.allclose(got[1000 + i].evidence_cosines, cos[:toxicity.NEIGHBOURS], atol=2e-6)
 
 
+def test_toxicity_of_an_empty_table(spark):
+    none = make_docs(spark, [])
+    model = toxicity.fit(none, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), F.lit(True))
+    assert toxicity.score_documents(none, model).count() == 0 and toxicity.score_documents(none, model, counts=model.counts).count() == 0
+
+
 # ---------------------------------------------------------------- 8 fingerprints
 def plain_next(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
