@@ -55,27 +55,52 @@ NEIGHBOURS, BLOCK, ROUND = 25, 32, 8
 DENSE, QUERIES = 16, 64
 #: Room for rounding in single precision; what comes within it is compared in double precision.
 ROUNDING = 1e-5
+#: Closer cosines than this may change places by the rounding of the dense table's weights.
+CLOSE = 1e-6
 THRESHOLD = 0.7
 
 
 def term_counts(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, term, count), sorted by text and term. With ``known`` (sorted hashes), terms are places there and others are left out."""
+    """(text number, term, count), sorted by text and term. With ``known`` (sorted hashes), terms are places there and others are left out.
+
+    The terms of a word are looked up once for each piece of text."""
     data, offsets = wordhash.buffers(pc.utf8_lower(texts))
     out = []
-    for w in wordhash.cut(data, offsets, PREFIXES):
-        text, term = (np.concatenate(x) for x in ([w.text, *[w.text[at] for at, _ in w.prefixes]], [w.hash, *[h for _, h in w.prefixes]]))
-        if known is not None:
-            at = np.searchsorted(known, term)
-            found = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == term) if len(known) else at[:0]
-            text, term = text[found], at[found]
-        out.append(counted(text, term, np.ones(len(text), np.int64)))
-    return counted(*[np.concatenate(x) for x in zip(*out)]) if out else tuple(np.zeros(0, np.int64) for _ in range(3))
+    for w in wordhash.cut(data, offsets):
+        own, which = np.unique(w.hash, return_inverse=True)
+        first = np.empty(len(own), np.int64)
+        first[which] = np.arange(len(which))  # a place where the word stands
+        terms = np.zeros((len(own), 1 + len(PREFIXES)), np.uint64)
+        terms[:, 0] = own
+        there = terms > 0
+        there[:, 0] = True
+        for k, (at, h) in enumerate(wordhash.beginnings(data, w, first, PREFIXES), 1):
+            terms[at, k], there[at, k] = h, True
+        if known is None:
+            known_terms, term = np.unique(terms[there], return_inverse=True)
+        else:
+            at = np.searchsorted(known, terms)
+            there &= known[np.minimum(at, len(known) - 1)] == terms if len(known) else False
+            known_terms, term = known, at[there]
+        number = np.zeros(terms.shape, np.int64)
+        number[there] = term
+        width = max(len(known_terms), 1)
+        key = (w.text[:, None] * width + number[which])[there[which]]
+        key.sort()
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+        text, term = np.divmod(key[start], width)
+        new = text, known_terms[term] if known is None else term, np.diff(np.append(start, len(key)))
+        if out and len(text) and len(out[-1][0]) and out[-1][0][-1] == text[0]:  # a text that began in the piece before
+            a, b = np.searchsorted(out[-1][0], text[0]), np.searchsorted(text, text[0], side="right")
+            seam = counted(*[np.concatenate([x[a:], y[:b]]) for x, y in zip(out[-1], new)])
+            out[-1] = tuple(x[:a] for x in out[-1])
+            new = tuple(np.concatenate([x, y[b:]]) for x, y in zip(seam, new))
+        out.append(new)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(3))
 
 
 def counted(text: np.ndarray, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums of ``n`` by (text, term), in their order."""
-    if not len(text):
-        return text, term, n
     by = np.lexsort((term, text))
     text, term = text[by], term[by]
     first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (term[1:] != term[:-1])]))
@@ -131,7 +156,7 @@ class BlockMaxIndex:
             term, who, weight = self.term[~at], who[~at], self.weight[~at]
             order = np.argsort(term, kind="stable")
             start = np.searchsorted(term[order], np.arange(self.terms + 1))
-            self.built = column, dense, top, start, who[order], weight[order].astype(np.float32), np.zeros(self.terms)
+            self.built = column, dense, top, start, who[order].astype(np.int64), weight[order], np.zeros(self.terms)
         return self.built
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> Vector:
@@ -150,17 +175,20 @@ class BlockMaxIndex:
         if not self.n:
             return [none] * len(queries)
         column, dense, top, start, who, weight, _ = self.tables()
-        q, size = np.zeros((len(queries), dense.shape[1]), np.float32), len(dense)
-        score = np.zeros((len(queries), size), np.float32)
+        q, size = np.zeros((len(queries), dense.shape[1])), len(dense)
+        rare = np.zeros((len(queries), size))
         for i, (ids, w) in enumerate(queries):
             c = column[ids]
             q[i, c[c >= 0]] = w[c >= 0]
-            at, n = spans(start, ids[c < 0])
-            score[i] = np.bincount(who[at], np.repeat(w[c < 0], n) * weight[at], size)
+            t = ids[c < 0]
+            lists = list(zip(start[t].tolist(), start[t + 1].tolist()))
+            if lists:
+                rare[i] = np.bincount(np.concatenate([who[a:b] for a, b in lists]), np.repeat(w[c < 0], start[t + 1] - start[t]) * np.concatenate([weight[a:b] for a, b in lists]), size)
             if skip[i] >= 0:
-                score[i, skip[i]] = -np.inf
+                rare[i, skip[i]] = -np.inf
+        score, narrow = rare.astype(np.float32), q.astype(np.float32)
         # all weights are above 0, so what is added up so far is a lower bound of each cosine
-        bound = q @ top.T + score.reshape(len(queries), -1, BLOCK).max(axis=2)
+        bound = narrow @ top.T + score.reshape(len(queries), -1, BLOCK).max(axis=2)
         order = np.argsort(-bound.sum(axis=0), kind="stable")
         for blocks in (order[:ROUND], order[ROUND:]):
             beaten = self._kth(score, k) - ROUNDING
@@ -168,9 +196,18 @@ class BlockMaxIndex:
                 rows = np.flatnonzero(bound[:, b] >= beaten)
                 if len(rows):
                     part = slice(None) if len(rows) == len(q) else rows
-                    score[part, b * BLOCK:(b + 1) * BLOCK] += q[part] @ dense[b * BLOCK:(b + 1) * BLOCK].T
+                    score[part, b * BLOCK:(b + 1) * BLOCK] += narrow[part] @ dense[b * BLOCK:(b + 1) * BLOCK].T
         least = np.maximum(self._kth(score, k) - ROUNDING, 0)
-        return [self._exact(v, np.flatnonzero((s >= m) & (s > 0)), k) for v, s, m in zip(queries, score, least)]
+        return [self._nearest(v, np.flatnonzero((s >= m) & (s > 0)), k, r, x) for v, s, m, r, x in zip(queries, score, least, rare, q)]
+
+    def _nearest(self, query: Vector, who: np.ndarray, k: int, rare: np.ndarray, q: np.ndarray) -> Vector:
+        """The k nearest of the examples ``who``: sums in double precision of the stored weights, and of the weights
+        themselves where the k-th place is too close to call."""
+        cos = rare[who] + self.tables()[1][who] @ q
+        first = np.lexsort((who, -cos))
+        if len(who) > k and cos[first[k - 1]] - cos[first[k]] < CLOSE:
+            return self._exact(query, who, k)
+        return who[first[:k]], np.minimum(cos[first[:k]], 1.0)
 
     @staticmethod
     def _kth(score: np.ndarray, k: int) -> np.ndarray:
@@ -262,24 +299,32 @@ def vocabulary_of(sample: DataFrame, least: int) -> np.ndarray:
 
 
 def with_counts(docs: DataFrame, terms: Broadcast, *keep: str) -> DataFrame:
-    """The columns ``keep``, and the vocabulary's terms (int32) and counts (float32) in each text."""
+    """The columns ``keep``, and the vocabulary's terms and counts in each text, packed."""
     kept = docs.select(*keep, "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, term, n = term_counts(batch.column(len(keep)), terms.value)
             cuts = np.searchsorted(text, np.arange(batch.num_rows + 1)).tolist()
-            ids, n = term.astype(np.int32), n.astype(np.float32)
             pairs = list(zip(cuts, cuts[1:]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([ids[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([n[a:b].tobytes() for a, b in pairs], pa.binary())],
-                                             [*keep, "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([packed(v[a:b]) for a, b in pairs], pa.binary()) for v in (term, n)]], [*keep, "ids", "counts"])
 
     schema = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in keep)
     return kept.mapInArrow(count, f"{schema}, ids binary, counts binary")
 
 
+def packed(v: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs; the first byte says how many."""
+    size = 1 if not len(v) or v.max() < 1 << 8 else 2 if v.max() < 1 << 16 else 4
+    return bytes([size]) + v.astype(f"<u{size}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def vectors(batch: pa.RecordBatch) -> list[Vector]:
-    return [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(n, np.float32).astype(float)) for i, n in zip(batch["ids"].to_pylist(), batch["counts"].to_pylist())]
+    return [(unpacked(i), unpacked(n).astype(float)) for i, n in zip(batch["ids"].to_pylist(), batch["counts"].to_pylist())]
 
 
 def document_frequencies(counts: DataFrame, terms: int) -> np.ndarray:
@@ -287,7 +332,8 @@ def document_frequencies(counts: DataFrame, terms: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(terms + 1, np.int64)
         for batch in batches:
-            total[:-1] += np.bincount(np.frombuffer(b"".join(batch["ids"].to_pylist()), np.int32), minlength=terms)
+            ids = batch["ids"].to_pylist()
+            total[:-1] += np.bincount(np.concatenate([unpacked(i) for i in ids] or [np.zeros(0, np.int64)]), minlength=terms)
             total[-1] += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
@@ -327,18 +373,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic")
     total = document_frequencies(counts, len(terms))
     shared.unpersist()
     idf = np.log((total[-1] + 1) / (total[:-1] + 1)) + 0.01
-    entries = examples.agg(F.sum(F.octet_length("ids") / 4)).first()[0] or 0
+    entries = examples.agg(F.sum(F.octet_length("ids"))).first()[0] or 0  # no more terms than bytes
     if entries > MAX_ENTRIES:
         draw = F.pmod(F.xxhash64(F.lit(77), "doc_id"), F.lit(1_000_000))
         examples = examples.where(draw < int(1_000_000 * MAX_ENTRIES / entries))
     table = examples.toArrow().to_pandas().sort_values(["doc_id", "label"], ignore_index=True)
-    size = table["ids"].map(len).to_numpy() if len(table) else np.zeros(0, int)
+    size = table["ids"].map(len).to_numpy() - 1 if len(table) else np.zeros(0, int)
     y_all = table["label"].to_numpy(float)
     mass_of = {v: share_of.get(v, 0) / max(1, int((y_all == v).sum())) for v in (0, 1)}
     n1, n0 = (mass_of[v] * int(((size == 0) & (y_all == v)).sum()) for v in (1, 0))
     without = (n1 + 0.5 * (not len(table))) / (n1 + n0 + 1) if len(table) else 0.5
     full = table[size > 0].reset_index(drop=True)
-    found = [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(n, np.float32).astype(float)) for i, n in zip(full["ids"], full["counts"])]
+    found = [(unpacked(i), unpacked(n).astype(float)) for i, n in zip(full["ids"], full["counts"])]
     y = full["label"].to_numpy(float)
     mass = np.array([mass_of[int(v)] for v in y])
     best: tuple[float, Model] | None = None

@@ -57,10 +57,9 @@ class Words:
     start: np.ndarray
     stop: np.ndarray
     hash: np.ndarray
-    prefixes: list[tuple[np.ndarray, np.ndarray]]  # for each asked length: places of longer words, hashes of their beginnings
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = (), piece: int = PIECE) -> Iterator[Words]:
+def cut(data: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> Iterator[Words]:
     """Words of the texts ``data[offsets[i]:offsets[i + 1]]``, piece by piece."""
     begins = np.zeros(len(data) + 1, bool)
     begins[offsets] = True
@@ -73,31 +72,39 @@ def cut(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = (), p
                 b += int(ahead[0])
                 break
             b = min(b + 4096, len(data))
-        yield _cut_piece(data[a:b], begins[a:b + 1], offsets, a, prefixes)
+        yield _cut_piece(data[a:b], begins[a:b + 1], offsets, a)
         a = b
 
 
-def _cut_piece(data: np.ndarray, begins: np.ndarray, offsets: np.ndarray, base: int, prefixes: tuple[int, ...]) -> Words:
+def _cut_piece(data: np.ndarray, begins: np.ndarray, offsets: np.ndarray, base: int) -> Words:
     inside = _WORD[data]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1] | begins[1:-1]
     closes[:-1] &= ~inside[1:] | begins[1:-1]
     start, stop = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    text = np.searchsorted(offsets, start + base, side="right") - 1
+    return Words(text, start + base, stop + base, _hashed(data, start, stop, 0))
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, stop: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of the stretches of ``data``."""
     power, inverse = _tables(max(PIECE, len(data) + 1))
     total = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(_VALUE[data] * power[:len(data)], out=total[1:])
-
-        def hashed(first: np.ndarray, last: np.ndarray, kind: int) -> np.ndarray:
-            return mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(_ODD) + np.uint64(kind))
-
-        out = []
-        if prefixes:
-            letters = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of characters
-            at = np.searchsorted(letters, start)
-            size = np.searchsorted(letters, stop) - at
-            for n in prefixes:
-                longer = np.flatnonzero(size > n)
-                out.append((longer, hashed(start[longer], letters[at[longer] + n], n)))
-        text = np.searchsorted(offsets, start + base, side="right") - 1
-        return Words(text, start + base, stop + base, hashed(start, stop, 0), out)
+        return mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64) * np.uint64(_ODD) + np.uint64(kind))
+
+
+def beginnings(data: np.ndarray, words: Words, which: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, in letters: the places in ``which`` of words that are longer, and hashes of their beginnings."""
+    size = words.stop[which] - words.start[which]
+    first = np.cumsum(size) - size
+    own = data[np.repeat(words.start[which] - first, size) + np.arange(size.sum())]  # the bytes of these words only
+    letters = np.flatnonzero((own & 0xC0) != 0x80)  # first bytes of characters
+    at = np.searchsorted(letters, first)
+    n = np.searchsorted(letters, first + size) - at
+    out = []
+    for k in lengths:
+        longer = np.flatnonzero(n > k)
+        out.append((longer, _hashed(own, first[longer], letters[at[longer] + k], k)))
+    return out
