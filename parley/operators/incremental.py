@@ -76,27 +76,13 @@ def select_work(inputs: DataFrame, outputs: DataFrame, key: str, name_col: str,
     return skip_done(inputs, outputs, key, kind_col, required)
 
 
-def run_report(found: DataFrame, todo: DataFrame, failed: DataFrame, stage: str) -> DataFrame:
-    """(stage, status, n) for found / skipped / processed / failed rows.
-
-    ``todo`` is a subset of ``found``; ``failed`` a subset of ``todo``. All
-    counts are global aggregates (partial per partition, one small merge)."""
-    def marks(df: DataFrame, f: int, t: int, x: int) -> DataFrame:
-        return df.select(F.lit(f).alias("f"), F.lit(t).alias("t"), F.lit(x).alias("x"))
-
-    # one global aggregate over a tagged union (no joins between the counts)
-    counts = (marks(found, 1, 0, 0).unionByName(marks(todo, 0, 1, 0)).unionByName(marks(failed, 0, 0, 1))
-              .agg(F.coalesce(F.sum("f"), F.lit(0)).cast("long").alias("found"),
-                   F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("todo"),
-                   F.coalesce(F.sum("x"), F.lit(0)).cast("long").alias("failed")))
-    return counts.select(
-        F.lit(stage).alias("stage"),
-        F.explode(F.array(
-            F.struct(F.lit("found").alias("status"), F.col("found").alias("n")),
-            F.struct(F.lit("skipped").alias("status"), (F.col("found") - F.col("todo")).alias("n")),
-            F.struct(F.lit("processed").alias("status"), (F.col("todo") - F.col("failed")).alias("n")),
-            F.struct(F.lit("failed").alias("status"), F.col("failed").alias("n")),
-        )).alias("s")).select("stage", "s.status", "s.n")
+def run_report(found: DataFrame, todo: int, failed: int, stage: str) -> DataFrame:
+    """(stage, status, n) for found / skipped / processed / failed rows; ``todo`` and ``failed`` were counted
+    while the stage's rows were written."""
+    n = found.agg(F.count(F.lit(1)).alias("found"))
+    counts = {"found": F.col("found"), "skipped": F.col("found") - todo, "processed": F.lit(todo - failed), "failed": F.lit(failed)}
+    rows = F.array(*[F.struct(F.lit(k).alias("status"), v.cast("long").alias("n")) for k, v in counts.items()])
+    return n.select(F.lit(stage).alias("stage"), F.explode(rows).alias("s")).select("stage", "s.status", "s.n")
 
 
 def stage_report(staged: DataFrame, outputs: DataFrame, key: str, stage_col: str, kind_col: str, bad_col: str,

@@ -582,9 +582,11 @@ ORACLES["stage_rerun"] = f"""WITH {FILES}, {OUTS},
 todo AS (SELECT doc_id FROM ({stage_input_sql(0)}) WHERE doc_id NOT IN ({done_sql(('presentation', 'q_and_a'))})),
 c AS (SELECT (SELECT count(*) FROM ({stage_input_sql(0)})) AS found, (SELECT count(*) FROM todo) AS todo,
              (SELECT count(*) FROM todo WHERE doc_id % 5 = 0) AS failed),
-r AS (SELECT unnest([{{'status': 'found', 'n': found}}, {{'status': 'skipped', 'n': found - todo}},
-                     {{'status': 'processed', 'n': todo - failed}}, {{'status': 'failed', 'n': failed}}]) AS s FROM c)
-SELECT run, s.status, s.n FROM r, (VALUES ('run1'), ('run2'), ('run3')) AS t(run)
+r AS (SELECT unnest([{{'run': 'run1', 'found': found, 'todo': todo}}, {{'run': 'run2', 'found': found, 'todo': todo}},
+                     {{'run': 'run3', 'found': found, 'todo': failed}}]) AS r, failed FROM c),
+s AS (SELECT r.run AS run, unnest([{{'status': 'found', 'n': r.found}}, {{'status': 'skipped', 'n': r.found - r.todo}},
+                                   {{'status': 'processed', 'n': r.todo - failed}}, {{'status': 'failed', 'n': failed}}]) AS s FROM r)
+SELECT run, s.status, s.n FROM s
 UNION ALL SELECT 'stored', CASE WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'ok' END, count(*) FROM todo GROUP BY ALL"""
 
 ORACLES["stream_transcribe"] = f"""WITH {SEGS}
@@ -593,7 +595,7 @@ SELECT conv_id, CASE WHEN conv_id % 13 = 0 THEN 'TranscriptionError' END AS erro
        CASE WHEN conv_id % 13 <> 0 THEN CAST(length(string_agg(text, ' ' ORDER BY turn)) AS BIGINT) END AS raw_chars
 FROM segs GROUP BY conv_id"""
 
-ORACLES["stream_chain"] = ORACLES["qa_render"]
+ORACLES["stream_chain"] = ORACLES["stream_split"] = ORACLES["stream_replay"] = ORACLES["qa_render"]
 
 ORACLES["stream_summaries"] = ORACLES["summary_report"]
 
@@ -618,3 +620,20 @@ c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
 SELECT c.conv_id, 'xx' AS language, n AS n_segments, 'new' AS presentation_text, CAST(length(qa_text) AS BIGINT) AS qa_chars,
        true AS no_summary, 'SESSION ' || c.conv_id AS title
 FROM c LEFT JOIN qt ON c.conv_id = qt.conv_id"""
+
+ORACLES["archive_compact"] = """WITH s AS (SELECT conv_id, sha256(conv_id::VARCHAR) AS session_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT state, session_id, CAST(v AS BIGINT) AS version, 'r' || v AS run, '{"session_id":"' || session_id || '","n":' || n || '}' AS document
+FROM (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 9 ELSE conv_id % 10 END AS v FROM s), (VALUES ('before'), ('after'), ('purged')) AS t(state)"""
+
+ORACLES["pipeline_log"] = f"""WITH {SEGS},
+s AS (SELECT DISTINCT conv_id, conv_id % 11 = 3 AS missing, conv_id % 13 = 0 AS bad FROM conversations),
+c AS (SELECT count(*) AS a, count(*) FILTER (missing) AS m, count(*) FILTER (NOT missing AND bad) AS b FROM s)
+SELECT unnest(['validation', 'transcription', 'structuring', 'summarization', 'archiving']) AS step, unnest([a, a - m, a - m - b, a - m - b, a - m - b]) AS n,
+       unnest([m, b, 0, 0, 0]) AS failed, CAST(1 AS BIGINT) AS n_runs, true AS timed FROM c"""
+
+ORACLES["pipeline_modes"] = f"""WITH {SEGS},
+raw AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS raw FROM segs GROUP BY conv_id),
+m AS (SELECT *, length(raw) % 3 = 0 AS refused FROM raw)
+SELECT 'raw' AS mode, conv_id, NULL::VARCHAR AS failed_step, NULL::VARCHAR AS error, NULL::VARCHAR AS language, true AS no_qa, NULL::VARCHAR AS content, true AS has_content FROM m
+UNION ALL SELECT 'model', conv_id, CASE WHEN refused THEN 'summarization' END, CASE WHEN refused THEN 'SummarizationError' END, CASE WHEN NOT refused THEN 'xx' END,
+       true, CASE WHEN NOT refused THEN left(raw, 40) || '!' END, CASE WHEN NOT refused THEN true END FROM m"""

@@ -8,6 +8,8 @@ doubles rounded to 6 digits so that both engines hash the same values.
 
 from __future__ import annotations
 
+import dataclasses
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -503,17 +505,43 @@ def session_upsert(spark, sf_dir):
 
 @query
 def session_lookup(spark, sf_dir):
-    rows = arch.archive(spark, saved_archive(spark, sf_dir)).select("session_id", "document")
+    path = saved_archive(spark, sf_dir)
     ids = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    sid = ids.select("conv_id", F.sha2(F.col("conv_id").cast("string"), 256).alias("id"))
-    rows = rows.join(sid, F.col("session_id") == F.col("id")).withColumn(
-        "document", F.when(F.col("conv_id") % 7 == 0, F.substring("document", 1, 40)).otherwise(F.col("document")))
-    req = sid.select(F.col("id").alias("session_id")).unionByName(
-        ids.where(F.col("conv_id") % 5 == 0).select(F.sha2((F.col("conv_id") + 1000000).cast("string"), 256).alias("session_id")))
-    res = arch.lookup(req, rows)
+    sid = ids.select("conv_id", F.sha2(F.col("conv_id").cast("string"), 256).alias("session_id"))
+    broken = arch.archive(spark, path).join(sid.where(F.col("conv_id") % 7 == 0), "session_id").select(
+        "session_id", (F.col("version") + 1).alias("version"), "presentation_text", "structured_qa_text", F.substring("document", 1, 40).alias("document"))
+    store.write_keyed(broken, path, "session_id", "r3")
+    unknown = ids.where(F.col("conv_id") % 5 == 0).select(F.sha2((F.col("conv_id") + 1000000).cast("string"), 256).alias("session_id"))
+    res = arch.lookup_in(spark, path, sid.select("session_id").unionByName(unknown))
     return res.select("session_id", "status", F.col("session.metadata.title").alias("title"))
 
 
+@query
+def archive_compact(spark, sf_dir):
+    """K4 compaction: ten runs of the archive, each with a tenth of the sessions and again every third of those saved before,
+    merged into one file a bucket. What the archive holds before, after, and after the covered runs are deleted."""
+    s = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    s = s.select("conv_id", F.sha2(F.col("conv_id").cast("string"), 256).alias("session_id"), "n")
+    path = work_path(spark, "archive")
+    for r in range(10):
+        rows = s.where((F.col("conv_id") % 10 <= r) & ((F.col("conv_id") % 10 == r) | (F.col("conv_id") % 3 == 0)))
+        rows = rows.select("session_id", F.lit(r).cast("long").alias("version"), F.lit(None).cast("string").alias("presentation_text"),
+                           F.lit("").alias("structured_qa_text"), F.to_json(F.struct("session_id", "n")).alias("document"))
+        store.write_keyed(rows, path, "session_id", f"r{r}", buckets=16)
+
+    def held(state):
+        rows = arch.archive(spark, path)
+        return store.stage_table(rows.select(F.lit(state).alias("state"), "session_id", "version", F.col("run_id").alias("run"), "document"), "held")
+
+    before = held("before")
+    base = arch.compact(spark, path)
+    after = held("after")
+    files = spark.read.parquet(f"{path}/run_id={base}").select(F.input_file_name().alias("f")).distinct().count()
+    assert store.live_runs(spark, path) == [base] and files <= 16
+    store.purge(spark, path)
+    return before.unionByName(after).unionByName(held("purged"))
+
+
 @query
 def session_load(spark, sf_dir):
     """S4 on documents of eight shapes: complete, other forms of time, optional or
@@ -620,6 +648,9 @@ def session_parts(spark, sf_dir):
                       F.col("metadata.title").alias("title"))
 
 
+BY_RULES = flow.Pipeline(structurizer=flow.Rules(QA_CUES, QUESTION_CUES), summarizer=flow.Extractive(ACTION_CUES))
+
+
 @query
 def session_status(spark, sf_dir):
     """E1 with failures at each step: missing, unreadable and blank recordings, and one
@@ -628,8 +659,48 @@ def session_status(spark, sf_dir):
     blank = F.encode(F.lit('{"start": 0, "end": 1, "text": " "}'), "UTF-8")
     content = (F.when(F.col("conv_id") % 11 == 3, F.lit(None).cast("binary")).when(F.col("conv_id") % 7 == 2, blank).otherwise(F.col("content")))
     recordings = recordings.withColumn("content", content).withColumn("modificationTime", F.timestamp_seconds(F.lit(1704067200)))
-    runs = flow.run_pipeline(recordings, work_path(spark, "archive"), "r1", QA_CUES, QUESTION_CUES, ACTION_CUES)
-    return flow.status_counts(runs)
+    return flow.status_counts(flow.run_pipeline(recordings, work_path(spark, "archive"), "r1", BY_RULES))
+
+
+@query
+def pipeline_modes(spark, sf_dir):
+    """E1 without structuring (summaries of the raw text), and with a summarizing provider that refuses some texts; a
+    fixed language. What each archived session holds."""
+    def refuse(text):
+        if len(text) % 3 == 0:
+            raise ValueError("refused")
+        return json.dumps({"content": text[:40] + "!", "topics": ["x"]})
+
+    recordings = (audio_payloads(spark, sf_dir).withColumn("title", F.lit(None).cast("string"))
+                  .withColumn("modificationTime", F.timestamp_seconds(F.lit(1704067200))))
+    recordings = store.stage_table(recordings, "recordings")
+    model = providers.Provider("summarize", "excerpt", lambda: refuse)
+    modes = {"raw": dataclasses.replace(BY_RULES, structurizer=None), "model": dataclasses.replace(BY_RULES, structurizer=None, summarizer=model, language="xx")}
+    out = None
+    for mode, by in modes.items():
+        path = work_path(spark, "archive")
+        runs = flow.run_pipeline(recordings, path, "r1", by).select("path", "session_id", "failed_step", "error")
+        doc = arch.archive(spark, path).select(F.col("session_id").alias("_id"), "document", "structured_qa_text")
+        j = runs.join(doc, F.col("session_id") == F.col("_id"), "left")
+        part = j.select(F.lit(mode).alias("mode"), F.regexp_extract("path", r"conv_(\d+)", 1).cast("long").alias("conv_id"), "failed_step", "error",
+                        F.get_json_object("document", "$.transcript.language").alias("language"), F.col("structured_qa_text").isNull().alias("no_qa"),
+                        F.when(F.lit(mode == "model"), F.get_json_object("document", "$.summary.content")).alias("content"),
+                        (F.length(F.get_json_object("document", "$.summary.content")) > 0).alias("has_content"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def pipeline_log(spark, sf_dir):
+    """A6 over the log that E1 keeps of its own steps: rows and failed rows of each, and that each took time."""
+    recordings = audio_payloads(spark, sf_dir, corrupt_every=13).withColumn("title", F.lit(None).cast("string"))
+    content = F.when(F.col("conv_id") % 11 == 3, F.lit(None).cast("binary")).otherwise(F.col("content"))
+    recordings = recordings.withColumn("content", content).withColumn("modificationTime", F.timestamp_seconds(F.lit(1704067200)))
+    path = work_path(spark, "log")
+    flow.run_pipeline(recordings, work_path(spark, "archive"), "r1", BY_RULES, log_path=path)
+    log = store.read_runs(spark, path)
+    timed = timing.step_timing(log.withColumn("bad", F.col("failed") > 0), failed="bad").select(F.col("step").alias("_step"), "n_runs", (F.col("total_s") > 0).alias("timed"))
+    return log.join(timed, F.col("step") == F.col("_step")).select("step", "n", "failed", "n_runs", "timed")
 
 
 @query
@@ -648,16 +719,16 @@ def provider_replies(spark, sf_dir):
 
 @query
 def stage_rerun(spark, sf_dir):
-    """E2 run twice under one id, then once more under another: the reports of each
-    run, and the rows that the table holds in the end."""
+    """E2 run twice under one id, then once more under another, which skips what the first one did and tries
+    the failed ones again: the reports of each run, and the rows that the table holds in the end."""
     outs = fx.stage_outputs(read_table(spark, sf_dir, "labels"))
     sink, found = work_path(spark, "stage"), stage_inputs(spark, sf_dir, 0)
 
     def stage(df):
         return df.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("Refused")).alias("error_class"))
 
-    reports = [store.stage_table(flow.run_stage(found, outs, "doc_id", "name", "kind", ("presentation", "q_and_a"), stage, sink,
-                                                "structure", run_id=r), "report") for r in ("r1", "r1", "r2")]
+    reports = [store.stage_table(flow.run_stage(found, "doc_id", "name", stage, sink, "structure", run_id=r, outputs=outs,
+                                                required=("presentation", "q_and_a")), "report") for r in ("r1", "r1", "r2")]
     rows = store.latest(store.read_runs(spark, sink), "doc_id").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     out = rows.select(F.lit("stored").alias("run"), "status", "n")
     for i, r in enumerate(reports):
@@ -666,25 +737,72 @@ def stage_rerun(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
-def _labelled_stage(batch: DataFrame, batch_id: int = 0) -> DataFrame:
-    turns = fx.labelled_turns(batch).where(F.col("tag").isNotNull())
-    lines = turns.select("conv_id", "turn", F.concat(F.lit("["), "tag", F.lit("]: "), "content").alias("line"))
-    return ordered.ordered_concat(lines, "conv_id", "turn", "line", sep="\n", out="qa_raw").drop("n_items")
+TURN_ROWS = "conv_id long, rows array<struct<turn:bigint,role:string,text:string>>"
+
+
+def arriving_turns(spark: SparkSession, sf_dir: str, files: int, **options) -> DataFrame:
+    """The conversations as a stream of so many files, the turns of each session spread over them; its
+    last turn carries the end mark."""
+    conv = streaming.end_marked(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "total")
+    folder = work_path(spark, "arriving")
+    conv.repartition(files, "conv_id", "turn").write.parquet(folder)
+    return streaming.files_stream(spark, folder, conv.schema, **options)
+
+
+def _whole_sessions(rows: DataFrame) -> DataFrame:
+    return streaming.assemble(rows, "conv_id", "turn", "total")
 
 
-def _clean_stage(batch: DataFrame, batch_id: int = 0) -> DataFrame:
-    return qa.with_clean_qa(batch, "qa_raw", "qa_text").select("conv_id", "qa_text")
+def _labelled(sessions_: DataFrame) -> DataFrame:
+    """(conv_id, rows, qa_raw) of whole sessions: T9 on the turns of a row; null without a labelled turn."""
+    def tag(r):
+        return fx.turn_tag(r["role"], r["turn"])
+
+    def line(r):
+        content = F.when((F.col("conv_id") + r["turn"]) % 11 == 0, F.lit("")).otherwise(r["text"])
+        return F.concat(F.lit("["), tag(r), F.lit("]: "), content)
+
+    lines = F.transform(F.filter("rows", lambda r: tag(r).isNotNull()), line)
+    return sessions_.withColumn("qa_raw", F.when(F.size(lines) > 0, F.array_join(lines, "\n")))
+
+
+def _label_stage(sessions_: DataFrame) -> DataFrame:
+    return _labelled(sessions_).select("conv_id", "qa_raw").where(F.col("qa_raw").isNotNull())
+
+
+def _clean_stage(labelled: DataFrame) -> DataFrame:
+    return qa.with_clean_qa(labelled, "qa_raw", "qa_text").select("conv_id", "qa_text")
+
+
+QA_STAGES = [("sessions", _whole_sessions, TURN_ROWS), ("label", _label_stage, "conv_id long, qa_raw string"), ("clean", _clean_stage, "conv_id long, qa_text string")]
 
 
 @query
 def stream_chain(spark, sf_dir):
-    """The conversations table flows through labelling and Q&A cleaning
-    as two chained streaming stages; the result equals the batch qa_render."""
-    schema = read_table(spark, sf_dir, "conversations").schema
-    rows, _ = streaming.chain(spark, f"{sf_dir}/conversations.parquet", schema, [
-        ("label", _labelled_stage, "conv_id long, qa_raw string"), ("clean", _clean_stage, "conv_id long, qa_text string")],
-        name="stream_chain", key="conv_id")
-    return rows
+    """Turns flow through assembly, labelling and Q&A cleaning as chained streaming stages; the result equals
+    the batch qa_render."""
+    sink, _ = streaming.chain(arriving_turns(spark, sf_dir, 4), QA_STAGES, name="stream_chain")
+    return streaming.committed(spark, sink, "conv_id long, qa_text string")
+
+
+@query
+def stream_split(spark, sf_dir):
+    """R1-R2 with each session's turns in twelve files, one file a micro-batch."""
+    sink, _ = streaming.chain(arriving_turns(spark, sf_dir, 12, max_files=1), QA_STAGES, name="stream_split")
+    return streaming.committed(spark, sink, "conv_id long, qa_text string")
+
+
+@query
+def stream_replay(spark, sf_dir):
+    """J4 after crashes: batches of two stages are replayed, and the chain goes on over the same sinks."""
+    root, rows = work_path(spark, "stream_replay"), arriving_turns(spark, sf_dir, 2)
+    streaming.chain(rows, QA_STAGES, root=root)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    for i in (0, 1):
+        commits = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{i}_{QA_STAGES[i][0]}/checkpoint/commits")
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(commits, True)
+    sink, _ = streaming.chain(rows, QA_STAGES, root=root)
+    return streaming.committed(spark, sink, "conv_id long, qa_text string")
 
 
 @query
@@ -693,34 +811,32 @@ def stream_transcribe(spark, sf_dir):
     pay = audio_payloads(spark, sf_dir, corrupt_every=13).select("conv_id", F.decode("content", "UTF-8").alias("value"))
     folder, sink = work_path(spark, "recordings"), work_path(spark, "transcripts")
     pay.repartition("conv_id").sortWithinPartitions("conv_id").write.partitionBy("conv_id").text(folder)
-
-    def heard(batch, batch_id):
-        t = providers.transcribe(batch.select("path", "content"), "timed_text")
-        return t.select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), "error_class",
-                        F.size("transcript.segments").cast("long").alias("n_segments"), F.length("transcript.raw_text").cast("long").alias("raw_chars"))
-
     schema = "path string, modificationTime timestamp, length long, content binary"
-    streaming.run_stage(spark, folder, schema, heard, sink, f"{sink}_checkpoint", fmt="binaryFile", path_glob="*.txt", recursive=True)
+    recordings = streaming.files_stream(spark, folder, schema, fmt="binaryFile", path_glob="*.txt", recursive=True)
+    t = providers.transcribe(recordings.select("path", "content"), "timed_text")
+    heard = t.select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), "error_class",
+                     F.size("transcript.segments").cast("long").alias("n_segments"), F.length("transcript.raw_text").cast("long").alias("raw_chars"))
+    streaming.run_stage(heard, sink, f"{sink}_checkpoint")
     out = "conv_id long, error_class string, n_segments long, raw_chars long"
-    return streaming.read_sink(spark, sink, out).unionByName(streaming.read_sink(spark, sink, out, "failed"))
+    return streaming.committed(spark, sink, out).unionByName(streaming.committed(spark, sink, out, "failed"))
+
+
+def _answer_stage(sessions_: DataFrame) -> DataFrame:
+    """(conv_id, items): the answers of each whole session (T11), or its raw segments."""
+    d = qa.with_clean_qa(_labelled(sessions_).withColumn("qa_raw", F.coalesce("qa_raw", F.lit(""))), "qa_raw", "qa_text", blocks_out="runs")
+    answers = F.transform(qa.answers_only("runs"), lambda b: F.struct(b["pos"].cast("long").alias("pos"), b["text"].alias("text")))
+    raw = F.transform("rows", lambda r: F.struct(r["turn"].alias("pos"), strip(r["text"]).alias("text")))
+    return d.select("conv_id", F.when(F.size("runs") > 0, answers).otherwise(raw).alias("items"))
 
 
 @query
 def stream_summaries(spark, sf_dir):
-    """Turns -> summaries as a streaming stage. Document frequencies are a side
-    table to which each micro-batch adds its own counts."""
-    schema = read_table(spark, sf_dir, "conversations").schema
-    base = work_path(spark, "stream_summaries")
-
-    def summarize(batch, batch_id):
-        sents = store.stage_table(summ.answer_sentences(summary_rows(batch), "conv_id", "pos", "text"), "sentences")
-        summ.term_counts(sents, "conv_id").write.mode("overwrite").parquet(f"{base}/counts/batch_id={batch_id}")
-        so_far = spark.read.parquet(f"{base}/counts").where(F.col("batch_id") <= batch_id)
-        parts = summ.summarize(None, key="conv_id", action_cues=ACTION_CUES, sents=sents, counts=so_far)
-        t = summ.summary_table(parts, "conv_id", batch)
-        return t.select("conv_id", summ.render_report(F.col("content"), F.col("key_points"), F.col("action_items"),
-                                                      F.col("topics")).alias("report"))
-
-    rows, _ = streaming.chain(spark, f"{sf_dir}/conversations.parquet", schema, [("summary", summarize, "conv_id long, report string")],
-                              root=base, key="conv_id")
-    return rows
+    """Whole sessions and their answers as streaming stages. Summaries read the committed answers, so the
+    document frequencies of all of them are those of the whole corpus so far, also for sessions of earlier batches."""
+    items = "conv_id long, items array<struct<pos:bigint,text:string>>"
+    sink, _ = streaming.chain(arriving_turns(spark, sf_dir, 3, max_files=1), [("sessions", _whole_sessions, TURN_ROWS), ("answers", _answer_stage, items)], name="stream_summaries")
+    told = streaming.committed(spark, sink, items)
+    rows = told.select("conv_id", F.explode("items").alias("i")).select("conv_id", "i.pos", "i.text")
+    sents = store.stage_table(summ.answer_sentences(rows, "conv_id", "pos", "text"), "sentences")
+    t = summ.summary_table(summ.summarize(rows, key="conv_id", action_cues=ACTION_CUES, sents=sents), "conv_id", told)
+    return t.select("conv_id", summ.render_report(F.col("content"), F.col("key_points"), F.col("action_items"), F.col("topics")).alias("report"))

@@ -42,29 +42,32 @@ def upsert(existing: DataFrame, updates: DataFrame, version_col: str = "version"
     return store.one_per_key(existing.unionByName(updates), "session_id", (version_col,))
 
 
-def id_bucket(session_id: Column) -> Column:
-    return F.substring(F.sha2(session_id, 256), 1, 2)
+ORDER = ("version", "run_id")
 
 
-def save_sessions(new: DataFrame, path: str, version_col: str = "version", run_id: str | None = None) -> str:
+def save_sessions(new: DataFrame, path: str, version_col: str = "version", run_id: str | None = None, buckets: int | None = None) -> str:
     """K4 on storage: one run of the archive at ``path`` with the latest version of
     each id in ``new``: the document, and the presentation and Q&A texts where
-    they are not null. Folders by id bucket let lookups skip the other files."""
+    they are not null. One file per bucket of ids."""
     texts = new.select("session_id", F.col(version_col).cast("long").alias("version"), "presentation_text", "structured_qa_text",
                        to_document(session_struct(new)).alias("document"))
-    rows = store.one_per_key(texts, "session_id", ("version",))
-    return store.write_run(rows.withColumn("id_bucket", id_bucket(F.col("session_id"))), path, run_id, ["id_bucket"])
+    return store.write_keyed(store.one_per_key(texts, "session_id", ("version",)), path, "session_id", run_id, buckets)
 
 
 def archive(spark: SparkSession, path: str) -> DataFrame:
     """The latest row of each archived session."""
-    return store.latest(store.read_runs(spark, path), "session_id", ("version", "run_id"))
+    return store.latest(store.read_runs(spark, path), "session_id", ORDER)
+
+
+def compact(spark: SparkSession, path: str) -> str:
+    """Merge all finished runs of the archive into one file per bucket."""
+    return store.compact(spark, path, "session_id", ORDER)
 
 
 def load_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Session JSON files, one document each: (file, status, error, session).
-    Files that cannot be decoded are rows too, never dropped."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
+    Files that cannot be decoded are rows too, never dropped; the text files beside them are no sessions."""
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
     return from_json_documents(raw).select("file", "status", "error", F.col("_s").alias("session"))
 
 
@@ -77,10 +80,25 @@ def lookup(requests: DataFrame, stored: DataFrame, id_col: str = "session_id", d
     return hits.select(id_col, status.alias("status"), F.when(status == "found", F.col("_s")).alias("session"))
 
 
+def lookup_in(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
+    """S5 on storage, in batch form: only rows with a requested id, in its bucket, are reduced and decoded."""
+    wanted = requests.select("session_id").distinct()
+    wanted = wanted.select(F.col("session_id").alias("_want"), store.bucket(F.col("session_id"), store.buckets_of(spark, path)).alias("_bucket"))
+    rows = store.read_runs(spark, path)
+    rows = rows.join(wanted, (rows["bucket"] == wanted["_bucket"]) & (rows["session_id"] == wanted["_want"]), "left_semi")
+    return lookup(requests, store.latest(rows, "session_id", ORDER))
+
+
+def stored_versions(spark: SparkSession, path: str, session_id: str) -> DataFrame:
+    """All stored rows of one session; reads the files of the id's bucket only."""
+    b = store.bucket(F.lit(session_id), store.buckets_of(spark, path))
+    return store.read_runs(spark, path).where((F.col("bucket") == b) & (F.col("session_id") == session_id))
+
+
 def lookup_one(spark: SparkSession, path: str, session_id: str):
-    """One session as a Row; reads the files of the id's bucket only."""
-    rows = store.read_runs(spark, path).where((F.col("id_bucket") == id_bucket(F.lit(session_id))) & (F.col("session_id") == session_id))
-    hit = from_json_documents(rows.orderBy(F.desc("version"), F.desc("run_id")).limit(1)).select("status", "error", "_s").collect()
+    """One session as a Row."""
+    rows = stored_versions(spark, path, session_id)
+    hit = from_json_documents(rows.orderBy(*[F.desc(c) for c in ORDER]).limit(1)).select("status", "error", "_s").collect()
     if not hit:
         raise SessionNotFound(session_id)
     if hit[0].status != "found":

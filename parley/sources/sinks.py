@@ -1,5 +1,5 @@
 """Stage sinks (K1-K3): one row per key and run; reading takes each key's latest
-run, so rerunning a subset of inputs leaves all other results in place."""
+run, so rerunning a subset of inputs leaves all other results in place. Tables are keyed (a file per bucket and run) and can be compacted."""
 
 from __future__ import annotations
 
@@ -14,13 +14,13 @@ from parley.sources import store
 def write_transcripts(df: DataFrame, path: str, run_id: str | None = None) -> str:
     """K1: (stem, raw_text, segments, language)."""
     out = df.select("stem", "transcript.raw_text", "transcript.segments", "transcript.language")
-    return store.write_run(store.one_per_key(out, "stem"), path, run_id)
+    return store.write_keyed(store.one_per_key(out, "stem"), path, "stem", run_id)
 
 
 def write_structure(df: DataFrame, path: str, run_id: str | None = None) -> str:
     """K2: presentation and structured Q&A text of each stem, one table."""
     out = df.select("stem", "presentation_text", "structured_qa_text")
-    return store.write_run(store.one_per_key(out, "stem"), path, run_id)
+    return store.write_keyed(store.one_per_key(out, "stem"), path, "stem", run_id)
 
 
 def summary_outputs(df: DataFrame) -> DataFrame:
@@ -34,9 +34,9 @@ def summary_outputs(df: DataFrame) -> DataFrame:
 
 def write_summaries(df: DataFrame, path: str, run_id: str | None = None) -> str:
     """K3: both summary artefacts per base name."""
-    return store.write_run(store.one_per_key(summary_outputs(df), "base"), path, run_id)
+    return store.write_keyed(store.one_per_key(summary_outputs(df), "base"), path, "base", run_id)
 
 
 def read_outputs(spark: SparkSession, path: str, key: str = "stem") -> DataFrame:
     """The latest output of each key."""
-    return store.latest(store.read_runs(spark, path), key).drop("run_id")
+    return store.latest(store.read_runs(spark, path), key).drop("run_id", "bucket")

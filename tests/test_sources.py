@@ -162,3 +162,51 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         ensure_checkpoint_dir(Session())
     Context.getCheckpointDir = lambda self: "hdfs://x/shared/0f-uuid"
     assert ensure_checkpoint_dir(Session()) == "hdfs://x/shared"
+
+
+def test_compaction_keeps_all_rows_in_one_file_a_bucket(spark, tmp_path):
+    from parley.sources import store
+
+    path = str(tmp_path / "table")
+    rows = spark.range(300).select(F.col("id").cast("string").alias("k"), F.lit(0).alias("v"))
+    store.write_keyed(rows, path, "k", "r0", buckets=8)
+    for r in range(1, 10):
+        store.write_keyed(rows.where(f"cast(k as int) % 10 = {r}").withColumn("v", F.lit(r)), path, "k", f"r{r}")
+    want = {str(i): (i % 10, f"r{i % 10}") for i in range(300)}
+    held = lambda: {r.k: (r.v, r.run_id) for r in store.latest(store.read_runs(spark, path), "k").collect()}
+    assert held() == want and len(store.live_runs(spark, path)) == 10
+    (tmp_path / "table" / "run_id=c0-dead").mkdir()  # a compaction that died before its manifest
+    store.write_run(rows, path, "unfinished")
+    (tmp_path / "table" / "run_id=unfinished" / "_SUCCESS").unlink()
+    base = store.compact(spark, path, "k")
+    assert held() == want and store.live_runs(spark, path) == [base]
+    files_ = [f for f in (tmp_path / "table" / f"run_id={base}").rglob("*.parquet")]
+    assert len(files_) == 8 and len({f.parent for f in files_}) == 8
+    assert len(store.purge(spark, path)) == 10 and held() == want
+    store.write_keyed(rows.where("k = '7'").withColumn("v", F.lit(99)), path, "k", "s1")
+    assert held() == {**want, "7": (99, "s1")}
+    store.compact(spark, path, "k")
+    assert held() == {**want, "7": (99, "s1")} and len(store.live_runs(spark, path)) == 1
+
+
+def test_lookup_reads_one_bucket(spark, tmp_path):
+    from parley.sources import store
+
+    path = str(tmp_path / "archive")
+    rows = spark.range(50).select(F.col("id").cast("string").alias("session_id"), F.lit(1).cast("long").alias("version"), F.lit("p").alias("presentation_text"),
+                                  F.lit("q").alias("structured_qa_text"), F.lit("{").alias("document"))
+    store.write_keyed(rows, path, "session_id", "r1")
+    hit = arch.stored_versions(spark, path, "7")
+    assert hit.count() == 1 and hit.select(F.input_file_name()).distinct().count() == 1
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    want = spark.createDataFrame([("7",), ("zzz",)], "session_id string")
+    assert {r.session_id: r.status for r in arch.lookup_in(spark, path, want).collect()} == {"7": "corrupt", "zzz": "not_found"}
+
+
+def test_a_storage_folder_with_text_files_loads(spark, tmp_path):
+    doc = {"session_id": "a", "metadata": {"session_id": "a", "created_at": "2024-01-02T03:04:05"}, "presentation_text": "p", "structured_qa_text": "q"}
+    (tmp_path / "a.json").write_text(json.dumps(doc, indent=4))
+    (tmp_path / "a_presentation.txt").write_text("p")
+    (tmp_path / "a_q_and_a.txt").write_text("q")
+    assert [(r.status, r.session.presentation_text) for r in arch.load_sessions(spark, str(tmp_path)).collect()] == [("found", "p")]
