@@ -78,20 +78,23 @@ def normalise_words(c, substitutions=SPELLING_FIXES) -> Column:
     return F.filter(F.split(normalise_text(c, substitutions), " "), lambda w: w != "")
 
 
-# First code point used to encode words; above the UTF-16 surrogate range so
-# every code is one character after decoding.
-_CODE_BASE = 0x10000
-MAX_DISTINCT_WORDS = 0x10FFFF - _CODE_BASE + 1
+# Words are encoded as code points: all but zero and the surrogates. Two of them stand for words that only one
+# of the texts has, which can never match.
+_SURROGATES, _AFTER = 0xD800, 0xE000
+ONLY_REF, ONLY_HYP, FIRST_SHARED = 1, 2, 3
+MAX_SHARED_WORDS = _SURROGATES + (0x110000 - _AFTER) - FIRST_SHARED
+#: First width of the band in which a distance is looked for; it doubles twice at a time.
+FIRST_BAND = 16
 
 
-def word_vocab(ref_words, hyp_words) -> Column:
-    """Sorted distinct words of a pair; stage it as a column before encoding."""
-    return F.array_sort(F.array_distinct(F.concat(_col(ref_words), _col(hyp_words))))
+def shared_words(ref_words, hyp_words) -> Column:
+    """Sorted distinct words that both texts have; stage it as a column before encoding."""
+    return F.array_sort(F.array_intersect(_col(ref_words), _col(hyp_words)))
 
 
-def _binary_search_codes(words: Column, vocab: Column) -> Column:
-    """Index of each word in the sorted vocabulary: O(n log V) per text, a fixed
-    number of halving steps carried in a struct accumulator."""
+def _binary_search(words: Column, vocab: Column, missing: int) -> Column:
+    """Code of each word: its index in the sorted vocabulary, after the reserved codes, or ``missing``. O(n log V) per
+    text, a fixed number of halving steps carried in a struct accumulator."""
     n = F.size(vocab)
     steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(n + 1)).cast("int"), F.lit(1)))
 
@@ -104,42 +107,43 @@ def _binary_search_codes(words: Column, vocab: Column) -> Column:
                 F.when(F.get(vocab, mid) < w, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
                 .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi"))))
 
-        return F.aggregate(steps, init, step)["lo"]
+        return F.aggregate(steps, init, step, lambda acc: F.when(F.get(vocab, acc["lo"]) == w, acc["lo"] + FIRST_SHARED).otherwise(F.lit(missing)))
 
     return F.transform(words, search)
 
 
-def word_codes(words, vocab) -> Column:
-    """0-based index of each word in ``vocab`` (a staged column reference)."""
-    return _binary_search_codes(_col(words), _col(vocab))
-
-
-def encode_words(words, vocab) -> Column:
-    """One code point per word (index + U+10000) as a string."""
-    hex_codes = F.transform(word_codes(words, vocab), lambda k: F.lpad(F.hex(k + _CODE_BASE), 8, "0"))
+def encode_words(words, vocab, missing: int) -> Column:
+    """One code point per word as a string."""
+    point = lambda k: F.when(k < _SURROGATES, k).otherwise(k + (_AFTER - _SURROGATES))
+    hex_codes = F.transform(_binary_search(_col(words), _col(vocab), missing), lambda k: F.lpad(F.hex(point(k)), 8, "0"))
     return F.decode(F.unhex(F.array_join(hex_codes, "")), "UTF-32")
 
 
-def word_edit_distance(ref_words, hyp_words, vocab) -> Column:
-    """Unit-cost Levenshtein distance between two word arrays.
+def banded_levenshtein(a: Column, b: Column) -> Column:
+    """Distance of two strings (staged columns), looked for in bands around the diagonal that grow until the distance
+    lies within: the work goes with the distance, not with the square of the length."""
+    longest = F.greatest(F.length(a), F.length(b))
+    rounds = F.sequence(F.lit(0), F.ceil(F.greatest(F.log2(longest / FIRST_BAND + 1), F.lit(0.0)) / 2 + 1).cast("int"))
+    none = F.lit(-1)
+
+    def look(found: Column, k: Column) -> Column:
+        band = (F.lit(FIRST_BAND) * F.pow(F.lit(4), k)).cast("int")
+        return F.when(found >= 0, found).otherwise(F.call_function("levenshtein", a, b, band))
 
-    Each distinct word of the pair becomes one code point, so the built-in
-    (code-generated) character ``levenshtein`` computes the word distance.
-    ``vocab`` must be a column holding ``word_vocab(ref, hyp)`` staged in an
-    earlier projection: an inline expression would be re-evaluated inside the
-    per-word lambdas. A pair with more distinct words than there are code points
-    has no distance (NULL: an error row, not a failed job). Use :func:`with_word_edit_distance` on DataFrames.
-    """
-    vocab = _col(vocab)
-    dist = F.levenshtein(encode_words(ref_words, vocab), encode_words(hyp_words, vocab))
-    return F.when(F.size(vocab) <= MAX_DISTINCT_WORDS, dist)
+    return F.aggregate(rounds, none, look)
 
 
 def with_word_edit_distance(df, ref_col: str, hyp_col: str, out: str = "errors"):
-    """Add ``out`` = word edit distance of two array<string> columns."""
-    return (df.withColumn("_vocab", word_vocab(ref_col, hyp_col))
-            .withColumn(out, word_edit_distance(ref_col, hyp_col, "_vocab"))
-            .drop("_vocab"))
+    """Add ``out`` = unit-cost Levenshtein distance of two array<string> columns.
+
+    Each distinct word that both texts have becomes one code point, so the built-in character ``levenshtein`` computes
+    the word distance. Vocabulary and codes are staged: an inline expression would be evaluated again for every word.
+    A pair that shares more distinct words than there are code points (1,112,061) has no distance (NULL: an
+    error row, not a failed job)."""
+    df = df.withColumn("_vocab", shared_words(ref_col, hyp_col))
+    df = df.withColumns({"_a": encode_words(ref_col, "_vocab", ONLY_REF), "_b": encode_words(hyp_col, "_vocab", ONLY_HYP)})
+    dist = F.when(F.size("_vocab") <= MAX_SHARED_WORDS, banded_levenshtein(F.col("_a"), F.col("_b")))
+    return df.withColumn(out, dist).drop("_vocab", "_a", "_b")
 
 
 def wer_from_counts(errors, ref_count, hyp_count) -> Column:
@@ -149,12 +153,6 @@ def wer_from_counts(errors, ref_count, hyp_count) -> Column:
             .otherwise(errors.cast("double") / ref_count))
 
 
-def wer(ref_words, hyp_words, vocab) -> Column:
-    """Word error rate of two word arrays (may exceed 1)."""
-    ref_words, hyp_words = _col(ref_words), _col(hyp_words)
-    return wer_from_counts(word_edit_distance(ref_words, hyp_words, vocab), F.size(ref_words), F.size(hyp_words))
-
-
 def accuracy(wer_col) -> Column:
     """T4: ``max(0, 1 - wer)``."""
     return F.greatest(F.lit(0.0), F.lit(1.0) - _col(wer_col))

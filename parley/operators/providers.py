@@ -40,6 +40,10 @@ class UnknownProvider(LookupError):
     """No provider of that name serves the stage."""
 
 
+class Refused(RuntimeError):
+    """A provider's call that came too soon (its quota is used up): it is made again later."""
+
+
 class UnknownOption(TypeError):
     """The provider does not take that option."""
 
@@ -117,36 +121,60 @@ add(Provider("transcribe", "timed_text", read_timed_text, {"language": None}),
     Provider("summarize", "recorded", text_as_reply))
 
 
+#: Times that a call is made in all while the provider refuses it.
+ATTEMPTS = 5
+
+
 def call(df: DataFrame, key: str, value: str, provider: Provider, options: Mapping[str, Any], reply: str,
          unpack: Callable[[Any], tuple] = lambda r: (r,), per_minute: float | None = None, callers: int = 1) -> DataFrame:
     """(key, reply columns, error_class, error_msg): one call per row of ``df``.
 
-    ``reply`` is the schema of what ``unpack`` makes of a reply. ``per_minute``
-    bounds the rate of calls (R4): at most ``callers`` tasks call at a time, each
-    with an equal part of the budget. A null value is a missing input.
+    ``reply`` is the schema of what ``unpack`` makes of a reply. ``per_minute`` bounds the rate of calls (R4): the
+    calls are a stage of their own of ``callers`` tasks, to which the rows are dealt (what comes before keeps its own
+    tasks), and each task makes its calls at its part of the rate. A call that the provider refuses
+    (:class:`Refused`) goes to the end of the task's queue; it counts like any other, and is an error row after
+    ``ATTEMPTS`` times. A null value is a missing input.
     """
     kind, factory, error = key_type(df, key), provider.factory, STAGE_ERRORS[provider.stage]
     names = [c.split(" ")[0] for c in reply.split(";")]
     pause = 60.0 * callers / per_minute if per_minute else 0.0
+    refused = Refused
 
     def run(batches: Iterator) -> Iterator:
+        from collections import deque
+
         import pandas as pd
 
         ask, due = factory(**options), 0.0
+
+        def one(k, v, tries):
+            nonlocal due
+            time.sleep(max(0.0, due - time.monotonic()))
+            due = time.monotonic() + pause
+            try:
+                if v is None:
+                    raise FileNotFoundError(f"nothing to read for {k}")
+                return (k, *unpack(ask(v)), None, None)
+            except refused as exc:
+                if tries < ATTEMPTS:
+                    return None
+                failure = exc
+            except Exception as exc:  # one bad input is reported, the rest continue
+                failure = exc
+            return (k, *[None] * len(names), error, f"{type(failure).__name__}: {failure}")
+
         for pdf in batches:
-            rows = []
-            for k, v in zip(pdf[key], pdf[value]):
-                time.sleep(max(0.0, due - time.monotonic()))
-                due = time.monotonic() + pause
-                try:
-                    if v is None:
-                        raise FileNotFoundError(f"nothing to read for {k}")
-                    rows.append((k, *unpack(ask(v)), None, None))
-                except Exception as exc:  # one bad input is reported, the rest continue
-                    rows.append((k, *[None] * len(names), error, f"{type(exc).__name__}: {exc}"))
+            queue, rows = deque((k, v, 1) for k, v in zip(pdf[key], pdf[value])), []
+            while queue:
+                k, v, tries = queue.popleft()
+                row = one(k, v, tries)
+                if row is None:
+                    queue.append((k, v, tries + 1))
+                else:
+                    rows.append(row)
             yield pd.DataFrame(rows, columns=[key, *names, "error_class", "error_msg"])
 
-    paced = df.select(key, value).coalesce(callers) if per_minute else df.select(key, value)
+    paced = df.select(key, value).repartition(callers) if per_minute else df.select(key, value)
     return paced.mapInPandas(run, f"{key} {kind}, {reply.replace(';', ', ')}, error_class string, error_msg string")
 
 

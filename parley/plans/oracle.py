@@ -637,3 +637,58 @@ m AS (SELECT *, length(raw) % 3 = 0 AS refused FROM raw)
 SELECT 'raw' AS mode, conv_id, NULL::VARCHAR AS failed_step, NULL::VARCHAR AS error, NULL::VARCHAR AS language, true AS no_qa, NULL::VARCHAR AS content, true AS has_content FROM m
 UNION ALL SELECT 'model', conv_id, CASE WHEN refused THEN 'summarization' END, CASE WHEN refused THEN 'SummarizationError' END, CASE WHEN NOT refused THEN 'xx' END,
        true, CASE WHEN NOT refused THEN left(raw, 40) || '!' END, CASE WHEN NOT refused THEN true END FROM m"""
+
+ORACLES["exported_files"] = f"""WITH {QA_RAW}, {SEGS},
+t AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS raw FROM segs GROUP BY conv_id),
+x AS (SELECT t.conv_id, raw, ['_', '.', 'c'][conv_id % 3 + 1] || t.conv_id AS stem,
+             coalesce(array_to_string(list_transform(runs, lambda r: '[' || r.tag || ']: ' || r.text), chr(10)), '') AS qa_text FROM t LEFT JOIN runs USING (conv_id))
+SELECT 'audio' AS kind, stem, length(raw)::BIGINT AS chars FROM x WHERE conv_id % 2 = 0
+UNION ALL SELECT 'transcript', stem, length(raw) FROM x
+UNION ALL SELECT 'qa', stem || '_q_and_a', length(qa_text) FROM x WHERE conv_id % 4 > 0
+UNION ALL SELECT CASE WHEN conv_id % 5 > 0 THEN 'found' ELSE 'corrupt' END, stem, 0 FROM x"""
+
+ORACLES["session_now"] = """SELECT count(*) AS n, count(*) AS n_ids, CAST(1 AS BIGINT) AS n_times, true AS is_now FROM documents"""
+
+ORACLES["verbatim_distance"] = f"""WITH RECURSIVE {QA_RAW},
+{SEGS},
+raw AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS raw_text FROM segs GROUP BY conv_id),
+firstqa AS (SELECT conv_id, min(turn) AS fq FROM conversations WHERE role <> 'system' GROUP BY conv_id),
+pres AS (SELECT s.conv_id, string_agg(s.text, ' ' ORDER BY s.turn) AS presentation
+         FROM segs s LEFT JOIN firstqa f ON s.conv_id = f.conv_id WHERE f.fq IS NULL OR s.turn < f.fq GROUP BY s.conv_id),
+w AS (SELECT raw.conv_id, {wsplit('raw_text')} AS a,
+             list_concat({wsplit("coalesce(presentation, '')")},
+                         {wsplit("regexp_replace(coalesce(qa_raw.qa_raw, ''), '\\[(?:Question|Answer|Follow-up)\\]:', ' ', 'g')")}) AS b
+      FROM raw LEFT JOIN pres ON raw.conv_id = pres.conv_id LEFT JOIN qa_raw ON raw.conv_id = qa_raw.conv_id),
+dp(conv_id, d, a, b, p2, p1) USING KEY (conv_id) AS (
+  SELECT conv_id, 0, a, b, list_transform(range(0, len(a) + 1), lambda i: NULL::INTEGER), list_transform(range(0, len(a) + 1), lambda i: CASE WHEN i = 0 THEN 0 END) FROM w
+  UNION ALL
+  SELECT conv_id, d + 1, a, b, p1, list_transform(range(0, len(a) + 1), lambda i:
+       CASE WHEN d + 1 - i < 0 OR d + 1 - i > len(b) THEN NULL WHEN i = 0 THEN d + 1 WHEN d + 1 - i = 0 THEN i
+            ELSE least(p1[i] + 1, p1[i + 1] + 1, p2[i] + CASE WHEN a[i] = b[d + 1 - i] THEN 0 ELSE 1 END) END)
+  FROM dp WHERE d < len(a) + len(b))
+SELECT conv_id, a = b AS ok, CAST(p1[len(a) + 1] AS BIGINT) AS distance FROM dp"""
+
+ORACLES["target_index"] = f"""WITH {DOC_FILES},
+t AS (SELECT 'C' || doc_id % 20 || '_' || doc_id AS target FROM labels WHERE doc_id % 7 = 0)
+SELECT doc_id, name FROM doc_files WHERE EXISTS (SELECT 1 FROM t WHERE contains(lower(name), lower(target)))"""
+
+ORACLES["sql_qa_runs"] = ORACLES["qa_runs"]
+
+ORACLES["sql_blocks"] = f"""WITH {QA_RAW}
+SELECT conv_id, CAST(len(blocks) AS BIGINT) AS n_blocks, array_to_string(list_transform(runs, lambda r: '[' || r.tag || ']: ' || r.text), chr(10)) AS qa_text,
+       CAST(len(list_filter(runs, lambda r: r.tag = 'Answer')) AS BIGINT) AS n_answers
+FROM parsed JOIN runs USING (conv_id)"""
+
+ORACLES["sql_wer"] = f"""WITH RECURSIVE said AS (
+  SELECT conv_id, turn, text, left(text, 60) || ' so ' || left(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 40) AS said FROM conversations),
+pairs AS (SELECT conv_id, turn, {norm_words('said')} AS a, {norm_words('text')} AS b FROM said WHERE said IS NOT NULL),
+dp(conv_id, turn, d, a, b, p2, p1) USING KEY (conv_id, turn) AS (
+  SELECT conv_id, turn, 0, a, b, list_transform(range(0, len(a) + 1), lambda i: NULL::INTEGER), list_transform(range(0, len(a) + 1), lambda i: CASE WHEN i = 0 THEN 0 END) FROM pairs
+  UNION ALL
+  SELECT conv_id, turn, d + 1, a, b, p1, list_transform(range(0, len(a) + 1), lambda i:
+       CASE WHEN d + 1 - i < 0 OR d + 1 - i > len(b) THEN NULL WHEN i = 0 THEN d + 1 WHEN d + 1 - i = 0 THEN i
+            ELSE least(p1[i] + 1, p1[i + 1] + 1, p2[i] + CASE WHEN a[i] = b[d + 1 - i] THEN 0 ELSE 1 END) END)
+  FROM dp WHERE d < len(a) + len(b)),
+s AS (SELECT conv_id, turn, CAST(p1[len(a) + 1] AS BIGINT) AS errors,
+             CASE WHEN len(a) = 0 THEN CASE WHEN len(b) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE p1[len(a) + 1]::DOUBLE / len(a) END AS wer FROM dp)
+SELECT conv_id, turn, errors, round(wer, 6) AS wer, round(greatest(0.0::DOUBLE, 1.0::DOUBLE - wer), 6) AS accuracy FROM s"""

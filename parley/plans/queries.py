@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions import qa
+from parley.functions import qa, sql
 from parley.functions.text import explode_items, is_blank, normalise_words, strip
 from parley.operators import evaluate as ev
 from parley.operators import incremental as inc
@@ -157,6 +157,52 @@ def turn_labels(spark, sf_dir):
     return turns.select("conv_id", "turn", "role", "tag", qa.canonical_tag(F.col("tag")).alias("canonical_tag"))
 
 
+# ---------------------------------------------------------------- SQL only
+def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A query in SQL over the tables as views, with the library's SQL functions."""
+    sql.register(spark)
+    return spark.sql(text, conversations=read_table(spark, sf_dir, "conversations"))
+
+
+@query
+def sql_qa_runs(spark, sf_dir):
+    """T6 in SQL: labelled turns into runs of one tag."""
+    return _sql(spark, sf_dir, """
+        WITH labelled AS (
+          SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'Follow-up' WHEN role = 'user' THEN 'Question' ELSE 'Answer' END AS tag,
+                 CASE WHEN (conv_id + turn) % 11 = 0 THEN '' ELSE text END AS content
+          FROM {conversations} WHERE role <> 'system'),
+        blocks AS (SELECT * FROM (SELECT conv_id, turn, parley_tag(tag) AS tag, parley_strip(content) AS text FROM labelled) WHERE length(text) > 0),
+        marked AS (SELECT *, lag(tag) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM tag AS starts FROM blocks),
+        runs AS (SELECT *, max(CASE WHEN starts THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run_pos FROM marked)
+        SELECT conv_id, run_pos, max(tag) AS tag, listagg(text, ' ') WITHIN GROUP (ORDER BY turn) AS text, count(*) AS n_blocks
+        FROM runs GROUP BY conv_id, run_pos""")
+
+
+@query
+def sql_blocks(spark, sf_dir):
+    """T5-T7 and T11 in SQL: labelled text cut into block rows by the table function, cleaned, and its answers."""
+    return _sql(spark, sf_dir, """
+        WITH lines AS (
+          SELECT conv_id, turn, concat('[', CASE WHEN turn % 4 = 3 THEN 'Follow-up' WHEN role = 'user' THEN 'Question' ELSE 'Answer' END, ']: ',
+                 CASE WHEN (conv_id + turn) % 11 = 0 THEN '' ELSE text END) AS line
+          FROM {conversations} WHERE role <> 'system'),
+        qa AS (SELECT conv_id, listagg(line, '\\n') WITHIN GROUP (ORDER BY turn) AS qa_raw FROM lines GROUP BY conv_id),
+        cleaned AS (SELECT conv_id, parley_qa(qa_raw) AS qa_text, size(parley_answers(qa_raw)) AS n_answers FROM qa)
+        SELECT b.conv_id, b.n_blocks, c.qa_text, CAST(c.n_answers AS BIGINT) AS n_answers
+        FROM (SELECT conv_id, count(*) AS n_blocks FROM qa, LATERAL parley_block_rows(qa.qa_raw) GROUP BY conv_id) b JOIN cleaned c ON b.conv_id = c.conv_id""")
+
+
+@query
+def sql_wer(spark, sf_dir):
+    """T1-T4 in SQL: each answer against the text of the turn before it."""
+    return _sql(spark, sf_dir, """
+        SELECT conv_id, turn, CAST(parley_word_errors(said, text) AS BIGINT) AS errors, round(parley_wer(said, text), 6) AS wer,
+               round(parley_accuracy(parley_wer(said, text)), 6) AS accuracy
+        FROM (SELECT conv_id, turn, role, text, concat(left(text, 60), ' so ', left(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 40)) AS said FROM {conversations})
+        WHERE said IS NOT NULL""")
+
+
 # ---------------------------------------------------------------- transcripts
 @query
 def assemble_transcript(spark, sf_dir):
@@ -231,6 +277,14 @@ def target_filter(spark, sf_dir):
     return inc.filter_targets(listed, "name", TARGETS).select("doc_id", "name")
 
 
+@query
+def target_index(spark, sf_dir):
+    """P2 with a list of targets as long as the table of labels is."""
+    listed = fx.doc_files(read_table(spark, sf_dir, "documents")).select("doc_id", "name")
+    wanted = read_table(spark, sf_dir, "labels").where(F.col("doc_id") % 7 == 0).select(F.concat(F.lit("C"), F.col("doc_id") % 20, F.lit("_"), F.col("doc_id")).alias("target"))
+    return inc.filter_targets_by_index(listed, "name", wanted)
+
+
 @query
 def skip_done(spark, sf_dir):
     outs = fx.stage_outputs(read_table(spark, sf_dir, "labels"))
@@ -277,6 +331,16 @@ def session_init(spark, sf_dir):
     return listed.select("doc_id", s["session_id"].alias("session_id"), F.unix_seconds(s["created_at"]).alias("created_s"), s["title"].alias("title"))
 
 
+@query
+def session_now(spark, sf_dir):
+    """P5 with its own clock: every session of a run is created at one time, which is now."""
+    listed = fx.doc_files(read_table(spark, sf_dir, "documents"))
+    s = listed.select(session_ops.init_session(F.col("name"), F.lit("2024-01-01").cast("timestamp"), F.lit("")).alias("s"))
+    age = F.abs(F.unix_seconds(F.current_timestamp()) - F.unix_seconds("s.created_at"))
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s.session_id").alias("n_ids"), F.count_distinct("s.created_at").alias("n_times"),
+                 (F.max(age) < 3600).alias("is_now"))
+
+
 # ---------------------------------------------------------------- structuring
 @query
 def presentation_split(spark, sf_dir):
@@ -312,6 +376,14 @@ def verbatim(spark, sf_dir):
                     v["n_raw"].alias("n_raw"), v["n_out"].alias("n_out"))
 
 
+@query
+def verbatim_distance(spark, sf_dir):
+    """T10 with its distance: where output and input words differ, how many edits lie between them."""
+    j = (transcripts(spark, sf_dir).join(presentation_text(spark, sf_dir), "conv_id", "left").join(labelled_text(spark, sf_dir), "conv_id", "left"))
+    v = structure.with_verbatim_check(j, "raw_text", "presentation", "qa_raw")
+    return v.select("conv_id", F.col("verbatim.ok").alias("ok"), F.col("distance").cast("long").alias("distance"))
+
+
 # ---------------------------------------------------------------- summaries
 ACTION_CUES = ("with", "pour", "und", "los")
 
@@ -589,6 +661,28 @@ def sink_rerun(spark, sf_dir):
         F.length("presentation_text").cast("long").alias("presentation_chars"), "structured_qa_text", "summary_json", "summary_txt")
 
 
+@query
+def exported_files(spark, sf_dir):
+    """K1, K2, K4 as files and S1-S4 over their folder: names that begin with ``_`` or ``.`` are listed, text files are no
+    sessions, sessions no transcripts."""
+    t = transcripts(spark, sf_dir).join(labelled_text(spark, sf_dir), "conv_id", "left")
+    t = qa.with_clean_qa(t.withColumn("qa_raw", F.coalesce("qa_raw", F.lit(""))), "qa_raw", "qa_text")
+    first = F.element_at(F.array(F.lit("_"), F.lit("."), F.lit("c")), (F.col("conv_id") % 3 + 1).cast("int"))
+    t = store.stage_table(t.withColumn("stem", F.concat(first, F.col("conv_id").cast("string"))), "export")
+    folder = work_path(spark, "files")
+    sinks.export_transcripts(t, folder)
+    sinks.export_structure(t.select("stem", F.col("raw_text").alias("presentation_text"), F.when(F.col("conv_id") % 4 > 0, F.col("qa_text")).alias("structured_qa_text")), folder)
+    doc = F.to_json(F.struct(F.col("stem").alias("session_id"), F.struct(F.col("stem").alias("session_id"), F.lit("2024-01-02T03:04:05").alias("created_at")).alias("metadata")))
+    sinks.export_sessions(t.select(F.col("stem").alias("session_id"), F.when(F.col("conv_id") % 5 > 0, doc).otherwise(F.lit("{")).alias("document"),
+                                   F.lit(None).cast("string").alias("presentation_text"), F.lit(None).cast("string").alias("structured_qa_text")), folder)
+    sinks.write_files(t.select(F.concat("stem", F.when(F.col("conv_id") % 2 == 0, F.lit(".wav")).otherwise(F.lit(".WAV"))).alias("name"), F.encode("raw_text", "UTF-8").alias("content")), folder)
+    n = lambda c: F.length(c).cast("long").alias("chars")
+    return (files.scan_audio(spark, folder).select(F.lit("audio").alias("kind"), "stem", F.length(F.decode("content", "UTF-8")).cast("long").alias("chars"))
+            .unionByName(files.scan_transcripts(spark, folder).select(F.lit("transcript").alias("kind"), "stem", n("text")))
+            .unionByName(files.scan_qa(spark, folder).select(F.lit("qa").alias("kind"), "stem", n("text")))
+            .unionByName(arch.load_sessions(spark, folder).select(F.col("status").alias("kind"), inc.stem(F.element_at(F.split("file", "/"), -1)).alias("stem"), F.lit(0).cast("long").alias("chars"))))
+
+
 # ---------------------------------------------------------------- transcription, run status
 def audio_payloads(spark: SparkSession, sf_dir: str, corrupt_every: int | None = None) -> DataFrame:
     """(conv_id, path, content): one timed-text 'recording' per session."""

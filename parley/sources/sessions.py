@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions.json import decode_session, to_document
 from parley.schemas import SESSION_FIELDS
 from parley.sources import store
+from parley.sources.files import scan_text
 
 
 class StorageError(Exception):
@@ -64,10 +65,10 @@ def compact(spark: SparkSession, path: str) -> str:
     return store.compact(spark, path, "session_id", ORDER)
 
 
-def load_sessions(spark: SparkSession, path: str) -> DataFrame:
+def load_sessions(spark: SparkSession, path: str, listing: str = "all") -> DataFrame:
     """Session JSON files, one document each: (file, status, error, session).
     Files that cannot be decoded are rows too, never dropped; the text files beside them are no sessions."""
-    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
+    raw = scan_text(spark, path, "*.json", listing).select(F.col("path").alias("file"), F.col("text").alias("document"))
     return from_json_documents(raw).select("file", "status", "error", F.col("_s").alias("session"))
 
 

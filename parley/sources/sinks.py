@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.json import to_document
+from parley.operators.incremental import PRESENTATION_SUFFIX, QA_SUFFIX
 from parley.operators.summary import render_report
 from parley.sources import store
+from parley.sources.named_files import write_files
 
 
 def write_transcripts(df: DataFrame, path: str, run_id: str | None = None) -> str:
@@ -40,3 +42,32 @@ def write_summaries(df: DataFrame, path: str, run_id: str | None = None) -> str:
 def read_outputs(spark: SparkSession, path: str, key: str = "stem") -> DataFrame:
     """The latest output of each key."""
     return store.latest(store.read_runs(spark, path), key).drop("run_id", "bucket")
+
+
+def _files(df: DataFrame, *pairs) -> DataFrame:
+    """(name, content) of each (name, content) pair of a row; no file where the content is null."""
+    items = F.filter(F.array(*[F.struct(n.alias("name"), c.alias("content")) for n, c in pairs]), lambda x: x["content"].isNotNull())
+    return df.select(F.explode(items).alias("f")).select("f.*")
+
+
+def export_transcripts(df: DataFrame, folder: str) -> None:
+    """K1 as files: ``<stem>.txt`` with the raw text of (stem, raw_text)."""
+    write_files(_files(df, (F.concat("stem", F.lit(".txt")), F.col("raw_text"))), folder)
+
+
+def export_structure(df: DataFrame, folder: str, key: str = "stem") -> None:
+    """K2 as files: ``<stem>_presentation.txt`` and ``<stem>_q_and_a.txt``; an empty text is a file, a missing one is none."""
+    write_files(_files(df, (F.concat(key, F.lit(f"{PRESENTATION_SUFFIX}.txt")), F.col("presentation_text")),
+                       (F.concat(key, F.lit(f"{QA_SUFFIX}.txt")), F.col("structured_qa_text"))), folder)
+
+
+def export_summaries(df: DataFrame, folder: str) -> None:
+    """K3 as files: ``<base>_summary.json`` and ``<base>_summary.txt`` of (base, summary_json, summary_txt)."""
+    write_files(_files(df, (F.concat("base", F.lit("_summary.json")), F.col("summary_json")),
+                       (F.concat("base", F.lit("_summary.txt")), F.col("summary_txt"))), folder)
+
+
+def export_sessions(rows: DataFrame, folder: str) -> None:
+    """K4 as files, from rows of the archive: ``<session_id>.json`` and the two text files."""
+    write_files(_files(rows, (F.concat("session_id", F.lit(".json")), F.col("document"))), folder)
+    export_structure(rows, folder, "session_id")

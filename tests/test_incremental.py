@@ -18,3 +18,19 @@ def test_skip_done_requires_all_outputs(spark):
     assert again.count() == 0
     forced = inc.select_work(inputs, outs, "k", "name", "kind", ("presentation", "q_and_a"), targets=["A."])
     assert [r.k for r in forced.collect()] == [1]  # targets bypass the done check
+
+
+def test_long_target_lists_by_index_equal_a_scan(spark):
+    import random
+
+    rnd = random.Random(3)
+    names = ["".join(rnd.choice("abcAB_.") for _ in range(rnd.randint(0, 14))) for _ in range(300)] + [None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i long, name string")
+    for targets in (["abc", "B_", "x", "aab.a", "_b_b"], ["a"], ["zzz"], [], ["", "q"], [None, "cab"]):
+        table = spark.createDataFrame([(t,) for t in targets], "target string")
+        got = inc.filter_targets_by_index(df, "name", table)
+        low = [t.lower() for t in targets if t is not None]
+        want = {i for i, n in enumerate(names) if not low or n is not None and any(t in n.lower() for t in low)}
+        assert {r.i for r in got.collect()} == want, targets
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert got.columns == ["i", "name"] and "Cartesian" not in plan and " Cross" not in plan

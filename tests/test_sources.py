@@ -210,3 +210,33 @@ def test_a_storage_folder_with_text_files_loads(spark, tmp_path):
     (tmp_path / "a_presentation.txt").write_text("p")
     (tmp_path / "a_q_and_a.txt").write_text("q")
     assert [(r.status, r.session.presentation_text) for r in arch.load_sessions(spark, str(tmp_path)).collect()] == [("found", "p")]
+
+
+def test_calls_never_exceed_their_rate_and_refused_ones_come_back(spark, tmp_path):
+    import time
+
+    seen = str(tmp_path / "seen")
+
+    def asked():
+        import os
+
+        os.makedirs(seen, exist_ok=True)
+
+        def ask(text):
+            at = time.time()
+            with open(f"{seen}/{text}", "a") as f:
+                f.write(f"{at}\n")
+            if text == "no" or (text in ("3", "8") and len(open(f"{seen}/{text}").readlines()) < 3):
+                raise providers.Refused("quota")
+            return json.dumps({"content": text})
+        return ask
+
+    texts = spark.createDataFrame([(i, str(i)) for i in range(18)] + [(99, "no")], "k long, t string").repartition(7)
+    rate = 600.0  # ten a second
+    got = {r.k: r for r in providers.summarize(texts, providers.Provider("summarize", "quota", lambda: asked()), "k", "t", per_minute=rate, callers=2).collect()}
+    assert {k: got[k].summary.content for k in range(18)} == {k: str(k) for k in range(18)}
+    assert got[99].error_class == "SummarizationError" and "Refused" in got[99].error_msg
+    calls = sorted(float(x) for f in (tmp_path / "seen").iterdir() for x in f.read_text().split())
+    assert len(calls) == 18 + 4 + providers.ATTEMPTS - 0
+    for i, t in enumerate(calls):  # in any second: no more than ten, and one a caller at the edge
+        assert sum(t <= u < t + 1.0 for u in calls[i:]) <= rate / 60 + 2

@@ -29,6 +29,33 @@ def test_word_distance_matches_dp(spark):
     assert got == [distance(a, b) for a, b in pairs]
 
 
+def test_long_pairs_cost_what_their_distance_costs(spark):
+    import time
+
+    rnd = random.Random(11)
+    a = [f"w{rnd.randrange(3000)}" for _ in range(20_000)]
+    b, edits = list(a), 50
+    for k in range(edits):  # far apart, so each edit counts
+        at = 100 + k * 390
+        if k % 3 == 0:
+            b[at] = f"new{k}"
+        elif k % 3 == 1:
+            b.insert(at, f"new{k}")
+        else:
+            del b[at]
+    df = spark.createDataFrame([(a, b), (a, list(a)), (a[:300], [])], "r array<string>, h array<string>")
+    with_word_edit_distance(df.limit(1), "r", "h").collect()
+    t = time.time()
+    assert [r.errors for r in with_word_edit_distance(df, "r", "h").select("errors").collect()] == [edits, 0, 300]
+    assert time.time() - t < 10  # the whole matrix has 400 million cells
+
+
+def test_words_of_one_text_only_need_no_code(spark):
+    a, b = [f"a{i}" for i in range(70_000)] + ["x", "y"], [f"b{i}" for i in range(69_990)] + ["x", "z", "y"]
+    df = spark.createDataFrame([(["x", "q", "y"], ["x", "y", "r"]), (["p"], ["s"]), (a[-300:], b[-300:])], "r array<string>, h array<string>")
+    assert [r.errors for r in with_word_edit_distance(df, "r", "h").collect()] == [2, 1, distance(a[-300:], b[-300:])]
+
+
 def test_wer_edge_cases(spark):
     df = spark.createDataFrame([(0, 0, 0), (1, 0, 3), (5, 2, 4)], "e int, r int, h int")
     got = [r.w for r in df.select(wer_from_counts("e", "r", "h").alias("w")).collect()]
@@ -51,3 +78,21 @@ def test_golden_macro_average(spark):
     scored = df.withColumn("wer", wer_from_counts("errors", "ref_words", F.lit(1)))
     got = {r.model: round(100 * r.avg_accuracy, 2) for r in macro_wer(scored).collect()}
     assert got == PUBLISHED_AVG_ACC
+
+
+def test_sql_functions_equal_the_dataframe_ones(spark):
+    from parley.functions import qa, sql
+
+    sql.register(spark)
+    rnd = random.Random(5)
+    texts = CASES + ["[Question]: a [Follow-up]: b \n[Answer]: c [Answer]: [Answer]: d", "no tags", "[Answer]:", "x [Question]: q\n[Question]: r [question]: s"]
+    df = spark.createDataFrame([(t, " ".join(rnd.choice("abc") for _ in range(5))) for t in texts], "t string, u string")
+    df.createOrReplaceTempView("sql_texts")
+    both = qa.with_clean_qa(df.withColumn("w", normalise_words("t")), "t", "clean", blocks_out="runs")
+    want = sorted((r.t, r.w, r.clean, [b.text for b in r.ans]) for r in both.withColumn("ans", qa.answers_only("runs")).collect())
+    got = spark.sql("SELECT t, parley_words(t) AS w, parley_qa(t) AS clean, parley_answers(t) AS ans FROM sql_texts").collect()
+    assert sorted((r.t, r.w, r.clean, r.ans) for r in got) == want
+    errors = spark.sql("SELECT t, u, parley_word_errors(t, u) AS e, parley_wer(t, u) AS wer FROM sql_texts").collect()
+    assert all(r.e == distance(normalise(r.t), normalise(r.u)) and abs(r.wer - (r.e / len(normalise(r.t)) if normalise(r.t) else 1.0)) < 1e-12 for r in errors)
+    rows = spark.sql("SELECT t, b.pos, b.tag, b.text FROM sql_texts, LATERAL parley_block_rows(t) b").collect()
+    assert sorted((r.t, r.pos, r.tag, r.text) for r in rows) == sorted((r.t, b.pos, b.tag, b.text) for r in df.select("t", qa.parse_blocks("t").alias("b")).collect() for b in r.b)
