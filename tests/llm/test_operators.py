@@ -3,6 +3,7 @@ and long texts, repeated rows and clashing columns."""
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -102,6 +103,66 @@ def test_licence_lines_are_found_and_other_lines_left_alone(spark):
     assert licenses.scan(make_docs(spark, rows).where("false")).count() == 0
 
 
+def wrapped(text, width, mark, before="", after=""):
+    import textwrap
+
+    return before + "\n".join(mark + line for line in textwrap.wrap(text, width)) + after
+
+
+@pytest.mark.parametrize("width, mark", [(60, "# "), (70, " * "), (80, "// "), (72, "dnl "), (66, "")])
+def test_wrapped_templates_are_confirmed(spark, width, mark):
+    long_ = [(family, t) for family, texts in licenses.TEMPLATES.items() for t in texts if len(t) > 110]
+    rows = [(i, wrapped(t, width, mark, prose(30, i) + "\n", "\n" + prose(30, 70 + i)), "en", "a") for i, (_, t) in enumerate(long_)]
+    got = {r.doc_id: r for r in licenses.scan(make_docs(spark, rows + [(500 + i, prose(40, 900 + i), "en", "a") for i in range(40)])).collect()}
+    assert [(family, t) for i, (family, t) in enumerate(long_) if got[i].license != family] == []
+    # some wordings are confirmed by one of their lines, which is a shorter wording of the family; the others by the paragraph
+    assert sum(any(x.confirmed and x.last_line > x.para_no for x in got[i].licenses) for i in range(len(long_))) >= len(long_) // 2
+    assert all(got[500 + i].licenses == [] for i in range(40))
+
+
+def test_known_grams_and_paragraphs_equal_a_scan(spark):
+    vocabulary = ["a", "b", "c", "d"]
+    key = {g: h for g, h in spark.createDataFrame([(list(g),) for n in (2, 3) for g in itertools.product(vocabulary, repeat=n)], "g array<string>").select(
+        "g", F.when(F.size("g") == 2, F.xxhash64(F.get("g", F.lit(0)), F.get("g", F.lit(1)))).otherwise(F.xxhash64(*[F.get("g", F.lit(k)) for k in range(3)]))).rdd.map(lambda r: (tuple(r[0]), r[1])).collect()}
+    chosen = [("a", "b"), ("b", "c", "a"), ("d", "d")]
+    r = np.random.default_rng(8)
+    texts = ["\n".join(" ".join(r.choice(vocabulary, r.integers(0, 4))) for _ in range(r.integers(1, 9))) for _ in range(40)] + [None, "", "# A-b\n * C, a\n\n d D"]
+    docs = spark.createDataFrame([(i if i % 5 else None, t) for i, t in enumerate(texts)] + [(1, texts[1])], "doc_id long, text string")
+    by = {h: g for g, h in key.items()}
+    found = licenses.with_paragraphs(licenses.known_grams(docs, [key[g] for g in chosen])).collect()
+    got = collections.defaultdict(set)
+    for x in found:
+        got[x.doc_id, x.first_line, x.last_line].add((x.text_hash, by[x.gram]))
+    want = collections.defaultdict(set)
+    hashes = {t: h for t, h in spark.createDataFrame([(t,) for t in set(texts)], "t string").select("t", F.xxhash64("t")).collect()}
+    for i, t in enumerate(texts):
+        words = [(w, k) for k, line in enumerate((t or "").split("\n")) for w in (licenses.tokens(line) or [""])]
+        at = collections.defaultdict(set)
+        for k in range(len(words)):
+            for n in (2, 3):
+                g = tuple(w for w, _ in words[k:k + n])
+                if g in chosen:
+                    at[words[k][1]].add(g)
+        for line in sorted(at):
+            first, last = line, line
+            while first - 1 in at:
+                first -= 1
+            while last + 1 in at:
+                last += 1
+            for a, b, grams in ((line, line, at[line]), (first, last, set().union(*[at[x] for x in range(first, last + 1)]))):
+                want[i if i % 5 else None, a, b] |= {(hashes[t], g) for g in grams}
+    assert got == want
+
+
+def test_licences_of_odd_rows(spark, docs):
+    notice = "Licensed under the ISC License."
+    odd = [(None, notice), (None, notice), (None, "x"), (1, notice + "\n" + prose(30_000, 3) + "\n\n" + notice), (2, " ".join([notice] * 3))]
+    rows = spark.createDataFrame(odd, "doc_id long, text string").withColumns({c: F.lit(-1) for c in (*CLASHES, "paragraph", "gram", "line", "family")})
+    out = licenses.scan(rows.unionByName(docs.select("doc_id", "text"), allowMissingColumns=True)).collect()
+    assert len(out) == len(odd) + len(ROWS) and sorted(r.license or "" for r in out if r.doc_id is None) == ["", "", "ISC", "ISC"]
+    assert [len(r.licenses) for r in out if r.doc_id == 1 and r.license] == [2]
+
+
 # ---------------------------------------------------------------- 3 mixing
 def test_pivot_keeps_the_mass_of_all_but_one():
     size, share, draw = RNG.integers(1, 900, 500), RNG.random(500), RNG.random(500)
