@@ -13,16 +13,19 @@ or more k-mers gives its pair at once, and only for the other bins, which are fe
 long texts, all k-mers of the text are hashed again.
 
 The document that follows in descending id order is found without a global sort:
-ids are cut into ranges of about ``RANGE_ROWS`` rows, a range looks ahead within
+documents are cut into ranges of about ``RANGE_ROWS`` rows, a range looks ahead within
 itself, and the first document of a range also goes, as a guest, to the range
-that needs it. One shuffle moves the texts.
+that needs it. Ranges follow the counts: ``KNOTS`` quantiles of the ids cut them into intervals of equal counts, each
+interval into equal widths, so outlying ids widen one interval only. An id that fills an interval by itself (null too) is
+cut by the hash of its texts, and a text that fills one by row numbers. The texts move in one shuffle, or twice where
+the guests (one document a range) are too many to broadcast.
 
 Defined results: a null text is an empty one; an empty text has an empty
 fingerprint, and the likeness of two empty fingerprints is 1; a text of fewer
 than k words has one k-mer, all its words; null ids follow all others; equal ids
 follow each other by a hash of their text; a table of one row is its own next
-document; an empty table gives an empty result; only id and text are read.
-Positions beyond 2^24 words count as the last of them.
+document; an empty table gives an empty result; only id and text are read. Positions of all words count: a text has
+2^31 bytes at most.
 """
 
 from __future__ import annotations
@@ -35,10 +38,9 @@ from parley.llm.common import BLANKS, materialise
 K = 2
 BINS = 64
 RANGE_ROWS = 64
-#: Ranges to a group, within which a range finds the next one.
-GROUP_RANGES = 8192
+KNOTS = 1024
 
-_POS = 24  # low bits of a packed value hold the position
+_POS = 30  # low bits of a packed value hold the position
 _MASK = (1 << _POS) - 1
 _LOWEST = -(1 << 63)
 _HIGHEST = (1 << 63) - 1
@@ -109,35 +111,85 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_components(d, "text", "parts").select("doc_id", as_text(F.col("parts")).alias("fingerprint"))
 
 
-def _guests(ids: DataFrame) -> DataFrame:
-    """(top, host) of ids (doc_id, range): the largest id of each range, and the range that needs it.
+def _place(x: Column, knots: list[int]) -> Column:
+    """How many of the sorted ``knots`` are at or below ``x``, by halving steps."""
+    table = F.array(*[F.lit(k).cast("long") for k in knots])
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        below = F.get(table, mid) <= x
+        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(F.struct(F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(knots)).alias("hi"))
+    return F.aggregate(F.array(*[F.lit(0)] * (len(knots).bit_length() + 1)), start, halve)["lo"]
+
+
+def _share(h: Column, parts: int) -> Column:
+    """Which of ``parts`` equal stretches of all 64-bit numbers ``h`` lies in; grows with ``h``."""
+    return F.floor((h.cast("double") / 2.0 ** 64 + 0.5) * parts).cast("long")
+
+
+def ranges(docs: DataFrame) -> Column:
+    """The range of a row (doc_id, tie, number) as a struct that grows along the descending order of the documents."""
+    count, n_null = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    share = max(count // KNOTS, RANGE_ROWS)  # rows of an interval
+    points = docs.agg(F.percentile_approx("doc_id", [k / KNOTS for k in range(KNOTS + 1)], 20 * KNOTS)).first()[0] or []
+    knots = sorted(set(points))
+    # ids that fill intervals by themselves, and the texts that do
+    heavy = {k: points.count(k) * share for k in knots if points.count(k) > 2} | ({None: n_null} if n_null > share else {})
+    is_heavy = F.col("doc_id").isin([k for k in heavy if k is not None]) | (F.col("doc_id").isNull() & F.lit(None in heavy))
+    often = docs.where(is_heavy).groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where(F.col("n") > share).collect() if heavy else []
+    parts = lambda n: max(1, n // RANGE_ROWS)
+    by_tie, by_number = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for k, n in heavy.items():
+        by_tie = F.when(F.col("doc_id").eqNullSafe(F.lit(k)), _share(F.col("tie"), parts(n))).otherwise(by_tie)
+    for r in often:
+        by_number = F.when(F.col("doc_id").eqNullSafe(F.lit(r.doc_id)) & (F.col("tie") == r.tie), _share(F.xxhash64("number"), parts(r.n))).otherwise(by_number)
+    none = F.struct(F.lit(_HIGHEST).alias("interval"), F.lit(0).cast("long").alias("step"), by_tie.alias("tie"), by_number.alias("number"))
+    if not knots:
+        return none
+    place = _place(F.col("doc_id"), knots)
+    widths = [max(1, (b - a) // max(1, share // RANGE_ROWS)) for a, b in zip(knots, knots[1:])] + [1 << 62]
+    first, width = (F.array(*[F.lit(v).cast("long") for v in values]) for values in (knots, widths))
+    at = F.greatest(place - 1, F.lit(0))
+    # the difference of two ids may pass 2^63: halves are taken first
+    step = F.when(place == 0, F.lit(0).cast("long")).otherwise(F.call_function("div", F.shiftright("doc_id", 1) - F.shiftright(F.get(first, at), 1), F.greatest(F.shiftright(F.get(width, at), 1), F.lit(1).cast("long"))))
+    some = F.struct((-place).cast("long").alias("interval"), (-step).alias("step"), by_tie.alias("tie"), by_number.alias("number"))
+    return F.when(F.col("doc_id").isNull(), none).otherwise(some)
 
-    That is the next higher range with documents, and for the highest one the lowest.
-    """
-    ranges = ids.groupBy("range").agg(F.max("doc_id").alias("top")).withColumn("grp", F.call_function("div", F.col("range"), F.lit(GROUP_RANGES)))
-    groups = ranges.groupBy("grp").agg(F.min("range").alias("low"))
-    w = Window.orderBy("grp")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    groups = groups.select(F.col("grp").alias("g"), F.lead("low").over(w).alias("after"), F.min("low").over(whole).alias("lowest"))
-    inside = F.lead("range").over(Window.partitionBy("grp").orderBy("range"))
-    out = ranges.withColumn("inside", inside).join(groups, F.col("grp") == F.col("g"))
-    return out.select("top", F.coalesce("inside", "after", "lowest").alias("host"))
+
+def _guests(ids: DataFrame) -> DataFrame:
+    """(range, first, host) of rows (doc_id, tie, number, range): the first row of each range in the order of the documents, and
+    the range that needs it: the one before, and for the first range the last."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.bitwise_not("doc_id").alias("down"), "tie", "number")
+    tops = ids.groupBy("range").agg(F.min(order).alias("o")).withColumn("interval", F.col("range.interval"))
+    inside = F.lag("range").over(Window.partitionBy("interval").orderBy("range"))
+    # one row an interval: their number is bounded
+    ends = tops.groupBy("interval").agg(F.max("range").alias("last"))
+    w = Window.orderBy("interval")
+    ends = ends.select(F.col("interval").alias("i"), F.lag("last").over(w).alias("before"), F.last("last").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("lowest"))
+    out = tops.withColumn("inside", inside).join(ends, F.col("interval") == F.col("i"))
+    return out.select(F.col("range").alias("of"), F.col("o.down").alias("down"), F.col("o.tie").alias("first_tie"), F.col("o.number").alias("first_number"),
+                      F.coalesce("inside", "before", "lowest").alias("host"))
 
 
 def with_next(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``docs`` (doc_id, text, ...) with next_<c> for each c of ``keep``: the next document in descending id order."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = min(2 ** 62, max(1, ((high or 0) - (low or 0) + 1) * RANGE_ROWS // max(n, 1)))
-    in_range = F.coalesce(F.call_function("div", F.col("doc_id"), F.lit(width)), F.lit(_LOWEST))
-    guests = materialise(_guests(docs.select("doc_id", in_range.alias("range"))), "guests")
-    d = docs.withColumn("range", in_range)
-    d = d.join(guests, d["doc_id"].eqNullSafe(guests["top"]), "left").drop("top")
+    d = docs.withColumn("tie", F.xxhash64("text")).withColumn("number", F.monotonically_increasing_id())
+    ids = materialise(d.select("doc_id", "tie", "number"), "ids")
+    in_range = ranges(ids)
+    guests = materialise(_guests(ids.withColumn("range", in_range)), "guests")
+    d = d.withColumn("range", in_range)
+    # rows that agree in id and text are alike: any of a range may be its guest, and several do no harm
+    same = (d["range"] == guests["of"]) & F.bitwise_not(d["doc_id"]).eqNullSafe(guests["down"]) & (d["tie"] == guests["first_tie"])
+    d = d.join(guests, same, "left").drop("of", "down", "first_tie", "first_number")
     home = F.struct(F.col("range"), F.lit(False).alias("guest"))
     visit = F.struct(F.col("host").alias("range"), F.lit(True).alias("guest"))
-    d = d.withColumn("at", F.explode(F.when(F.col("host").isNotNull(), F.array(home, visit)).otherwise(F.array(home))))
-    w = Window.partitionBy("at.range").orderBy("at.guest", F.col("doc_id").desc_nulls_last(), "tie")
-    d = d.withColumn("tie", F.xxhash64("text")).withColumns({f"next_{c}": F.lead(c).over(w) for c in keep})
-    return d.where(~F.col("at.guest")).drop("at", "range", "host", "tie")
+    alone = F.col("host").isNull()
+    d = d.withColumn("at", F.explode(F.when(alone, F.array(home)).otherwise(F.array(home, visit))))
+    w = Window.partitionBy("at.range").orderBy("at.guest", F.col("doc_id").desc_nulls_last(), "tie", "number")
+    d = d.withColumns({f"next_{c}": F.lead(c).over(w) for c in keep})
+    return d.where(~F.col("at.guest")).drop("at", "range", "host", "tie", "number")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:

@@ -11,9 +11,10 @@ Texts are lower-cased, and whatever is not a letter (or a numeral sign like ½)
 one blank. They are read whole, in stretches of ``STRETCH`` bytes (a phrase ends with its stretch,
 alike for all languages).
 
-Only the fit takes a bounded sample: ``MAX_DOCS`` documents per language with at
-most ``DOC_BYTES`` bytes each, and ``TRAIN_BYTES`` in sum. The languages met there
-(at most ``MAX_LANGUAGES``) can be predicted.
+Only the fit takes a bounded sample: about ``MAX_DOCS`` documents per language with at
+most ``DOC_BYTES`` bytes each, and ``TRAIN_BYTES`` in sum. Every language met there can be predicted. Samples are a stored
+table; languages are dealt into groups whose automata fit ``GROUP_BYTES``, and texts pass one group after the other,
+carrying the best language so far, so memory does not grow with the number of languages.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and
 so is every text when nothing could be learned; ties go to the first language in
@@ -33,9 +34,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import fold, literal_table
+from parley.llm.common import fold, materialise
 
-MAX_DOCS, DOC_BYTES, TRAIN_BYTES, MAX_LANGUAGES = 300, 1500, 40_000, 200
+MAX_DOCS, DOC_BYTES, TRAIN_BYTES = 300, 1500, 40_000
+#: Bytes of the automata that a worker holds at a time.
+GROUP_BYTES = 256_000_000
 STRETCH = 512
 #: Lanes that step together, and bytes of text handled at a time.
 LANES, PIECE_BYTES = 16_384, 4_000_000
@@ -106,18 +109,20 @@ class Parser:
 
 @dataclass
 class Model:
-    """Samples by language, small enough to ship; automata are grown once per worker."""
+    """Samples of a group of languages, small enough to ship; automata are grown once per worker."""
 
     samples: dict[str, bytes]
 
-    def parsers(self) -> tuple[np.ndarray, list[Parser]]:
-        seen = sorted(set(b"".join(self.samples.values())))
-        classes = np.full(256, len(seen), np.int32)  # bytes not seen in any sample: a class without steps
-        classes[seen] = np.arange(len(seen))
-        width = len(seen) + 2
-        out = []
+    def parsers(self) -> tuple[list[np.ndarray], list[Parser]]:
+        """Classes of the bytes (and of the padding, last) and parser of each language."""
+        tables, out = [], []
         for language in sorted(self.samples):
             data = self.samples[language]
+            seen = sorted(set(data))
+            width = len(seen) + 2
+            classes = np.full(257, len(seen), np.int32)  # bytes not seen in the sample: a class without steps
+            classes[seen] = np.arange(len(seen))
+            classes[256] = width - 1
             go = suffix_automaton(classes[np.frombuffer(data, np.uint8)], width)
             # a byte that the sample lacks is a phrase of its own: a last state that nothing leaves
             restart = np.where(go[0] >= 0, go[0], len(go))  # after a phrase, the byte begins the next one
@@ -125,11 +130,30 @@ class Model:
             steps = np.where(go >= 0, go, ~restart[None, :])
             steps[0] = restart
             steps[:, -1] = np.arange(len(go))  # padding
+            tables.append(classes.astype(np.uint8 if width < 256 else np.int32))
             out.append(Parser(language, steps.astype(np.int32).ravel(), width, float(np.log2(len(data) + 1))))
-        return classes, out
+        return tables, out
 
 
-def parse_batch(texts: list[bytes], classes: np.ndarray, parsers: list[Parser]) -> np.ndarray:
+@dataclass
+class Languages:
+    """Samples of all languages: a table (lang, data), and (lang, bytes of its automaton) in order."""
+
+    table: DataFrame
+    sizes: list[tuple[str, int]]
+
+    def groups(self, most: int = GROUP_BYTES) -> Iterator[Model]:
+        held: list[str] = []
+        total = 0
+        for lang, size in [*self.sizes, (None, most + 1)]:
+            if held and total + size > most:
+                yield Model({r.lang: bytes(r.data) for r in self.table.where(F.col("lang").isin(held)).collect()})
+                held, total = [], 0
+            held.append(lang)
+            total += size
+
+
+def parse_batch(texts: list[bytes], classes: list[np.ndarray], parsers: list[Parser]) -> np.ndarray:
     """texts x languages: bits that each text costs."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -138,25 +162,23 @@ def parse_batch(texts: list[bytes], classes: np.ndarray, parsers: list[Parser])
     first = np.repeat(np.cumsum(sizes) - sizes, lanes_of) + STRETCH * (np.arange(len(owner)) - np.repeat(np.cumsum(lanes_of) - lanes_of, lanes_of))
     ends = np.repeat(np.cumsum(sizes), lanes_of)
     at = first[:, None] + np.arange(STRETCH)[None, :]
-    pad = parsers[0].width - 1
-    codes = np.append(classes[raw], pad).astype(np.uint8 if pad < 256 else np.int32)
-    lanes = codes[np.where(at < ends[:, None], at, len(raw))]
-    return np.stack([np.bincount(owner, p.phrases(lanes), len(texts)) * p.bits for p in parsers], axis=1)
+    lanes = np.append(raw.astype(np.uint16), 256)[np.where(at < ends[:, None], at, len(raw))]
+    return np.stack([np.bincount(owner, p.phrases(c[lanes]), len(texts)) * p.bits for c, p in zip(classes, parsers)], axis=1)
 
 
 _GROWN: dict[tuple, tuple] = {}
 
 
-def predict_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text. The score is the winner's share of 2^-bits."""
+def best_of(texts: list[str | None], model: Model) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+    """Language of the fewest bits of each text, those bits, and the sum of 2^(those bits - bits) over the languages;
+    None for texts without a letter."""
     key = tuple(sorted((k, hash(v)) for k, v in model.samples.items()))
     if key not in _GROWN:
         _GROWN.clear()
         _GROWN[key] = model.parsers()
     classes, parsers = _GROWN[key]
-    names, scores = ["und"] * len(texts), np.zeros(len(texts))
-    if not parsers:
-        return names, scores
+    names: list[str | None] = [None] * len(texts)
+    least, total = np.full(len(texts), np.inf), np.zeros(len(texts))
     group: list[int] = []
     held: list[bytes] = []
     size = 0
@@ -164,11 +186,12 @@ def predict_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.
     def settle() -> None:
         bits = parse_batch(held, classes, parsers)
         best = bits.argmin(axis=1)
-        p = 1 / np.exp2(np.clip(bits[np.arange(len(held)), best][:, None] - bits, -1000, 0)).sum(axis=1)
-        for i, b, s in zip(group, best, p):
-            names[i], scores[i] = parsers[b].language, s
+        low = bits[np.arange(len(held)), best]
+        least[group], total[group] = low, np.exp2(np.clip(low[:, None] - bits, -1000, 0)).sum(axis=1)
+        for i, b in zip(group, best):
+            names[i] = parsers[b].language
 
-    for i, t in enumerate(texts):
+    for i, t in enumerate(texts if parsers else []):
         b = normalise(t)
         if not b:
             continue
@@ -179,19 +202,15 @@ def predict_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.
             group, held, size = [], [], 0
     if held:
         settle()
-    return names, scores
+    return names, least, total
 
 
-def fit(docs: DataFrame, learn: Column) -> Model:
+def fit(docs: DataFrame, learn: Column) -> Languages:
     """Samples of each language from labelled documents; ``learn`` says which ids may be learned from."""
     labelled = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return Model({})
-    shares = literal_table(docs.sparkSession, [{"l": r["lang"], "share": min(1_000_000, 1_000_000 * MAX_DOCS // r["count"] + 1)} for r in counts],
-                           labelled.select(F.col("lang").alias("l"), F.lit(1).alias("share")).schema)
+    counts = labelled.groupBy(F.col("lang").alias("l")).agg((F.lit(1_000_000 * MAX_DOCS) / F.count("*") + 1).cast("long").alias("share"))
     order = F.xxhash64(F.lit(10), "doc_id")
-    drawn = labelled.join(F.broadcast(shares), F.col("lang") == F.col("l")).where(F.pmod(order, F.lit(1_000_000)) < F.col("share"))
+    drawn = labelled.join(counts, F.col("lang") == F.col("l")).where(F.pmod(order, F.lit(1_000_000)) < F.col("share"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -203,22 +222,42 @@ def fit(docs: DataFrame, learn: Column) -> Model:
                     rows.append((key, lang, data[start:start + DOC_BYTES]))
             yield pd.DataFrame(rows, columns=["key", "lang", "data"])
 
-    rows = drawn.select(order.alias("key"), "lang", "text").mapInPandas(cut, "key long, lang string, data binary").collect()
-    samples: dict[str, bytes] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.key, bytes(r.data))):
-        have = samples.get(r.lang, b"")
-        if len(have) < TRAIN_BYTES and bytes(r.data) not in have:
-            samples[r.lang] = (have + b" " + bytes(r.data))[:TRAIN_BYTES] if have else bytes(r.data)
-    return Model(samples)
-
-
-def identify(docs: DataFrame, model: Model, parts: int = 5, held: int = 0) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every document."""
-    @F.pandas_udf("lang string, score double")
-    def predicted(batch: pd.Series) -> pd.DataFrame:
-        names, scores = predict_texts(batch.tolist(), model)
-        return pd.DataFrame({"lang": names, "score": scores})
-
-    d = docs.select("doc_id", predicted("text").alias("p"))
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        have = b""
+        for _, data in sorted(zip(pdf["key"], map(bytes, pdf["data"]))):
+            if len(have) < TRAIN_BYTES and data not in have:
+                have = (have + b" " + data)[:TRAIN_BYTES] if have else data
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "data": [have], "size": [8 * len(have) * (len(set(have)) + 2)]})
+
+    # about MAX_DOCS pieces a language, equal ones once: a document that is repeated often is one piece
+    pieces = drawn.select(order.alias("key"), "lang", "text").mapInPandas(cut, "key long, lang string, data binary").distinct()
+    table = materialise(pieces.groupBy("lang").applyInPandas(together, "lang string, data binary, size long"), "languages")
+    return Languages(table, [(r.lang, r["size"]) for r in table.select("lang", "size").orderBy("lang").collect()])
+
+
+def _better(model: Model):
+    def better(batch: pd.Series, best: pd.DataFrame) -> pd.DataFrame:
+        names, bits, total = best_of(batch.tolist(), model)
+        had = best["bits"].fillna(np.inf).to_numpy(float)
+        low = np.minimum(had, bits)
+        at = np.where(np.isfinite(low), low, 0.0)
+        old = best["total"].fillna(0.0).to_numpy(float) * np.exp2(np.clip(at - np.where(np.isfinite(had), had, at), -1000, 0))
+        new = total * np.exp2(np.clip(at - np.where(np.isfinite(bits), bits, at), -1000, 0))
+        # equal bits stay with the earlier language
+        return pd.DataFrame({"lang": [n if b < h else o for n, b, h, o in zip(names, bits, had, best["lang"])],
+                             "bits": np.where(np.isfinite(low), low, np.nan), "total": old + new})
+
+    return better
+
+
+def identify(docs: DataFrame, languages: Languages | Model, parts: int = 5, held: int = 0, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every document. The score is the winner's share of 2^-bits."""
+    groups = [languages] if isinstance(languages, Model) else list(languages.groups(group_bytes))
+    state = "lang string, bits double, total double"
+    d = docs.select("doc_id", "text", F.lit(None).cast(f"struct<{state.replace(' ', ':')}>".replace(",:", ",")).alias("best"))
+    for k, model in enumerate(groups):
+        d = d.withColumn("best", F.pandas_udf(_better(model), state)("text", "best"))
+        if k + 1 < len(groups):
+            d = materialise(d, "identified")
     return d.select("doc_id", F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)).alias("held_out"),
-                    F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+                    F.coalesce("best.lang", F.lit("und")).alias("lang_pred"), F.coalesce(F.when(F.col("best.lang").isNotNull(), 1 / F.col("best.total")), F.lit(0.0)).alias("score"))

@@ -11,10 +11,13 @@ misses its target by at most half of one document. Longer documents are paired
 first, which leaves a short one for the end. All draws come from hashes of ids,
 so reruns agree, and a hot source is spread over all leaves.
 
+Rows that agree in id, text and source have equal shares: of r such rows, the whole part of r * share are taken once
+more for certain, and one row with the fraction that is left goes to the tree. So a row that makes up much of a table
+leaves its source no further off its target than any other.
+
 Defined results: a null text has size 0, as an empty one; documents of size 0
 take 0 words and are never unrounded; a null source is a source of its own and
-the last in order; rows that agree in id, text and source are one document,
-counted as often as it is repeated, and share a decision; an empty table gives an
+the last in order; null ids are ids like others; long texts are counted whole; an empty table gives an
 empty result; only the named columns are read.
 """
 
@@ -167,38 +170,53 @@ def round_shares(items: DataFrame, n_items: int) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, source, size, source_size, target, copies, repeats): one row per document.
+    """(doc_id, text_hash, source, size, source_size, target, copies, extra, repeats): one row per document.
 
     ``text_hash`` is xxhash64 of the text; rows that agree in the first three are
-    one document with ``repeats`` rows, each of which is taken ``copies`` times.
+    one document with ``repeats`` rows. Each is taken ``copies`` times, and ``extra`` of them once more.
     """
     sized = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", text_size(F.col("text")).alias("size"))
     sized = materialise(sized.groupBy(*KEY, "size").agg(F.count("*").alias("repeats")), "sizes")
-    weighed = sized.withColumn("mass", F.col("size") * F.col("repeats"))
-    targets = materialise(source_targets(weighed.select("source", F.col("mass").alias("size"))), "targets")
+    targets = materialise(source_targets(sized.select("source", (F.col("size") * F.col("repeats")).alias("size"))), "targets")
     t = targets.withColumnRenamed("source", "target_source")
-    items = weighed.join(t, weighed["source"].eqNullSafe(t["target_source"])).drop("target_source")
+    items = sized.join(t, sized["source"].eqNullSafe(t["target_source"])).drop("target_source")
     ratio = F.least(F.lit(MOST_COPIES), F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
-    copies = F.when(F.col("mass") > 0, ratio).otherwise(F.lit(0.0))
-    rounded = round_shares(items.select(*KEY, F.col("mass").alias("size"), copies.alias("copies")), sized.count())
+    share = F.when(F.col("size") > 0, ratio).otherwise(F.lit(0.0))
+    items = items.withColumn("copies", F.floor(share).cast("long")).withColumn("more", (share - F.floor(share)) * F.col("repeats"))
+    items = items.withColumn("certain", F.floor("more").cast("long"))
+    rounded = round_shares(items.select(*KEY, "size", (F.col("more") - F.col("certain")).alias("copies")), sized.count())
+    rounded = rounded.withColumnRenamed("copies", "last")
     same = [items[k].eqNullSafe(rounded[k]) for k in KEY]
     return items.join(rounded, same[0] & same[1] & same[2]).select(
-        *[items[k] for k in KEY], "size", "source_size", "target", "copies", "repeats")
+        *[items[k] for k in KEY], "size", "source_size", "target", "copies", (F.col("certain") + F.col("last")).alias("extra"), "repeats")
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken): one row per row of ``docs``."""
     m = mix(docs).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
-    return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    copies = F.col("copies") + (F.col("row") <= F.col("extra")).cast("long")
+    return m.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
+
+
+def _repeated(df: DataFrame, n: str) -> DataFrame:
+    return df.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).drop(n)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: none, one or two copies of each, all columns kept."""
     m = mix(docs)
-    names = {k: fresh(docs, f"mix_{k}") for k in (*KEY, "copies", "copy")}
-    m = m.select(*[F.col(k).alias(names[k]) for k in (*KEY, "copies")]).where(F.col("copies") > 0)
-    d = docs.withColumn(fresh(docs, "own_hash"), F.xxhash64("text"))
-    own = d.columns[-1]
-    joined = d.join(m, d["doc_id"].eqNullSafe(m[names["doc_id"]]) & (d[own] == m[names["text_hash"]]) & d["source"].eqNullSafe(m[names["source"]]))
-    joined = joined.select(*[d[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["copies"]))).alias(names["copy"]))
-    return joined.drop(names["copy"])
+    names = {k: fresh(docs, f"mix_{k}") for k in (*KEY, "copies", "extra", "repeats")}
+    n, before, own = fresh(docs, "mix_rows"), fresh(docs, "mix_before"), fresh(docs, "own_hash")
+    m = m.select(*[F.col(k).alias(v) for k, v in names.items()])
+    d = docs.withColumn(own, F.xxhash64("text"))
+    on = d["doc_id"].eqNullSafe(m[names["doc_id"]]) & (d[own] == m[names["text_hash"]]) & d["source"].eqNullSafe(m[names["source"]])
+    copies, extra, repeats = (F.col(names[k]) for k in ("copies", "extra", "repeats"))
+    joined = d.join(m.where((copies > 0) | (extra > 0)), on)
+    single = joined.where(repeats == 1).withColumn(n, copies + extra).where(F.col(n) > 0).select(*[d[c] for c in docs.columns], n)
+    # rows that agree in id, text and source: equal ones are counted, and the extra copies dealt to them in order
+    equal = joined.where(repeats > 1).groupBy(*[d[c] for c in docs.columns], own, names["copies"], names["extra"]).agg(F.count("*").alias(n))
+    w = Window.partitionBy("doc_id", own, "source").orderBy(F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, -1)
+    equal = equal.withColumn(before, F.coalesce(F.sum(n).over(w), F.lit(0)))
+    more = F.greatest(F.lit(0), F.least(F.col(n), extra - F.col(before)))
+    equal = equal.withColumn(n, F.col(n) * copies + more).where(F.col(n) > 0).select(*docs.columns, n)
+    return _repeated(single.unionByName(equal), n)

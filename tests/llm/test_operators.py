@@ -216,6 +216,24 @@ def test_text_size_counts_words(spark, docs):
         assert r.n == len(WORD.findall(r.text or ""))
 
 
+def test_a_row_repeated_often_meets_its_target(spark):
+    rows = [(i, prose(5 + i % 40, i), "en", f"s{i % 3}") for i in range(200)]
+    many = make_docs(spark, rows).unionByName(make_docs(spark, [(9000, prose(37, 9), "en", "s1")]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3001)))).drop("n"))
+    out = mixing.taken_words(many).groupBy(F.col("doc_id") == 9000).agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in out) == 3201
+    src = many.select("doc_id", "source").distinct()
+    per = mixing.taken_words(many).join(src, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 45 for r in per), per  # a document at most
+    marked = many.withColumn("tag", F.when(F.col("doc_id") == 9000, F.pmod(F.monotonically_increasing_id(), F.lit(2))).otherwise(F.lit(7)))
+    mixed = mixing.mixed(marked)
+    assert mixed.columns == marked.columns
+    want = {r.doc_id: r.n for r in mixing.taken_words(many).groupBy("doc_id").agg((F.sum("taken") / F.first("size")).cast("long").alias("n")).collect() if r.n}
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == want
+    tags = {r.tag: r["count"] for r in mixed.where("doc_id = 9000").groupBy("tag").count().collect()}
+    had = {r.tag: r["count"] for r in marked.where("doc_id = 9000").groupBy("tag").count().collect()}
+    assert all(had[t] <= tags.get(t, 0) <= 2 * had[t] or tags.get(t, 0) <= had[t] for t in had)
+
+
 # ---------------------------------------------------------------- 4 BPE
 def test_bpe_equals_the_tokenizers_library_and_round_trips(spark, docs):
     from tokenizers import Tokenizer
@@ -414,7 +432,7 @@ def plain_next(rows):
 @pytest.mark.parametrize("range_rows", [fingerprint.RANGE_ROWS, 2])
 def test_fingerprints_follow_the_next_document(spark, monkeypatch, range_rows):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", range_rows)
-    monkeypatch.setattr(fingerprint, "GROUP_RANGES", 3)
+    monkeypatch.setattr(fingerprint, "KNOTS", 4)
     rows = [(i, t) for i, t, _, _ in ROWS if (i, t) != (9, "one two")] + [(9, "one two"), (-40, "neg"), (10**9, prose(80, 77))]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, own int, host int")
     out = {r.doc_id: r for r in fingerprint.compare_edited(df).collect()}
@@ -435,6 +453,24 @@ def test_fingerprints_follow_the_next_document(spark, monkeypatch, range_rows):
     assert single[0].near_next == 1 and fingerprint.compare_edited(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["outlier", "nulls", "one id", "one row", "wide"])
+def test_ranges_follow_counts_whatever_the_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 16)
+    monkeypatch.setattr(fingerprint, "KNOTS", 32)
+    rows = [(i, f"t{i}") for i in range(1, 2001)]
+    rows += {"outlier": [(9 * 10**18, "far")], "nulls": [(None, f"n{i}") for i in range(1500)], "one id": [(777, f"s{i}") for i in range(1500)],
+             "one row": [(777, "same")] * 1500, "wide": [(-9 * 10**18 + i * 10**15, f"w{i}") for i in range(700)]}[kind]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    nexts = fingerprint.with_next(df, ["text", "doc_id"]).collect()
+    tie = {t: h for t, h in df.select("text", F.xxhash64("text")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    want = collections.Counter((order[k], order[(k + 1) % len(order)]) for k in range(len(order)))
+    assert collections.Counter(((r.doc_id, r.text), (r.next_doc_id, r.next_text)) for r in nexts) == want
+    d = df.withColumn("tie", F.xxhash64("text")).withColumn("number", F.monotonically_increasing_id())
+    sizes = d.groupBy(fingerprint.ranges(fingerprint.materialise(d, "ids"))).count().agg(F.max("count")).first()[0]
+    assert sizes <= 6 * 2000 // 32, sizes  # a few intervals' share, in no case a large part
+
+
 def test_fingerprints_number_occurrences_and_keep_order(spark):
     base = prose(2000, 40).split()
     near, moved = [*base], base[1000:] + base[:1000]
@@ -551,3 +587,23 @@ def test_languages_are_told_apart(spark):
     assert all(got[i] == lang for i, _, lang, _ in rows if i is not None and i < 900)
     assert got[900] == got[901] == got[902] == "und" and got[None] == got[904] == "fi"
     assert {r.lang_pred for r in langid.identify(df, langid.Model({})).collect()} == {"und"}
+
+
+def test_languages_in_groups_are_told_as_all_together(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèêñçåø"
+    rows = []
+    for k in range(24):
+        r = np.random.default_rng(k)
+        pool = ["".join(r.choice(list(letters), 5)) for _ in range(30)]
+        rows += [(100 * k + i, " ".join(r.choice(pool, 20)), f"l{k:02d}", "s") for i in range(12)]
+    rows += [(9000, None, None, "s"), (9001, "", None, "s"), (9002, "!", None, "s"), (None, rows[0][1], None, "s"), (9003, rows[0][1], None, "s"), (9003, rows[0][1], None, "s")]
+    docs = make_docs(spark, rows).withColumns({c: F.lit(-1) for c in (*CLASHES, "best", "bits")})
+    model = langid.fit(docs, F.lit(True))
+    assert len(model.sizes) == 24
+    few = model.sizes[0][1] * 5
+    assert len(list(model.groups(few))) >= 5 and len(list(model.groups())) == 1
+    one, many = ({(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs, model, group_bytes=g).collect()} for g in (langid.GROUP_BYTES, few))
+    assert one == many and sum(p == f"l{i // 100:02d}" for i, p, _ in one if i is not None and i < 9000) >= 24 * 12 - 2
+    assert {p for i, p, _ in one if i in (9000, 9001, 9002)} == {"und"} and {p for i, p, _ in one if i in (None, 9003)} == {"l00"}
+    none = make_docs(spark, [])
+    assert langid.identify(none, langid.fit(none, F.lit(True))).count() == 0
