@@ -42,8 +42,8 @@ BANDS, BAND_ROWS = 48, 6
 #: MinHash values compared by the pruning, and how many at a time.
 PRUNE_VALUES, PRUNE_STEP = 128, 32
 TOLERANCE = 1e-7
-#: Classes to a block of a large component.
-BLOCK = 256
+#: Classes to a block of a large component; tasks over which the rows of one component meet its size.
+BLOCK, SALTS = 256, 64
 
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 _rng = np.random.default_rng(9)
@@ -222,9 +222,12 @@ def join_documents(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     classes = materialise(classes, "classes")
     proposed = connected_components(candidate_edges(classes))
-    sizes = proposed.groupBy("label").agg(F.count("*").alias("members"))
-    members = proposed.join(sizes, "label").join(classes.select(F.col("class").alias("node"), "doc_id", "copies"), "node")
-    blocks = F.ceil(F.col("members") / BLOCK)
+    # only components of more than one block need their size; their rows meet it under many salts
+    large = proposed.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
+    large = large.select(F.col("label").alias("of"), "members", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    sized = proposed.join(large, (F.col("label") == F.col("of")) & (F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(SALTS)) == F.col("salt")), "left")
+    members = sized.join(classes.select(F.col("class").alias("node"), "doc_id", "copies"), "node")
+    blocks = F.ceil(F.coalesce("members", F.lit(1)) / BLOCK)
     members = members.select("label", F.col("node").alias("class"), "doc_id", "copies", blocks.cast("int").alias("blocks"),
                              F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     members = materialise(members, "members")

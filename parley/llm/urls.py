@@ -11,7 +11,7 @@ universe, and only bit maps, whose size follows the list, reach the driver.
 The keys of a url are the last labels of its host joined with the prefixes of its
 path, for the numbers of labels and lengths that rules have. The longest listed
 key is the rule; one cascade holds the allowing rules, one the blocking ones, and
-one the hosts of the corpus that a word list blocks.
+one the blocked hosts: a table of hosts where one is given, or the hosts of the corpus of which a part is a listed word.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 no rule, and is allowed; rules of equal length: the one with the longer host;
@@ -19,8 +19,8 @@ repeated urls get equal rows; long urls are read whole, and their number of keys
 depends on the rules only; an empty table gives an empty result; only the id and
 the url are read. An empty list gives a cascade without levels, which lists nothing.
 
-Bit maps of at most ``MAX_BITS`` are broadcast. A longer list is looked up by a
-join with the stored keys instead, with the same result.
+A cascade of more than ``MAX_BITS`` is cut into shards by the keys' hashes, each a cascade of its own, which are built
+and broadcast one after the other; membership stays exact and needs no join at any size of the list.
 """
 
 from __future__ import annotations
@@ -113,30 +113,35 @@ def _level_bits(keys: DataFrame, level: Level) -> np.ndarray:
             np.bitwise_or.at(bits, at, np.uint64(1) << (p & np.uint64(63)))
             yield pd.DataFrame({"word": word.astype(np.int64), "bits": bits.astype(np.int64)})
 
-    rows = keys.mapInPandas(partial, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    rows = keys.mapInPandas(partial, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros((level.bits + 63) // 64, np.uint64)
-    for r in rows:
-        out[r.word] = np.int64(r.bits).astype(np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
-def build(keys: DataFrame, max_bits: int = MAX_BITS) -> Cascade | None:
-    """Cascade of distinct keys (h1, h2, listed); None if it would need more than ``max_bits``."""
+def level_size(place: int, n_in: int, n_out: int) -> tuple[int, int]:
+    """Bits and hashes of a level for ``n_in`` keys that must pass and ``n_out`` that should not."""
+    # the first level lets through about as many unlisted keys as there are listed ones
+    rate = min(0.5, max(1e-6, 0.7 * n_in / max(n_out, 1))) if place == 0 else 0.5
+    bits = max(64, math.ceil(n_in * math.log(1 / rate) / math.log(2) ** 2))
+    return bits, max(1, round(bits / n_in * math.log(2))) if n_in > 8 else 4
+
+
+def shards_for(n_in: int, n_out: int, max_bits: int) -> int:
+    """Shards of which each cascade keeps to about ``max_bits``: the first level, and half as many keys again for the others."""
+    return max(1, math.ceil((level_size(0, n_in, n_out)[0] + 3 * n_in) / max_bits)) if n_in else 1
+
+
+def build(keys: DataFrame) -> Cascade:
+    """Cascade of distinct keys (h1, h2, listed)."""
     cascade = Cascade()
     left = keys.select("h1", "h2", "listed")
-    total = 0
     while True:
         inside = F.col("listed") == F.lit(len(cascade.levels) % 2 == 0)
         n_in, n_out = left.agg(F.count_if(inside), F.count_if(~inside)).first()
         if not n_in:
             return cascade
-        # the first level lets through about as many unlisted keys as there are listed ones
-        rate = min(0.5, max(1e-6, 0.7 * n_in / max(n_out, 1))) if not cascade.levels else 0.5
-        bits = max(64, math.ceil(n_in * math.log(1 / rate) / math.log(2) ** 2))
-        level = Level(len(cascade.levels), bits, max(1, round(bits / n_in * math.log(2))) if n_in > 8 else 4)
-        total += bits
-        if total > max_bits:
-            return None
+        level = Level(len(cascade.levels), *level_size(len(cascade.levels), n_in, n_out))
         level.words = _level_bits(left.where(inside).select("h1", "h2"), level)
         cascade.levels.append(level)
 
@@ -173,7 +178,7 @@ def rule_keys(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 def member(cascade: Cascade, keys: Column, spark) -> Column:
     """array<boolean>: which keys of an array are listed."""
-    shared = spark.sparkContext.broadcast(cascade)
+    shared = spark.sparkContext.broadcast(cascade)  # about MAX_BITS
 
     @F.pandas_udf("array<boolean>")
     def test(h1: pd.Series, h2: pd.Series) -> pd.Series:
@@ -186,38 +191,51 @@ def member(cascade: Cascade, keys: Column, spark) -> Column:
     return test(F.transform(keys, lambda k: key_hashes(k)[0]), F.transform(keys, lambda k: key_hashes(k)[1]))
 
 
+def _shard(h1: Column, shards: int) -> Column:
+    return F.pmod(h1, F.lit(shards))
+
+
 def _listed_keys(df: DataFrame, keys: str, universe: DataFrame, listed: Column, max_bits: int) -> DataFrame:
     """``df`` with the array column ``keys`` replaced by those of its keys that are listed.
 
     ``universe`` holds all distinct keys (key); ``listed`` is a condition on them.
     """
-    u = universe.select(key_hashes(F.col("key"))[0].alias("h1"), key_hashes(F.col("key"))[1].alias("h2"), listed.alias("listed"))
-    cascade = build(materialise(u, "universe"), max_bits)
-    if cascade is not None:
+    u = materialise(universe.select(key_hashes(F.col("key"))[0].alias("h1"), key_hashes(F.col("key"))[1].alias("h2"), listed.alias("listed")), "universe")
+    shards = shards_for(*u.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first(), max_bits)
+    for shard in range(shards):
+        cascade = build(u.where(_shard(F.col("h1"), shards) == shard))
+        elsewhere = F.transform(keys, lambda k: _shard(key_hashes(k)[0], shards) != shard)  # keys of other shards wait for theirs
         flags = member(cascade, F.col(keys), df.sparkSession)
-        return df.withColumn(keys, F.transform(F.filter(F.arrays_zip(F.col(keys).alias("k"), flags.alias("f")), lambda x: x["f"]), lambda x: x["k"]))
-    hits = universe.where(listed).select(F.col("key").alias("hit"))
-    by_array = df.select(F.col(keys).alias("all")).distinct()
-    found = (by_array.withColumn("one", F.explode("all")).join(hits, F.col("one") == F.col("hit"))
-             .groupBy("all").agg(F.collect_set("hit").alias("found")))  # as many as one url has keys
-    out = df.join(found, df[keys] == found["all"], "left")
-    return out.withColumn(keys, F.coalesce("found", F.array().cast("array<string>"))).drop("all", "found")
+        kept = F.filter(F.arrays_zip(F.col(keys).alias("k"), flags.alias("f"), elsewhere.alias("e")), lambda x: x["f"] | x["e"])
+        df = df.withColumn(keys, F.transform(kept, lambda x: x["k"]))
+        if shard + 1 < shards:
+            df = materialise(df, "sharded")  # one cascade at a time
+    return df
+
+
+def blocked_by_words(hosts: DataFrame, words: Sequence[str] = BLOCKED_WORDS) -> DataFrame:
+    """(host) of the rows (host) of which a part, between dots and hyphens, is one of ``words``."""
+    bad = F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(w) for w in words])) if words else F.lit(False)
+    return hosts.where(F.coalesce(bad, F.lit(False))).select("host").distinct()
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], blocked_words: Sequence[str] = BLOCKED_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every url."""
+def judge(pages: DataFrame, rules: Sequence[Rule], blocked_words: Sequence[str] = BLOCKED_WORDS, max_bits: int = MAX_BITS,
+          blocked_hosts: DataFrame | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every url. ``blocked_hosts`` (host) is a list of hosts to block; without it
+    the hosts of the corpus that ``blocked_words`` block are listed."""
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     parts = parts.withColumn("allowing", rule_keys(F.col("host"), F.col("path"), rules))
     parts = parts.withColumn("blocking", F.col("allowing")).withColumn("hosts", F.array("host"))
     by = {v: [h + p for h, p, w in rules if w == v] for v in ("allow", "block")}
     keys = materialise(parts.select(F.explode("allowing").alias("key")).distinct(), "keys")
-    hosts = materialise(parts.select(F.col("host").alias("key")).distinct(), "hosts")
+    hosts = materialise(parts.select("host").distinct(), "hosts")
     is_in = lambda v: F.col("key").isin(by[v]) if by[v] else F.lit(False)
     out = _listed_keys(parts, "allowing", keys, is_in("allow"), max_bits)
     out = _listed_keys(out, "blocking", keys, is_in("block"), max_bits)
-    bad = F.arrays_overlap(F.split("key", "[.-]"), F.array(*[F.lit(w) for w in blocked_words])) if blocked_words else F.lit(False)
-    out = _listed_keys(out, "hosts", hosts, F.coalesce(bad, F.lit(False)), max_bits)
+    bad = (blocked_by_words(hosts, blocked_words) if blocked_hosts is None else blocked_hosts.select("host").where(F.col("host").isNotNull()).distinct())
+    universe = hosts.join(bad.select(F.col("host").alias("bad")), F.col("host") == F.col("bad"), "left")
+    out = _listed_keys(out, "hosts", universe.select(F.col("host").alias("key"), F.col("bad").isNotNull().alias("is_bad")), F.col("is_bad"), max_bits)
     rank = lambda k, v: F.struct(F.length(k).alias("n"), F.instr(F.concat(k, F.lit("/")), "/").alias("host"), k.alias("rule"), F.lit(v).alias("verdict"))
     best = F.array_max(F.concat(F.transform("allowing", lambda k: rank(k, "allow")), F.transform("blocking", lambda k: rank(k, "block"))))
     out = out.withColumn("best", best)

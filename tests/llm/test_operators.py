@@ -279,8 +279,8 @@ def plain_rule(url):
     return host, path, None, "block" if blocked else "allow"
 
 
-@pytest.mark.parametrize("max_bits", [urls.MAX_BITS, 1])
-def test_url_rules_by_cascade_and_by_join(spark, max_bits):
+@pytest.mark.parametrize("max_bits", [urls.MAX_BITS, 60])
+def test_url_rules_by_one_cascade_and_by_shards(spark, max_bits):
     pages = spark.createDataFrame([(i, u, "h", 0) for i, u in PAGES], "page_id long, url string, host string, keys int")
     rows = urls.judge(pages, URL_RULES, max_bits=max_bits).collect()
     want = collections.Counter((i, *plain_rule(u)) for i, u in PAGES)
@@ -288,6 +288,26 @@ def test_url_rules_by_cascade_and_by_join(spark, max_bits):
     assert urls.judge(pages.where("false"), URL_RULES).count() == 0
 
 
+@pytest.mark.parametrize("max_bits", [urls.MAX_BITS, 700])
+def test_a_table_of_hosts_is_a_list(spark, max_bits):
+    pages = spark.range(900).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h"), F.col("id") % 300, F.lit(".org/x")).alias("url"), F.lit(1).alias("host"), F.lit(2).alias("key"))
+    listed = spark.createDataFrame([(f"h{i}.org",) for i in range(0, 300, 7)] + [("h0.org",), (None,), ("elsewhere.org",)], "host string")
+    rows = urls.judge(pages, [], max_bits=max_bits, blocked_hosts=listed).collect()
+    assert len(rows) == 900 and {r.page_id for r in rows if r.verdict == "block"} == {i for i in range(900) if i % 300 % 7 == 0}
+    rules = [("org", "/x", "block"), ("h1.org", "/", "allow"), ("h2.org", "/x", "allow"), ("2.org", "/x", "allow")]
+    got = {r.host: r.rule for r in urls.judge(pages, rules, max_bits=max_bits).collect()}
+    assert got["h1.org"] == "h1.org/" and got["h2.org"] == "h2.org/x" and got["h22.org"] == "org/x"
+
+
+def test_rules_of_equal_length_go_by_the_longer_host(spark):
+    pages = spark.createDataFrame([(1, "http://ab.cd/ef/gh")], "page_id long, url string")
+    for order in (1, -1):
+        rules = [("cd", "/ef/", "block"), ("ab.cd", "/e", "allow"), ("ab.cd", "/", "allow")][::order]
+        assert [(r.rule, r.verdict) for r in urls.judge(pages, rules).collect()] == [("cd/ef/", "block") if len("cd/ef/") > len("ab.cd/e") else ("ab.cd/e", "allow")]
+    equal = [("cd", "/ef/g", "block"), ("ab.cd", "/ef", "allow")]
+    assert len("cd/ef/g") < len("ab.cd/ef") and urls.judge(pages, equal + [("cd", "/ef/gh", "block")]).collect()[0].rule == "ab.cd/ef"  # eight letters each
+
+
 def test_cascade_is_exact_for_its_universe(spark):
     keys = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     h1, h2 = urls.key_hashes(F.col("key"))
