@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from parley.functions.text import explode_items, normalise_words, posexplode_items, sentences
 from parley.operators.ordered import ordered_collect
 from parley.operators.structure import cue_pattern
+from parley.sources import store
 
 DEFAULT_ACTION_CUES = ("will", "should", "need to", "plan to", "next step", "follow up")
 POS_SHIFT = 1 << 32  # sentence position = block_pos * 2^32 + sentence index
@@ -38,15 +39,27 @@ def answer_sentences(answers: DataFrame, key: str, pos: str, text: str) -> DataF
     return s.select(key, (F.col(pos).cast("long") * POS_SHIFT + F.col("_i")).alias("spos"), "sentence")
 
 
-def term_counts(sents: DataFrame, key: str, min_term_chars: int = 1) -> DataFrame:
-    """(term, n): sessions that have each term, and under a null term all sessions with terms.
+#: Blocks, and sentences of a block, that one row of the table of terms speaks for.
+CHUNK_BLOCKS, CHUNK_SENTENCES = 64, 4096
 
-    Rows of different corpora add up."""
-    words = sents.select(key, explode_items(normalise_words(F.col("sentence"))).alias("term"))
-    pairs = words.where(F.length("term") >= min_term_chars).select(key, "term").distinct()
-    per_term = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    everything = pairs.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("term"), "n")
-    return per_term.unionByName(everything)
+
+def session_terms(sents: DataFrame, key: str, min_term_chars: int = 1) -> DataFrame:
+    """(key, term, tf, at): every term of a session, its number there, and the sentences that have it; a session of very
+    many sentences has several rows for a term, each of a chunk of the sentences. Words are cut once, and this table is
+    all that scores, topics and document frequencies read."""
+    words = sents.select(key, "spos", explode_items(normalise_words(F.col("sentence"))).alias("term")).where(F.length("term") >= min_term_chars)
+    chunk = F.struct(F.call_function("div", F.col("spos"), F.lit(POS_SHIFT * CHUNK_BLOCKS)).alias("b"),
+                     F.call_function("div", F.col("spos") % POS_SHIFT, F.lit(CHUNK_SENTENCES)).alias("s"))
+    rows = words.groupBy(key, "term", chunk.alias("_chunk")).agg(F.count(F.lit(1)).alias("_n"), F.collect_set("spos").alias("at"))
+    return rows.select(key, "term", F.sum("_n").over(Window.partitionBy(key, "term")).alias("tf"), "at",
+                       (F.row_number().over(Window.partitionBy(key, "term").orderBy("_chunk")) == 1).alias("first"))
+
+
+def scored_sentences(sents: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(key, spos, sentence, score): the sum of ``tf`` over a sentence's distinct terms, in one aggregation."""
+    scores = terms.select(key, F.explode("at").alias("spos"), "tf", F.lit(None).cast("string").alias("sentence"))
+    own = sents.select(key, "spos", F.lit(0).cast("long").alias("tf"), "sentence")
+    return own.unionByName(scores).groupBy(key, "spos").agg(F.max("sentence").alias("sentence"), F.sum("tf").alias("score"))
 
 
 def top_k(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
@@ -61,44 +74,30 @@ def with_fallback(answers: DataFrame, raw: DataFrame, with_qa: DataFrame, key: s
     return answers.unionByName(raw.join(with_qa.select(key).distinct(), key, "left_anti"))
 
 
-def summarize(answers: DataFrame, key: str = "session_id", pos: str = "pos", text: str = "text",
+def summarize(answers: DataFrame | None, key: str = "session_id", pos: str = "pos", text: str = "text",
               action_cues: Sequence[str] = DEFAULT_ACTION_CUES, min_term_chars: int = 1,
-              n_points: int = 5, n_content: int = 3, n_topics: int = 6,
-              sents: DataFrame | None = None, counts: DataFrame | None = None) -> dict:
-    """Summaries of every session in ``answers`` (one row per Answer block).
-
-    ``counts`` is a table of :func:`term_counts` rows of the corpus; by default the
-    sessions summarised here are the corpus.
-
-    Returns DataFrames ``points`` (key, rank, spos, sentence) ranked by score,
-    ``topics`` (key, rank, term), ``actions`` (key, spos, sentence) and
-    ``sentences`` (key, spos, sentence, score). Five branches read the sentences:
-    pass ``sents``, a stored table of :func:`answer_sentences`, where computing
-    them is costly.
+              n_points: int = 5, n_content: int = 3, n_topics: int = 6, sents: DataFrame | None = None) -> dict:
+    """Summaries of every session in ``answers`` (one row per Answer block), or in ``sents``, a table of
+    :func:`answer_sentences`. The sessions summarised here are the corpus.
+
+    Terms and scored sentences are stored, so each is computed once. Returns DataFrames ``points`` (key, rank, spos,
+    sentence) ranked by score, ``topics`` (key, rank, term), ``actions`` (key, spos, sentence) and
+    ``sentences`` (key, spos, sentence, score).
     """
     if sents is None:
-        sents = answer_sentences(answers, key, pos, text)
-    words = sents.select(key, "spos", explode_items(normalise_words(F.col("sentence"))).alias("term"))
-    words = words.where(F.length("term") >= min_term_chars)
-    tf = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    if counts is None:
-        counts = term_counts(sents, key, min_term_chars)
-    df_ = counts.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
-    n_sessions = counts.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()  # scalar subquery
-
-    scores = (words.select(key, "spos", "term").distinct()
-              .join(tf, [key, "term"])
-              .groupBy(key, "spos").agg(F.sum("tf").alias("score")))
-    scored = (sents.join(scores, [key, "spos"], "left")
-              .withColumn("score", F.coalesce("score", F.lit(0)).cast("long")))
+        sents = store.stage_table(answer_sentences(answers, key, pos, text), "sentences")
+    terms = store.stage_table(session_terms(sents, key, min_term_chars), "terms")
+    scored = store.stage_table(scored_sentences(sents, terms, key), "scored")
     points = top_k(scored, key, [F.col("score").desc(), F.col("spos")], n_points)
 
-    weights = (tf.join(df_, "term")
-               .withColumn("weight", F.floor(F.col("tf") * n_sessions / F.col("df")).cast("long")))
+    tf = terms.where("first").select(key, "term", "tf")
+    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n_sessions = tf.agg(F.count_distinct(key).alias("n")).scalar()  # scalar subquery
+    weights = tf.join(df_, "term").withColumn("weight", F.floor(F.col("tf") * n_sessions / F.col("df")).cast("long"))
     topics = top_k(weights, key, [F.col("weight").desc(), F.col("term")], n_topics)
 
     pat = cue_pattern(action_cues)
-    actions = sents.where(F.lower("sentence").rlike(pat))
+    actions = scored.where(F.lower("sentence").rlike(pat))
     return {"points": points, "topics": topics.select(key, "rank", "term", "weight"),
             "actions": actions, "sentences": scored, "n_content": n_content}
 
@@ -116,15 +115,16 @@ def summary_table(parts: dict, key: str, keys: DataFrame) -> DataFrame:
 
     Action items of a session are whole output; they are gathered per session
     after a partial concatenation per sentence chunk would not shrink them."""
-    points = collect_in_order(parts["points"], key, "spos", "sentence", "key_points")
-    content = collect_in_order(parts["points"], key, "spos", "sentence", "_content",
-                               where=F.col("rank") <= parts["n_content"])
+    ranked = F.struct("spos", "sentence", "rank")
+    best = parts["points"].groupBy(key).agg(F.array_sort(F.collect_list(ranked)).alias("_p"))
+    points = best.select(key, F.transform("_p", lambda x: x["sentence"]).alias("key_points"),
+                         F.transform(F.filter("_p", lambda x: x["rank"] <= parts["n_content"]), lambda x: x["sentence"]).alias("_content"))
     topics = collect_in_order(parts["topics"], key, "rank", "term", "topics")
     # action items are unbounded per session: gathered in two levels
     actions = ordered_collect(parts["actions"], key, "spos", F.col("sentence"), "action_items",
                               chunk_size=POS_SHIFT)
     out = keys.select(key).distinct()
-    for part in (points, content, topics, actions):
+    for part in (points, topics, actions):
         out = out.join(part, key, "left")
     empty = F.array().cast("array<string>")
     return out.select(key,

@@ -405,8 +405,7 @@ def summary_rows(conv: DataFrame) -> DataFrame:
 
 def summary_parts(spark: SparkSession, sf_dir: str) -> dict:
     rows = summary_rows(read_table(spark, sf_dir, "conversations"))
-    sents = store.stage_table(summ.answer_sentences(rows, "conv_id", "pos", "text"), "sentences")
-    return summ.summarize(rows, key="conv_id", action_cues=ACTION_CUES, sents=sents)
+    return summ.summarize(rows, key="conv_id", action_cues=ACTION_CUES)
 
 
 def summary_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -931,6 +930,5 @@ def stream_summaries(spark, sf_dir):
     sink, _ = streaming.chain(arriving_turns(spark, sf_dir, 3, max_files=1), [("sessions", _whole_sessions, TURN_ROWS), ("answers", _answer_stage, items)], name="stream_summaries")
     told = streaming.committed(spark, sink, items)
     rows = told.select("conv_id", F.explode("items").alias("i")).select("conv_id", "i.pos", "i.text")
-    sents = store.stage_table(summ.answer_sentences(rows, "conv_id", "pos", "text"), "sentences")
-    t = summ.summary_table(summ.summarize(rows, key="conv_id", action_cues=ACTION_CUES, sents=sents), "conv_id", told)
+    t = summ.summary_table(summ.summarize(rows, key="conv_id", action_cues=ACTION_CUES), "conv_id", told)
     return t.select("conv_id", summ.render_report(F.col("content"), F.col("key_points"), F.col("action_items"), F.col("topics")).alias("report"))

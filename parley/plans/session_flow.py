@@ -83,8 +83,7 @@ def _summarised(usable: DataFrame, by: Pipeline) -> DataFrame:
     with_qa = usable.where(F.length(F.coalesce("structured_qa_text", F.lit(""))) > 0)
     raw = usable.select(KEY, F.lit(0).cast("long").alias("pos"), F.col("_text").alias("text"))
     rows = summ.with_fallback(answers, raw, with_qa, KEY)
-    sents = store.stage_table(summ.answer_sentences(rows, KEY, "pos", "text"), "sentences")
-    table = summ.summary_table(summ.summarize(rows, KEY, action_cues=by.summarizer.action_cues, sents=sents), KEY, usable)
+    table = summ.summary_table(summ.summarize(rows, KEY, action_cues=by.summarizer.action_cues), KEY, usable)
     return table.select(KEY, F.struct("content", "key_points", "action_items", "topics").alias("summary"),
                         *[F.lit(None).cast("string").alias(c) for c in ("error_class", "error_msg")])
 
