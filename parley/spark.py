@@ -9,6 +9,7 @@ only installed when the setting is missing (tests, laptops).
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,6 +45,7 @@ def get_spark(master: str | None = None, app: str = "parley", shuffle_partitions
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship(spark)
     return spark
 
 
@@ -71,7 +73,23 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "parley", *parts, uuid.uuid4().hex])
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, as ``--py-files`` would: executors need no
+    installed copy of it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        root = os.path.dirname(os.path.abspath(__file__))
+        held = tempfile.mkdtemp(prefix="parley-code-")  # on the driver, which serves it to the executors
+        copy = shutil.copytree(root, os.path.join(held, "src", "parley"), ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(os.path.join(held, "parley"), "zip", os.path.dirname(copy)))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
