@@ -7,10 +7,15 @@ no ``\\b`` (ASCII-only in RE2), explicit Unicode whitespace classes.
 
 from __future__ import annotations
 
-from parley.functions.text import SPELLING_FIXES, WS_CLASS
-from parley.plans.fixtures import CHARS_PER_SECOND, FILE_SUFFIXES, MODELS
-
-WS = WS_CLASS
+# ---------------------------------------------------------------------------
+# Fixed values, stated here again: the twins take none from the engine
+# ---------------------------------------------------------------------------
+SPELLING_FIXES = (("rythmn", "rhythm"), ("whch", "which"), ("gonna", "going to"))
+# Unicode white space, and the information separators U+001C..U+001F
+WS = r"\t\n\x0B\x0C\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+FILE_SUFFIXES = (".txt", "_presentation.txt", "_q_and_a.txt", ".mp3")
+MODELS = ("m1", "m2", "m3")
+CHARS_PER_SECOND = 15.0
 
 
 def q(s: str) -> str:

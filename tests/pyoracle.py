@@ -2,6 +2,7 @@
 
 import re
 
+# fixed values: spellings that the rules replace, in this order
 FIXES = [("rythmn", "rhythm"), ("whch", "which"), ("gonna", "going to")]
 
 
