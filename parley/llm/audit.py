@@ -95,7 +95,8 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), failures(F.col("text")).alias("mask"),
         F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(12), text).alias("h2"), F.length(text).alias("size")), "audit_masks")
     key = ["h1", "h2", "size"]
-    first = narrow.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # stored, so that the join has no aggregation beside it and Spark can split hot texts
+    first = materialise(narrow.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "audit_first")
     copies = narrow.join(first, key, "left")
     copies = copies.withColumn("mask", F.col("mask") + F.when(F.col("doc_id") > F.col("first_id"), F.lit(16)).otherwise(F.lit(0)))
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(

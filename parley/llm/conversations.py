@@ -280,7 +280,7 @@ def faults(turns: DataFrame) -> DataFrame:
     rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(13), "text"), "size": F.length("text"),
                              "place": F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))})
     earliest = rows.groupBy(*same).agg(F.min("place").alias("earliest"), F.count("*").alias("times")).where("times > 1").drop("times")
-    rows = join_same(rows, earliest, same)
+    rows = join_same(rows, materialise(earliest, "earliest"), same)  # stored, so that Spark can split hot texts
     last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
     blank = ~F.col("text").rlike(WORD)
     repeated = F.coalesce(F.col("place") > F.col("earliest"), F.lit(False))
