@@ -7,8 +7,8 @@ words without a mergeable pair leave the array. Words already encoded by a worke
 are remembered (bounded), so a frequent word is encoded once.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
-text; long texts are encoded whole, in pieces of bounded memory; repeated rows
-each get their own row; extra columns do not matter, only the id and the text
+text; long texts are encoded whole (a text's words are in memory at once, and a batch of texts in groups of
+bounded size); repeated rows each get their own row; extra columns do not matter, only the id and the text
 are read. Special tokens that stand in a text become their ids, and decoding
 gives their text back. Decoding replaces malformed UTF-8 by U+FFFD.
 """

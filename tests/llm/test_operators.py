@@ -67,6 +67,21 @@ def test_forest_learns_and_walks_like_a_plain_tree():
     assert np.allclose(forest.raw(x[:40]), [walk(r) for r in x[:40]])
 
 
+def test_document_statistics_equal_plain_counts():
+    texts = [None, "", " \n ", "a", "Same same same!\nline\nline\n\n x|y", "Ünï ©ode 漢字 🙂 A9\t~", prose(300, 3) + "\n" + prose(30, 4), "one two three four one two three four"]
+    classes = [str.islower, str.isupper, str.isdigit, " ".__eq__, "\n".__eq__, None, ".,;:?'\"()-".__contains__, "#*$%&<>".__contains__, "!".__eq__, "|".__eq__,
+               lambda c: c < " " and c != "\n", "@/\\_=+{}[]~^`".__contains__]
+    for text, row in zip(texts, quality.document_statistics(texts)):
+        t = text or ""
+        size, w, lines = len(t.encode()), WORD.findall(t), [x for x in t.split("\n") if x.strip()]
+        grams = lambda k: len({tuple(w[i:i + k]) for i in range(len(w) - k + 1)})
+        want = [(sum(len(c.encode()) for c in t if ord(c) > 127) if f is None else sum(ord(c) < 128 and f(c) for c in t)) / size if t else 0 for f in classes]
+        n = len(w)
+        want += [np.log1p(len(t)), np.log1p(n)] + ([min(len(t) / n, 100), grams(1) / n, grams(2) / n, sum(a == b for a, b in zip(w, w[1:])) / n, grams(4) / n] if n else [0] * 5)
+        want += [len(set(lines)) / len(lines), np.log1p(n / len(lines))] if lines else [0, 0]
+        assert np.allclose(row, want, atol=1e-6), text
+
+
 def test_quality_scores_every_row_and_filters_by_its_verdict(spark, docs):
     good = [(i, prose(120, i), "en", "a") for i in range(100, 160)]
     bad = [(i, "AB!! CD!! " * 40 + prose(5, i).upper(), "en", "a") for i in range(200, 260)]
@@ -216,6 +231,13 @@ def test_text_size_counts_words(spark, docs):
         assert r.n == len(WORD.findall(r.text or ""))
 
 
+def test_mixing_takes_null_ids_and_long_texts(spark):
+    rows = [(None, prose(20, 1), "en", "a"), (None, prose(30, 2), "en", "a"), (None, prose(20, 1), "en", "a"), (3, prose(40_000, 3), "en", "b"), (4, prose(50, 4), "en", None)]
+    out = mixing.taken_words(make_docs(spark, rows)).collect()
+    assert sorted(r["size"] for r in out) == [20, 20, 30, 50, 40_000] and all(r.taken in (0, r["size"], 2 * r["size"]) for r in out)
+    assert len(mixing.mixed(make_docs(spark, rows)).collect()) == sum(r.taken // r["size"] for r in out)
+
+
 def test_a_row_repeated_often_meets_its_target(spark):
     rows = [(i, prose(5 + i % 40, i), "en", f"s{i % 3}") for i in range(200)]
     many = make_docs(spark, rows).unionByName(make_docs(spark, [(9000, prose(37, 9), "en", "s1")]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3001)))).drop("n"))

@@ -33,3 +33,25 @@ def test_stages_one_by_one(spark):
     assert len(last) == sum(copies.values())
     plain = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in seen[-1].collect()}
     assert all(r.decoded_sha256 == plain[r.doc_id] and len(r.ids) == r.n_tokens for r in last)
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_operators import CLASHES, ROWS, make_docs, prose
+
+    folder = str(tmp_path)
+    rows = ROWS + [(None, None, None, None), (100 + 0, "", None, None)] + [(200 + i, prose(150, 200 + i), "en", "ab"[i % 2]) for i in range(30)]
+    spark.createDataFrame([(200 + i, 1, 0) for i in range(30)] + [(11, 0, 0), (12, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    odd = make_docs(spark, rows).withColumns({c: F.lit(-1) for c in CLASHES})
+    for docs in (odd, odd.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, folder).cache()
+            n = out.count()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns, name
+                docs = out
+        assert {r.doc_id for r in docs.collect()} <= {i for i, *_ in rows} and os.path.isdir(folder)
+        assert n == docs.count() and (n == 0 or len({r.doc_id for r in docs.collect()} & set(range(200, 230))) >= 20)
