@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from parley.plans.queries import QUERIES  # noqa: E402
-from parley.spark import get_spark  # noqa: E402
+from parley.spark import get_spark, remove_work  # noqa: E402
 
 HEADLINE = (
     "wer_macro",            # E3: T1 normalise + T2 word distance + A2 macro average
@@ -30,7 +30,9 @@ HEADLINE = (
     "skip_done",            # J1 incremental anti join
     "run_report",           # A7 all stages in one pass
     "session_lookup",       # K4 + S5: archive written twice, then looked up
-    "stream_chain",         # R1-R2 streaming hand-off
+    "stream_chain",         # R1-R2 streaming hand-off, sessions assembled in state
+    "archive_compact",      # K4: ten runs merged into one file a bucket
+    "target_index",         # P2: long target list by index
 )
 
 
@@ -50,6 +52,7 @@ def main() -> None:
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else None}))
+    remove_work(spark)
     spark.stop()
 
 

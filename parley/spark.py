@@ -69,8 +69,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, *parts: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for one run of one job."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return "/".join([base, "parley", *parts, uuid.uuid4().hex])
+    return "/".join([_work_root(spark), *parts, uuid.uuid4().hex])
+
+
+def _work_root(spark: SparkSession) -> str:
+    return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "parley", spark.sparkContext.applicationId])
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete what this application stored in the shared folder. Results that are still to be read go with it: call it
+    when the application's results are written."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_work_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 _shipped: set[str] = set()

@@ -12,7 +12,9 @@ from tests.conftest import SF_SMALL
 FAST = ["normalised_words", "wer_macro", "qa_blocks", "qa_runs", "qa_render", "assemble_transcript",
         "segment_progress", "skip_done", "run_report", "presentation_split", "verbatim", "summary_report",
         "parse_response", "vocabulary_hits", "leaderboard", "best_model", "session_load", "sink_rerun",
-        "stage_rerun", "provider_replies"]
+        "stage_rerun", "provider_replies", "session_lookup", "session_upsert", "session_status", "archive_compact", "pipeline_modes",
+        "pipeline_log", "exported_files", "session_now", "verbatim_distance", "target_index", "sql_qa_runs", "sql_blocks", "sql_wer",
+        "stream_chain", "stream_split", "stream_replay", "stream_transcribe", "stream_summaries", "transcribe_plain", "source_validation"]
 
 
 def _digest(cols, rows):
