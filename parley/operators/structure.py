@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.qa import ANSWER, QUESTION, render_blocks, with_merged_blocks
+from parley.functions.qa import ANSWER, FOLLOW_UP, QUESTION, render_blocks, with_merged_blocks
 from parley.functions.text import WORD_CLASS, _col, sentences, split_whitespace
 
 # Defaults for English sessions; callers pass their own lists per language.
@@ -55,6 +55,13 @@ def label_sentences(text, question_cues: Sequence[str]) -> Column:
         s.alias("text")))
 
 
+def label_turn(role: Column, follows_up: Column, presenter_roles: Sequence[str] = ("system",), asker_roles: Sequence[str] = ("user",)) -> Column:
+    """T9 for turn tables: what presenters say before the Q&A has no tag, a turn of the back-and-forth is a Follow-up,
+    what askers (facilitator, audience) say is a Question, and all else an Answer."""
+    return (F.when(role.isin(list(presenter_roles)), F.lit(None).cast("string")).when(follows_up, F.lit(FOLLOW_UP))
+            .when(role.isin(list(asker_roles)), F.lit(QUESTION)).otherwise(F.lit(ANSWER)))
+
+
 def with_structure(df: DataFrame, text_col: str, qa_cues: Sequence[str], question_cues: Sequence[str],
                    pres_out: str = "presentation", qa_out: str = "structured_qa_text") -> DataFrame:
     """M2 'rules' provider on raw text: T8 -> T9 -> T6 -> T7 (staged columns)."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import split_whitespace, strip
+from parley.operators.structure import label_turn
 
 # file-name suffix by doc_id % 4
 FILE_SUFFIXES = (".txt", "_presentation.txt", "_q_and_a.txt", ".mp3")
@@ -29,11 +30,8 @@ def doc_files(documents: DataFrame) -> DataFrame:
 
 
 def turn_tag(role: Column, turn: Column) -> Column:
-    """Label of a conversation turn: system turns are presentation (NULL tag)."""
-    return (F.when(role == "system", F.lit(None).cast("string"))
-            .when(turn % 4 == 3, F.lit("Follow-up"))
-            .when(role == "user", F.lit("Question"))
-            .otherwise(F.lit("Answer")))
+    """Label of a conversation turn; every fourth one goes back and forth."""
+    return label_turn(role, turn % 4 == 3)
 
 
 def labelled_turns(conversations: DataFrame) -> DataFrame:
