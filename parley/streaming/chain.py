@@ -18,9 +18,11 @@ running queries, all at work at the same time.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from parley.spark import work_path
 
+# the process that Spark starts for a stateful operator does not see the files sent to the workers: its code goes by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: a streaming transformation; rows can fail if it adds an ``error_class`` column
 Transform = Callable[[DataFrame], DataFrame]
 
