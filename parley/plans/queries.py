@@ -880,8 +880,8 @@ def stream_chain(spark, sf_dir):
 
 @query
 def stream_split(spark, sf_dir):
-    """R1-R2 with each session's turns in twelve files, one file a micro-batch."""
-    sink, _ = streaming.chain(arriving_turns(spark, sf_dir, 12, max_files=1), QA_STAGES, name="stream_split")
+    """R1-R2 with each session's turns in five files, one file a micro-batch."""
+    sink, _ = streaming.chain(arriving_turns(spark, sf_dir, 5, max_files=1), QA_STAGES, name="stream_split")
     return streaming.committed(spark, sink, "conv_id long, qa_text string")
 
 
@@ -927,7 +927,7 @@ def stream_summaries(spark, sf_dir):
     """Whole sessions and their answers as streaming stages. Summaries read the committed answers, so the
     document frequencies of all of them are those of the whole corpus so far, also for sessions of earlier batches."""
     items = "conv_id long, items array<struct<pos:bigint,text:string>>"
-    sink, _ = streaming.chain(arriving_turns(spark, sf_dir, 3, max_files=1), [("sessions", _whole_sessions, TURN_ROWS), ("answers", _answer_stage, items)], name="stream_summaries")
+    sink, _ = streaming.chain(arriving_turns(spark, sf_dir, 2, max_files=1), [("sessions", _whole_sessions, TURN_ROWS), ("answers", _answer_stage, items)], name="stream_summaries")
     told = streaming.committed(spark, sink, items)
     rows = told.select("conv_id", F.explode("items").alias("i")).select("conv_id", "i.pos", "i.text")
     t = summ.summary_table(summ.summarize(rows, key="conv_id", action_cues=ACTION_CUES), "conv_id", told)

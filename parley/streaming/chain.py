@@ -87,12 +87,18 @@ def run_stage(rows: DataFrame, sink: str, checkpoint: str, processing_time: str
     failed = F.col("error_class").isNotNull() if "error_class" in rows.columns else F.lit(False)
     out = rows.withColumn("status", F.when(failed, F.lit("failed")).otherwise(F.lit("ok")))
     writer = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).partitionBy("status")
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+    # state has a store for each partition and is written for each micro-batch: no more than two to a core; a stage that
+    # goes on from a checkpoint keeps the number it began with
+    width = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    wanted = {STATE_STORE: ROCKSDB, "spark.sql.shuffle.partitions": str(width)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         query = (writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)).start()
     finally:
-        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if processing_time is None:
         query.awaitTermination()
     return query
