@@ -49,7 +49,8 @@ def filter_targets(df: DataFrame, name_col: str, targets: Sequence[str] | None)
     return df.where(matches_targets(F.col(name_col), targets)) if targets else df
 
 
-GRAM = 3
+#: Characters of the stretch by which a target is looked up; short ones are in too many names.
+GRAM = 8
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -60,26 +61,33 @@ def _grams(text: Column, size: Column) -> Column:
 def filter_targets_by_index(df: DataFrame, name_col: str, targets: DataFrame, target_col: str = "target") -> DataFrame:
     """P2 for long target lists, which are a table: rows whose name contains any of them, case-insensitively.
 
-    Each target is looked up by one stretch of three characters (all of it, if it is shorter), the one that the
-    fewest names have; names meet the targets in an equi-join on their own stretches, and ``contains`` confirms. An
-    empty target is in every name; an empty list keeps all rows."""
+    Each target is looked up by one stretch of ``GRAM`` characters (all of it, if it is shorter), the one that the
+    fewest names have; names meet the targets in an equi-join on their own stretches of the lengths that targets are
+    looked up by, and ``contains`` confirms. Stretches outnumber names many times, which Spark's estimate of their size
+    does not see: their joins are sort-merge joins, never broadcast. An empty target is in every name; an empty list keeps all rows."""
     spread = F.monotonically_increasing_id()
     rows = store_rows(df.withColumn("_id", spread))
     wanted = targets.select(F.lower(F.col(target_col)).alias("_target")).where(F.col("_target").isNotNull()).distinct()
+    size = F.least(F.length("_target"), F.lit(GRAM))
+    sizes = wanted.agg(F.collect_set(size)).first()[0]  # GRAM + 1 numbers at most
+    lookups = [n for n in sizes if n > 0]
+    if not sizes:
+        return rows.drop("_id")
+    if not lookups:
+        return rows.where(F.col(name_col).isNotNull()).drop("_id")
     names = rows.select("_id", F.lower(F.col(name_col)).alias("_name")).where(F.length("_name") > 0)
-    sizes = F.explode(F.array(*[F.lit(n) for n in range(1, GRAM + 1)])).alias("_n")
-    grams = (names.select("_id", "_name", sizes).where(F.length("_name") >= F.col("_n"))
+    lengths = F.explode(F.array(*[F.lit(n) for n in sorted(lookups)])).alias("_n")
+    grams = (names.select("_id", "_name", lengths).where(F.length("_name") >= F.col("_n"))
              .select("_id", "_name", F.explode(_grams(F.col("_name"), F.col("_n"))).alias("_gram")))
-    keyed = wanted.where(F.length("_target") > 0).withColumn("_n", F.least(F.length("_target"), F.lit(GRAM)))
+    keyed = wanted.where(F.length("_target") > 0).withColumn("_n", size)
     keyed = keyed.select("_target", F.explode(_grams(F.col("_target"), F.col("_n"))).alias("_gram"))
     often = grams.groupBy(F.col("_gram").alias("_g")).agg(F.count(F.lit(1)).alias("_often"))
     # a stretch that no name has finds nothing, and tells so at once
-    rarest = keyed.join(often, F.col("_gram") == F.col("_g"), "left").groupBy("_target").agg(
+    rarest = keyed.hint("merge").join(often, F.col("_gram") == F.col("_g"), "left").groupBy("_target").agg(
         F.min_by("_gram", F.struct(F.coalesce("_often", F.lit(0)), F.col("_gram"))).alias("_key"))
-    hits = grams.join(rarest, F.col("_gram") == F.col("_key")).where(F.contains("_name", F.col("_target"))).select("_id").distinct()
-    shortest = wanted.agg(F.coalesce(F.min(F.length("_target")), F.lit(-1)).alias("n")).scalar()  # -1: no targets
+    hits = grams.hint("merge").join(rarest, F.col("_gram") == F.col("_key")).where(F.contains("_name", F.col("_target"))).select("_id").distinct()
     kept = rows.join(hits.withColumn("_hit", F.lit(True)), "_id", "left")
-    return kept.where(F.coalesce("_hit", F.lit(False)) | (shortest < 0) | ((shortest == 0) & F.col(name_col).isNotNull())).drop("_id", "_hit")
+    return kept.where(F.coalesce("_hit", F.lit(False)) | (F.lit(0 in sizes) & F.col(name_col).isNotNull())).drop("_id", "_hit")
 
 
 def store_rows(df: DataFrame) -> DataFrame:

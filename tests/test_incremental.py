@@ -34,3 +34,12 @@ def test_long_target_lists_by_index_equal_a_scan(spark):
         assert {r.i for r in got.collect()} == want, targets
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert got.columns == ["i", "name"] and "Cartesian" not in plan and " Cross" not in plan
+
+
+def test_stretches_of_names_are_never_broadcast(spark):
+    names = spark.createDataFrame([(i, f"Rec_{i}.txt") for i in range(50)], "i long, name string")
+    wanted = spark.createDataFrame([("rec_4",), ("a target that no name has",)], "target string")
+    got = inc.filter_targets_by_index(names, "name", wanted)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin [_gram") == 2 and "BroadcastHashJoin [_gram" not in plan
+    assert {r.i for r in got.collect()} == {4, *range(40, 50)}
