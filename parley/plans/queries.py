@@ -568,10 +568,10 @@ def saved_archive(spark: SparkSession, sf_dir: str) -> str:
 
 @query
 def session_upsert(spark, sf_dir):
-    rows = arch.archive(spark, saved_archive(spark, sf_dir))
-    return rows.select("session_id", "version", F.get_json_object("document", "$.metadata.title").alias("title"),
-                       F.length("presentation_text").cast("long").alias("presentation_chars"),
-                       F.length("structured_qa_text").cast("long").alias("qa_chars"))
+    return arch.archive(spark, saved_archive(spark, sf_dir), F.col("session_id"), F.col("version"),
+                        F.get_json_object("document", "$.metadata.title").alias("title"),
+                        F.length("presentation_text").cast("long").alias("presentation_chars"),
+                        F.length("structured_qa_text").cast("long").alias("qa_chars"))
 
 
 @query
@@ -653,11 +653,12 @@ def sink_rerun(spark, sf_dir):
     empty = F.array().cast("array<string>")
     su = d.select(F.col("stem").alias("base"), "doc_id", F.col("lang").alias("content"), empty.alias("key_points"), empty.alias("action_items"), F.array("lang").alias("topics"))
     sinks.write_summaries(su, f"{path}/k3", "r1"), sinks.write_summaries(again(su).withColumn("content", F.lit(None).cast("string")), f"{path}/k3", "r2")
-    k1, k2 = sinks.read_outputs(spark, f"{path}/k1"), sinks.read_outputs(spark, f"{path}/k2")
+    n = lambda c, out: c.cast("long").alias(out)
+    k1 = sinks.read_outputs(spark, f"{path}/k1", "stem", n(F.length("raw_text"), "raw_chars"), n(F.size("segments"), "n_segments"), F.col("language"))
+    k2 = sinks.read_outputs(spark, f"{path}/k2", "stem", n(F.length("presentation_text"), "presentation_chars"), F.col("structured_qa_text"))
     k3 = sinks.read_outputs(spark, f"{path}/k3", "base").withColumnRenamed("base", "stem")
     return k1.join(k2, "stem", "full").join(k3, "stem", "full").select(
-        "stem", F.length("raw_text").cast("long").alias("raw_chars"), F.size("segments").cast("long").alias("n_segments"), "language",
-        F.length("presentation_text").cast("long").alias("presentation_chars"), "structured_qa_text", "summary_json", "summary_txt")
+        "stem", "raw_chars", "n_segments", "language", "presentation_chars", "structured_qa_text", "summary_json", "summary_txt")
 
 
 @query
@@ -773,12 +774,13 @@ def pipeline_modes(spark, sf_dir):
     for mode, by in modes.items():
         path = work_path(spark, "archive")
         runs = flow.run_pipeline(recordings, path, "r1", by).select("path", "session_id", "failed_step", "error")
-        doc = arch.archive(spark, path).select(F.col("session_id").alias("_id"), "document", "structured_qa_text")
+        content = F.get_json_object("document", "$.summary.content")
+        doc = arch.archive(spark, path, F.col("session_id").alias("_id"), F.col("structured_qa_text").isNull().alias("no_qa"),
+                           F.get_json_object("document", "$.transcript.language").alias("language"),
+                           F.when(F.lit(mode == "model"), content).alias("content"), (F.length(content) > 0).alias("has_content"))
         j = runs.join(doc, F.col("session_id") == F.col("_id"), "left")
         part = j.select(F.lit(mode).alias("mode"), F.regexp_extract("path", r"conv_(\d+)", 1).cast("long").alias("conv_id"), "failed_step", "error",
-                        F.get_json_object("document", "$.transcript.language").alias("language"), F.col("structured_qa_text").isNull().alias("no_qa"),
-                        F.when(F.lit(mode == "model"), F.get_json_object("document", "$.summary.content")).alias("content"),
-                        (F.length(F.get_json_object("document", "$.summary.content")) > 0).alias("has_content"))
+                        "language", F.coalesce("no_qa", F.lit(True)).alias("no_qa"), "content", "has_content")
         out = part if out is None else out.unionByName(part)
     return out
 

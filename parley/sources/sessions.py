@@ -52,12 +52,12 @@ def save_sessions(new: DataFrame, path: str, version_col: str = "version", run_i
     they are not null. One file per bucket of ids."""
     texts = new.select("session_id", F.col(version_col).cast("long").alias("version"), "presentation_text", "structured_qa_text",
                        to_document(session_struct(new)).alias("document"))
-    return store.write_keyed(store.one_per_key(texts, "session_id", ("version",)), path, "session_id", run_id, buckets)
+    return store.write_keyed(texts, path, "session_id", run_id, buckets, last_by=("version",))
 
 
-def archive(spark: SparkSession, path: str) -> DataFrame:
-    """The latest row of each archived session."""
-    return store.latest(store.read_runs(spark, path), "session_id", ORDER)
+def archive(spark: SparkSession, path: str, *columns: Column) -> DataFrame:
+    """The latest row of each archived session: all of it, or ``columns`` of it, which spares moving the documents."""
+    return store.latest(store.read_runs(spark, path), "session_id", ORDER, columns or None)
 
 
 def compact(spark: SparkSession, path: str) -> str:

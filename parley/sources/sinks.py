@@ -3,7 +3,7 @@ run, so rerunning a subset of inputs leaves all other results in place. Tables a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.json import to_document
@@ -16,13 +16,13 @@ from parley.sources.named_files import write_files
 def write_transcripts(df: DataFrame, path: str, run_id: str | None = None) -> str:
     """K1: (stem, raw_text, segments, language)."""
     out = df.select("stem", "transcript.raw_text", "transcript.segments", "transcript.language")
-    return store.write_keyed(store.one_per_key(out, "stem"), path, "stem", run_id)
+    return store.write_keyed(out, path, "stem", run_id, last_by=())
 
 
 def write_structure(df: DataFrame, path: str, run_id: str | None = None) -> str:
     """K2: presentation and structured Q&A text of each stem, one table."""
     out = df.select("stem", "presentation_text", "structured_qa_text")
-    return store.write_keyed(store.one_per_key(out, "stem"), path, "stem", run_id)
+    return store.write_keyed(out, path, "stem", run_id, last_by=())
 
 
 def summary_outputs(df: DataFrame) -> DataFrame:
@@ -36,12 +36,13 @@ def summary_outputs(df: DataFrame) -> DataFrame:
 
 def write_summaries(df: DataFrame, path: str, run_id: str | None = None) -> str:
     """K3: both summary artefacts per base name."""
-    return store.write_keyed(store.one_per_key(summary_outputs(df), "base"), path, "base", run_id)
+    return store.write_keyed(summary_outputs(df), path, "base", run_id, last_by=())
 
 
-def read_outputs(spark: SparkSession, path: str, key: str = "stem") -> DataFrame:
-    """The latest output of each key."""
-    return store.latest(store.read_runs(spark, path), key).drop("run_id", "bucket")
+def read_outputs(spark: SparkSession, path: str, key: str = "stem", *columns: Column) -> DataFrame:
+    """The latest output of each key: all of it, or the key and ``columns`` of it, which spares moving the rest."""
+    wanted = [F.col(key), *columns] if columns else None
+    return store.latest(store.read_runs(spark, path), key, columns=wanted).drop("run_id", "bucket")
 
 
 def _files(df: DataFrame, *pairs) -> DataFrame:

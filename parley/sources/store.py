@@ -32,10 +32,19 @@ def new_run_id(kind: str = "t") -> str:
     return f"{kind}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
+def _first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_row", F.row_number().over(w)).where(F.col("_row") == 1).drop("_row")
+
+
+def _last_first(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Sort order of the rows of a key: the last by ``order`` first; equal ones are told apart by content."""
+    return [*[F.col(c).desc() for c in order], F.xxhash64(*df.columns)]
+
+
 def one_per_key(df: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
     """The last row of each key by ``order``; equal ones are told apart by content."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order], F.xxhash64(*df.columns))
-    return df.withColumn("_row", F.row_number().over(w)).where(F.col("_row") == 1).drop("_row")
+    return _first_row(df, [key], _last_first(df, order))
 
 
 # ---------------------------------------------------------------- small files beside the runs
@@ -80,13 +89,18 @@ def write_run(df: DataFrame, path: str, run_id: str | None = None, partition_by:
     return run_id
 
 
-def write_keyed(df: DataFrame, path: str, key: str, run_id: str | None = None, buckets: int | None = None) -> str:
-    """Write one run of a keyed table, a file per bucket, sorted by key."""
+def write_keyed(df: DataFrame, path: str, key: str, run_id: str | None = None, buckets: int | None = None,
+                last_by: Sequence[str] | None = None) -> str:
+    """Write one run of a keyed table, a file per bucket, sorted by key. With ``last_by`` (empty or not) only the last row
+    of each key is written, as :func:`one_per_key` tells it: a bucket has all rows of its keys, so the rows move once."""
     n = buckets_of(df.sparkSession, path, buckets)
+    by_rank = None if last_by is None else _last_first(df, last_by)
     if "from_run" not in df.columns:
         df = df.withColumn("from_run", F.lit(None).cast("string"))
-    rows = df.withColumn("bucket", bucket(F.col(key), n)).repartition("bucket").sortWithinPartitions("bucket", key)
-    return write_run(rows, path, run_id, ["bucket"])
+    rows = df.withColumn("bucket", bucket(F.col(key), n)).repartition("bucket")
+    if by_rank is not None:
+        rows = _first_row(rows, ["bucket", key], by_rank)
+    return write_run(rows.sortWithinPartitions("bucket", key), path, run_id, ["bucket"])
 
 
 def manifest(spark: SparkSession, path: str) -> dict:
@@ -114,10 +128,12 @@ def read_runs(spark: SparkSession, path: str, runs: Sequence[str] | None = None)
     return df.withColumn("run_id", run)
 
 
-def latest(rows: DataFrame, key: str, order: Sequence[str] = ("run_id",)) -> DataFrame:
-    """The latest row of each key, in one aggregation (partial before the shuffle)."""
-    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_last"))
-    return last.select("_last.*")
+def latest(rows: DataFrame, key: str, order: Sequence[str] = ("run_id",), columns: Sequence[Column] | None = None) -> DataFrame:
+    """The latest row of each key. ``columns`` is what to return of it (all by default): they are computed
+    where the rows are read, so that no more than they, the key and ``order`` is shuffled."""
+    by = [F.col(f"_by{i}").desc() for i in range(len(order))]
+    kept = rows.select(*(["*"] if columns is None else columns), F.col(key).alias("_key"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order)])
+    return _first_row(kept, ["_key"], by).drop("_key", *[f"_by{i}" for i in range(len(order))])
 
 
 def done_keys(spark: SparkSession, path: str, key: str, without_run: str | None = None) -> DataFrame | None:

@@ -240,3 +240,21 @@ def test_calls_never_exceed_their_rate_and_refused_ones_come_back(spark, tmp_pat
     assert len(calls) == 18 + 4 + providers.ATTEMPTS - 0
     for i, t in enumerate(calls):  # in any second: no more than ten, and one a caller at the edge
         assert sum(t <= u < t + 1.0 for u in calls[i:]) <= rate / 60 + 2
+
+
+def test_a_run_of_a_keyed_table_moves_its_rows_once(spark, tmp_path, monkeypatch):
+    from parley.sources import sinks, store
+
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", None, 1), (None, "n", 1), (None, "n", 2)], "k string, v string, version long")
+    written, write_run = [], store.write_run
+    monkeypatch.setattr(store, "write_run", lambda df, *a, **k: (written.append(df), write_run(df, *a, **k))[1])
+    out = rows.select(F.col("k").alias("stem"), F.col("v").alias("presentation_text"), F.lit("").alias("structured_qa_text"))
+    want = {tuple(r) for r in store.one_per_key(out, "stem").collect()}
+    sinks.write_structure(out, str(tmp_path / "k2"), "r1")
+    assert written[0]._jdf.queryExecution().sparkPlan().toString().count("REPARTITION") == 1
+    assert written[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = sinks.read_outputs(spark, str(tmp_path / "k2")).select(*out.columns)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 3
+    chars = sinks.read_outputs(spark, str(tmp_path / "k2"), "stem", F.length("structured_qa_text").alias("n"))
+    moved = [line for line in chars._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line or "presentation_text" in line]
+    assert {tuple(r) for r in chars.collect()} == {(k, 0) for k, _, _ in want} and not any("presentation_text" in line and "Relation" not in line for line in moved)
