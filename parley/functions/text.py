@@ -67,7 +67,8 @@ def normalise_text(c, substitutions=SPELLING_FIXES) -> Column:
     t = F.replace(t, F.lit("-"), F.lit(" "))
     t = F.regexp_replace(t, _PUNCT_RE, "")
     for first, second, glued in TIME_TOKENS:
-        pattern = f"(?<![{WORD_CLASS}]){first}[{WS_CLASS}]*{second}(?![{WORD_CLASS}])"
+        # the letter first, then what stands before it: the matcher looks back at that letter only, not at every one
+        pattern = f"{first}(?<![{WORD_CLASS}]{first})[{WS_CLASS}]*{second}(?![{WORD_CLASS}])"
         t = F.regexp_replace(t, pattern, glued)
     t = F.regexp_replace(t, _WS_RUN_RE, " ")
     return F.trim(t)
@@ -75,7 +76,7 @@ def normalise_text(c, substitutions=SPELLING_FIXES) -> Column:
 
 def normalise_words(c, substitutions=SPELLING_FIXES) -> Column:
     """Lower-case, fix spellings, drop punctuation, glue a.m./p.m., split."""
-    return F.filter(F.split(normalise_text(c, substitutions), " "), lambda w: w != "")
+    return F.array_remove(F.split(normalise_text(c, substitutions), " "), "")
 
 
 # Words are encoded as code points: all but zero and the surrogates. Two of them stand for words that only one
@@ -112,11 +113,24 @@ def _binary_search(words: Column, vocab: Column, missing: int) -> Column:
     return F.transform(words, search)
 
 
+def _as_code_points(numbers: Column) -> Column:
+    """A string of one code point per number (from 1, below the number of code points)."""
+    point = lambda k: F.when(k < _SURROGATES, k).otherwise(k + (_AFTER - _SURROGATES))
+    return F.decode(F.unhex(F.array_join(F.transform(numbers, lambda k: F.lpad(F.hex(point(k)), 8, "0")), "")), "UTF-32")
+
+
 def encode_words(words, vocab, missing: int) -> Column:
     """One code point per word as a string."""
-    point = lambda k: F.when(k < _SURROGATES, k).otherwise(k + (_AFTER - _SURROGATES))
-    hex_codes = F.transform(_binary_search(_col(words), _col(vocab), missing), lambda k: F.lpad(F.hex(point(k)), 8, "0"))
-    return F.decode(F.unhex(F.array_join(hex_codes, "")), "UTF-32")
+    return _as_code_points(_binary_search(_col(words), _col(vocab), missing))
+
+
+def _hash_codes(words: Column) -> Column:
+    return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(MAX_SHARED_WORDS)) + FIRST_SHARED).cast("int"))
+
+
+def tells_apart(words: Column) -> Column:
+    """Whether the hash codes of distinct words are distinct too."""
+    return F.size(F.array_distinct(_hash_codes(words))) == F.size(words)
 
 
 def banded_levenshtein(a: Column, b: Column) -> Column:
@@ -136,14 +150,18 @@ def banded_levenshtein(a: Column, b: Column) -> Column:
 def with_word_edit_distance(df, ref_col: str, hyp_col: str, out: str = "errors"):
     """Add ``out`` = unit-cost Levenshtein distance of two array<string> columns.
 
-    Each distinct word that both texts have becomes one code point, so the built-in character ``levenshtein`` computes
-    the word distance. Vocabulary and codes are staged: an inline expression would be evaluated again for every word.
-    A pair that shares more distinct words than there are code points (1,112,061) has no distance (NULL: an
-    error row, not a failed job)."""
-    df = df.withColumn("_vocab", shared_words(ref_col, hyp_col))
-    df = df.withColumns({"_a": encode_words(ref_col, "_vocab", ONLY_REF), "_b": encode_words(hyp_col, "_vocab", ONLY_HYP)})
-    dist = F.when(F.size("_vocab") <= MAX_SHARED_WORDS, banded_levenshtein(F.col("_a"), F.col("_b")))
-    return df.withColumn(out, dist).drop("_vocab", "_a", "_b")
+    Each word becomes one code point, so the built-in character ``levenshtein`` computes the word distance. The code is
+    the word's hash where the hashes tell all words of the pair apart (most pairs of up to a thousand different words);
+    for other pairs it is the word's number among those that both texts have. Vocabulary and codes are staged: an
+    inline expression would be evaluated again for every word. A pair of the second kind that shares more distinct words
+    than there are code points (1,112,061) has no distance (NULL: an error row, not a failed job)."""
+    ref, hyp, vocab = _col(ref_col), _col(hyp_col), F.col("_vocab")
+    df = df.withColumn("_hashed", tells_apart(F.array_union(ref, hyp)))
+    df = df.withColumn("_vocab", F.when(~F.col("_hashed"), shared_words(ref, hyp)))
+    code = lambda words, missing: F.when(F.col("_hashed"), _as_code_points(_hash_codes(words))).otherwise(encode_words(words, vocab, missing))
+    df = df.withColumns({"_a": code(ref, ONLY_REF), "_b": code(hyp, ONLY_HYP)})
+    dist = F.when(F.col("_hashed") | (F.size(vocab) <= MAX_SHARED_WORDS), banded_levenshtein(F.col("_a"), F.col("_b")))
+    return df.withColumn(out, dist).drop("_hashed", "_vocab", "_a", "_b")
 
 
 def wer_from_counts(errors, ref_count, hyp_count) -> Column:

@@ -96,3 +96,22 @@ def test_sql_functions_equal_the_dataframe_ones(spark):
     assert all(r.e == distance(normalise(r.t), normalise(r.u)) and abs(r.wer - (r.e / len(normalise(r.t)) if normalise(r.t) else 1.0)) < 1e-12 for r in errors)
     rows = spark.sql("SELECT t, b.pos, b.tag, b.text FROM sql_texts, LATERAL parley_block_rows(t) b").collect()
     assert sorted((r.t, r.pos, r.tag, r.text) for r in rows) == sorted((r.t, b.pos, b.tag, b.text) for r in df.select("t", qa.parse_blocks("t").alias("b")).collect() for b in r.b)
+
+
+def test_words_of_one_hash_code_are_told_apart(spark):
+    """Most pairs are compared by hash codes of their words, and one with two words of one code by the words' numbers."""
+    from parley.functions import text as tx
+
+    codes = spark.range(4000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w")).withColumn("c", tx._hash_codes(F.array("w"))[0])
+    one, other = codes.groupBy("c").agg(F.sort_array(F.collect_list("w")).alias("ws")).where(F.size("ws") > 1).orderBy("c").first().ws[:2]
+    df = spark.createDataFrame([(["a", one, "b"], ["a", other, "b"]), (["a", one, "b"], ["a", "c", "b"]), (["a", one], [other, one]), ([], []), (None, ["a"])], "r array<string>, h array<string>")
+    told = [r[0] for r in df.select(tx.tells_apart(F.array_union("r", "h"))).collect()]
+    assert told == [False, True, False, True, None]
+    assert [r.errors for r in with_word_edit_distance(df, "r", "h").collect()] == [1, 1, 1, 0, None]
+
+
+def test_times_of_day_are_glued_between_any_characters(spark):
+    texts = ["p m", "5 p m.", "up m", "p mx", "p p m", "pp m", "a m a m", "xa m", "éa m", "p m", "am pm", "a  m", "_p m", "-p m", "a p m"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(normalise_words("t")).collect()]
+    assert got == [["pm"], ["5", "pm"], ["up", "m"], ["p", "mx"], ["p", "pm"], ["pp", "m"], ["am", "am"], ["xa", "m"], ["éa", "m"], ["pm"], ["am", "pm"], ["am"],
+                   ["_p", "m"], ["pm"], ["a", "pm"]]
