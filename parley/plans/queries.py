@@ -905,9 +905,11 @@ def stream_transcribe(spark, sf_dir):
     """Recordings as files flow through M1; unreadable ones are quarantined."""
     pay = audio_payloads(spark, sf_dir, corrupt_every=13).select("conv_id", F.decode("content", "UTF-8").alias("value"))
     folder, sink = work_path(spark, "recordings"), work_path(spark, "transcripts")
-    pay.repartition("conv_id").sortWithinPartitions("conv_id").write.partitionBy("conv_id").text(folder)
+    # one flat folder: a folder for each recording would cost the stream a listing of its own, one after the other
+    pay = pay.select(F.format_string("conv_id=%d.txt", "conv_id").alias("name"), F.concat("value", F.lit("\n")).alias("content"))
+    sinks.write_files(pay.repartition(ev.scoring_partitions(spark), "name"), folder)
     schema = "path string, modificationTime timestamp, length long, content binary"
-    recordings = streaming.files_stream(spark, folder, schema, fmt="binaryFile", path_glob="*.txt", recursive=True)
+    recordings = streaming.files_stream(spark, folder, schema, fmt="binaryFile", path_glob="*.txt")
     t = providers.transcribe(recordings.select("path", "content"), "timed_text")
     heard = t.select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), "error_class",
                      F.size("transcript.segments").cast("long").alias("n_segments"), F.length("transcript.raw_text").cast("long").alias("raw_chars"))

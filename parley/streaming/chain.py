@@ -38,6 +38,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 Transform = Callable[[DataFrame], DataFrame]
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -90,7 +91,8 @@ def run_stage(rows: DataFrame, sink: str, checkpoint: str, processing_time: str
     # state has a store for each partition and is written for each micro-batch: no more than two to a core; a stage that
     # goes on from a checkpoint keeps the number it began with
     width = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    wanted = {STATE_STORE: ROCKSDB, "spark.sql.shuffle.partitions": str(width)}
+    # a micro-batch lists its files once more, by default in a task for each of up to 10,000 files
+    wanted = {STATE_STORE: ROCKSDB, "spark.sql.shuffle.partitions": str(width), LISTING: str(2 * spark.sparkContext.defaultParallelism)}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

@@ -96,3 +96,17 @@ def test_late_rows_are_reported_and_open_sessions_wait(spark, tmp_path):
     assert {r.id: r.text for r in streaming.committed(spark, sink, SCHEMA).collect()} == {1: "a b", 2: "c d"}
     late = streaming.committed(spark, streaming.sink_of(root, 0, "sessions"), "id long, error_class string", "failed").collect()
     assert [(r.id, r.error_class) for r in late] == [(1, "LateRows")]
+
+
+def test_recordings_arrive_in_one_flat_folder(spark, monkeypatch):
+    import os
+
+    from parley.plans import queries
+    from parley.streaming import chain
+    from tests.conftest import SF_SMALL
+
+    folders, files_stream = [], chain.files_stream
+    monkeypatch.setattr(chain, "files_stream", lambda s, folder, *a, **k: (folders.append(folder), files_stream(s, folder, *a, **k))[1])
+    n = queries.stream_transcribe(spark, SF_SMALL).count()
+    held = os.listdir(folders[0].removeprefix("file:"))
+    assert len(held) == n > 0 and all(name.startswith("conv_id=") and name.endswith(".txt") for name in held)
