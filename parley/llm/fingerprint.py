@@ -60,7 +60,8 @@ def with_components(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(w, F.array_remove(F.split(c(text), BLANKS), ""))
     first = F.sequence(F.lit(1), F.greatest(F.size(c(w)) - (K - 1), F.lit(1)))
     none = F.array().cast("array<bigint>")
-    packed = F.transform(first, lambda i: F.xxhash64(F.slice(c(w), i, K)).bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.least(i, F.lit(_MASK)).cast("long")))
+    # hashed word by word: the same number as that of a slice, which would be copied for every k-mer
+    packed = F.transform(first, lambda i: F.xxhash64(*[F.get(c(w), i + (k - 1)) for k in range(K)]).bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.least(i, F.lit(_MASK)).cast("long")))
     df = df.withColumn(grams, F.when(F.size(c(w)) > 0, F.array_sort(packed)).otherwise(none))
     # equal k-mers stand together, in text order: number them within their run
     begins = lambda a: lambda x, i: (i == 0) | (_right(F.get(a, i - 1), _POS) != _right(x, _POS))
